@@ -32,8 +32,10 @@ from .shared import written
 
 #: Counters of the sketch, one 8-byte number each: what the driver and each task hold of the corpus' counts.
 SKETCH = 1 << 18
+#: Places that the filter on texts to be read has at most, 8 bytes each.
+FILTER = 1 << 21
 #: Sets of one list that a block pair holds on each side, and that are skipped together.
-BLOCK, _SKIPPED = 2048, 64
+BLOCK, _SKIPPED, _TOGETHER = 2048, 64, 48
 _REMEMBERED = 300_000
 
 
@@ -125,15 +127,18 @@ def _postings(docs: DataFrame, words: int, t: Fraction, sketch) -> DataFrame:
     return docs.select("text").mapInArrow(run, "token long, digest binary, size int, pos int").groupBy("token", "digest").agg(F.first("size").alias("size"), F.first("pos").alias("pos"))
 
 
-def _texts(docs: DataFrame, words: int, needed: DataFrame) -> DataFrame:
-    """digest, text: one text for each needed set."""
+def _texts(docs: DataFrame, members: DataFrame, needed: DataFrame) -> DataFrame:
+    """digest, text: one text for each needed set.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(shingles(x.as_py(), words)) for x in b["text"]], pa.binary()), b["text"]], names=["digest", "text"])
-
-    whole = docs.select("text").mapInArrow(run, "digest binary, text string").where("digest is not null")
-    return whole.join(needed, "digest", "left_semi").groupBy("digest").agg(F.first("text").alias("text"))
+    Documents are found by the row hash of one member of each set. A broadcast table of at most FILTER places of those hashes keeps most of
+    the other texts from being moved; where it is full it lets all pass.
+    """
+    place = lambda c: F.pmod(F.col(c), F.lit(FILTER)).cast("int")
+    wanted = members.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min("row").alias("row"))
+    wanted = written(wanted, "wanted-rows")
+    places = wanted.select(place("row").alias("_place")).distinct()
+    near = docs.withColumn("_place", place("row")).join(F.broadcast(places), "_place", "left_semi").select("row", "text")
+    return near.join(wanted, "row").groupBy("digest").agg(F.first("text").alias("text"))
 
 
 def _compare(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> DataFrame:
@@ -163,62 +168,103 @@ def _list_pairs(rows: DataFrame, t: Fraction) -> DataFrame:
     out = pa.schema({"a": pa.binary(), "b": pa.binary(), "known": pa.bool_()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, last = [], None
+        held: list[pa.RecordBatch] = []
         for b in batches:
-            keys = np.stack([b[c].to_numpy(zero_copy_only=False) for c in ("token", "_i", "_j")], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if hi > lo:
-                    if held and tuple(keys[lo]) != last:
-                        yield from _walk(pa.Table.from_batches(held), t, out)
-                        held = []
-                    held.append(b.slice(lo, hi - lo))
-                    last = tuple(keys[lo])
+            if not b.num_rows:
+                continue
+            held.append(b)
+            keys = _list_keys(b)
+            ends = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1))
+            if len(ends) or held[0] is not b and (_list_keys(held[0])[-1] != keys[0]).any():
+                cut = int(ends[-1]) + 1 if len(ends) else 0
+                whole = pa.Table.from_batches([*held[:-1], b.slice(0, cut)])
+                held = [b.slice(cut)]
+                yield from _lists(whole, t, out)
         if held:
-            yield from _walk(pa.Table.from_batches(held), t, out)
+            yield from _lists(pa.Table.from_batches(held), t, out)
 
     return rows.mapInArrow(run, "a binary, b binary, known boolean")
 
 
+def _list_keys(b: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([b[c].to_numpy(zero_copy_only=False) if isinstance(b, pa.RecordBatch) else b[c].to_numpy() for c in ("token", "_i", "_j")], axis=1)
+
+
+def _lists(rows: pa.Table, t: Fraction, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Whole lists: those of one length are judged together, long ones are walked alone."""
+    if not rows.num_rows:
+        return
+    keys = _list_keys(rows)
+    starts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1])
+    lengths = np.diff(np.concatenate([starts, [len(keys)]]))
+    cols = _Columns(rows)
+    for n in np.unique(lengths):
+        own = starts[lengths == n]
+        if n > _TOGETHER:
+            for k in own.tolist():
+                yield from _walk(cols, np.arange(k, k + n), t, schema)
+            continue
+        first, second = np.triu_indices(n, 1)
+        step = max(1, 200_000 // max(1, len(first)))
+        for k in range(0, len(own), step):
+            a, b = ((own[k : k + step, None] + x[None, :]).ravel() for x in (first, second))
+            met = (cols.i[a] == cols.j[a]) | (cols.block[a] != cols.block[b])
+            yield from cols.judged(a[met], b[met], t, schema)
+
+
 def _codes(column: pa.ChunkedArray) -> np.ndarray:
     return column.combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
 
 
-def _walk(group: pa.Table, t: Fraction, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    size, pos, over, lead_size = (group[c].to_numpy().astype(np.int64) for c in ("size", "pos", "overlap", "leader_size"))
-    block, part, leader, names = group["_block"].to_numpy(), _codes(group["part"]), _codes(group["leader"]), group["digest"].to_pylist()
-    i, j = group["_i"][0].as_py(), group["_j"][0].as_py()
-    left = np.flatnonzero(block == i)
-    right = np.flatnonzero(block == j)
-    order = [x[np.lexsort((pos[x], size[x]))] for x in (left, right)]
-    chunks = [[x[k : k + _SKIPPED] for k in range(0, len(x), _SKIPPED)] for x in order]
-    rest = size - pos
-    for m, x in enumerate(chunks[0]):
-        found = []
-        for n, y in enumerate(chunks[1]):
+class _Columns:
+    def __init__(self, rows: pa.Table):
+        self.size, self.pos, self.over, self.lead_size = (rows[c].to_numpy().astype(np.int64) for c in ("size", "pos", "overlap", "leader_size"))
+        self.block, self.i, self.j = (rows[c].to_numpy() for c in ("_block", "_i", "_j"))
+        self.part, self.leader, self.names = _codes(rows["part"]), _codes(rows["leader"]), rows["digest"]
+        self.rest = self.size - self.pos
+
+    def open(self, a: np.ndarray, b: np.ndarray, t: Fraction) -> np.ndarray:
+        """Whether sizes, positions and groups leave a link between rows a and b open."""
+        size = self.size
+        enough = np.minimum(self.rest[a], self.rest[b]) >= least_overlap(size[a], size[b], t)
+        return enough & (self.part[a] != self.part[b]) & (np.minimum(size[a], size[b]) * t.denominator >= np.maximum(size[a], size[b]) * t.numerator)
+
+    def judged(self, a: np.ndarray, b: np.ndarray, t: Fraction, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+        """The pairs still open, less those that the answers of a common leader rule out; known: those answers link them."""
+        keep = self.open(a, b, t)
+        a, b = a[keep], b[keep]
+        need, size, over = least_overlap(self.size[a], self.size[b], t), self.size, self.over
+        same = (self.leader[a] == self.leader[b]) & (over[a] >= 0) & (over[b] >= 0)
+        known = same & (over[a] + over[b] - self.lead_size[a] >= need)
+        most = np.minimum(over[a], over[b]) + np.minimum(size[a] - over[a], size[b] - over[b])
+        keep = ~(same & (most < need))
+        a, b, known = a[keep], b[keep], known[keep]
+        if len(a):
+            one, two = self.names.take(pa.array(a)).to_pylist(), self.names.take(pa.array(b)).to_pylist()
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(min, one, two)), pa.binary()), pa.array(list(map(max, one, two)), pa.binary()), pa.array(known)], schema=schema)
+
+
+def _walk(cols: _Columns, rows: np.ndarray, t: Fraction, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """One long list, or a pair of its blocks: sorted by size and position in runs, of which those that cannot link are skipped whole."""
+    i, j, size, rest = cols.i[rows[0]], cols.j[rows[0]], cols.size, cols.rest
+    runs = []
+    for part in (i, j):
+        x = rows[cols.block[rows] == part]
+        x = x[np.lexsort((cols.pos[x], size[x]))]
+        runs.append([x[k : k + _SKIPPED] for k in range(0, len(x), _SKIPPED)])
+    for m, x in enumerate(runs[0]):
+        for n, y in enumerate(runs[1]):
             if i == j and n < m:
                 continue
-            if max(size[x].min(), size[y].min()) * t > min(size[x].max(), size[y].max()) and size[x].max() * t.denominator < size[y].min() * t.numerator:
+            if min(size[x].max(), size[y].max()) * t.denominator < max(size[x].min(), size[y].min()) * t.numerator:
                 continue
             if min(rest[x].max(), rest[y].max()) < least_overlap(int(size[x].min()), int(size[y].min()), t):
-                continue  # no position in these blocks leaves enough shingles
-            a, b = np.meshgrid(x, y, indexing="ij")
-            need = least_overlap(size[a], size[b], t)
-            open_ = (np.minimum(rest[a], rest[b]) >= need) & (part[a] != part[b]) & (np.minimum(size[a], size[b]) * t.denominator >= np.maximum(size[a], size[b]) * t.numerator)
+                continue  # no position in these runs leaves enough shingles
+            a, b = (z.ravel() for z in np.meshgrid(x, y, indexing="ij"))
             if i == j and n == m:
-                open_ &= np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
-            a, b, need = a[open_], b[open_], need[open_]
-            same = (leader[a] == leader[b]) & (over[a] >= 0)
-            least = over[a] + over[b] - lead_size[a]
-            most = np.minimum(over[a], over[b]) + np.minimum(size[a] - over[a], size[b] - over[b])
-            known, ruled_out = same & (least >= need), same & (most < need)
-            keep = ~ruled_out
-            found.append((a[keep], b[keep], known[keep]))
-        if found:
-            a, b, known = (np.concatenate(z) for z in zip(*found, strict=True))
-            if len(a):
-                one, two = [names[k] for k in a], [names[k] for k in b]
-                yield pa.RecordBatch.from_arrays([pa.array(list(map(min, one, two)), pa.binary()), pa.array(list(map(max, one, two)), pa.binary()), pa.array(known)], schema=schema)
+                first = np.arange(len(x))[:, None] < np.arange(len(y))[None, :]
+                a, b = a[first.ravel()], b[first.ravel()]
+            yield from cols.judged(a, b, t, schema)
 
 
 def similar_groups(docs: DataFrame, words: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
@@ -238,7 +284,7 @@ def similar_groups(docs: DataFrame, words: int = 3, threshold: Fraction = Fracti
     lists = postings.groupBy("token").agg(F.count("*").alias("_n"), F.min(F.struct("pos", "size", "digest")).alias("first")).where("_n > 1")
     lists = written(lists.select("token", "_n", "first.*").withColumnsRenamed({"pos": "lead_pos", "size": "lead_size", "digest": "leader"}), "lists")
     shared = written(postings.join(lists, "token"), "shared-postings")
-    texts = written(_texts(own, words, shared.select("digest").distinct()), "shared-texts")
+    texts = written(_texts(own, members, shared.select("digest").distinct()), "shared-texts")
 
     need = F.expr(f"ceil({t.numerator} * (size + lead_size) / {t.numerator + t.denominator}D - 1e-9)")
     star = shared.where("digest != leader").where((F.least(F.col("size") - F.col("pos"), F.col("lead_size") - F.col("lead_pos")) >= need) & (F.least("size", "lead_size") * t.denominator >= F.greatest("size", "lead_size") * t.numerator))
