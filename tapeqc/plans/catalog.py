@@ -1,10 +1,591 @@
-"""The registered queries by name."""
+"""The registered queries by name: each operator over the whole of a table, and DuckDB SQL with the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import scalars as P
+from ..operators import audio as A
+from ..operators import brng as B
+from ..operators import intervals as I
+from ..operators import metadata as M
+from ..operators import similarity as S
+from ..operators import video as V
+from .frames import CHANNELS, FRAMES, channels, frames, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return add
+
+
+def _r(x: str) -> str:
+    return f"round({x}, 6)"
+
+
+# --- Frames: thresholds, levels, bars ------------------------------------------------------------------------------------------------
+
+THRESHOLDS = {"YMIN": 10.0, "YMAX": 960.0, "YLOW": 60.0, "SATMAX": 550.0, "BRNG": 0.03, "TOUT": 0.009}
+_FAILS = {k: f"coalesce({k} {'<' if 'MIN' in k or 'LOW' in k else '>'} {v}, false)" for k, v in THRESHOLDS.items()}
+_ANY = " OR ".join(_FAILS.values())
+_VIOLATIONS = " UNION ALL ".join(f"SELECT asset_id, frame_idx, t, '{k}' AS tag, {k} AS value, CAST({v} AS DOUBLE) AS threshold FROM frames WHERE {_FAILS[k]}" for k, v in THRESHOLDS.items())
+
+
+@_query("F1_threshold_violations", f"WITH {FRAMES} {_VIOLATIONS}")
+def _(spark, d):
+    return V.threshold_violations(frames(spark, d), THRESHOLDS)
+
+
+@_query("A1_threshold_summary", f"WITH {FRAMES}, one AS (SELECT asset_id, count(*) AS total, count(*) FILTER (WHERE {_ANY}) AS any_failed, {', '.join(f'count(*) FILTER (WHERE {x}) AS f_{k}' for k, x in _FAILS.items())} FROM frames GROUP BY asset_id) " + " UNION ALL ".join(f"SELECT asset_id, '{k}' AS tag, f_{k} AS failed, {_r(f'100.0 * f_{k} / total')}::DOUBLE AS pct, any_failed, total FROM one" for k in THRESHOLDS))
+def _(spark, d):
+    return V.threshold_summary(frames(spark, d), THRESHOLDS)
+
+
+_BLACK = "coalesce(YMAX < 300 AND YHIGH < 115 AND YLOW < 97 AND YMIN < 6.5, false)"
+
+
+@_query("F2_black_frames", f"WITH {FRAMES} SELECT asset_id, count(*) FILTER (WHERE {_BLACK}) AS n FROM frames GROUP BY asset_id")
+def _(spark, d):
+    return frames(spark, d).groupBy("asset_id").agg(F.count_if(V.is_black()).alias("n"))
+
+
+_BRNG = f"SELECT asset_id, frame_idx, t, BRNG AS score, BRNG * 100 AS pct FROM frames WHERE BRNG > 0.01 AND NOT {_BLACK}"
+
+
+@_query("F3_brng_violations", f"WITH {FRAMES} {_BRNG}")
+def _(spark, d):
+    return B.brng_violations(frames(spark, d))
+
+
+_BARS = "coalesce(YMAX > 800 AND YMIN < 10 AND YDIF < 8 AND SATMAX > 250, false)"
+
+
+@_query("F4_bars_frames", f"WITH {FRAMES} SELECT asset_id, count(*) FILTER (WHERE {_BARS}) AS strict, count(*) FILTER (WHERE coalesce(YMAX > 600 AND YMIN < 20 AND YDIF < 16 AND SATMAX > 100, false)) AS relaxed FROM frames GROUP BY asset_id")
+def _(spark, d):
+    return frames(spark, d).groupBy("asset_id").agg(F.count_if(V.bars_frame()).alias("strict"), F.count_if(V.bars_frame(relaxed=True)).alias("relaxed"))
+
+
+@_query("F5_whole_video_bars", f"WITH {FRAMES} SELECT asset_id, max(t) AS end_s FROM frames GROUP BY asset_id HAVING avg(CAST({_BARS} AND TOUT <= 0.02 AS INT)) >= 0.05")
+def _(spark, d):
+    return V.whole_video_bars(frames(spark, d), share=0.05)
+
+
+_DETECT = f"""own AS (SELECT asset_id, frame_idx, t, {_BARS} AS ok FROM frames WHERE t BETWEEN 0 AND 300),
+grp AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY asset_id, ok ORDER BY frame_idx) AS g FROM own),
+runs AS (SELECT asset_id, ok, g, count(*) AS n, min(t) AS first, max(t) AS last FROM grp GROUP BY ALL),
+heads AS (SELECT asset_id, min(first) AS start_s FROM runs WHERE ok AND n >= 30 GROUP BY asset_id),
+ends AS (SELECT h.asset_id, h.start_s, (SELECT min(r.first) FROM runs r WHERE r.asset_id = h.asset_id AND NOT r.ok AND r.n >= 15 AND r.first - h.start_s > 2) AS closed_s FROM heads h),
+detected AS (SELECT e.asset_id, e.start_s, max(o.t) AS end_s, e.closed_s FROM ends e JOIN own o ON o.asset_id = e.asset_id AND o.ok AND o.t >= e.start_s AND (e.closed_s IS NULL OR o.t < e.closed_s) GROUP BY ALL)"""
+
+
+@_query("W2_detect_bars", f"WITH {FRAMES}, {_DETECT} SELECT asset_id, start_s, end_s, closed_s FROM detected")
+def _(spark, d):
+    return V.detect_bars(frames(spark, d))
+
+
+@_query("A2_bars_extremes", f"WITH {FRAMES}, {_DETECT} SELECT d.asset_id, 'head' AS label, " + ", ".join(f"{'greatest(0, ' if k.endswith('MAX') else 'least(1023, '}CAST({'max' if k.endswith('MAX') else 'min'}(f.{k}) AS INT)) AS {k}" for k in V.SMPTE) + " FROM detected d JOIN frames f ON f.asset_id = d.asset_id AND f.t BETWEEN d.start_s AND d.end_s GROUP BY d.asset_id")
+def _(spark, d):
+    own = frames(spark, d)
+    return V.bars_extremes(own, V.detect_bars(own).withColumn("label", F.lit("head")))
+
+
+@_query("A3_bars_vs_reference")
+def _(spark, d):
+    own = frames(spark, d)
+    return V.bars_vs_reference(own.select("asset_id").distinct(), V.bars_extremes(own, V.detect_bars(own).withColumn("label", F.lit("head"))))
+
+
+_LIMITS = {"YMIN": (12.0, "floor"), "YMAX": (990.0, "ceiling"), "UMIN": (51.0, "floor"), "UMAX": (940.0, "ceiling"), "VMIN": (60.0, "floor"), "VMAX": (913.0, "ceiling")}
+
+
+def _clamped(k: str, level: float, side: str) -> str:
+    x, beyond = ("min", f"{k} < {level - 1}") if side == "floor" else ("max", f"{k} > {level + 1}")
+    return f"""SELECT asset_id, '{k}' AS metric, {x}({k}) AS extreme, count(*) FILTER (WHERE abs({k} - {level}) <= 1) AS hits, {_r(f'count(*) FILTER (WHERE abs({k} - {level}) <= 1) * 100.0 / count(*)')}::DOUBLE AS hit_pct, count(*) FILTER (WHERE {beyond}) AS beyond,
+CASE WHEN count(*) FILTER (WHERE {beyond}) > 0 THEN 'Not Clamped' WHEN count(*) FILTER (WHERE abs({k} - {level}) <= 1) >= 10 AND count(*) FILTER (WHERE abs({k} - {level}) <= 1) * 100.0 / count(*) >= 1 THEN 'Clamped' ELSE 'Inconclusive' END AS verdict FROM frames GROUP BY asset_id"""
+
+
+@_query("A4_clamped_levels", f"WITH {FRAMES} " + " UNION ALL ".join(_clamped(k, *v) for k, v in _LIMITS.items()))
+def _(spark, d):
+    return V.clamped_levels(frames(spark, d), _LIMITS)
+
+
+@_query("A9_bit_depth", f"WITH {FRAMES} SELECT asset_id, CASE WHEN arg_min(greatest(UAVG, VAVG), frame_idx) > 300 OR max(CASE WHEN frame_idx <= 100 THEN coalesce(YMAX, 255) END) > 250 THEN 10 ELSE 8 END AS bits FROM frames GROUP BY asset_id")
+def _(spark, d):
+    return V.bit_depth(frames(spark, d))
+
+
+_ENVELOPE = "(UMIN < 100 AND VMIN < 100 AND UMAX > 900 AND VMAX > 900)"
+
+
+@_query("F7_chroma_flags", f"WITH {FRAMES} SELECT asset_id, count(*) FILTER (WHERE {_ENVELOPE}) AS envelope, count(*) FILTER (WHERE SATMAX > 600) AS saturation FROM frames GROUP BY asset_id")
+def _(spark, d):
+    return frames(spark, d).groupBy("asset_id").agg(*[F.count_if(x).alias(k) for k, x in V.chroma_flags().items()])
+
+
+_CHROMA = f"""flagged AS (SELECT asset_id, frame_idx, t, SATMAX, HUEMED, {_ENVELOPE} AS envelope, SATMAX > 600 AS saturation FROM frames WHERE {_ENVELOPE} OR SATMAX > 600),
+cut AS (SELECT *, CASE WHEN frame_idx - lag(frame_idx) OVER (PARTITION BY asset_id ORDER BY frame_idx) <= 10 THEN 0 ELSE 1 END AS c FROM flagged),
+isl AS (SELECT *, sum(c) OVER (PARTITION BY asset_id ORDER BY frame_idx) AS g FROM cut),
+chroma AS (SELECT asset_id, min(t) AS start_s, max(t) AS end_s, max(t) - min(t) AS duration_s, count(*) AS frame_count,
+ CASE WHEN bool_or(envelope) AND bool_or(saturation) THEN 'envelope+saturation' WHEN bool_or(envelope) THEN 'envelope' ELSE 'saturation' END AS rules, max(SATMAX) AS peak_satmax,
+ arg_min(t, (-SATMAX, frame_idx)) AS peak_s, arg_min(HUEMED, (-SATMAX, frame_idx)) AS peak_hue FROM isl GROUP BY asset_id, g HAVING count(*) >= 2 OR bool_or(envelope AND saturation))"""
+
+
+@_query("W6_chroma_events", f"WITH {FRAMES}, {_CHROMA} SELECT * FROM chroma")
+def _(spark, d):
+    return V.chroma_events(frames(spark, d))
+
+
+@_query("T2_top_events", f"WITH {FRAMES}, {_CHROMA}, ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY frame_count DESC, start_s) AS INT) AS rank FROM chroma) SELECT * FROM ranked WHERE rank <= 10")
+def _(spark, d):
+    return V.top_events(V.chroma_events(frames(spark, d)))
+
+
+_SEGMENTS = f"""b AS (SELECT asset_id, frame_idx, t, {_BLACK} AS black FROM frames),
+lastb AS (SELECT *, max(CASE WHEN black THEN t END) OVER (PARTITION BY asset_id ORDER BY frame_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last FROM b),
+cutb AS (SELECT *, sum(CASE WHEN NOT black AND t - last > 0.5 THEN 1 ELSE 0 END) OVER (PARTITION BY asset_id ORDER BY frame_idx) AS g FROM lastb),
+segments AS (SELECT asset_id, min(t) AS start_s, max(t) AS end_s, count(*) AS frames FROM cutb WHERE black GROUP BY asset_id, g HAVING max(t) - min(t) >= 2)"""
+
+
+@_query("W4_black_segments", f"WITH {FRAMES}, {_SEGMENTS} SELECT * FROM segments")
+def _(spark, d):
+    return V.black_segments(frames(spark, d))
+
+
+_LOW = "coalesce(YDIF < 1 AND coalesce(UDIF, 0) < 1 AND coalesce(VDIF, 0) < 1 AND YMAX - YMIN >= 8, false)"
+_FREEZES = f"""lowf AS (SELECT *, {_LOW} AS low FROM frames), grpf AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY asset_id, low ORDER BY frame_idx) AS g FROM lowf),
+freezes AS (SELECT asset_id, min(t) AS start_s, max(t) AS end_s, count(*) AS duplicates, count(*) + 1 AS frozen, {_r('avg(YDIF)')} AS avg_ydif, max(YDIF) AS max_ydif, {_r('avg(UDIF)')} AS avg_udif, {_r('avg(VDIF)')} AS avg_vdif FROM grpf WHERE low GROUP BY asset_id, g HAVING count(*) >= 2)"""
+
+
+@_query("F8_low_diff_frames", f"WITH {FRAMES} SELECT asset_id, count(*) FILTER (WHERE {_LOW}) AS n FROM frames GROUP BY asset_id")
+def _(spark, d):
+    return frames(spark, d).groupBy("asset_id").agg(F.count_if(V.low_diff_frame()).alias("n"))
+
+
+@_query("W5_freeze_candidates", f"WITH {FRAMES}, {_FREEZES} SELECT * FROM freezes")
+def _(spark, d):
+    return V.freeze_candidates(frames(spark, d))
+
+
+@_query("A15_freeze_summary", f"WITH {FRAMES}, {_FREEZES}, one AS (SELECT asset_id, count(*) AS runs, CAST(sum(duplicates) AS BIGINT) AS duplicates FROM freezes GROUP BY asset_id) SELECT a.asset_id, coalesce(runs, 0) AS runs, coalesce(duplicates, 0) AS duplicates, {_r('coalesce(duplicates, 0) / (30000.0::DOUBLE / 1001)')} AS loss_s, CASE WHEN coalesce(runs, 0) = 0 THEN 'clean' WHEN runs >= 5 OR duplicates >= 10 THEN 'critical' ELSE 'warning' END AS status FROM (SELECT DISTINCT asset_id FROM frames) a LEFT JOIN one USING (asset_id)")
+def _(spark, d):
+    own = frames(spark, d)
+    return V.freeze_summary(V.freeze_candidates(own), own.select("asset_id").distinct())
+
+
+@_query("J6_exclude_regions", f"WITH {FRAMES}, {_SEGMENTS} SELECT f.asset_id, f.frame_idx FROM frames f WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.asset_id = f.asset_id AND f.t BETWEEN s.start_s AND s.end_s)")
+def _(spark, d):
+    own = frames(spark, d)
+    return I.exclude_regions(own, V.black_segments(own)).select("asset_id", "frame_idx")
+
+
+@_query("W20_downsample_trace", f"WITH {FRAMES}, n AS (SELECT asset_id, t, YMAX AS value, row_number() OVER (PARTITION BY asset_id ORDER BY t) - 1 AS i, count(*) OVER (PARTITION BY asset_id) AS total FROM frames WHERE YMAX IS NOT NULL), b AS (SELECT *, CAST(floor(i / ceil(total / 50.0)) AS BIGINT) AS bucket FROM n) SELECT asset_id, bucket, arg_min(t, (-value, i)) AS t, max(value) AS value FROM b GROUP BY asset_id, bucket")
+def _(spark, d):
+    return V.downsample_trace(frames(spark, d), "YMAX", 50)
+
+
+@_query("P24_luma_zones", f"WITH {FRAMES} SELECT asset_id, CASE WHEN YAVG < 64 THEN 'subblack' WHEN YAVG < 192 THEN 'midtone' ELSE 'highlight' END AS zone, count(*) AS n FROM (SELECT asset_id, YAVG - 280 AS YAVG FROM frames) GROUP BY ALL")
+def _(spark, d):
+    return frames(spark, d).select("asset_id", P.luma_zone(F.col("YAVG") - 280).alias("zone")).groupBy("asset_id", "zone").agg(F.count("*").alias("n"))
+
+
+_HUE_SQL = "CASE CAST(floor(((HUEMED + 15) % 360) / 30) AS INT) " + " ".join(f"WHEN {k} THEN '{h}'" for k, h in enumerate(P.HUES)) + " END"
+
+
+@_query("P9_hue_label", f"WITH {FRAMES} SELECT asset_id, {_HUE_SQL} AS hue, count(*) AS n FROM frames GROUP BY ALL")
+def _(spark, d):
+    return frames(spark, d).select("asset_id", P.hue_label("HUEMED").alias("hue")).groupBy("asset_id", "hue").agg(F.count("*").alias("n"))
+
+
+@_query("P3_seconds_to_hms4", f"WITH {FRAMES} SELECT asset_id, frame_idx, printf('%02d:%02d:%02d.%04d', CAST(floor(t * 37) AS BIGINT) // 3600, CAST(floor(t * 37) AS BIGINT) // 60 % 60, CAST(floor(t * 37) AS BIGINT) % 60, CAST(round((t * 37 - floor(t * 37)) * 10000) AS BIGINT)) AS hms FROM frames")
+def _(spark, d):
+    return frames(spark, d).select("asset_id", "frame_idx", P.seconds_to_hms4(F.col("t") * 37).alias("hms"))
+
+
+@_query("P4_seconds_to_timecode", f"WITH {FRAMES}, n AS (SELECT asset_id, frame_idx, CAST(frame_idx * 25 AS BIGINT) AS f FROM frames) SELECT asset_id, frame_idx, printf('%02d:%02d:%02d:%02d', f // 90000 % 24, f // 1500 % 60, f // 25 % 60, f % 25) AS tc FROM n")
+def _(spark, d):
+    return frames(spark, d).select("asset_id", "frame_idx", P.seconds_to_timecode(F.col("t") * 8, 25.0).alias("tc"))
+
+
+# --- Broadcast range -----------------------------------------------------------------------------------------------------------------
+
+_PERIODS = "periods AS (SELECT DISTINCT asset_id, p AS period_no, CAST(5 + 20 * p AS DOUBLE) AS start_s, CAST(15 AS DOUBLE) AS duration_s FROM frames, (VALUES (0), (1), (2)) v(p))"
+
+
+def _periods(own: DataFrame, gap: float = 20.0, first: float = 5.0) -> DataFrame:
+    numbered = own.select("asset_id").distinct().withColumn("period_no", F.explode(F.sequence(F.lit(0), F.lit(2))))
+    return numbered.select("asset_id", "period_no", (F.lit(first) + gap * F.col("period_no")).alias("start_s"), F.lit(15.0).alias("duration_s"))
+
+
+@_query("T1_top_violations", f"WITH {FRAMES}, v AS ({_BRNG}), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY score DESC, frame_idx) AS INT) AS rank FROM v) SELECT * FROM r WHERE rank <= 10")
+def _(spark, d):
+    return B.top_violations(B.brng_violations(frames(spark, d)))
+
+
+_HISTOGRAM = f"v AS ({_BRNG}), f0 AS (SELECT asset_id, min(t) AS first FROM v GROUP BY asset_id), bins AS (SELECT asset_id, CAST(floor((t - first) / 10) AS BIGINT) AS bin, first + floor((t - first) / 10) * 10 AS start_s, count(*) AS n FROM v JOIN f0 USING (asset_id) GROUP BY ALL)"
+
+
+@_query("A21_violation_histogram", f"WITH {FRAMES}, {_HISTOGRAM} SELECT * FROM bins")
+def _(spark, d):
+    return B.violation_histogram(B.brng_violations(frames(spark, d)))
+
+
+@_query("T5_suggest_periods")
+def _(spark, d):
+    return B.suggest_periods(B.brng_violations(frames(spark, d)), length_s=20.0)
+
+
+@_query("T3_diverse_top_k")
+def _(spark, d):
+    kind = F.element_at(F.array(F.lit("content"), F.lit("border"), F.lit("other")), (F.col("frame_idx") % 3 + 1).cast("int"))
+    return B.diverse_top_k(B.brng_violations(frames(spark, d)).withColumn("kind", kind))
+
+
+@_query("T4_failure_highlights")
+def _(spark, d):
+    return B.failure_highlights(V.threshold_violations(frames(spark, d), THRESHOLDS))
+
+
+@_query("J11_assign_period", f"WITH {FRAMES}, {_PERIODS}, v AS ({_BRNG}) SELECT v.asset_id, v.frame_idx, v.t, min(p.period_no) AS period_no FROM v LEFT JOIN periods p ON p.asset_id = v.asset_id AND p.start_s <= v.t AND v.t < p.start_s + p.duration_s GROUP BY ALL")
+def _(spark, d):
+    own = frames(spark, d)
+    return I.assign_period(B.brng_violations(own).select("asset_id", "frame_idx", "t"), _periods(own))
+
+
+_SUMMARY = f"summary AS (SELECT p.asset_id, p.period_no, count(*) AS frames, count(*) FILTER (WHERE BRNG > 0.01) AS violations, {_r('count(*) FILTER (WHERE BRNG > 0.01) * 100.0 / count(*)')}::DOUBLE AS pct, max(BRNG) AS max_brng, round(avg(BRNG), 9) AS avg_brng FROM frames f JOIN periods p ON f.asset_id = p.asset_id AND f.t >= p.start_s AND f.t < p.start_s + p.duration_s GROUP BY ALL)"
+
+
+@_query("A10_brng_period_summary", f"WITH {FRAMES}, {_PERIODS}, {_SUMMARY} SELECT asset_id, period_no, frames, violations, pct, max_brng FROM summary")
+def _(spark, d):
+    own = frames(spark, d)
+    return B.brng_period_summary(own, _periods(own)).drop("avg_brng")
+
+
+@_query("J17_period_overlap", f"WITH {FRAMES}, {_PERIODS}, q AS (SELECT asset_id, period_no, start_s * 2 AS start_s, duration_s FROM periods) SELECT p.asset_id, p.period_no AS period_p, q.period_no AS period_q, least(p.start_s + p.duration_s, q.start_s + q.duration_s) - greatest(p.start_s, q.start_s) AS overlap_s FROM periods p JOIN q ON p.asset_id = q.asset_id AND least(p.start_s + p.duration_s, q.start_s + q.duration_s) > greatest(p.start_s, q.start_s)")
+def _(spark, d):
+    own = frames(spark, d)
+    return I.period_overlap(_periods(own), _periods(own, 40.0, 10.0))
+
+
+_VALIDATED = "SELECT p.asset_id, p.period_no, p.start_s, p.duration_s, coalesce(sum(least(p.start_s + p.duration_s, s.end_s) - greatest(p.start_s, s.start_s)), 0) AS black_s FROM periods p LEFT JOIN segments s ON s.asset_id = p.asset_id AND least(p.start_s + p.duration_s, s.end_s) > greatest(p.start_s, s.start_s) GROUP BY ALL"
+
+
+@_query("T7_validate_periods", f"WITH {FRAMES}, {_PERIODS}, {_SEGMENTS}, o AS ({_VALIDATED}) SELECT *, black_s <= 0.25 * duration_s AS valid FROM o")
+def _(spark, d):
+    own = frames(spark, d)
+    return B.validate_periods(_periods(own), V.black_segments(own))
+
+
+@_query("T8_shift_periods")
+def _(spark, d):
+    own = frames(spark, d)
+    return B.shift_periods(_periods(own), V.black_segments(own), own.groupBy("asset_id").agg(F.max("t").alias("duration_s")))
+
+
+@_query("T6_even_periods")
+def _(spark, d):
+    own = frames(spark, d)
+    return I.even_periods(own.groupBy("asset_id").agg(F.max("t").alias("duration_s"), F.lit(10.0).alias("bars_end_s")), 3, 12.0)
+
+
+@_query("T10_sample_evenly")
+def _(spark, d):
+    return B.sample_evenly(frames(spark, d), 20)
+
+
+@_query("A14_violation_assessment", f"WITH {FRAMES}, v AS ({_BRNG}), o AS (SELECT asset_id, count(*) AS n, {_r('avg(pct)')} AS avg_pct, max(pct) AS max_pct FROM v GROUP BY asset_id) SELECT *, CASE WHEN avg_pct < 1 AND max_pct < 5 THEN 'Minimal' WHEN avg_pct < 5 THEN 'Minor' WHEN avg_pct < 15 THEN 'Moderate' ELSE 'Severe' END AS assessment FROM o")
+def _(spark, d):
+    return B.violation_assessment(B.brng_violations(frames(spark, d)))
+
+
+@_query("A12_violation_patterns")
+def _(spark, d):
+    edges = F.array_compact(F.array(F.when(F.col("frame_idx") % 2 == 0, "left"), F.when(F.col("frame_idx") % 5 == 0, "top"), F.when(F.col("frame_idx") % 7 == 0, "right")))
+    own = B.brng_violations(frames(spark, d)).select("asset_id", edges.alias("edges"), (F.col("frame_idx") % 3 == 0).alias("continuous"), (F.col("frame_idx") % 11 == 0).alias("linear"))
+    return B.violation_patterns(own)
+
+
+# --- Interval algebra ----------------------------------------------------------------------------------------------------------------
+
+_MERGED = """o AS (SELECT *, max(end_s) OVER (PARTITION BY asset_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans),
+c AS (SELECT *, sum(CASE WHEN start_s - before <= 5 THEN 0 ELSE 1 END) OVER (PARTITION BY asset_id ORDER BY start_s, end_s ROWS UNBOUNDED PRECEDING) AS g FROM o),
+merged AS (SELECT asset_id, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS n_spans FROM c GROUP BY asset_id, g)"""
+_SPANS = "spans AS (SELECT DISTINCT o_custkey % 50 AS asset_id, CAST(o_orderkey % 1000 AS DOUBLE) AS start_s, CAST(o_orderkey % 1000 + o_orderkey % 7 AS DOUBLE) AS end_s FROM orders)"
+
+
+def _spans(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("asset_id"), (F.col("o_orderkey") % 1000).cast("double").alias("start_s"), (F.col("o_orderkey") % 1000 + F.col("o_orderkey") % 7).cast("double").alias("end_s")).distinct()
+
+
+@_query("W19_merge_spans", f"WITH {_SPANS}, {_MERGED} SELECT * FROM merged")
+def _(spark, d):
+    return I.merge_spans(_spans(spark, d), 5.0)
+
+
+@_query("A18_coverage_fraction", f"WITH {_SPANS}, {_MERGED.replace('<= 5', '<= 0')}, t AS (SELECT asset_id, sum(end_s - start_s) AS covered_s FROM merged GROUP BY asset_id) SELECT asset_id, covered_s, covered_s / 1007.0::DOUBLE AS fraction FROM t")
+def _(spark, d):
+    own = _spans(spark, d)
+    return I.coverage_fraction(own, own.select("asset_id").distinct().withColumn("duration_s", F.lit(1007.0)))
+
+
+_TWO = "a AS (SELECT * FROM spans WHERE end_s - start_s >= 4), b AS (SELECT * FROM spans WHERE end_s - start_s = 1)"
+
+
+@_query("J9_spans_overlap", f"WITH {_SPANS}, {_TWO} SELECT a.* FROM a WHERE EXISTS (SELECT 1 FROM b WHERE a.asset_id = b.asset_id AND a.start_s <= b.end_s + 1 AND b.start_s <= a.end_s + 1)")
+def _(spark, d):
+    own = _spans(spark, d)
+    return I.spans_overlap(own.where("end_s - start_s >= 4"), own.where("end_s - start_s = 1"), 1.0)
+
+
+@_query("J10_overlapping_methods", f"WITH {_SPANS}, {_TWO} SELECT b.* FROM b WHERE EXISTS (SELECT 1 FROM a WHERE a.asset_id = b.asset_id AND a.start_s <= b.end_s AND b.start_s <= a.end_s) OR NOT EXISTS (SELECT 1 FROM a WHERE a.asset_id = b.asset_id)")
+def _(spark, d):
+    own = _spans(spark, d)
+    return I.overlapping_methods(own.where("end_s - start_s >= 4"), own.where("end_s - start_s = 1"))
+
+
+@_query("W18_timecode_consensus")
+def _(spark, d):
+    own = _spans(spark, d)
+    return A.timecode_consensus(own.where("end_s - start_s >= 4"), own.where("end_s - start_s = 1"))
+
+
+@_query("J15_bars_agreement", f"WITH {_SPANS}, a AS (SELECT asset_id, max(end_s) AS a FROM spans WHERE asset_id % 3 <> 0 GROUP BY asset_id), b AS (SELECT asset_id, max(start_s) AS b FROM spans WHERE asset_id % 5 <> 0 GROUP BY asset_id) SELECT asset_id, CASE WHEN a IS NULL THEN 'second only' WHEN b IS NULL THEN 'first only' WHEN abs(a - b) <= 1 THEN 'agree' ELSE 'differ' END AS verdict FROM a FULL JOIN b USING (asset_id)")
+def _(spark, d):
+    own = _spans(spark, d)
+    return V.bars_agreement(own.where("asset_id % 3 != 0").groupBy("asset_id").agg(F.max("end_s").alias("end_s")), own.where("asset_id % 5 != 0").groupBy("asset_id").agg(F.max("start_s").alias("end_s")))
+
+
+# --- Audio ---------------------------------------------------------------------------------------------------------------------------
+
+
+@_query("A5_clipping_summary", f"WITH {CHANNELS} SELECT asset_id, count(*) AS total, count(*) FILTER (WHERE peak_level >= -0.5) AS clipped, {_r('count(*) FILTER (WHERE peak_level >= -0.5) * 100.0 / count(*)')}::DOUBLE AS pct, max(peak_level) AS max_peak, max(flat_factor) AS max_flat FROM channels GROUP BY asset_id")
+def _(spark, d):
+    return A.clipping_summary(channels(spark, d))
+
+
+_MEANS = "o AS (SELECT asset_id, ch, rms_level, row_number() OVER (PARTITION BY asset_id, ch ORDER BY frame_idx) AS i FROM channels WHERE rms_level IS NOT NULL), n AS (SELECT asset_id, min(m) AS n FROM (SELECT asset_id, ch, max(i) AS m FROM o GROUP BY ALL) GROUP BY asset_id), means AS (SELECT asset_id, ch, avg(rms_level) AS mean_rms FROM o JOIN n USING (asset_id) WHERE i <= n GROUP BY ALL)"
+
+
+@_query("J12_channel_pairs", f"WITH {CHANNELS}, {_MEANS}, p AS (SELECT a.asset_id, a.ch AS ch_a, b.ch AS ch_b, a.mean_rms - b.mean_rms AS diff FROM means a JOIN means b ON a.asset_id = b.asset_id AND a.ch < b.ch) SELECT asset_id, ch_a, ch_b, {_r('abs(diff)')} AS diff_db, CASE WHEN abs(diff) < 1 THEN 'Balanced' WHEN abs(diff) < 3 THEN 'Slight' WHEN abs(diff) < 6 THEN 'Moderate' ELSE 'Significant' END AS label, CASE WHEN diff > 0 THEN ch_a WHEN diff < 0 THEN ch_b END AS louder FROM p")
+def _(spark, d):
+    return A.channel_pairs(A.channel_means(channels(spark, d)))
+
+
+@_query("A6_channel_imbalance")
+def _(spark, d):
+    return A.channel_imbalance(channels(spark, d))
+
+
+def _median_sql(c: str) -> str:
+    return f"(SELECT e, list(v) OVER w AS before FROM (SELECT asset_id, ch, frame_idx, asset_id * 10000000 + ch * 1000000 + frame_idx AS e, {c} AS v FROM rms WHERE {c} IS NOT NULL) WINDOW w AS (PARTITION BY asset_id, ch ORDER BY frame_idx ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING))"
+
+
+_DROPOUTS = f"""rms AS (SELECT *, asset_id * 10000000 + ch * 1000000 + frame_idx AS e FROM channels WHERE rms_level IS NOT NULL),
+m AS (SELECT r.*, CASE WHEN len(a.before) = 7 THEN list_sort(a.before)[4] END AS median_rms, CASE WHEN len(b.before) = 7 THEN list_sort(b.before)[4] END AS md, CASE WHEN len(c.before) = 7 THEN list_sort(c.before)[4] END AS rd, CASE WHEN len(z.before) = 7 THEN list_sort(z.before)[4] END AS zc
+ FROM rms r JOIN {_median_sql('rms_level')} a USING (e) JOIN {_median_sql('max_difference')} b USING (e) JOIN {_median_sql('rms_difference')} c USING (e) JOIN {_median_sql('zero_crossings_rate')} z USING (e)),
+candidates AS (SELECT asset_id, ch, frame_idx, t, rms_level, median_rms, CASE WHEN md > 0 AND max_difference < 0.1 * md THEN 1 ELSE 0 END AS c1, CASE WHEN rd > 0 AND rms_difference < 0.1 * rd THEN 1 ELSE 0 END AS c2, CASE WHEN zc > 0 AND zero_crossings_rate > 3 * zc THEN 1 ELSE 0 END AS c3 FROM m WHERE median_rms >= -55 AND median_rms - rms_level >= 40)"""
+
+
+@_query("W7_dropout_candidates", f"WITH {CHANNELS}, {_DROPOUTS} SELECT asset_id, ch, frame_idx, t, rms_level, median_rms, c1 + c2 + c3 AS n FROM candidates")
+def _(spark, d):
+    return A.dropout_candidates(channels(spark, d)).withColumn("n", F.size("corroborating")).drop("corroborating")
+
+
+@_query("W8_dropout_events")
+def _(spark, d):
+    out = A.dropout_events(A.dropout_candidates(channels(spark, d)), gap=0.5)
+    return out.withColumn("corroborating", F.array_join("corroborating", "+"))
+
+
+@_query("J8_cross_channel_support")
+def _(spark, d):
+    events = A.dropout_events(A.dropout_candidates(channels(spark, d)), gap=0.5)
+    return I.cross_channel_support(events).withColumn("corroborating", F.array_join("corroborating", "+"))
+
+
+@_query("W9_hopping_windows", f"WITH {CHANNELS}, n AS (SELECT asset_id, ch, frame_idx AS i, count(*) OVER (PARTITION BY asset_id, ch) AS total FROM channels), w AS (SELECT *, unnest(range(0, total, 10)) AS s FROM n) SELECT asset_id, ch, CAST(s // 10 AS INT) AS win, count(*) AS n FROM w WHERE i >= s AND i < s + 20 AND s + 20 <= total GROUP BY ALL")
+def _(spark, d):
+    return A.hopping_windows(channels(spark, d), ["asset_id", "ch"], 20, 10).groupBy("asset_id", "ch", "win").agg(F.count("*").alias("n"))
+
+
+@_query("W11_astats_timecode")
+def _(spark, d):
+    return A.astats_timecode(channels(spark, d), 20, {"rms_level": (-40.0, -15.0), "zero_crossings_rate": (5.0, 20.0)}, {"rms_level": 30.0})
+
+
+def _loudness(spark: SparkSession, d: str) -> DataFrame:
+    return channels(spark, d).where("ch = 1")
+
+
+@_query("W10_r128_timecode")
+def _(spark, d):
+    return A.r128_timecode(_loudness(spark, d), 20, (-25.0, -15.0), 0.85, 3.0)
+
+
+@_query("W12_filter_consecutive")
+def _(spark, d):
+    return A.filter_consecutive(A.r128_timecode(_loudness(spark, d), 20, (-25.0, -15.0), 0.85, 3.0), 2, 6.0)
+
+
+@_query("W13_merge_detections")
+def _(spark, d):
+    found = A.r128_timecode(_loudness(spark, d), 20, (-25.0, -15.0), 0.85, 3.0)
+    return A.merge_detections(found.withColumn("confidence", F.when(F.col("win") % 3 == 0, "high").otherwise("medium")))
+
+
+@_query("W15_majority_smooth", f"WITH {CHANNELS} SELECT asset_id, ch, frame_idx, avg(CAST(peak_level > -5 AS INT)) OVER (PARTITION BY asset_id, ch ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) > 0.5 AS smooth FROM channels")
+def _(spark, d):
+    return A.majority_smooth(channels(spark, d).withColumn("flag", F.col("peak_level") > -5), "flag").select("asset_id", "ch", "frame_idx", "smooth")
+
+
+@_query("W16_tc_subregions")
+def _(spark, d):
+    return A.tc_subregions(channels(spark, d).withColumn("flag", F.col("peak_level") > -5), "flag", 1.0)
+
+
+@_query("W14_refine_start")
+def _(spark, d):
+    own = _loudness(spark, d)
+    starts = own.groupBy("asset_id").agg((F.max("t") / 2).alias("start_s"), F.max("t").alias("end_s"))
+    return A.refine_start(starts, own)
+
+
+@_query("W24_spike_detection")
+def _(spark, d):
+    series = table(spark, d, "events").select((F.col("user_id") % 20).alias("asset_id"), F.col("event_id").alias("frame_idx"), F.col("value"))
+    return A.spike_detection(series)
+
+
+# --- Arrays --------------------------------------------------------------------------------------------------------------------------
+
+
+@_query("W21_tone_spans")
+def _(spark, d):
+    chunks = table(spark, d, "embeddings").select(F.col("label").alias("asset_id"), F.col("vec_id").alias("chunk_no"), F.col("embedding").alias("samples"))
+    return A.tone_spans(chunks, tolerance=0.05, least_ms=500.0)
+
+
+def _ssim(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "embeddings").select(F.col("label").alias("asset_id"), F.col("vec_id").alias("frame_idx"), F.col("embedding").alias("luma"))
+    return S.ssim_to_reference(own, [float(k) / 64 for k in range(64)], 8, 8, 1.0)
+
+
+@_query("W22_ssim_to_reference")
+def _(spark, d):
+    return _ssim(spark, d).withColumn("score", F.round("score", 6))
+
+
+@_query("W23_ssim_runs")
+def _(spark, d):
+    return S.ssim_runs(_ssim(spark, d), 0.0)
+
+
+# --- Metadata and fixity -------------------------------------------------------------------------------------------------------------
+
+_META = "meta AS (SELECT p_partkey AS asset_id, 'mediainfo' AS tool, 'Video' AS section, unnest(['Brand', 'Size', 'Type']) AS field, unnest([p_brand, CAST(p_size AS VARCHAR), p_type]) AS value FROM part)"
+
+
+def _meta(spark: SparkSession, d: str) -> DataFrame:
+    items = F.array(*[F.struct(F.lit(n).alias("field"), F.col(c).cast("string").alias("value")) for n, c in (("Brand", "p_brand"), ("Size", "p_size"), ("Type", "p_type"))])
+    return table(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), F.lit("mediainfo").alias("tool"), F.lit("Video").alias("section"), F.explode(items).alias("x")).select("asset_id", "tool", "section", "x.*")
+
+
+def _spec(spark: SparkSession) -> DataFrame:
+    rows = [("mediainfo", "Video", "Brand", ["Brand#1", "Brand#2", "Brand#13"]), ("mediainfo", "Video", "Size", [str(k) for k in range(1, 26)]), ("mediainfo", "Video", "Codec", ["FFV1"]), ("mediainfo", "Video", "Type", [""])]
+    return spark.createDataFrame(rows, "tool string, section string, field string, accepted array<string>")
+
+
+_SIZES = "(" + ", ".join(f"'{k}'" for k in range(1, 26)) + ")"
+_ACCEPTED = f"CASE field WHEN 'Brand' THEN value IN ('Brand#1', 'Brand#2', 'Brand#13') WHEN 'Size' THEN value IN {_SIZES} END"
+
+
+@_query("J1_check_spec", f"WITH {_META} SELECT asset_id, field, value AS actual FROM meta WHERE NOT ({_ACCEPTED})")
+def _(spark, d):
+    return M.check_spec(_meta(spark, d), _spec(spark)).select("asset_id", "field", "actual")
+
+
+@_query("J2_validate_profile", f"WITH {_META}, c AS (SELECT asset_id, count(*) FILTER (WHERE {_ACCEPTED}) AS matches, count(*) FILTER (WHERE NOT ({_ACCEPTED})) AS mismatches FROM meta GROUP BY asset_id) SELECT asset_id, 'Video' AS section, matches, mismatches + 1 AS mismatches, CAST(1 AS BIGINT) AS missing, false AS valid FROM c")
+def _(spark, d):
+    own = _meta(spark, d)
+    return M.validate_profile(own, own.select("asset_id").distinct(), _spec(spark))
+
+
+@_query("J3_check_presence", f"WITH {_META} SELECT DISTINCT asset_id, 'Codec' AS field, 'not found' AS problem FROM meta")
+def _(spark, d):
+    own = _meta(spark, d)
+    return M.check_presence(own, own.select("asset_id").distinct(), ["Brand", "Codec"])
+
+
+_POLICY = [(0, "and", "size", "Video", "Size", ">", "10"), (0, "and", "brand", "Video", "Brand", "!=", "Brand#13"), (1, "or", "small", "Video", "Size", "<=", "5"), (1, "or", "codec", "Video", "Codec", "exists", None)]
+_OUTCOMES = "g AS (SELECT p_partkey AS asset_id, 0 AS group_id, p_size > 10 AND p_brand <> 'Brand#13' AS passed FROM part UNION ALL SELECT p_partkey, 1, p_size <= 5 FROM part)"
+
+
+def _policy(spark: SparkSession, d: str) -> DataFrame:
+    rules = spark.createDataFrame(_POLICY, "group_id int, group_op string, rule string, tracktype string, field string, operator string, value string")
+    own = _meta(spark, d)
+    return M.check_policy(own, own.select("asset_id").distinct(), rules)
+
+
+@_query("J5_check_policy", f"WITH {_OUTCOMES} SELECT * FROM g")
+def _(spark, d):
+    return _policy(spark, d)
+
+
+@_query("A23_policy_verdict", f"WITH {_OUTCOMES} SELECT asset_id, count(*) FILTER (WHERE NOT passed) AS fails, CASE WHEN bool_and(passed) THEN 'pass' ELSE 'fail' END AS verdict FROM g GROUP BY asset_id")
+def _(spark, d):
+    return M.policy_verdict(_policy(spark, d))
+
+
+@_query("F9_valid_filename", "SELECT c_custkey AS asset_id, CASE WHEN c_custkey % 3 = 0 THEN 'extension' WHEN NOT regexp_full_match(c_name, '(?i)Customer#[0-9]{9}') THEN 'section 1' END AS reason FROM customer")
+def _(spark, d):
+    name = F.concat("c_name", F.when(F.col("c_custkey") % 3 == 0, ".mov").otherwise(".MKV"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("asset_id"), M.filename_reason(name, [("regex", r"Customer#[0-9]{9}")], "mkv").alias("reason"))
+
+
+@_query("F12_step_readiness", "SELECT s_suppkey AS asset_id, s.step, CASE WHEN s.step = 'c' THEN 'disabled' WHEN s.step = 'b' AND s_acctbal <= 0 THEN 'precondition_not_met' WHEN s_nationkey % 2 = 0 THEN 'already_exists' ELSE 'will_run' END AS status FROM supplier, (VALUES ('a'), ('b'), ('c')) s(step)")
+def _(spark, d):
+    inventory = table(spark, d, "supplier").select(F.col("s_suppkey").alias("asset_id"), F.lit(True).alias("video"), (F.col("s_acctbal") > 0).alias("report"), (F.col("s_nationkey") % 2 == 0).alias("done"))
+    return M.step_readiness(inventory, [("a", True, "video", "done"), ("b", True, "report", "done"), ("c", False, "video", "done")])
+
+
+@_query("A19_fixity_verdict", "SELECT doc_id AS asset_id, CASE WHEN doc_id % 4 = 0 THEN 'sha256' ELSE 'md5' END AS algorithm, CASE WHEN doc_id % 4 = 0 THEN sha256(text) ELSE md5(text) END AS checksum, CASE WHEN doc_id % 7 = 0 THEN 'differ' ELSE 'match' END AS verdict FROM documents")
+def _(spark, d):
+    own = table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), F.lit("2024-01-31").cast("date").alias("file_date"), F.when(F.col("doc_id") % 4 == 0, "sha256").otherwise("md5").alias("algorithm"), F.when(F.col("doc_id") % 4 == 0, F.sha2("text", 256)).otherwise(F.md5("text")).alias("checksum"))
+    now = own.select("asset_id", "algorithm", F.when(F.col("asset_id") % 7 == 0, F.md5("checksum")).otherwise(F.upper("checksum")).alias("checksum"))
+    return M.fixity_verdict(own, now)
+
+
+@_query("J14_verify_stream_hash", "SELECT doc_id AS asset_id, s.stream, CASE WHEN doc_id % 5 = 0 AND s.stream = 'audio' THEN 'missing' WHEN doc_id % 3 = 0 THEN 'algorithm mismatch' ELSE 'match' END AS verdict FROM documents, (VALUES ('video'), ('audio')) s(stream)")
+def _(spark, d):
+    now = table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), F.explode(F.array(F.lit("video"), F.lit("audio"))).alias("stream"), F.md5("text").alias("hash"))
+    stored = now.where("not (asset_id % 5 = 0 and stream = 'audio')").withColumn("algorithm", F.when(F.col("asset_id") % 3 == 0, "sha256").otherwise("md5"))
+    return M.verify_stream_hash(stored, now)
+
+
+@_query("A17_validator_summary")
+def _(spark, d):
+    line = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("WRN0C2: Unexpected Cluster at "), F.col("event_id").cast("string"))).when(F.col("event_id") % 7 == 0, "ERR201: bad element").when(F.col("event_id") % 11 == 0, "WRN801: odd").otherwise("file is valid")
+    return M.validator_summary(table(spark, d, "events").select((F.col("user_id") % 20).alias("asset_id"), F.col("event_id").alias("line_no"), line.alias("line")))
+
+
+@_query("U5_merge_profiles")
+def _(spark, d):
+    one = table(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_type").alias("body")).distinct()
+    return M.merge_profiles(one.where("length(name) > 7"), one)
+
+
+@_query("P14_encoder_settings", "SELECT p_partkey AS asset_id, p_brand AS device, p_type || ',' || p_size AS settings FROM part")
+def _(spark, d):
+    text = F.concat(F.col("p_brand"), F.lit(": "), F.col("p_type"), F.lit(", "), F.col("p_size").cast("string"), F.lit(" ; "))
+    own = table(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), F.explode(P.split_encoder_settings(text)).alias("device", "settings"))
+    return own.select("asset_id", "device", F.array_join("settings", ",").alias("settings"))
