@@ -183,6 +183,7 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     before = Window.orderBy("part", "file_no").rowsBetween(Window.unboundedPreceding, -1)
     firsts = manifest.select("part", "file_no", "n_ids").withColumn("first", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
     files = manifest.join(firsts.drop("n_ids"), ["part", "file_no"]).select("folder", "path", "first", "doc_ids")
+    files = files.repartition(min(10_000, max(1, manifest.count())))  # rows are small, the files that they name are not
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for file in (row for b in batches for row in b.to_pylist()):
