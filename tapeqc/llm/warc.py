@@ -197,7 +197,7 @@ def lookup(files: DataFrame, wanted: DataFrame) -> DataFrame:
     key = url_key()
     low = _line_key(key, F.col("page_id").cast("long")) if exact else key
     own = wanted.select(low.alias("low")).distinct().withColumn("high", F.concat("low", F.lit("!")))
-    low_list, spark = firsts, wanted.sparkSession  # noqa: E501
+    low_list, spark = firsts, wanted.sparkSession
     if not table:
         return spark.createDataFrame([], _TYPES)
 
@@ -223,7 +223,8 @@ def lookup(files: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_pylist(rows, _RECORD)
 
     found = own.mapInArrow(places, "file int, low string, high string")
-    return found.repartitionByRange("file", "low").sortWithinPartitions("file", "low").mapInArrow(read, _TYPES)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))  # keys are small, the records that they name are not
+    return found.repartitionByRange(tasks, "file", "low").sortWithinPartitions("file", "low").mapInArrow(read, _TYPES)
 
 
 _TYPES = "page_id long, url string, record_type string, payload_digest string, payload_bytes long, refers_to long, payload binary"
