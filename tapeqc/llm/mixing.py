@@ -219,6 +219,6 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     words = F.regexp_extract_all("_row.text", F.lit(WORD), F.lit(0))
     all_taken = F.aggregate("_take.cuts", F.lit(0).cast("long"), lambda s, c: s + c.n_words) == F.col("_take.size")
     text = F.when(all_taken, F.col("_row.text")).otherwise(F.array_join(F.flatten(F.transform("_take.cuts", lambda c: F.slice(words, (c.begin + 1).cast("int"), c.n_words.cast("int")))), " "))
-    out = taken.select("_row.*", text.alias("_text"))
+    out = taken.select("_row", text.alias("_text"))
     new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    return out.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
