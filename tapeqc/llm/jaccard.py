@@ -36,7 +36,7 @@ SKETCH = 1 << 18
 FILTER = 1 << 21
 #: Sets of one list that a block pair holds on each side, and that are skipped together.
 BLOCK, _SKIPPED, _TOGETHER = 2048, 64, 48
-_REMEMBERED = 300_000
+_REMEMBERED = 150_000
 
 
 class _WordHashes(dict):

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W\d_]+")
 _LONGEST = 4
-_REMEMBERED = 200_000
+_REMEMBERED = 100_000
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -73,7 +73,7 @@ class _Rows(dict):
         return out
 
 
-def fit(docs: DataFrame, max_docs: int = 20_000, max_words: int = 40_000, max_grams: int = 40_000) -> LanguageModel:
+def fit(docs: DataFrame, max_docs: int = 20_000, max_words: int = 15_000, max_grams: int = 10_000) -> LanguageModel:
     """Learns from docs (doc_id, text, lang); rows with a null text or lang are left out.
 
     The fit takes about `max_docs` rows, those with the smallest hash of text and doc_id, and the model holds at most `max_words` words and
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_words: int = 40_000, max_gr
         docs = docs.where(F.pmod("h", F.lit(1 << 20)) < F.lit(int((1 << 20) * max_docs / n)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             found: dict[str, Counter] = {}
             for lang, text in zip(b["lang"].to_pylist(), b["text"], strict=True):
                 found.setdefault(lang, Counter()).update(_WORD.findall(text.as_py().lower()))

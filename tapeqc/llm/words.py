@@ -8,7 +8,7 @@ from functools import cache
 import numpy as np
 
 #: Words whose ids a Python worker remembers, twice over: the latest, and those before. A word is remembered when it is met again.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _MARKS = 1 << 22
 
 
