@@ -23,7 +23,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import blocked
@@ -101,30 +101,41 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
 
 
 def _postings(docs: DataFrame, words: int, t: Fraction, sketch) -> DataFrame:
-    """token, digest, size, pos: a row for each shingle in the prefix of each set."""
+    """token, digest, size, pos and, of the token's list, lead_pos, lead_size, leader: a row for each prefix shingle that several sets share.
+
+    A task gives the postings of equal sets that it meets again but once, so that copies do not pile up in their shingles' tasks. One
+    exchange, by shingle, serves the removal of other repeats and the lists' counts and leaders.
+    """
     schema = pa.schema({"token": pa.int64(), "digest": pa.binary(), "size": pa.int32(), "pos": pa.int32()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = sketch.value
+        counts, seen = sketch.value, set()
         for b in batches:
             for k in range(0, b.num_rows, 256):
                 tokens, digests, sizes, positions = [], [], [], []
                 for text in b["text"].slice(k, 256):
                     s = shingles(text.as_py(), words)
-                    if not len(s):
+                    if not len(s) or (digest := _digest(s)) in seen:
                         continue
+                    if len(seen) >= _REMEMBERED:
+                        seen.clear()
+                    seen.add(digest)
                     n = len(s) - -(-t.numerator * len(s) // t.denominator) + 1
                     c = counts[(s % np.uint64(SKETCH)).astype(np.int64)]
                     near = np.flatnonzero(c <= np.partition(c, n - 1)[n - 1])
                     first = near[np.lexsort((s[near], c[near]))][:n]
                     tokens.append(s[first].view(np.int64))
-                    digests += [_digest(s)] * n
+                    digests += [digest] * n
                     sizes.append(np.full(n, len(s), dtype=np.int32))
                     positions.append(np.arange(n, dtype=np.int32))
                 if digests:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(digests, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(positions))], schema=schema)
 
-    return docs.select("text").mapInArrow(run, "token long, digest binary, size int, pos int").groupBy("token", "digest").agg(F.first("size").alias("size"), F.first("pos").alias("pos"))
+    rows = docs.select("text").mapInArrow(run, "token long, digest binary, size int, pos int").repartition("token")
+    sets = rows.groupBy("token", "digest").agg(F.first("size").alias("size"), F.first("pos").alias("pos"))
+    whole = Window.partitionBy("token")
+    listed = sets.select("*", F.count("*").over(whole).alias("n"), F.min(F.struct("pos", "size", "digest")).over(whole).alias("x")).where("n > 1")
+    return listed.select("token", "digest", "size", "pos", F.col("x.pos").alias("lead_pos"), F.col("x.size").alias("lead_size"), F.col("x.digest").alias("leader"))
 
 
 def _texts(docs: DataFrame, members: DataFrame, needed: DataFrame) -> DataFrame:
@@ -279,11 +290,7 @@ def similar_groups(docs: DataFrame, words: int = 3, threshold: Fraction = Fracti
         counts[r.bucket] = r.n
     sketch = docs.sparkSession.sparkContext.broadcast(counts)
 
-    postings = _postings(own, words, t, sketch)
-    postings = written(postings, "postings")
-    lists = postings.groupBy("token").agg(F.count("*").alias("_n"), F.min(F.struct("pos", "size", "digest")).alias("first")).where("_n > 1")
-    lists = written(lists.select("token", "_n", "first.*").withColumnsRenamed({"pos": "lead_pos", "size": "lead_size", "digest": "leader"}), "lists")
-    shared = written(postings.join(lists, "token"), "shared-postings")
+    shared = written(_postings(own, words, t, sketch), "shared-postings")
     texts = written(_texts(own, members, shared.select("digest").distinct()), "shared-texts")
 
     need = F.expr(f"ceil({t.numerator} * (size + lead_size) / {t.numerator + t.denominator}D - 1e-9)")
