@@ -158,7 +158,7 @@ def luma_zone(y: Column | str) -> Column:
 
 def format_percentage(part: Column | str, whole: Column | str) -> Column:
     """Per cent of the whole with two decimals; 0.00% of nothing."""
-    return F.concat(F.format_number(F.when(_c(whole) > 0, 100.0 * _c(part) / _c(whole)).otherwise(0.0), "0.00"), F.lit("%"))
+    return F.format_string("%.2f%%", F.when(_c(whole) > 0, 100.0 * _c(part) / _c(whole)).otherwise(F.lit(0.0)).cast("double"))
 
 
 def humanize_label(s: Column | str) -> Column:

@@ -61,7 +61,7 @@ def test_scalars(spark):
     one = spark.range(1).select(
         P.seconds_to_timecode(F.lit(600.0), 30000 / 1001, 0, True).alias("df"), P.timecode_to_frames(F.lit("00:10:00;00")).alias("frames"), P.timecode_to_frames(F.lit("bad")).alias("bad"), P.hms_to_seconds(F.lit("1:02:03.5")).alias("s"), P.format_elapsed(F.lit(65.26)).alias("e"), P.metric_name(F.lit("lavfi.psnr.mse.u")).alias("m"),
         P.dropped_sample_score(F.lit(3), F.lit(0.0)).alias("d"), P.characterize_imbalance(F.lit(-4.0)).alias("c"), P.byte_offset_seconds(F.lit(50), F.lit(100), F.lit(10.0)).alias("o"), P.format_percentage(F.lit(1), F.lit(3)).alias("p"),
-        P.border_regions(F.lit(10), F.lit(0), F.lit(700), F.lit(480), 720, 480).alias("b"), P.parse_duration_tag(F.lit(None).cast("string"), F.lit("00:00:10.5")).alias("t"), R.decode_text(F.lit(b"caf\xe9")).alias("latin"), R.decode_text(F.lit("café".encode())).alias("utf"),
+        P.border_regions(F.lit(10), F.lit(0), F.lit(700), F.lit(480), 720, 480).alias("b"), P.parse_duration_tag(F.lit(None).cast("string"), F.lit("00:00:10.5")).alias("t"), R.decode_text(F.unhex(F.lit("636166e9"))).alias("latin"), R.decode_text(F.unhex(F.lit("636166c3a9"))).alias("utf"),
     ).first()
     assert one.df == "00:10:00;00" or one.df == "00:09:59;28"
     assert (one.frames.frames, one.frames.drop_frame, one.bad.frames) == (17982, True, 0)
