@@ -589,3 +589,246 @@ def _(spark, d):
     text = F.concat(F.col("p_brand"), F.lit(": "), F.col("p_type"), F.lit(", "), F.col("p_size").cast("string"), F.lit(" ; "))
     own = table(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), F.explode(P.split_encoder_settings(text)).alias("device", "settings"))
     return own.select("asset_id", "device", F.array_join("settings", ",").alias("settings"))
+
+
+# --- Scalar functions ----------------------------------------------------------------------------------------------------------------
+
+
+@_query("P1_metric_name", "SELECT p_partkey AS asset_id, CASE WHEN p_partkey % 3 = 0 THEN p_brand || '.y' ELSE 'mse' END AS metric FROM part")
+def _(spark, d):
+    key = F.concat(F.lit("lavfi.psnr."), F.col("p_brand"), F.when(F.col("p_partkey") % 3 == 0, ".y").otherwise(".mse"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), P.metric_name(key).alias("metric"))
+
+
+_CLOCK = "clock AS (SELECT o_orderkey AS k, o_orderkey % 24 AS h, o_orderkey % 60 AS m, o_orderkey // 7 % 60 AS s, o_orderkey % 30 AS f FROM orders)"
+
+
+def _clock(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(k.alias("k"), (k % 24).alias("h"), (k % 60).alias("m"), (F.floor(k / 7) % 60).alias("s"), (k % 30).alias("f"))
+
+
+@_query("P5_timecode_to_frames", f"WITH {_CLOCK} SELECT k, CASE WHEN k % 11 = 0 THEN 0 ELSE ((h * 60 + m) * 60 + s) * 30 + f - CASE WHEN k % 2 = 0 THEN 2 * (h * 60 + m - (h * 60 + m) // 10) ELSE 0 END END AS frames, k % 11 <> 0 AND k % 2 = 0 AS drop_frame FROM clock")
+def _(spark, d):
+    tc = F.when(F.col("k") % 11 == 0, "bad").otherwise(F.format_string("%02d:%02d:%02d%s%02d", "h", "m", "s", F.when(F.col("k") % 2 == 0, ";").otherwise(":"), "f"))
+    return _clock(spark, d).select("k", P.timecode_to_frames(tc).alias("x")).select("k", "x.*")
+
+
+@_query("P6_hms_to_seconds", f"WITH {_CLOCK} SELECT k, CASE WHEN k % 11 <> 0 THEN CAST(h * 3600 + m * 60 + s + 0.5 AS DOUBLE) END AS t FROM clock")
+def _(spark, d):
+    text = F.when(F.col("k") % 11 == 0, "soon").otherwise(F.format_string("%d:%02d:%02d.5", "h", "m", "s"))
+    return _clock(spark, d).select("k", P.hms_to_seconds(text).alias("t"))
+
+
+@_query("P7_format_elapsed", "WITH n AS (SELECT o_orderkey AS k, CAST(floor(o_orderkey * 2.5 + 0.5) AS BIGINT) AS n FROM orders) SELECT k, CASE WHEN n >= 36000 THEN printf('%d:%02d:%02d.%d', n // 36000, n // 600 % 60, n // 10 % 60, n % 10) ELSE printf('%d:%02d.%d', n // 600, n // 10 % 60, n % 10) END AS tenths, printf('%d:%02d', k // 240, k // 4 % 60) AS seconds FROM n")
+def _(spark, d):
+    t = F.col("o_orderkey") * 0.25
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), P.format_elapsed(t).alias("tenths"), P.format_elapsed(t, "seconds").alias("seconds"))
+
+
+@_query("P8_parse_duration_tag", f"WITH {_CLOCK} SELECT k, CAST(CASE WHEN k % 2 = 0 THEN k ELSE h * 3600 + m * 60 + s + 0.25 END AS DOUBLE) AS duration_s FROM clock")
+def _(spark, d):
+    own = F.when(F.col("k") % 2 == 0, F.col("k").cast("string"))
+    return _clock(spark, d).select("k", P.parse_duration_tag(own, F.format_string("%02d:%02d:%02d.25", "h", "m", "s")).alias("duration_s"))
+
+
+@_query("P10_imbalance_label", "SELECT c_custkey AS asset_id, CASE WHEN abs(c_acctbal) < 1000 THEN 'Balanced' WHEN abs(c_acctbal) < 3000 THEN 'Slight' WHEN abs(c_acctbal) < 6000 THEN 'Moderate' ELSE 'Significant' END AS label FROM customer")
+def _(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("asset_id"), P.characterize_imbalance(F.col("c_acctbal") / 1000).alias("label"))
+
+
+@_query("P11_wildcard_names", "SELECT c_custkey AS asset_id, c_custkey BETWEEN 100 AND 999 AS fits FROM customer")
+def _(spark, d):
+    name = F.concat(F.lit("JPC_"), F.col("c_custkey").cast("string"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("asset_id"), name.rlike(f"^{P.wildcard_to_regex('JPC_###')}$").alias("fits"))
+
+
+@_query("P12_hash_algorithm", "SELECT doc_id AS asset_id, CASE doc_id % 3 WHEN 0 THEN 'md5' WHEN 1 THEN 'sha256' END AS algorithm FROM documents")
+def _(spark, d):
+    own = F.when(F.col("doc_id") % 3 == 0, F.md5("text")).when(F.col("doc_id") % 3 == 1, F.sha2("text", 256)).otherwise("none")
+    return table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), P.hash_algorithm(own).alias("algorithm"))
+
+
+@_query("P13_byte_offset_timecode", "WITH n AS (SELECT o_orderkey AS k, o_orderkey % 1000 * 90 AS f FROM orders) SELECT k, printf('%02d:%02d:%02d:%02d', f // 90000, f // 1500 % 60, f // 25 % 60, f % 25) AS tc FROM n")
+def _(spark, d):
+    at = P.byte_offset_seconds(F.col("o_orderkey") % 1000, F.lit(1000), F.lit(3600))
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), P.seconds_to_timecode(at, 25.0).alias("tc"))
+
+
+@_query("P15_normalize_field", "SELECT p_partkey AS asset_id, CASE WHEN p_partkey % 2 = 0 THEN p_brand || '|' || p_type ELSE CAST(p_size AS VARCHAR) END AS value FROM part")
+def _(spark, d):
+    many = F.when(F.col("p_partkey") % 2 == 0, F.array("p_brand", "p_type", "p_brand"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), F.array_join(P.normalize_field(many, F.array(F.col("p_size").cast("string"))), "|").alias("value"))
+
+
+@_query("P16_apply_defaults", f"WITH {_META} SELECT asset_id, field, value FROM meta WHERE field IN ('Brand', 'Size') UNION ALL SELECT DISTINCT asset_id, 'Codec' AS field, '' AS value FROM meta")
+def _(spark, d):
+    own = _meta(spark, d)
+    return M.apply_defaults(own, own.select("asset_id").distinct(), ["Brand", "Size", "Codec"])
+
+
+@_query("P17_yes_no_to_bool", "SELECT o_orderkey AS k, CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS flag FROM orders")
+def _(spark, d):
+    said = F.when(F.col("o_orderstatus") == "F", " Yes").when(F.col("o_orderstatus") == "O", "NO").otherwise("perhaps")
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), P.yes_no_to_bool(said).alias("flag"))
+
+
+_SCORE = "round(CASE WHEN n > 0 THEN least(0.8, 0.2 + 0.06 * n) * 0.7 ELSE 0 END + CASE WHEN ms > 0 THEN 0.09 ELSE 0 END + CASE WHEN n > 0 AND ms > 0 THEN 0.15 ELSE 0 END, 3)::DOUBLE"
+
+
+@_query("P18_dropped_sample_score", f"WITH n AS (SELECT event_id, event_id % 20 AS n, event_id % 3 AS ms FROM events), s AS (SELECT event_id, {_SCORE} AS score FROM n) SELECT *, CASE WHEN score = 0 THEN 'clean' WHEN score < 0.4 THEN 'warning' ELSE 'critical' END AS status FROM s")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", P.dropped_sample_score(F.col("event_id") % 20, F.col("event_id") % 3).alias("x")).select("event_id", "x.*")
+
+
+@_query("P19_brng_diagnosis", "SELECT c_custkey AS asset_id, CASE WHEN c_acctbal < 500 AND c_custkey % 10 < 5 THEN 'Minimal' WHEN c_acctbal < 2500 THEN 'Minor' WHEN c_acctbal < 7500 THEN 'Moderate' ELSE 'Severe' END AS diagnosis FROM customer")
+def _(spark, d):
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("asset_id"), B.brng_diagnosis(F.col("c_acctbal") / 500, F.col("c_custkey") % 10).alias("diagnosis"))
+
+
+_AREA = "area AS (SELECT p_partkey AS asset_id, CAST(p_size % 8 AS INT) AS x, CAST(p_size % 5 AS INT) AS y, 700 AS w, CAST(486 - p_size % 5 AS INT) AS h FROM part)"
+
+
+def _area(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), (F.col("p_size") % 8).alias("x"), (F.col("p_size") % 5).alias("y"), F.lit(700).alias("w"), (486 - F.col("p_size") % 5).alias("h"))
+
+
+@_query("P20_border_regions", f"WITH {_AREA} SELECT asset_id, 'left' AS side, 0 AS x, 0 AS y, x AS w, 486 AS h FROM area WHERE x > 0 UNION ALL SELECT asset_id, 'right', x + w, 0, 720 - x - w, 486 FROM area UNION ALL SELECT asset_id, 'top', x, 0, w, y FROM area WHERE y > 0")
+def _(spark, d):
+    return _area(spark, d).select("asset_id", F.explode(P.border_regions("x", "y", "w", "h", 720, 486)).alias("r")).select("asset_id", "r.*")
+
+
+@_query("P21_expand_borders", f"WITH {_AREA} SELECT asset_id, x + 5 AS x, y + 3 AS y, least(w - 7, 720 - x - 5) AS w, least(h - 3, 486 - y - 3) AS h FROM area")
+def _(spark, d):
+    return _area(spark, d).select("asset_id", P.expand_borders("x", "y", "w", "h", {"left": 5, "top": 3, "right": 2}, 720, 486).alias("a")).select("asset_id", "a.*")
+
+
+@_query("P22_ltc_in_band", f"WITH {CHANNELS} SELECT asset_id, ch, frame_idx, coalesce(rms_level BETWEEN -24 AND -20 AND max_difference BETWEEN 100 AND 105 AND zero_crossings_rate BETWEEN 7 AND 8 AND rms_difference BETWEEN 80 AND 83, false) AS inside FROM channels")
+def _(spark, d):
+    bands = {"rms": (-24.0, -20.0), "crest": (100.0, 105.0), "zcr": (7.0, 8.0), "entropy": (80.0, 83.0)}
+    return channels(spark, d).select("asset_id", "ch", "frame_idx", P.ltc_in_band("rms_level", "max_difference", "zero_crossings_rate", "rms_difference", bands).alias("inside"))
+
+
+@_query("P23_floor_neg_inf", "SELECT event_id, CAST(CASE WHEN event_id % 10 = 0 THEN -120 ELSE event_id % 7 END AS DOUBLE) AS level FROM events")
+def _(spark, d):
+    level = F.when(F.col("event_id") % 10 == 0, F.lit(float("-inf"))).otherwise((F.col("event_id") % 7).cast("double"))
+    return table(spark, d, "events").select("event_id", P.floor_neg_inf(level).alias("level"))
+
+
+@_query("P25_display_labels", "SELECT event_id, printf('%.2f%%', (event_id % 400) / 4.0) AS pct, 'Pass ' || upper(left(event_type, 1)) || lower(substr(event_type, 2)) AS label FROM events")
+def _(spark, d):
+    return table(spark, d, "events").select("event_id", P.format_percentage(F.col("event_id") % 400, F.lit(400)).alias("pct"), P.humanize_label(F.concat(F.lit("pass_"), F.col("event_type"))).alias("label"))
+
+
+# --- Reports over several checks -----------------------------------------------------------------------------------------------------
+
+_PLANES = "planes AS (SELECT l_suppkey AS asset_id, CAST(l_linenumber % 3 AS INT) AS channel, CAST(l_orderkey % 10 + 1 AS INT) AS bit, CASE WHEN l_suppkey % 3 = 0 AND l_orderkey % 10 < 2 OR l_suppkey % 3 = 1 AND l_orderkey % 10 = 0 THEN 0 ELSE l_quantity END AS value FROM lineitem), planesum AS (SELECT asset_id, channel, bit, round(avg(CAST(value = 0 AS INT)) * 100, 6) AS zero_pct, round(avg(value), 6) AS avg, max(value) AS max, max(value) = 0 AS empty FROM planes GROUP BY ALL)"
+
+
+def _planes(spark: SparkSession, d: str) -> DataFrame:
+    third, low = F.col("l_suppkey") % 3, F.col("l_orderkey") % 10
+    value = F.when((third == 0) & (low < 2) | (third == 1) & (low == 0), 0.0).otherwise(F.col("l_quantity"))
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("asset_id"), (F.col("l_linenumber") % 3).cast("int").alias("channel"), (low + 1).cast("int").alias("bit"), value.alias("value"))
+
+
+@_query("A8_bitplane_summary", f"WITH {_PLANES} SELECT * FROM planesum")
+def _(spark, d):
+    return V.bitplane_summary(_planes(spark, d))
+
+
+@_query("A8_bitplane_verdict", f"WITH {_PLANES} SELECT asset_id, CASE WHEN bool_and(empty) THEN 'truncated' WHEN bool_or(empty) THEN 'partial' ELSE 'valid' END AS verdict FROM planesum WHERE bit <= 2 GROUP BY asset_id")
+def _(spark, d):
+    return V.bitplane_verdict(V.bitplane_summary(_planes(spark, d)))
+
+
+_ACTIVE = "active AS (SELECT asset_id, period_no, pct / (1 + asset_id % 4) AS pct FROM summary WHERE period_no < 2)"
+
+
+def _full_active(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    own = frames(spark, d)
+    full = B.brng_period_summary(own, _periods(own))
+    return full, full.where("period_no < 2").select("asset_id", "period_no", (F.col("pct") / (1 + F.col("asset_id") % 4)).alias("pct"))
+
+
+@_query("A11_border_fraction", f"WITH {FRAMES}, {_PERIODS}, {_SUMMARY}, {_ACTIVE}, f AS (SELECT asset_id, sum(pct) AS f FROM summary GROUP BY asset_id), a AS (SELECT asset_id, sum(pct) AS a FROM active GROUP BY asset_id) SELECT asset_id, CASE WHEN f > 0 THEN {_r('greatest(0, least(1, (f - coalesce(a, 0)) / f))')} ELSE 0 END AS fraction FROM f LEFT JOIN a USING (asset_id)")
+def _(spark, d):
+    return B.border_fraction(*_full_active(spark, d))
+
+
+@_query("J16_period_compare", f"WITH {FRAMES}, {_PERIODS}, {_SUMMARY}, {_ACTIVE} SELECT s.asset_id, s.period_no, CASE WHEN s.pct > a.pct + 5 AND a.pct < 30 THEN 'border_violations' WHEN a.pct > 10 THEN 'content_violations' ELSE 'minimal' END AS verdict FROM summary s JOIN active a ON s.asset_id = a.asset_id AND s.period_no = a.period_no")
+def _(spark, d):
+    return B.period_compare(*_full_active(spark, d))
+
+
+@_query("A13_diagnostic_counts", f"WITH x AS (SELECT user_id % 20 AS asset_id, CASE WHEN event_id % 3 = 0 THEN 'Edge artifacts' ELSE 'Linear blanking' END AS diagnostic FROM events UNION ALL SELECT user_id % 20, 'Edge artifacts' FROM events WHERE event_id % 5 = 0), c AS (SELECT asset_id, diagnostic, count(*) AS n FROM x GROUP BY ALL) SELECT *, {_r('n * 100.0 / sum(n) OVER (PARTITION BY asset_id)')}::DOUBLE AS pct, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY n DESC, diagnostic) AS INT) AS rank FROM c")
+def _(spark, d):
+    e = F.col("event_id")
+    found = F.array_compact(F.array(F.when(e % 3 == 0, "Edge artifacts (left)").otherwise("Linear blanking"), F.when(e % 5 == 0, "Edge artifacts (top)")))
+    return B.diagnostic_counts(table(spark, d, "events").select((F.col("user_id") % 20).alias("asset_id"), found.alias("diagnostics")))
+
+
+@_query("A20_excluded_channels", f"WITH {CHANNELS}, f AS (SELECT DISTINCT asset_id, ch, asset_id % 3 = 0 AND ch = 1 AS silent, asset_id % 4 = 0 AND ch = 2 OR asset_id = 3 AND ch = 1 AS timecode FROM channels) SELECT asset_id, ch, concat_ws('+', CASE WHEN silent THEN 'silent' END, CASE WHEN timecode THEN 'timecode' END) AS reasons FROM f WHERE (silent OR timecode) AND asset_id % 12 <> 0")
+def _(spark, d):
+    own = channels(spark, d).select("asset_id", "ch").distinct()
+    covered = F.when((F.col("asset_id") % 4 == 0) & (F.col("ch") == 2) | (F.col("asset_id") == 3) & (F.col("ch") == 1), 0.8).otherwise(0.5)
+    return A.excluded_channels(own.where("asset_id % 3 = 0 and ch = 1"), own.withColumn("fraction", covered), own.groupBy("asset_id").agg(F.count("*").alias("channels")))
+
+
+@_query("A22_meaningful_improvement", f"WITH {FRAMES}, v AS ({_BRNG}), b AS (SELECT asset_id, count(*) AS n0, max(pct) AS w0 FROM v GROUP BY asset_id), a AS (SELECT asset_id, count(*) AS n1, max(pct) AS w1 FROM v WHERE frame_idx % 10 < asset_id % 10 + 1 GROUP BY asset_id) SELECT asset_id, coalesce(n1, 0) < 0.8 * n0 OR coalesce(w1, 0) < 0.8 * w0 AS improved FROM b LEFT JOIN a USING (asset_id)")
+def _(spark, d):
+    own = B.brng_violations(frames(spark, d))
+    one = lambda df: df.groupBy("asset_id").agg(F.count("*").alias("n"), F.max("pct").alias("max_pct"))
+    return B.meaningful_improvement(one(own), one(own.where("frame_idx % 10 < asset_id % 10 + 1")))
+
+
+@_query("A24_tc_channel_summary", "WITH r AS (SELECT DISTINCT o_custkey % 50 AS asset_id, CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE o_orderkey % 2 + 1 END AS ch FROM orders) SELECT asset_id, CASE WHEN count(*) > 1 THEN 'Both channels' ELSE 'Channel ' || min(ch) END AS label FROM r GROUP BY asset_id")
+def _(spark, d):
+    ch = F.when(F.col("o_custkey") % 5 == 0, 1).otherwise(F.col("o_orderkey") % 2 + 1)
+    return A.tc_channel_summary(table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("asset_id"), ch.alias("ch")))
+
+
+@_query("A25_head_bars_end", f"WITH {_SPANS}, {_TWO}, u AS (SELECT asset_id, end_s FROM a WHERE start_s < 300 UNION ALL SELECT asset_id, end_s FROM b WHERE start_s < 10) SELECT asset_id, max(end_s) AS bars_end_s FROM u GROUP BY asset_id")
+def _(spark, d):
+    own = _spans(spark, d)
+    return V.head_bars_end(own.where("end_s - start_s >= 4 and start_s < 300"), own.where("end_s - start_s = 1"))
+
+
+@_query("A26_method_correlation", f"WITH {FRAMES}, a AS (SELECT asset_id, CASE WHEN avg(YMAX) > 800 THEN 'high' ELSE 'low' END AS a FROM frames WHERE asset_id % 7 <> 0 GROUP BY asset_id), b AS (SELECT asset_id, CASE WHEN avg(BRNG) > 0.02 THEN 'high' ELSE 'low' END AS b FROM frames WHERE asset_id % 5 <> 0 GROUP BY asset_id) SELECT asset_id, CASE WHEN a IS NULL OR b IS NULL THEN 'single method' WHEN a = b THEN 'agree' ELSE 'differ' END AS agreement FROM a FULL JOIN b USING (asset_id)")
+def _(spark, d):
+    own = frames(spark, d)
+    verdict = lambda c, least: F.when(F.avg(c) > least, "high").otherwise("low").alias("verdict")
+    return B.method_correlation(own.where("asset_id % 7 != 0").groupBy("asset_id").agg(verdict("YMAX", 800)), own.where("asset_id % 5 != 0").groupBy("asset_id").agg(verdict("BRNG", 0.02)))
+
+
+@_query("J4_check_encoder_settings", "SELECT p_partkey AS asset_id, 'deck' AS device, 'differs' AS problem, p_brand || ',' || p_size AS actual FROM part WHERE NOT (p_brand = 'Brand#13' AND p_size = 7) UNION ALL SELECT p_partkey, 'tbc', 'absent', '' FROM part")
+def _(spark, d):
+    settings = F.create_map(F.lit("deck"), F.array("p_brand", F.col("p_size").cast("string")))
+    return M.check_encoder_settings(table(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), settings.alias("settings")), {"deck": ["Brand#13", "7"], "tbc": ["on"]})
+
+
+@_query("J7_suppress_in_bars", f"WITH {CHANNELS} SELECT asset_id, ch, frame_idx FROM channels WHERE rms_level = -95 AND NOT (asset_id % 5 <> 0 AND t BETWEEN 2 AND 6)")
+def _(spark, d):
+    own = channels(spark, d)
+    bars = own.select("asset_id").distinct().withColumn("start_s", F.lit(2.0)).withColumn("end_s", F.when(F.col("asset_id") % 5 != 0, 5.0))
+    return I.suppress_in_bars(own.where("rms_level = -95"), bars).select("asset_id", "ch", "frame_idx")
+
+
+@_query("T9_replace_low_value_periods", f"WITH {FRAMES}, {_PERIODS}, p AS (SELECT *, asset_id % 3 + 4 * period_no AS score FROM periods), c AS (SELECT asset_id, r AS rank, CAST(35 + 12 * r AS DOUBLE) AS start_s, CAST(15 AS DOUBLE) AS duration_s FROM (SELECT DISTINCT asset_id FROM frames), (VALUES (1), (2), (3)) v(r)), k AS (SELECT * FROM p WHERE score >= 5), f AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY rank) AS i FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.asset_id = c.asset_id AND c.start_s < k.start_s + k.duration_s AND k.start_s < c.start_s + c.duration_s)), l AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY period_no) AS i FROM p WHERE score < 5) SELECT asset_id, period_no, start_s, duration_s FROM k UNION ALL SELECT l.asset_id, l.period_no, coalesce(f.start_s, l.start_s), l.duration_s FROM l LEFT JOIN f ON l.asset_id = f.asset_id AND l.i = f.i")
+def _(spark, d):
+    own = frames(spark, d)
+    candidates = own.select("asset_id").distinct().withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(3)))).select("asset_id", "rank", (35.0 + 12 * F.col("rank")).alias("start_s"), F.lit(15.0).alias("duration_s"))
+    return B.replace_low_value_periods(_periods(own).withColumn("score", F.col("asset_id") % 3 + 4 * F.col("period_no")), candidates)
+
+
+_SIDES = {"left": "l_linenumber", "right": "l_quantity % 9", "top": "l_quantity % 4", "bottom": "l_orderkey % 5"}
+
+
+@_query("T11_border_median", "SELECT l_suppkey AS asset_id, " + ", ".join(f"CAST(trunc(quantile_cont(CAST({e} AS DOUBLE), 0.5)) AS INT) AS {s}_px" for s, e in _SIDES.items()) + " FROM lineitem GROUP BY l_suppkey")
+def _(spark, d):
+    return B.border_median(table(spark, d, "lineitem").select(F.col("l_suppkey").alias("asset_id"), *[F.expr(e).alias(s) for s, e in _SIDES.items()]))
+
+
+@_query("U6_merge_signal_flow", "WITH a AS (SELECT p_brand AS device, max(p_type) AS a FROM part WHERE p_size < 20 GROUP BY p_brand), b AS (SELECT p_brand AS device, min(p_type) AS b FROM part WHERE p_size >= 20 AND length(p_brand) > 7 GROUP BY p_brand) SELECT device, coalesce(b, a) AS settings FROM a FULL JOIN b USING (device)")
+def _(spark, d):
+    own = table(spark, d, "part")
+    return M.merge_signal_flow(own.where("p_size < 20").groupBy(F.col("p_brand").alias("device")).agg(F.max("p_type").alias("settings")), own.where("p_size >= 20 and length(p_brand) > 7").groupBy(F.col("p_brand").alias("device")).agg(F.min("p_type").alias("settings")))
