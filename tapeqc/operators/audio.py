@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import characterize_imbalance
+from ..functions.scalars import characterize_imbalance, dropped_sample_score
 from .intervals import gap_islands, merge_spans, suppress_in_bars
 
 CHANNEL = ["asset_id", "ch"]
@@ -211,3 +211,28 @@ def tc_channel_summary(regions: DataFrame) -> DataFrame:
     return one.select("asset_id", F.when(F.size("chs") >= 2, "Both channels").otherwise(F.concat(F.lit("Channel "), F.element_at("chs", 1).cast("string"))).alias("label"))
 
 
+
+
+def refine_gaps(regions: DataFrame, frames: DataFrame, flag: str, gap: float = 120.0, margin: float = 15.0, **kw: float) -> DataFrame:
+    """asset_id, ch, start_s, end_s, confidence: regions at most `gap` apart bridged, looked at again with `margin` more on both sides.
+
+    What the frames' flag shows there is split as tc_subregions does; each part has the best confidence of the regions bridged.
+    """
+    order = Window.partitionBy(*CHANNEL).orderBy("start_s", "end_s")
+    before = F.max("end_s").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    cut = regions.withColumn("_cut", F.when(F.col("start_s") - before <= gap, 0).otherwise(1))
+    numbered = cut.withColumn("_region", F.sum("_cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    rank = F.when(F.col("confidence") == "high", 0).when(F.col("confidence") == "medium", 1).otherwise(2)
+    spans = numbered.groupBy(*CHANNEL, "_region").agg((F.min("start_s") - margin).alias("_from"), (F.max("end_s") + margin).alias("_to"), F.min_by("confidence", rank).alias("_confidence"))
+    near = frames.join(spans, CHANNEL).where(F.col("t").between(F.col("_from"), F.col("_to")))
+    keyed = near.select("asset_id", F.struct("ch", "_region", "_confidence").alias("ch"), "frame_idx", "t", flag)
+    found = tc_subregions(keyed, flag, **kw)
+    return found.select("asset_id", F.col("ch.ch").alias("ch"), "start_s", "end_s", F.col("ch._confidence").alias("confidence"))
+
+
+def dropped_sample_summary(spikes: DataFrame, durations: DataFrame, sample_rate: float = 48000.0) -> DataFrame:
+    """asset_id, spikes, diff_ms, loss_s, score, status: of spikes (a row each) and the streams' durations (video_s, audio_s) of every asset."""
+    wide = durations.join(spikes.groupBy("asset_id").agg(F.count("*").alias("n")), "asset_id", "left")
+    n, ms = F.coalesce("n", F.lit(0)).cast("long"), F.round((F.col("video_s") - F.col("audio_s")) * 1000, 3)
+    own = wide.select("asset_id", n.alias("spikes"), ms.alias("diff_ms"), F.round(n / sample_rate, 9).alias("loss_s"))
+    return own.select("*", dropped_sample_score("spikes", F.coalesce("diff_ms", F.lit(0.0))).alias("_x")).select("asset_id", "spikes", "diff_ms", "loss_s", "_x.score", "_x.status")

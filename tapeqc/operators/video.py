@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
-from .intervals import ASSET, gap_islands, islands
+from .intervals import ASSET, gap_islands, islands, merge_spans
 
 
 def _by_time() -> WindowSpec:
@@ -204,3 +204,28 @@ def bitplane_verdict(summary: DataFrame, low_bits: int = 2) -> DataFrame:
     """asset_id, verdict: truncated if all low bits of all channels are empty, partial if some are, else valid."""
     low = summary.where(F.col("bit") <= low_bits).groupBy("asset_id").agg(F.bool_and("empty").alias("all"), F.bool_or("empty").alias("any"))
     return low.select("asset_id", F.when(F.col("all"), "truncated").when(F.col("any"), "partial").otherwise("valid").alias("verdict"))
+
+
+def _within(frames: DataFrame, spans: DataFrame, margin: float = 0.0) -> DataFrame:
+    """frames inside the spans of their asset, with asset_id as struct(asset_id, span_s), one copy for each span."""
+    own = spans.select("asset_id", F.col("start_s").alias("_from"), F.col("end_s").alias("_to"))
+    near = frames.join(own, "asset_id").where(F.col("t").between(F.col("_from") - margin, F.col("_to") + margin))
+    return near.withColumn("asset_id", F.struct("asset_id", F.col("_from").alias("span_s"))).drop("_from", "_to")
+
+
+def detect_bars_guided(frames: DataFrame, first: DataFrame, extra: DataFrame, margin: float = 5.0) -> DataFrame:
+    """asset_id, label, start_s, end_s: bars at the head, and in windows that another detector names.
+
+    Assets without a head are tried again, relaxed, within `margin` of their `first` windows; `extra` windows are merged and scanned, as usual and
+    then relaxed, and numbered by their start.
+    """
+    head = detect_bars(frames).select("asset_id", F.lit("head").alias("label"), "start_s", "end_s")
+    again = detect_bars(_within(frames, first.join(head, "asset_id", "left_anti"), margin), relaxed=True, end_s=float("inf"))
+    again = again.groupBy(F.col("asset_id.asset_id").alias("asset_id")).agg(F.lit("head-relaxed").alias("label"), F.min("start_s").alias("start_s"), F.min_by("end_s", "start_s").alias("end_s"))
+    scanned = _within(frames, merge_spans(extra, 0.0))
+    usual = detect_bars(scanned, end_s=float("inf")).select("asset_id", "start_s", "end_s")
+    relaxed = detect_bars(scanned, relaxed=True, end_s=float("inf")).select("asset_id", "start_s", "end_s").join(usual, "asset_id", "left_anti")
+    found = usual.unionByName(relaxed).select("asset_id.asset_id", "start_s", "end_s")
+    number = F.row_number().over(Window.partitionBy("asset_id").orderBy("start_s", "end_s"))
+    more = found.select("asset_id", F.concat(F.lit("additional-"), number.cast("string")).alias("label"), "start_s", "end_s")
+    return head.unionByName(again).unionByName(more)

@@ -832,3 +832,25 @@ def _(spark, d):
 def _(spark, d):
     own = table(spark, d, "part")
     return M.merge_signal_flow(own.where("p_size < 20").groupBy(F.col("p_brand").alias("device")).agg(F.max("p_type").alias("settings")), own.where("p_size >= 20 and length(p_brand) > 7").groupBy(F.col("p_brand").alias("device")).agg(F.min("p_type").alias("settings")))
+
+
+@_query("A16_dropped_sample_summary", f"WITH s AS (SELECT user_id % 20 AS asset_id, count(*) FILTER (WHERE event_id % 9 = 0 AND user_id % 4 <> 0) AS n, CAST(250 * (user_id % 20 % 3) AS DOUBLE) AS ms FROM events GROUP BY user_id % 20), o AS (SELECT asset_id, n AS spikes, ms AS diff_ms, round(n / 48000.0::DOUBLE, 9) AS loss_s, {_SCORE} AS score FROM s) SELECT *, CASE WHEN score = 0 THEN 'clean' WHEN score < 0.4 THEN 'warning' ELSE 'critical' END AS status FROM o")
+def _(spark, d):
+    own = table(spark, d, "events").select((F.col("user_id") % 20).alias("asset_id"), "event_id")
+    durations = own.select("asset_id").distinct().select("asset_id", F.lit(100.0).alias("video_s"), (100.0 - 0.25 * (F.col("asset_id") % 3)).alias("audio_s"))
+    return A.dropped_sample_summary(own.where("event_id % 9 = 0 and asset_id % 4 != 0"), durations)
+
+
+@_query("W3_detect_bars_guided")
+def _(spark, d):
+    own = frames(spark, d)
+    assets = own.select("asset_id").distinct()
+    span = lambda df, a, b: df.select("asset_id", F.lit(a).alias("start_s"), F.lit(b).alias("end_s"))
+    return V.detect_bars_guided(own, span(assets.where("asset_id % 3 = 0"), 10.0, 25.0), span(assets, 10.0, 18.0).unionByName(span(assets, 16.0, 30.0)))
+
+
+@_query("W17_refine_gaps")
+def _(spark, d):
+    own = channels(spark, d).withColumn("flag", F.col("peak_level") > -5)
+    regions = A.tc_subregions(own, "flag", 1.0).withColumn("confidence", F.when(F.col("start_s") % 2 == 0, "high").otherwise("medium"))
+    return A.refine_gaps(regions, own, "flag", gap=10.0, margin=2.0, hole_s=1.0)
