@@ -163,8 +163,11 @@ class CaptureIndex:
         return self.fs.open_input_file(f"{self.root}/{name}")
 
     def captures(self, low: str, high: str) -> Iterator[dict]:
-        """The index entries whose lines are at least `low` and below `high`."""
-        for k in range(max(0, bisect_left(self.firsts, low) - 1), len(self.firsts)):
+        """The index entries whose lines are at least `low`, a key and a blank, and below `high`.
+
+        The directory holds bare keys: the search starts before the first block that begins with the key, whose copies may fill many.
+        """
+        for k in range(max(0, bisect_left(self.firsts, low.removesuffix(" ")) - 1), len(self.firsts)):
             if self.firsts[k] >= high:
                 break
             lines = self.block(k)

@@ -153,6 +153,21 @@ def test_language(docs, nothing, spark):
     assert spark.range(1).select(F.lit(12).cast("long").alias("doc_id")).select(langid.held_out()).first()[0] == (zlib.crc32(b"12") % 4 == 2)
 
 
+def test_warc_repeated_rows_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr(warc, "BLOCK_LINES", 2)
+    pages = [(1, "http://a.b/", "x")] * 25 + [(None, "http://a.b/", "y")] * 13 + [(None, None, None)] * 9 + [(k, f"http://a.b/{k}", "z") for k in range(2, 9)] + [(7, None, "w")] * 5
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = warc.write_index(warc.write_archives(df))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert files.count() > 1
+    got = Counter((r.page_id, r.url) for r in warc.lookup(files, df.select("url", "page_id")).collect())
+    assert got == Counter((i, u) for i, u, _ in pages)
+    assert warc.lookup(files, df.where("page_id = 1").select("url")).count() == 38
+
+
 def test_warc(spark):
     html = ["same", "same", None, "", "other é", "same", "long " * 5000]
     pages = [(k, f"http://User@Sub.Example.org:80/p a?{k}" if k != 4 else None, h, 1) for k, h in enumerate(html)] + [(None, "x", "same", 2), (3, "http://a.b/", "", 1)]
