@@ -10,6 +10,7 @@ language that comes first. Whole texts are read; texts may be of any length. Nul
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -17,12 +18,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 _WORD = re.compile(r"[^\W\d_]+")
 _LONGEST = 4
 _REMEMBERED = 100_000
+#: Odd multipliers of an n-gram's characters, and of its length.
+_MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
 def _grams(word: str, n: int) -> list[str]:
@@ -30,54 +35,100 @@ def _grams(word: str, n: int) -> list[str]:
     return [word[k : k + n] for k in range(len(word) - n + 1)]
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
+
+
+def _gram_keys(codes: np.ndarray, n: int) -> np.ndarray:
+    """A 64-bit key for each n characters that follow one another in codes."""
+    keys = np.repeat(_MIX[-1:] * np.uint64(n), max(0, len(codes) - n + 1))
+    for k in range(n):
+        keys += codes[k : k + len(keys)] * _MIX[k]
+    return keys
+
+
+def _word_keys(words: list[str]) -> np.ndarray:
+    return np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words], dtype=np.uint64)
+
+
+def _places(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each key stands in the sorted array, and whether it is there."""
+    at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+    return at, known[at] == keys if len(known) else np.zeros(len(keys), dtype=bool)
+
+
 @dataclass
 class LanguageModel:
-    """languages, and for each word or n-gram (prefixed by its length) a row of log frequencies less the row's mean."""
+    """languages, and sorted 64-bit keys of words and of n-grams; each has a row of log frequencies less the row's mean."""
 
     languages: list[str]
-    words: dict[str, int]
-    grams: dict[str, int]
-    table: np.ndarray
-
-    def unseen(self, word: str) -> np.ndarray:
+    words: np.ndarray
+    word_table: np.ndarray
+    grams: np.ndarray
+    gram_table: np.ndarray
+
+    def rows(self, words: list[str]) -> np.ndarray:
+        """Each word's row: its own, or the mean of its longest n-grams of which any is known, or zeros."""
+        out = np.zeros((len(words), len(self.languages)), dtype=np.float32)
+        at, known = _places(self.words, _word_keys(words))
+        out[known] = self.word_table[at[known]]
+        left = np.flatnonzero(~known)
         for n in range(_LONGEST, 0, -1):
-            rows = [k for k in map(self.grams.get, _grams(word, n)) if k is not None]
-            if rows:
-                return self.table[rows].mean(axis=0)
-        return np.zeros(len(self.languages))
+            if not len(left) or not self.languages:
+                break
+            codes = _codes("".join(f"^{words[k]}$" for k in left))
+            owner = np.repeat(np.arange(len(left)), [len(words[k]) + 2 for k in left])
+            keys = _gram_keys(codes, n)
+            of = owner[: len(keys)]
+            at, there = _places(self.grams, keys)
+            there &= of == owner[n - 1 :]
+            of, at = of[there], at[there]
+            found = np.bincount(of, minlength=len(left))
+            sums = np.stack([np.bincount(of, weights=self.gram_table[at, x], minlength=len(left)) for x in range(len(self.languages))], axis=1)
+            out[left[found > 0]] = sums[found > 0] / found[found > 0, None]
+            left = left[found == 0]
+        return out
 
 
 class _Rows(dict):
-    """word: its row in a matrix that starts as the model's table; rows of unseen words are added and, past a bound, forgotten."""
+    """word: its row in a matrix; rows are added as words come and, past a bound, forgotten."""
 
     def __init__(self, model: LanguageModel):
-        super().__init__(model.words)
-        self.model, self.matrix, self.n = model, model.table, len(model.table)
-        self.own = len(self.matrix)
+        super().__init__()
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.matrix, self.new = np.zeros((1000, len(self.model.languages)), dtype=np.float32), []
 
     def __missing__(self, word: str) -> int:
-        if self.n == len(self.matrix):
-            self.matrix = np.concatenate([self.matrix, np.zeros((max(1000, len(self.matrix) // 2), self.matrix.shape[1]))])
-        self.matrix[self.n] = self.model.unseen(word)
-        self[word] = self.n
-        self.n += 1
-        return self.n - 1
-
-    def scores(self, words: list[str]) -> np.ndarray:
-        rows = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
-        out = self.matrix[rows].sum(axis=0)
-        if self.n > self.own + _REMEMBERED:
-            self.clear()
-            self.update(self.model.words)
-            self.n = self.own
+        self.new.append(word)
+        self[word] = len(self)
+        return len(self) - 1
+
+    def scores(self, texts: list[list[str]]) -> list[np.ndarray]:
+        """The sum of the rows of each text's words."""
+        rows = [np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words)) for words in texts]
+        n = len(self)
+        if n > len(self.matrix):
+            self.matrix = np.concatenate([self.matrix, np.zeros((max(n, len(self.matrix) * 3 // 2) - len(self.matrix), self.matrix.shape[1]), dtype=np.float32)])
+        for k in range(0, len(self.new), 10_000):
+            part = self.new[k : k + 10_000]
+            at = n - len(self.new) + k
+            self.matrix[at : at + len(part)] = self.model.rows(part)
+        out = [self.matrix[r].sum(axis=0, dtype=np.float64) for r in rows]
+        self.new = []
+        if n > _REMEMBERED:
+            self.forget()
         return out
 
 
-def fit(docs: DataFrame, max_docs: int = 20_000, max_words: int = 15_000, max_grams: int = 10_000) -> LanguageModel:
+def fit(docs: DataFrame, max_docs: int = 20_000, max_words: int = 40_000, max_grams: int = 40_000) -> LanguageModel:
     """Learns from docs (doc_id, text, lang); rows with a null text or lang are left out.
 
-    The fit takes about `max_docs` rows, those with the smallest hash of text and doc_id, and the model holds at most `max_words` words and
-    `max_grams` n-grams of a language: its size never grows with the input.
+    The fit takes about `max_docs` rows, those with the smallest hash of text and doc_id. Each language gives its own commonest `max_words`
+    words and `max_grams` n-grams, and what one language gives is counted in all: the model's size never grows with the input.
     """
     docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
     n = docs.select("lang").count()
@@ -99,23 +150,33 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_words: int = 15_000, max_gr
                 rows += [(lang, k, g, c) for (k, g), c in grams.items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_COUNTS.types)], schema=_COUNTS)
 
-    counts = docs.select("text", "lang").mapInArrow(count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c"))
-    counts = counts.withColumn("kind", F.least("n", F.lit(1)))
+    counts = written(docs.select("text", "lang").mapInArrow(count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "language-counts")
     languages = sorted(r.lang for r in docs.select("lang").distinct().collect())
-    totals: dict[tuple, int] = Counter()
-    picked: dict[tuple, dict] = {}
-    for kind, most in ((0, max_words), (1, max_grams)):
-        for r in counts.where(F.col("kind") == kind).orderBy(F.desc("c"), "n", "gram", "lang").limit(most * max(1, len(languages))).collect():
-            picked.setdefault((r.n, r.gram), {})[r.lang] = r.c
-            totals[r.n, r.lang] += r.c
-    table = np.zeros((len(picked), len(languages)))
-    for k, ((size, _), own) in enumerate(picked.items()):
-        table[k] = [np.log((own.get(x, 0) + 0.5) / (totals[size, x] + 0.5 * len(picked))) for x in languages]
-    if len(table):
-        table -= table.mean(axis=1, keepdims=True)
-    words = {g: k for k, (size, g) in enumerate(picked) if size == 0}
-    grams = {g: k for k, (size, g) in enumerate(picked) if size}
-    return LanguageModel(languages, words, grams, table)
+    order = Window.partitionBy("lang", F.col("n") == 0).orderBy(F.desc("c"), "n", "gram")
+    ranked = counts.withColumn("place", F.row_number().over(order))
+    picked = ranked.where(F.col("place") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams)).select("n", "gram").distinct()
+    number = F.array_position(F.array(*map(F.lit, languages)).cast("array<string>"), F.col("lang")) - 1
+    own = counts.join(picked, ["n", "gram"], "left_semi").select("n", "gram", number.cast("int").alias("lang"), "c").toArrow()
+    sizes, langs, own_c = (own[x].to_numpy() for x in ("n", "lang", "c"))
+    totals = np.ones((_LONGEST + 1, len(languages)))
+    for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect():
+        totals[r.n, languages.index(r.lang)] = r.c
+    floor = 0.5 / totals.max(axis=1, initial=1)  # one for all languages, else what a small one lacks would speak for it
+    keys = np.zeros(len(own), dtype=np.uint64)
+    for size in range(_LONGEST + 1):
+        at = np.flatnonzero(sizes == size)
+        texts = own["gram"].take(pa.array(at)).to_pylist()
+        keys[at] = _gram_keys(_codes("".join(texts)), size)[::size] if size else _word_keys(texts)
+
+    def table(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        found, first, at = np.unique(keys[of], return_index=True, return_inverse=True)
+        out = np.zeros((len(found), len(languages)))
+        out[at, langs[of]] = own_c[of]
+        size = sizes[of][first]
+        out = np.log(out / totals[size] + floor[size][:, None])
+        return found, (out - out.mean(axis=1, keepdims=True) if len(out) else out).astype(np.float32)
+
+    return LanguageModel(languages, *table(sizes == 0), *table(sizes > 0))
 
 
 _COUNTS = pa.schema({"lang": pa.string(), "n": pa.int32(), "gram": pa.string(), "c": pa.int64()})
@@ -130,15 +191,14 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows(shared.value)
         languages = shared.value.languages
-        for b in batches:
+        for b in (whole.slice(k, 100) for whole in batches for k in range(0, whole.num_rows, 100)):
+            texts = [_WORD.findall((text.as_py() or "").lower()) for text in b["text"]]
             found, scores = [], []
-            for text in b["text"]:
-                words = _WORD.findall((text.as_py() or "").lower())
+            for words, x in zip(texts, rows.scores(texts), strict=True):
                 if not words or not languages:
                     found.append("und")
                     scores.append(0.0)
                     continue
-                x = rows.scores(words)
                 x = np.exp((x - x.max()) * min(1.0, 10 / len(words)))
                 found.append(languages[int(np.argmax(x))])
                 scores.append(float(x.max() / x.sum()))

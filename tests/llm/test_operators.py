@@ -153,6 +153,33 @@ def test_language(docs, nothing, spark):
     assert spark.range(1).select(F.lit(12).cast("long").alias("doc_id")).select(langid.held_out()).first()[0] == (zlib.crc32(b"12") % 4 == 2)
 
 
+def test_rare_languages_keep_their_words(spark):
+    common = [(k, " ".join(f"{a}{b}en" for a in "bcdfghjklm" for b in "aeiou"), "en") for k in range(40)]
+    rare = [(100, "qulto quvto zulto zuvto", "xx"), (101, "qixpy qirpy zixpy zirpy", "yy")]
+    docs = spark.createDataFrame([*common, *rare], "doc_id long, text string, lang string")
+    model = langid.fit(docs, max_words=20, max_grams=30)
+    assert len(model.words) == 20 + 4 + 4
+    asked = spark.createDataFrame([(1, "quvto zulto"), (2, "zirpy qixpy"), (3, "baen caen"), (4, "quvtoquv")], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in langid.predict(asked, model).collect()} == {1: "xx", 2: "yy", 3: "en", 4: "xx"}
+    shared = spark.createDataFrame([(1, "aa bb cc " * 9 + "dd", "en"), (2, "dd dd dd ee", "xx")], "doc_id long, text string, lang string")
+    model = langid.fit(shared, max_words=1)
+    k = int(np.searchsorted(model.words, langid._word_keys(["dd"])[0]))
+    assert len(model.words) == 2 and model.word_table.dtype == np.float32
+    want = np.log([1 / 28 + 0.5 / 28, 3 / 4 + 0.5 / 28])  # dd was counted once in en, though it is none of en's commonest
+    assert np.allclose(model.word_table[k], want - want.mean(), atol=1e-5)
+
+
+def test_language_rows_are_forgotten_and_found_again(monkeypatch):
+    words = np.sort(langid._word_keys(["dd", "ee"]))
+    model = langid.LanguageModel(["en", "xx"], words, np.array([[1, -1], [-2, 2]], dtype=np.float32), words[:0], np.zeros((0, 2), dtype=np.float32))
+    monkeypatch.setattr(langid, "_REMEMBERED", 3)
+    rows = langid._Rows(model)
+    asked = [["dd", "ee", "ee"], ["un", "known", "dd"], []]
+    want = [model.rows(words).sum(axis=0) if words else np.zeros(2) for words in asked]
+    for _ in range(3):
+        assert np.allclose(rows.scores(asked), want)
+
+
 def test_warc_repeated_rows_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 2)
     pages = [(1, "http://a.b/", "x")] * 25 + [(None, "http://a.b/", "y")] * 13 + [(None, None, None)] * 9 + [(k, f"http://a.b/{k}", "z") for k in range(2, 9)] + [(7, None, "w")] * 5
