@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import greedy_spaced
+from .intervals import descending, greedy_spaced
 from .video import is_black
 
 
@@ -32,21 +32,21 @@ def violation_histogram(violations: DataFrame, bin_s: float = 10.0) -> DataFrame
 def suggest_periods(violations: DataFrame, n: int = 3, length_s: float = 60.0, bin_s: float = 10.0) -> DataFrame:
     """asset_id, rank, start_s, n: the densest bins whose periods of length_s do not overlap."""
     bins = violation_histogram(violations, bin_s).select("asset_id", "start_s", "n")
-    return greedy_spaced(bins, ["asset_id"], [F.desc("n"), F.col("start_s")], "start_s", length_s, n)
+    return greedy_spaced(bins, ["asset_id"], [-F.col("n"), F.col("start_s")], "start_s", length_s, n)
 
 
 def diverse_top_k(violations: DataFrame, k: int = 5, apart_s: float = 10.0) -> DataFrame:
     """asset_id, rank and the violation: by priority (content, other, border), then score, apart_s from all chosen; others fill up."""
     priority = F.when(F.col("kind") == "content", 0).when(F.col("kind") == "border", 2).otherwise(1)
     own = violations.withColumn("priority", priority)
-    return greedy_spaced(own, ["asset_id"], [F.col("priority"), F.desc("score"), F.col("frame_idx")], "t", apart_s, k, fill=True)
+    return greedy_spaced(own, ["asset_id"], [F.col("priority"), descending("score"), F.col("frame_idx")], "t", apart_s, k, fill=True)
 
 
 def failure_highlights(failures: DataFrame, apart_s: float = 4.0) -> DataFrame:
     """asset_id, tag, rank and the failure: the farthest from their threshold, apart_s apart; five a tag for assets with up to two tags, else three."""
     tags = failures.select("asset_id", "tag").distinct().groupBy("asset_id").agg(F.count("*").alias("tags"))
     own = failures.withColumn("off", F.abs(F.col("value") - F.col("threshold")))
-    picked = greedy_spaced(own, ["asset_id", "tag"], [F.desc("off"), F.col("frame_idx")], "t", apart_s, 5)
+    picked = greedy_spaced(own, ["asset_id", "tag"], [descending("off"), F.col("frame_idx")], "t", apart_s, 5)
     return picked.join(tags, "asset_id").where((F.col("tags") <= 2) | (F.col("rank") <= 3)).drop("tags")
 
 

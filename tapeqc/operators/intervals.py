@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..llm.shared import written
+
 ASSET = ["asset_id"]
 
 
@@ -106,24 +108,43 @@ def even_periods(durations: DataFrame, n: int = 3, length_s: float = 60.0, lead_
     return spaced.select("asset_id", "period_no", (F.col("first") + F.col("period_no") * F.floor((F.col("room") - F.col("length")) / F.greatest(F.lit(1), F.col("n") - 1))).alias("start_s"), F.col("length").alias("duration_s"))
 
 
+def descending(c: str) -> Column:
+    """A number that sorts as desc(c) does, NaN first."""
+    return F.when(F.isnan(c), F.lit(float("-inf"))).otherwise(-F.col(c))
+
+
 def greedy_spaced(df: DataFrame, keys: list[str], order: list[Column], at: str, apart: float, k: int, fill: bool = False) -> DataFrame:
-    """The first k rows of each key in `order` that stand at least `apart` from all chosen before; with `fill`, others make up k.
+    """The first k rows of each key in `order` (ascending) that stand at least `apart` from all chosen before; with `fill`, others make up k.
 
-    The fold sees each key's candidates as one array, so callers bound them first (a top report of a single asset).
+    A round for each of the k takes every key's best row by an aggregation, then leaves out the rows near it: a key holds k rows at once, however
+    many candidates it has.
     """
     cols = [c for c in df.columns if c not in keys]
-    w = Window.partitionBy(*keys).orderBy(*order)
-    ranked = df.withColumn("_rank", F.row_number().over(w))
-    item = F.struct("_rank", F.col(at).cast("double").alias("_at"), F.struct(*cols).alias("_row"))
-    lists = ranked.groupBy(*keys).agg(F.array_sort(F.collect_list(item)).alias("_items"))
-    empty = F.filter("_items", lambda x: F.lit(False))
-
-    def step(chosen: Column, x: Column) -> Column:
-        free = (F.size(chosen) < k) & ~F.exists(chosen, lambda c: F.abs(c["_at"] - x["_at"]) < apart)
-        return F.when(free, F.array_append(chosen, x)).otherwise(chosen)
-
-    picked = lists.withColumn("_picked", F.aggregate("_items", empty, step))
+    own = written(df.select(*keys, F.struct(*cols).alias("_row"), F.col(at).cast("double").alias("_at"), F.struct(*order).alias("_by"), F.monotonically_increasing_id().alias("_id")), "spaced-candidates")
+    chosen = None
+
+    def left(near: Column) -> DataFrame:
+        on = near
+        for c in keys:
+            on = F.col(f"l.{c}").eqNullSafe(F.col(f"c.{c}")) & on
+        return own.alias("l").join(chosen.alias("c"), on, "left_anti")
+
+    same = F.col("l._id") == F.col("c._id")
+    near = same | F.coalesce(F.abs(F.col("l._at") - F.col("c._at")) < apart, F.lit(True))
+    for rank in range(1, k + 1):
+        best = (own if chosen is None else left(near)).groupBy(*keys).agg(F.min_by(F.struct("_row", "_at", "_id"), F.struct("_by", "_id")).alias("_x"))
+        best = written(best.select(*keys, F.lit(rank).alias("rank"), "_x.*"), "spaced-chosen")
+        if rank > 1 and best.isEmpty():
+            break
+        chosen = best if chosen is None else chosen.unionByName(best)
+    out = chosen.select(*keys, "rank", "_row")
     if fill:
-        rest = F.filter("_items", lambda x: ~F.exists("_picked", lambda c: c["_rank"] == x["_rank"]))
-        picked = picked.withColumn("_picked", F.concat("_picked", F.slice(rest, F.lit(1), F.greatest(F.lit(0), k - F.size("_picked")))))
-    return picked.select(*keys, F.posexplode("_picked").alias("rank", "_x")).select(*keys, (F.col("rank") + 1).alias("rank"), "_x._row.*")
+        w = Window.partitionBy(*keys).orderBy("_by", "_id")
+        rest = left(same).withColumn("_place", F.row_number().over(w)).where(F.col("_place") <= k)
+        held = chosen.groupBy(*keys).agg(F.max("rank").alias("_held"))
+        on = F.lit(True)
+        for c in keys:
+            on = on & F.col(f"l.{c}").eqNullSafe(F.col(f"h.{c}"))
+        more = rest.alias("l").join(held.alias("h"), on).where(F.col("_place") + F.col("_held") <= k)
+        out = out.unionByName(more.select(*[F.col(f"l.{c}") for c in keys], (F.col("_place") + F.col("_held")).alias("rank"), "_row"))
+    return out.select(*keys, "rank", "_row.*")

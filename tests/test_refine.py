@@ -1,4 +1,8 @@
-from tapeqc.operators import audio, video
+import random
+
+from pyspark.sql import functions as F
+
+from tapeqc.operators import audio, intervals, video
 
 GOOD, BAD = (900.0, 5.0, 1.0, 400.0), (500.0, 50.0, 1.0, 50.0)
 WEAK = (700.0, 15.0, 10.0, 150.0)
@@ -33,3 +37,22 @@ def test_refined_gaps(spark):
     assert found == [(10.0, 29.5, "high"), (35.0, 49.5, "high")]
     apart = sorted(r.confidence for r in audio.refine_gaps(regions, own, "flag", gap=5.0, margin=4.0).collect())
     assert apart == ["high", "medium"]
+
+
+def test_greedy_spaced(spark):
+    pick = random.Random(5)
+    rows = [(a, i, float(pick.randrange(n)), pick.randrange(50)) for a, n in ((1, 900), (2, 20), (3, 5), (None, 40)) for i in range(n)]
+    df = spark.createDataFrame(rows, "asset_id long, i long, t double, score long")
+    for fill in (False, True):
+        want = {}
+        for a in (1, 2, 3, None):
+            own = sorted((-s, i, t) for b, i, t, s in rows if a == b)
+            took = []
+            for x in own:
+                if len(took) < 5 and all(abs(x[2] - y[2]) >= 4 for y in took):
+                    took.append(x)
+            took += [x for x in own if x not in took][: 5 - len(took)] if fill else []
+            want |= {(a, k + 1): x[1] for k, x in enumerate(took)}
+        out = intervals.greedy_spaced(df, ["asset_id"], [-F.col("score"), F.col("i")], "t", 4.0, 5, fill)
+        assert {(r.asset_id, r["rank"]): r.i for r in out.collect()} == want
+        assert "collect_list" not in out._jdf.queryExecution().toString()
