@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..llm.shared import written
+from ..tables import written
 
 ASSET = ["asset_id"]
 
