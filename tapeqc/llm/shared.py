@@ -1,27 +1,5 @@
-"""The folder that driver and executors share, and tables written there to cut lineage."""
+"""Tables in the folder that driver and executors share, for the operators here."""
 
-from __future__ import annotations
+from ..tables import discard, shared_dir, written
 
-import tempfile
-import uuid
-from functools import cache
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-@cache
-def _own_folder() -> str:
-    return "file://" + tempfile.mkdtemp(prefix="spark-tapeqc-")
-
-
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder's URI below spark.checkpoint.dir; below a folder of our own where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{(base or _own_folder()).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: later work never recomputes what made it."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["discard", "shared_dir", "written"]
