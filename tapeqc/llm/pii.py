@@ -9,17 +9,40 @@ columns and repeated rows are left as they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _LOCAL = "[A-Za-z0-9._%+-]"
+# Countries by the length of their IBANs.
+IBAN_LENGTHS = {
+    15: "NO",
+    16: "BE",
+    18: "DK FI FO GL NL SD",
+    19: "MK SI",
+    20: "AT BA EE KZ LT LU MN XK",
+    21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST",
+    26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA",
+    30: "JO KW MU YE",
+    31: "MT SC",
+    32: "LC",
+    33: "RU",
+}
 #: Each finds what the plain pattern beside it finds, but a failed run of characters is never tried again from its middle.
 PATTERNS = {
     "email": rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",  # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",  # [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+",  # [0-9]([\x20-]?[0-9])+ with 13 digits or more
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": "(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])",
     "tel": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
 BASE = ("email", "ip", "card", "phone")
@@ -72,30 +95,52 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), the value computed once however often the body reads it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _starts(lengths: Column) -> Column:
+    """The sum of the lengths before each: summed in runs of the array's square root, lest a long array is copied for each item."""
+
+    def grown(start: Column, items: Column) -> Column:
+        return F.aggregate(items, F.array(start), lambda a, x: F.array_append(a, F.element_at(a, -1) + x))
+
+    def in_runs(z: Column) -> Column:
+        items, run = z["items"], z["run"]
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / run).cast("int")), lambda k: F.slice(items, k * run + 1, run))
+        return _let(runs, lambda rs: _let(grown(F.lit(0), F.transform(rs, lambda r: F.aggregate(r, F.lit(0), lambda s, x: s + x))), lambda firsts: F.flatten(F.transform(rs, lambda r, k: F.slice(grown(F.get(firsts, k), r), F.lit(1), F.size(r))))))
+
+    run = lambda x: F.greatest(F.lit(1), F.ceil(F.sqrt(F.size(x))).cast("int"))
+    return _let(lengths, lambda x: _let(F.struct(x.alias("items"), run(x).alias("run")), in_runs))
+
+
 def _found(text: Column, kind: str) -> Column:
-    """The kind's spans: the matches, placed by the lengths of the pieces of text between them, that pass its check."""
+    """The kind's spans: the matches, placed by the lengths of the pieces of text between them, that pass its check.
+
+    A match's context is read from the pieces beside it and beside its neighbours, so that no text is walked once for each match.
+    """
     pattern = PATTERNS[kind]
-    matches = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    pairs = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), matches.alias("hit"))
-    span = "array<struct<start: int, end: int, value: string>>"
-
-    def place(at: Column, x: Column) -> Column:
-        start = at["pos"] + F.length(x["gap"])
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0))
-        new = F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("value"))
-        return F.struct(end.alias("pos"), F.when(x["hit"].isNotNull(), F.array_append(at["out"], new)).otherwise(at["out"]).alias("out"))
-
-    placed = F.aggregate(pairs, F.struct(F.lit(0).alias("pos"), F.array().cast(span).alias("out")), place, lambda at: at["out"])
-    placed = F.when(F.size(matches) > 0, placed).otherwise(F.array().cast(span))
-
-    def score(s: Column) -> Column:
-        low = F.greatest(F.lit(1), s["start"] + 1 - _NEAR)
-        near = F.concat(F.substring(text, low, s["start"] + 1 - low), F.lit(" "), F.substring(text, s["end"] + 1, F.lit(_NEAR)))
-        points = F.lit(PRIOR[kind]) + F.when(near.rlike(f"(?i)\\b(?:{CONTEXT[kind]})"), CONTEXT_SCORE).otherwise(0.0)
-        return F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), points.alias("score"))
-
-    confirmed = F.filter(placed, lambda s: F.coalesce(_valid(kind, s["value"]), F.lit(False)))
-    return F.filter(F.transform(confirmed, score), lambda s: s["score"] >= LEAST_SCORE)
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+    none = F.array().cast("array<struct<kind: string, start: int, end: int, value: string, score: double>>")
+
+    def spans(z: Column) -> Column:
+        gaps, hits = z["gaps"], z["hits"]
+        gap, hit = (lambda k: F.coalesce(F.get(gaps, k), F.lit(""))), (lambda k: F.coalesce(F.get(hits, k), F.lit("")))
+
+        def span(h: Column, k: Column, at: Column) -> Column:
+            before = F.right(F.concat(F.right(gap(k - 1), F.lit(_NEAR)), hit(k - 1), gap(k)), F.lit(_NEAR))
+            after = F.left(F.concat(F.left(gap(k + 1), F.lit(_NEAR)), hit(k + 1), F.left(gap(k + 2), F.lit(_NEAR))), F.lit(_NEAR))
+            points = F.lit(PRIOR[kind]) + F.when(F.concat(before, F.lit(" "), after).rlike(f"(?i)\\b(?:{CONTEXT[kind]})"), CONTEXT_SCORE).otherwise(0.0)
+            start = F.get(at, k) + F.length(gap(k))
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(h)).alias("end"), h.alias("value"), points.alias("score"))
+
+        lengths = F.transform(hits, lambda h, k: F.length(gap(k)) + F.length(h))
+        placed = _let(_starts(lengths), lambda at: F.transform(hits, lambda h, k: span(h, k, at)))
+        confirmed = F.filter(placed, lambda s: F.coalesce(_valid(kind, s["value"]), F.lit(False)) & (s["score"] >= LEAST_SCORE))
+        return F.when(F.size(hits) > 0, confirmed).otherwise(none)
+
+    return _let(both, spans)
 
 
 def find_pii(docs: DataFrame, kinds: tuple[str, ...] = tuple(PATTERNS), out: str = "spans") -> DataFrame:

@@ -2,6 +2,8 @@
 
 import base64
 import hashlib
+import io
+import random
 import zlib
 from collections import Counter
 from fractions import Fraction
@@ -11,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tapeqc.llm import ann, graph, jaccard, langid, lattice, license_scan, mixing, packing, pii, ranks, warc, wavelet
+from tapeqc.llm import ann, graph, jaccard, langid, lattice, license_scan, mixing, packing, pii, ranks, warc, wavelet, words
 from tapeqc.llm.queries import TOKENIZER
 
 SF = "/root/testdata/sf0.001"
@@ -105,7 +107,7 @@ def brute(rows):
 def test_prefix_forest(spark):
     rows_ = vectors(spark)
     df = spark.createDataFrame([(i, v, 1, "x") for i, v in rows_], "vec_id long, embedding array<float>, rank int, score string")
-    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 50 == 0, shard_rows=100).collect()]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.nearest(df, F.col("vec_id") % 50 == 0, block_rows=20).collect()]
     ids, s = brute(rows_)
     want, queries = [], [k for k, i in enumerate(ids) if i is not None and i % 50 == 0]
     for q in queries:
@@ -142,7 +144,7 @@ def test_lattice(spark):
 def test_language(docs, nothing, spark):
     model = langid.fit(docs)
     got = langid.predict(docs, model)
-    assert got.columns == [*[c for c in docs.columns if c != "score"], "lang_pred", "score"] and got.count() == len(rows())
+    assert got.columns == [*[c for c in docs.columns if c != "score"], "lang_pred", "score", "familiar"] and got.count() == len(rows())
     for r in got.collect():
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or "")) and 0 <= r.score <= 1
     assert langid.predict(nothing, langid.fit(nothing)).count() == 0
@@ -175,11 +177,36 @@ def test_language_rows_are_forgotten_and_found_again(monkeypatch):
     monkeypatch.setattr(langid, "_REMEMBERED", 3)
     rows = langid._Rows(model)
     asked = [["dd", "ee", "ee"], ["un", "known", "dd"], []]
-    want = [model.rows(words).sum(axis=0) if words else np.zeros(2) for words in asked]
+    want = [np.append(model.rows(words)[0].sum(axis=0), model.rows(words)[1].sum()) if words else np.zeros(3) for words in asked]
+    assert [w[-1] for w in want] == [3, 1, 0]
     for _ in range(3):
         assert np.allclose(rows.scores(asked), want)
 
 
+def test_what_is_no_letter():
+    assert langid.words_of("² ½ ① 12 _ ٣") == [] and langid.words_of("a² b½c 3d Éa_b") == ["a", "b", "c", "d", "éa", "b"]
+    assert langid.words_of("नमस्ते दुनिया") == ["नमस्ते", "दुनिया"]
+
+
+def test_undetermined(docs, spark):
+    odd = spark.createDataFrame([(1, "² ½"), (2, "12 34"), (3, None), (4, "ⅷ ①")], "doc_id long, text string")
+    assert {(r.lang_pred, r.score) for r in langid.predict(odd, langid.fit(docs)).collect()} == {("und", 0.0)}
+
+
+def test_a_sample_is_never_empty(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("a text").alias("text"))
+    assert 800 < langid.sampled(docs, 1000, 20_000).count() < 1200
+    assert 20 < langid.sampled(docs, 10**9, 10**12 // 4).count() < 200  # of a table of 2.5e11 rows, a share of 4 in 1000
+    share = langid.sampled(docs, 20_000, 21_000_000_000)._jdf.queryExecution().optimizedPlan().toString()
+    assert str((1 << 63) * 20_000 // 21_000_000_000) in share
+
+
+def test_model_is_bounded_with_many_languages(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"{a}{k}x" for a in "abcdefgh").translate(str.maketrans("0123456789", "qrstuvwxyz")), f"l{k:02}") for k in range(40)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, max_cells=3200)
+    assert model.word_table.size <= 3200 and model.gram_table.size <= 3200 and len(model.languages) == 40
+
+
 def test_warc_repeated_rows_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 2)
     pages = [(1, "http://a.b/", "x")] * 25 + [(None, "http://a.b/", "y")] * 13 + [(None, None, None)] * 9 + [(k, f"http://a.b/{k}", "z") for k in range(2, 9)] + [(7, None, "w")] * 5
@@ -262,16 +289,59 @@ def test_tokens_round_trip(docs, nothing):
     assert wavelet.read_tokens(wavelet.write_tokens(nothing, TOKENIZER)).count() == 0
 
 
-def test_wavelet_matrix():
-    ids = np.random.default_rng(1).integers(0, 300, 5000)
-    m, lengths = wavelet.WaveletMatrix.load(wavelet.WaveletMatrix.of(ids).dump(np.array([2000, 3000])))
-    assert (m.decode() == ids).all() and lengths.tolist() == [2000, 3000]
-    for k in range(0, 5000, 531):
-        assert m.access(k) == ids[k]
-    for t in (0, 7, 299, 301, 5000):
-        assert m.rank(t, 3100) == (ids[:3100] == t).sum()
-        places = np.flatnonzero(ids == t)
-        assert [m.select(t, k) for k in range(3)] == [int(places[k]) if k < len(places) else None for k in range(3)]
+@pytest.mark.parametrize("n,most", [(5000, 300), (400_000, 50_000), (700, 90_000), (1, 1), (512, 2)])
+def test_wavelet_matrix(n, most):
+    ids = np.random.default_rng(1).zipf(1.3, n) % most
+    matrix = wavelet.WaveletMatrix.of(ids)
+    file = wavelet.WaveletFile(io.BytesIO(matrix.dump(np.array([n // 3, n - n // 3]))))
+    assert file.lengths().tolist() == [n // 3, n - n // 3]
+    for m in (matrix, file):
+        assert (m.decode() == ids).all()
+        for k in range(0, n, max(1, n // 9)):
+            assert m.access(k) == ids[k]
+        for t in (0, 1, 7, 299, 301, 5000, 99_000):
+            assert m.rank(t, n * 2 // 3) == (ids[: n * 2 // 3] == t).sum()
+            places = np.flatnonzero(ids == t)
+            assert [m.select(t, k) for k in range(3)] == [int(places[k]) if k < len(places) else None for k in range(3)]
+
+
+def test_one_token_needs_few_reads():
+    class Counted(io.BytesIO):
+        read_bytes = 0
+
+        def read(self, n=-1):
+            Counted.read_bytes += n
+            return super().read(n)
+
+    ids = np.random.default_rng(4).integers(0, 49_000, 2_000_000)
+    data = wavelet.WaveletMatrix.of(ids).dump(np.array([len(ids)]))
+    file = wavelet.WaveletFile(Counted(data))
+    assert file.access(1_234_567) == ids[1_234_567] and Counted.read_bytes < len(data) / 4
+
+
+def test_words_beside_the_library():
+    from tokenizers import Tokenizer
+
+    whole, encode_ = Tokenizer.from_file(TOKENIZER), words.WordEncoder(TOKENIZER)
+    rng = random.Random(1)
+    odd = [chr(c) for r in ((32, 127), (0xA0, 0x250), (0x2B0, 0x400), (0x1E00, 0x1F00), (0x1100, 0x1200), (0x2000, 0x2070), (0xAC00, 0xAC40), (0x300, 0x330), (65, 91), (65, 91), (0x300, 0x30D)) for c in range(*r)]
+    latin = [chr(c) for c in range(256)] + list("'stremlvd'Aa .,!") * 8
+    texts = ["Y\u030a H\u0331 T\u0308 W\u030a J\u030c", "<|endoftext|> a", "the THE The", "it's IT'S won't 12 ab12", "a \u0301b", *("".join(rng.choices(latin if k % 2 else odd, k=rng.randint(1, 14))) for k in range(20_000))]
+    assert encode_.by_word
+    for t in texts:
+        assert encode_.ids(t).tolist() == whole.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_words_of_another_tokenizer(tmp_path):
+    import json
+
+    steps = json.loads(open(TOKENIZER).read())
+    steps["normalizer"] = None
+    (tmp_path / "t.json").write_text(json.dumps(steps))
+    from tokenizers import Tokenizer
+
+    other = words.WordEncoder(str(tmp_path / "t.json"))
+    assert not other.by_word and other.ids("The Cat").tolist() == Tokenizer.from_file(str(tmp_path / "t.json")).encode("The Cat", add_special_tokens=False).ids
 
 
 def test_pii(docs, nothing, spark):
@@ -299,6 +369,16 @@ def test_pii(docs, nothing, spark):
     r = pii.find_pii(own).select(pii.span_list(F.col("spans")).alias("s"), pii.redacted(F.col("text"), F.col("spans")).alias("r")).first()
     assert r.s.startswith("iban:5:32,tel:67:79") and r.r.startswith("IBAN [IBAN], bad GB82WEST12345698765433, call [TEL].")
     assert pii.find_pii(nothing).count() == 0
+    more = spark.createDataFrame([(1, "IBAN GB82 WEST 1234 5698 7654 32 BIC X"), (2, "konto DE89370400440532013000 and NO93 8601 1117 947"), (3, "call 555-123-4567 or 555-123-9999 x")], "doc_id long, text string")
+    found = {r.doc_id: r.s for r in pii.find_pii(more).select("doc_id", pii.span_list(F.col("spans")).alias("s")).collect()}
+    assert found == {1: "iban:5:32", 2: "iban:6:28,iban:33:51", 3: "tel:5:17,tel:21:33"}
+
+
+def test_pii_in_a_text_of_very_many(spark):
+    text = "".join(f"a{k}@b.co é {k % 250}.1.2.3 " for k in range(30_000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = pii.find_pii(df, kinds=("email", "ip")).select("spans").first().spans
+    assert len(spans) == 60_000 and all(text[s.start : s.end] == s.value for s in spans)
 
 
 def test_packing(docs, nothing):
@@ -369,8 +449,43 @@ def test_stage(spark, docs, nothing, name, stage):
         assert sorted(found.text) == sorted(t for t in texts if t and any(c.isalpha() for c in t))
     if name == "near_duplicates":
         assert sum(t == texts[5] for t in found.text) == 1
+        assert found.text.isna().sum() == sum(t is None for t in texts) and sum(t is not None and not t.split() for t in found.text) == 2
     if name == "personal_data":
         assert len(found) == len(texts) and not any("a@b.co" in (t or "") for t in found.text)
+        assert sorted(map(str, found.text[~found.text.map(str).str.contains("@|\\+1|EMAIL|PHONE")])) == sorted(str(t) for t in texts if not t or "@" not in t)
+    if name == "source_mix":
+        mix = mixing.Mix(docs).documents().toPandas()
+        words = lambda t: len((t or "").encode().split())
+        assert sum(map(words, found.text)) == mix.taken.sum()
+        for r in found.itertuples():  # what a copy holds is a part of its document
+            assert any(" ".join(r.text.split()) in " ".join((t or "").split()) for t in texts) and r.n_chars == len(r.text)
+    if name == "best_fit_packing":
+        want = sum(-(-len(encode(t, 0)) // 2048) for t in texts)
+        assert len(found) == want and found.groupby("sequence_id").length.sum().max() <= 2048
+
+
+def test_languages_that_nobody_taught_leave(spark):
+    taught = [(k, t, c) for k, (t, c) in enumerate([("the cat sat on the mat and ran", "en"), ("le chat est sur la table ici", "fr"), ("der hund lief in den garten hinein", "de"), ("el perro corre por la calle", "es")] * 5)]
+    asked = [(100, "東京は日本の首都です 漢字 かな交じり 文章", None), (101, "cat", None), (102, "la", None), (103, "the cat sat 東", None), (104, "12 34", None), (105, None, "en")]
+    df = spark.createDataFrame(taught + asked, "doc_id long, text string, lang string")
+    kept = {r.doc_id: r.lang for r in corpus_pipeline.language_id(spark, df, SF).collect()}
+    assert set(kept) == {*range(20), 101, 102, 103} and kept[101] == "en" and all(kept.values())
+    alone = df.withColumn("lang", F.lit(None).cast("string"))
+    assert {r.doc_id for r in corpus_pipeline.language_id(spark, alone, SF).collect()} == {*range(20), 100, 101, 102, 103}
+
+
+def test_documents_without_words_stay(spark):
+    rows_ = [(None, None, 1), (None, None, 2), (7, " ", 3), (7, " ", 4), (8, "a b c d e f", 5), (8, "a b c d e f", 6), (None, "x y z", 7), (None, "x y z", 8)]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, other int")
+    out = corpus_pipeline.near_duplicates(spark, df, SF).collect()
+    assert sorted(r.other for r in out)[:4] == [1, 2, 3, 4] and len(out) == 6
+    assert sorted(map(str, out)) == sorted(map(str, corpus_pipeline.near_duplicates(spark, df.orderBy(F.desc("other")), SF).collect()))
+
+
+def test_stages_take_any_column_name(spark):
+    df = spark.createDataFrame([(1, "the cat sat on the mat", "en", "a", 22, 1, 2), (2, "a@b.co is where I write", "en", "b", 23, 3, 4)], "doc_id long, text string, lang string, source string, n_chars long, `a.b` int, `c``d` int")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, df, SF).columns == df.columns and stage(spark, df, SF).count() >= 2, name
 
 
 def test_pipeline(spark):
