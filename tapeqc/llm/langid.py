@@ -4,8 +4,11 @@ A model holds the log frequencies, in each language, of the commonest words and
 word that the model knows scores by its own frequencies; another one by those of its longest n-grams of which any is known. A text's
 language is the one with the largest sum.
 
-Defined results: a null text, and one without a letter, is `und` with score 0; so is every text if nothing was learned. Ties go to the
-language that comes first. Whole texts are read; texts may be of any length. Null languages are not learned.
+Words are runs of letters and of the marks that combine with them; digits and number signs are no letters.
+
+Defined results: a null text, and one without a letter, is `und` with score 0; so is every text if nothing was learned, as from an empty table.
+Ties go to the language that comes first. Whole texts are read; texts may be of any length. Null languages are not learned. Repeated
+rows are learned and predicted each; other columns are kept, but for ones named as the result's.
 """
 
 from __future__ import annotations
@@ -18,12 +21,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import written
 
 _WORD = re.compile(r"[^\W\d_]+")
+#: What _WORD takes for letters and is none, and marks, at which it parts words; and words in texts that have any.
+_ODD, _LETTERS = regex.compile(r"[\p{No}\p{Nl}\p{M}]"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _LONGEST = 4
 _REMEMBERED = 100_000
 #: Odd multipliers of an n-gram's characters, and of its length.
@@ -35,6 +41,12 @@ def _grams(word: str, n: int) -> list[str]:
     return [word[k : k + n] for k in range(len(word) - n + 1)]
 
 
+def words_of(text: str | None) -> list[str]:
+    """The words of a text in lower case."""
+    text = (text or "").lower()
+    return _WORD.findall(text) if text.isascii() or not _ODD.search(text) else _LETTERS.findall(text)
+
+
 def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le"), dtype="<u4").astype(np.uint64)
 
@@ -67,11 +79,12 @@ class LanguageModel:
     grams: np.ndarray
     gram_table: np.ndarray
 
-    def rows(self, words: list[str]) -> np.ndarray:
-        """Each word's row: its own, or the mean of its longest n-grams of which any is known, or zeros."""
+    def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Each word's row: its own, or the mean of its longest n-grams of which any is known, or zeros; and whether it or two characters in turn are known."""
         out = np.zeros((len(words), len(self.languages)), dtype=np.float32)
         at, known = _places(self.words, _word_keys(words))
         out[known] = self.word_table[at[known]]
+        familiar = known.copy()
         left = np.flatnonzero(~known)
         for n in range(_LONGEST, 0, -1):
             if not len(left) or not self.languages:
@@ -86,12 +99,13 @@ class LanguageModel:
             found = np.bincount(of, minlength=len(left))
             sums = np.stack([np.bincount(of, weights=self.gram_table[at, x], minlength=len(left)) for x in range(len(self.languages))], axis=1)
             out[left[found > 0]] = sums[found > 0] / found[found > 0, None]
+            familiar[left[found > 0]] = n > 1
             left = left[found == 0]
-        return out
+        return out, familiar
 
 
 class _Rows(dict):
-    """word: its row in a matrix; rows are added as words come and, past a bound, forgotten."""
+    """word: its row in a matrix, last whether it is familiar; rows are added as words come and, past a bound, forgotten."""
 
     def __init__(self, model: LanguageModel):
         super().__init__()
@@ -100,7 +114,7 @@ class _Rows(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.matrix, self.new = np.zeros((1000, len(self.model.languages)), dtype=np.float32), []
+        self.matrix, self.new = np.zeros((1000, len(self.model.languages) + 1), dtype=np.float32), []
 
     def __missing__(self, word: str) -> int:
         self.new.append(word)
@@ -116,7 +130,7 @@ class _Rows(dict):
         for k in range(0, len(self.new), 10_000):
             part = self.new[k : k + 10_000]
             at = n - len(self.new) + k
-            self.matrix[at : at + len(part)] = self.model.rows(part)
+            self.matrix[at : at + len(part), :-1], self.matrix[at : at + len(part), -1] = self.model.rows(part)
         out = [self.matrix[r].sum(axis=0, dtype=np.float64) for r in rows]
         self.new = []
         if n > _REMEMBERED:
@@ -124,22 +138,28 @@ class _Rows(dict):
         return out
 
 
-def fit(docs: DataFrame, max_docs: int = 20_000, max_words: int = 40_000, max_grams: int = 40_000) -> LanguageModel:
+def sampled(docs: DataFrame, most: int, n: int) -> DataFrame:
+    """About `most` of n rows: those whose 63-bit hash of doc_id and text is small enough, whatever n is."""
+    if n <= most:
+        return docs
+    return docs.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) < F.lit((1 << 63) * most // n))
+
+
+def fit(docs: DataFrame, max_docs: int = 20_000, max_words: int = 40_000, max_grams: int = 40_000, max_cells: int = 8_000_000) -> LanguageModel:
     """Learns from docs (doc_id, text, lang); rows with a null text or lang are left out.
 
     The fit takes about `max_docs` rows, those with the smallest hash of text and doc_id. Each language gives its own commonest `max_words`
-    words and `max_grams` n-grams, and what one language gives is counted in all: the model's size never grows with the input.
+    words and `max_grams` n-grams, and what one language gives is counted in all: the model's size never grows with the input. Each of its
+    two tables holds at most `max_cells` numbers; only with more languages than some fourteen does that leave each fewer words.
     """
-    docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("text", F.col("lang").cast("string").alias("lang"), F.xxhash64("doc_id").alias("h"))
-    n = docs.select("lang").count()
-    if n > max_docs:
-        docs = docs.where(F.pmod("h", F.lit(1 << 20)) < F.lit(int((1 << 20) * max_docs / n)))
+    docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
+    docs = sampled(docs, max_docs, docs.select("lang").count())
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (whole.slice(k, 1000) for whole in batches for k in range(0, whole.num_rows, 1000)):
             found: dict[str, Counter] = {}
             for lang, text in zip(b["lang"].to_pylist(), b["text"], strict=True):
-                found.setdefault(lang, Counter()).update(_WORD.findall(text.as_py().lower()))
+                found.setdefault(lang, Counter()).update(words_of(text.as_py()))
             rows = [(lang, 0, w, c) for lang, words in found.items() for w, c in words.items()]
             for lang, words in found.items():
                 grams = Counter()
@@ -151,7 +171,9 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_words: int = 40_000, max_gr
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_COUNTS.types)], schema=_COUNTS)
 
     counts = written(docs.select("text", "lang").mapInArrow(count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "language-counts")
-    languages = sorted(r.lang for r in docs.select("lang").distinct().collect())
+    languages = sorted(r.lang for r in counts.select("lang").distinct().collect())
+    fair = max(1, max_cells // max(1, len(languages)) ** 2)
+    max_words, max_grams = min(max_words, fair), min(max_grams, fair)
     order = Window.partitionBy("lang", F.col("n") == 0).orderBy(F.desc("c"), "n", "gram")
     ranked = counts.withColumn("place", F.row_number().over(order))
     picked = ranked.where(F.col("place") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams)).select("n", "gram").distinct()
@@ -183,29 +205,36 @@ _COUNTS = pa.schema({"lang": pa.string(), "n": pa.int32(), "gram": pa.string(),
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with lang_pred string and score double: the share of the best language when a text's evidence counts as that of ten words."""
+    """docs with lang_pred string, score double, familiar double.
+
+    score: the share of the best language when a text's evidence counts as that of ten words. familiar: the share of the text's words
+    that the model knows or of which it knows two characters or more in turn, in any language.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = docs.drop("lang_pred", "score").schema
+    schema = docs.drop("lang_pred", "score", "familiar").schema
     names = list(schema.names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _Rows(shared.value)
         languages = shared.value.languages
         for b in (whole.slice(k, 100) for whole in batches for k in range(0, whole.num_rows, 100)):
-            texts = [_WORD.findall((text.as_py() or "").lower()) for text in b["text"]]
-            found, scores = [], []
+            texts = [words_of(text.as_py()) for text in b["text"]]
+            found, scores, familiar = [], [], []
             for words, x in zip(texts, rows.scores(texts), strict=True):
                 if not words or not languages:
                     found.append("und")
                     scores.append(0.0)
+                    familiar.append(0.0)
                     continue
+                familiar.append(float(x[-1]) / len(words))
+                x = x[:-1]
                 x = np.exp((x - x.max()) * min(1.0, 10 / len(words)))
                 found.append(languages[int(np.argmax(x))])
                 scores.append(float(x.max() / x.sum()))
-            yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=[*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*(b[n] for n in names), pa.array(found, pa.string()), pa.array(scores, pa.float64()), pa.array(familiar, pa.float64())], names=[*names, "lang_pred", "score", "familiar"])
 
-    out = docs.select(*names).mapInArrow(run, schema.add("lang_pred", "string").add("score", "double"))
-    return out
+    own = docs.select(*[F.col(f"`{n.replace('`', '``')}`") for n in names])
+    return own.mapInArrow(run, schema.add("lang_pred", "string").add("score", "double").add("familiar", "double"))
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
