@@ -15,7 +15,7 @@ from fractions import Fraction
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .ranks import with_offsets
@@ -25,6 +25,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Sources that a mix may have: their sizes and weights are settled on the driver.
 MAX_SOURCES = 1_000_000
 _EXPLODED = 4096
+#: The column that numbers a mix's rows.
+ROW = "_mix_row"
 
 
 def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
@@ -126,9 +128,11 @@ class Mix:
 
     def __init__(self, docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 256, n_shards: int = 256, seed: int = 7):
         self.spark, self.block_words, self.seed, self.most = docs.sparkSession, block_words, seed, int(np.ceil(most))
-        keyed = _keyed(docs)
-        own = keyed.select("doc_id", "source", "_k1", "_k2", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
-        self.sizes = written(own, "mix-sizes")
+        own = docs if ROW in docs.columns else docs.withColumn(ROW, F.monotonically_increasing_id())
+        three = [F.col("doc_id").cast("long"), F.col("source"), F.col("text")]
+        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+        own = own.select(three[0].alias("doc_id"), "source", F.xxhash64(*three).alias("_k"), F.col(ROW), size.alias("size"))
+        self.sizes = written(own, "mix-sizes")  # rows keep their numbers from here on
         found = self.sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
         if len(found) > MAX_SOURCES:
             raise ValueError(f"a mix has at most {MAX_SOURCES} sources")
@@ -165,14 +169,13 @@ class Mix:
         return slots.mapInPandas(place, "shard int, source_no int, slot long, epoch int, block long, last_words long")
 
     def pieces(self) -> DataFrame:
-        """source_no, block, doc_id, _k1, _k2, copy, size, start: for each document a row for each block that it has words in; none: a null block.
+        """source_no, block, doc_id, ROW, size, start: for each document a row for each block that it has words in; none: a null block.
 
-        `start` is the document's place in its source's stream; `copy` numbers rows that agree in id, source and text.
+        `start` is the document's place in its source's stream, by a hash of id, source and text.
         """
         numbers = self.sources().select("source_no", "source", "source_size", "target")
-        own = self.sizes.join(numbers, self.sizes["source"].eqNullSafe(numbers["source"])).select("source_no", "doc_id", "_k1", "_k2", "size", "source_size", "target")
-        placed = with_offsets(own, ["source_no"], ["_k1", "_k2"], {"start": "size"})
-        placed = placed.withColumn("copy", F.row_number().over(Window.partitionBy("source_no", "_k1", "_k2").orderBy("start")))
+        own = self.sizes.join(numbers, self.sizes["source"].eqNullSafe(numbers["source"])).select("source_no", "doc_id", "_k", ROW, "size", "source_size", "target")
+        placed = with_offsets(own, ["source_no"], ["_k", ROW], {"start": "size"})
         b = self.block_words
         blocks = F.expr(f"if(size > 0, sequence(start div {b}, (start + size - 1) div {b}), null)")
         return placed.select("*", F.explode_outer(blocks).alias("block"))
@@ -183,42 +186,33 @@ class Mix:
         Pieces that no slot takes stay, with null slots and no words.
         """
         p, b = self.pieces(), self.block_words
-        joined = p.join(self.slots(), ["source_no", "block"], "left")
+        joined = p.join(self.slots().hint("merge"), ["source_no", "block"], "left")  # slots grow with the input
         begin = F.greatest(F.lit(0), F.col("block") * b - F.col("start"))
         end = F.least("size", F.col("block") * b + F.col("last_words") - F.col("start"))
         return joined.withColumn("begin", begin).withColumn("n_words", F.when(F.col("slot").isNull(), 0).otherwise(F.greatest(F.lit(0), end - F.col("begin"))).cast("long")).drop("last_words")
 
     def documents(self) -> DataFrame:
         """doc_id, size, source_size, target, taken: a row for each document, `taken` the words that the mix takes, repeats counted."""
-        key = ["source_no", "_k1", "_k2", "copy", "doc_id", "size", "source_size", "target"]
+        key = [ROW, "doc_id", "size", "source_size", "target"]
         return self.taken().groupBy(*key).agg(F.sum("n_words").alias("taken")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def _hashes() -> list[Column]:
-    three = [F.col("doc_id").cast("long"), F.col("source"), F.col("text")]
-    return [F.xxhash64(F.lit(1), *three).alias("_k1"), F.xxhash64(*three, F.lit(2)).alias("_k2")]
-
-
-def _keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, source, text and two hashes of the three."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "text", *_hashes())
-
-
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix as documents: docs' columns, a row for each pass that takes words of a document, its text cut to the words taken.
 
     A text that is taken whole stays as it is; of others the taken words stay, joined by single spaces. n_chars, if there, is set anew.
     Documents of which no words are taken, those without words among them, leave.
     """
-    mix = Mix(docs, **how)
-    cuts = mix.taken().where("n_words > 0").groupBy("_k1", "_k2", "copy", "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("begin", "n_words"))).alias("cuts"))
-    cuts = cuts.groupBy("_k1", "_k2").agg(F.collect_list(F.struct("copy", "epoch", "size", "cuts")).alias("_takes"))
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), *_hashes())
-    whole = whole.withColumn("_copy", F.row_number().over(Window.partitionBy("_k1", "_k2").orderBy(F.lit(0))))
-    taken = whole.join(cuts, ["_k1", "_k2"]).select("_row", F.explode(F.filter("_takes", lambda x: x.copy == F.col("_copy"))).alias("_take"))
-    words = F.regexp_extract_all("_row.text", F.lit(WORD), F.lit(0))
-    all_taken = F.aggregate("_take.cuts", F.lit(0).cast("long"), lambda s, c: s + c.n_words) == F.col("_take.size")
-    text = F.when(all_taken, F.col("_row.text")).otherwise(F.array_join(F.flatten(F.transform("_take.cuts", lambda c: F.slice(words, (c.begin + 1).cast("int"), c.n_words.cast("int")))), " "))
-    out = taken.select("_row", text.alias("_text"))
+    whole = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "mix-documents")
+    mix = Mix(whole, **how)
+    takes = mix.taken().where("n_words > 0").groupBy(ROW, "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("begin", "n_words"))).alias("cuts"))
+    takes = takes.select(F.col(ROW).alias("_of"), "size", "cuts")
+    own = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+    taken = whole.select(F.col(ROW).alias("_at"), own.alias("_row")).join(takes, F.col("_at") == F.col("_of"))
+    text = F.col("_row")["text"]
+    words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+    all_taken = F.aggregate("cuts", F.lit(0).cast("long"), lambda s, c: s + c.n_words) == F.col("size")
+    cut = F.when(all_taken, text).otherwise(F.array_join(F.flatten(F.transform("cuts", lambda c: F.slice(words, (c.begin + 1).cast("int"), c.n_words.cast("int")))), " "))
+    out = taken.select("_row", cut.alias("_text"))
     new = {"text": F.col("_text"), "n_chars": F.length("_text").cast("long")}
-    return out.select(*[new[c].alias(c) if c in new else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
+    return out.select(*[new.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
