@@ -184,8 +184,11 @@ class CaptureIndex:
         block = rest[: int(fields["Content-Length"])]
         http, _, payload = block.partition(b"\r\n\r\n")
         size = next(int(line.split(b": ")[1]) for line in http.split(b"\r\n") if line.startswith(b"Content-Length: "))
+        digest = fields["WARC-Payload-Digest"].removeprefix("sha1:")
+        if fields["WARC-Type"] == "response" and (len(payload) != size or base64.b32encode(hashlib.sha1(payload).digest()).decode() != digest):
+            raise ValueError(f"the payload of {fields['WARC-Record-ID']} is not what its headers say")
         number = lambda k: int(fields[k]) if k in fields else None
-        return {"page_id": number("X-Page-Id"), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"], "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha1:"), "payload_bytes": size, "refers_to": number("X-Refers-To-Page-Id"), "payload": payload if fields["WARC-Type"] == "response" else None}
+        return {"page_id": number("X-Page-Id"), "url": fields.get("WARC-Target-URI"), "record_type": fields["WARC-Type"], "payload_digest": digest, "payload_bytes": size, "refers_to": number("X-Refers-To-Page-Id"), "payload": payload if fields["WARC-Type"] == "response" else None}
 
 
 def lookup(files: DataFrame, wanted: DataFrame) -> DataFrame:
