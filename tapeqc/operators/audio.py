@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import characterize_imbalance, dropped_sample_score
-from .intervals import gap_islands, merge_spans, suppress_in_bars
+from .intervals import ASSET, gap_islands, islands, merge_spans, suppress_in_bars
 
 CHANNEL = ["asset_id", "ch"]
 
@@ -88,45 +88,108 @@ def dropout_events(candidates: DataFrame, bars: DataFrame | None = None, gap: fl
     return events.where(~alone).unionByName(supported)
 
 
-def hopping_windows(df: DataFrame, keys: list[str], size: int, step: int) -> DataFrame:
-    """df with win for each full window of `size` rows, every `step` rows, that a row (i, from 0) belongs to."""
-    w = Window.partitionBy(*keys)
-    own = df.withColumn("_i", F.row_number().over(w.orderBy("frame_idx")) - 1).withColumn("_n", F.count("*").over(w))
-    low = F.greatest(F.lit(0), F.ceil((F.col("_i") - size + 1) / step).cast("int"))
-    high = F.least(F.floor(F.col("_i") / step), F.floor((F.col("_n") - size) / step)).cast("int")
-    return own.where((high >= low) & (F.col("_n") >= size)).withColumn("win", F.explode(F.sequence(low, high))).drop("_i", "_n")
+# Thresholds of audible timecode in loudness (R128) and in channel statistics (astats).
+WINDOW_S, R128_WINDOWS, ASTATS_WINDOWS = 30.0, 6, 2
+R128_A = {"m_stdev": 2.0, "m_mean": -25.0, "lra_median": 8.5}
+R128_B = {"lra_high": (-30.0, -10.0), "lra_high_stdev": 2.0, "m_i_diff": 20.0, "lra_median": 13.0}
+R128_C = {"ms_diff_median": 1.5, "m_stdev": 8.0, "lra_high": (-30.0, -24.0), "lra_high_stdev": 3.0, "m_min": -60.0}
+R128_NAMES = {"A": "R128-A (stable mix at TC level)", "B": "R128-B (TC + silence)", "C": "R128-C (TC + program audio)"}
+ASTATS_BANDS = {"rms_level": (-30.0, -10.0), "crest_factor": (1.55, 2.25), "zero_crossings_rate": (0.05, 0.10), "entropy": (0.60, 0.80)}
+ASTATS_STDEV = {"rms_level": 1.0, "crest_factor": 0.30, "zero_crossings_rate": 0.02, "entropy": 0.05}
+ASTATS_STDEV_HIGH = {"rms_level": 0.5, "crest_factor": 0.10, "zero_crossings_rate": 0.005, "entropy": 0.02}
+REFINE_BAND, REFINE_SMOOTH_S = (-45.0, -8.0), 1.0
 
 
-def astats_timecode(frames: DataFrame, size: int, bands: dict[str, tuple[float, float]], most_std: dict[str, float]) -> DataFrame:
-    """asset_id, ch, win, start_s, end_s: windows of a channel whose four metrics' means lie in their bands and vary little."""
-    wide = hopping_windows(frames, CHANNEL, size, max(1, size // 2))
-    aggs = [a for c in bands for a in (F.avg(c).alias(f"{c}_m"), F.coalesce(F.stddev_samp(c), F.lit(0.0)).alias(f"{c}_s"))]
-    out = wide.groupBy(*CHANNEL, "win").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"), *aggs)
-    for c, (lo, hi) in bands.items():
-        out = out.where(F.col(f"{c}_m").between(lo, hi) & (F.col(f"{c}_s") <= most_std.get(c, float("inf"))))
-    return out.select(*CHANNEL, "win", "start_s", "end_s")
+def frame_steps(frames: DataFrame, keys: list[str]) -> DataFrame:
+    """frames with _i (a key's frames from 0), _n (how many) and _dt: the seconds between its first two frames, a tenth where there is no such step."""
+    w = Window.partitionBy(*keys).orderBy("frame_idx")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    dt = F.nth_value("t", 2).over(whole) - F.first("t").over(whole)
+    return frames.select("*", (F.row_number().over(w) - 1).alias("_i"), F.count("*").over(Window.partitionBy(*keys)).alias("_n"), F.when(dt > 0, dt).otherwise(0.1).alias("_dt"))
+
+
+def hopping_windows(df: DataFrame, keys: list[str], seconds: float = WINDOW_S, nearest: bool = False) -> DataFrame:
+    """df with win for each full window of `seconds`, every half window, that a row belongs to: rows are copied at most three times.
+
+    A window's frames are counted by the key's own step, cut to a whole number, or rounded (half to even) with `nearest`.
+    """
+    own = frame_steps(df, keys)
+    frames = F.lit(seconds) / F.col("_dt")
+    own = own.withColumn("_size", F.greatest(F.lit(1), F.bround(frames, 0).cast("int") if nearest else F.floor(frames).cast("int")))
+    own = own.withColumn("_step", F.greatest(F.lit(1), F.floor(F.col("_size") / 2).cast("int")))
+    low = F.greatest(F.lit(0), F.ceil((F.col("_i") - F.col("_size") + 1) / F.col("_step")).cast("int"))
+    high = F.least(F.floor(F.col("_i") / F.col("_step")), F.floor((F.col("_n") - F.col("_size")) / F.col("_step"))).cast("int")
+    return own.where((high >= low) & (F.col("_n") >= F.col("_size"))).withColumn("win", F.explode(F.sequence(low, high))).drop("_i", "_n", "_dt", "_size", "_step")
+
+
+def _stdev(c: str) -> Column:
+    return F.coalesce(F.stddev_samp(c), F.lit(0.0))
+
+
+def astats_timecode(frames: DataFrame, seconds: float = WINDOW_S) -> DataFrame:
+    """asset_id, ch, criterion, win, start_s, end_s, confidence: windows of a channel in which all four metrics stay in their bands and steady.
 
+    frames: asset_id, ch, frame_idx, t and the metrics of ASTATS_BANDS, null where not measured. high: all four are steadier still.
+    """
+    wide = hopping_windows(frames, CHANNEL, seconds, nearest=True)
+    aggs = [x for c in ASTATS_BANDS for x in (F.avg(c).alias(f"{c}_m"), _stdev(c).alias(f"{c}_s"))]
+    out = wide.groupBy(*CHANNEL, "win").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"), *aggs)
+    high = F.lit(True)
+    for c, band in ASTATS_BANDS.items():
+        out = out.where(F.col(f"{c}_m").between(*band) & (F.col(f"{c}_s") < ASTATS_STDEV[c]))
+        high = high & (F.col(f"{c}_s") < ASTATS_STDEV_HIGH[c])
+    criterion = F.concat(F.lit("astats (ch"), F.col("ch").cast("string"), F.lit(")"))
+    return out.select(*CHANNEL, criterion.alias("criterion"), "win", "start_s", "end_s", F.when(high, "high").otherwise("medium").alias("confidence"))
 
-def r128_timecode(frames: DataFrame, size: int, band: tuple[float, float], most_std: float, lra: float) -> DataFrame:
-    """asset_id, win, start_s, end_s, criterion: windows of loudness that is steady (A), nearly so with a low range (B), or close to its short-term value (C)."""
-    wide = hopping_windows(frames, ["asset_id"], size, max(1, size // 2))
-    gap = F.avg(F.abs(F.col("r128_m") - F.col("r128_s")))
-    one = wide.groupBy("asset_id", "win").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"), F.avg("r128_m").alias("m"), F.coalesce(F.stddev_samp("r128_m"), F.lit(0.0)).alias("sd"), F.max("r128_lra").alias("lra"), gap.alias("gap"))
-    steady = F.col("m").between(*band)
-    criterion = F.when(steady & (F.col("sd") <= most_std), "A").when(steady & (F.col("sd") <= 2 * most_std) & (F.col("lra") <= lra), "B").when(steady & (F.col("gap") <= most_std), "C")
-    return one.withColumn("criterion", criterion).where("criterion is not null").select("asset_id", "win", "start_s", "end_s", "criterion")
 
+def label_channels(detections: DataFrame) -> DataFrame:
+    """Detections (asset_id, ch, start_s, end_s, ...) with channel: chN, or both (chN) where one of the other channel of 1 and 2 overlaps or touches."""
+    on = (F.col("l.asset_id") == F.col("r.asset_id")) & (F.col("l.ch") + F.col("r.ch") == 3) & (F.col("l.start_s") <= F.col("r.end_s")) & (F.col("r.start_s") <= F.col("l.end_s"))
+    name = F.concat(F.lit("ch"), F.col("ch").cast("string"))
+    both = detections.alias("l").join(detections.alias("r"), on, "left_semi").withColumn("channel", F.concat(F.lit("both ("), name, F.lit(")")))
+    return both.unionByName(detections.alias("l").join(detections.alias("r"), on, "left_anti").withColumn("channel", name))
 
-def filter_consecutive(detections: DataFrame, n: int, gap: float = 45.0, keys: list[str] | None = None) -> DataFrame:
-    """Detections of runs, starts at most `gap` apart, of at least n."""
-    keys = keys or ["asset_id", "criterion"]
-    runs = gap_islands(detections, keys, "start_s", gap)
-    return runs.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "island"))).where(F.col("_n") >= n).drop("_n", "island")
 
+def r128_timecode(frames: DataFrame, seconds: float = WINDOW_S) -> DataFrame:
+    """asset_id, criterion, channel, win, start_s, end_s, confidence: a row for each window and each of the three loudness criteria that it meets.
 
-def merge_detections(detections: DataFrame, gap: float = 30.0) -> DataFrame:
-    """Per criterion, detections that start at most `gap` after the latest end before are one; high if any of them is."""
-    return merge_spans(detections, gap, ["asset_id", "criterion"], [F.when(F.bool_or(F.col("confidence") == "high"), "high").otherwise(F.max("confidence")).alias("confidence")])
+    frames: asset_id, frame_idx, t and r128_m, r128_s, r128_lra, r128_lra_high, r128_i of the mix, null where not measured. A: steady at
+    timecode's level. B: a loud side that is steady, far from the asset's integrated loudness (its last below -1), with a wide range.
+    C: a momentary loudness that swings away from the short-term one, above silence.
+    """
+    i = frames.groupBy("asset_id").agg(F.max_by("r128_i", F.when(F.col("r128_i") < -1, F.col("frame_idx"))).alias("i"))
+    wide = hopping_windows(frames, ["asset_id"], seconds)
+    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("frame_idx", F.col(c).alias("x"))))), lambda z: z["x"])
+    pairs = F.filter(F.zip_with(in_order("r128_m"), in_order("r128_s"), lambda m, s: F.abs(m - s)), lambda x: x.isNotNull())
+    one = wide.groupBy("asset_id", "win").agg(
+        F.min("t").alias("start_s"), F.max("t").alias("end_s"), F.avg("r128_m").alias("m_mean"), _stdev("r128_m").alias("m_std"), F.percentile("r128_m", 0.5).alias("m_med"), F.min("r128_m").alias("m_min"),
+        F.percentile("r128_lra", 0.5).alias("lra_med"), F.avg("r128_lra_high").alias("high_mean"), _stdev("r128_lra_high").alias("high_std"), F.array_sort(pairs).alias("gaps"),
+    ).join(i, "asset_id")
+    n = F.size("gaps")
+    gap = F.when(n > 0, (F.get("gaps", F.floor((n - 1) / 2).cast("int")) + F.get("gaps", F.floor(n / 2).cast("int"))) / 2)
+    there = F.col("m_mean").isNotNull()
+    a = there & (F.col("m_std") < R128_A["m_stdev"]) & (F.col("m_mean") > R128_A["m_mean"]) & (F.col("lra_med") < R128_A["lra_median"])
+    b = there & F.col("high_mean").between(*R128_B["lra_high"]) & (F.col("high_std") < R128_B["lra_high_stdev"]) & (F.abs(F.col("m_med") - F.col("i")) > R128_B["m_i_diff"]) & (F.col("lra_med") > R128_B["lra_median"])
+    c = there & (gap > R128_C["ms_diff_median"]) & (F.col("m_std") > R128_C["m_stdev"]) & F.col("high_mean").between(*R128_C["lra_high"]) & (F.col("high_std") < R128_C["lra_high_stdev"]) & (F.col("m_min") > R128_C["m_min"])
+    sure = {"A": F.col("m_std") < 1.0, "B": F.col("high_std") < 0.5, "C": gap > 2.0}
+    found = [F.when(met, F.struct(F.lit(R128_NAMES[k]).alias("criterion"), F.lit("n/a (mix-based)" if k == "A" else "one channel").alias("channel"), F.when(sure[k], "high").otherwise("medium").alias("confidence"))) for k, met in zip("ABC", (a, b, c), strict=True)]
+    out = one.select("asset_id", "win", "start_s", "end_s", F.explode(F.array_compact(F.array(*found))).alias("x"))
+    return out.select("asset_id", "x.criterion", "x.channel", "win", "start_s", "end_s", "x.confidence")
+
+
+def filter_consecutive(detections: DataFrame, n: int = R128_WINDOWS, gap: float = 1.5 * WINDOW_S) -> DataFrame:
+    """Detections of runs of at least n, per asset and criterion: one more belongs to a run that starts at most `gap` after the end of the one before."""
+    keys = ["asset_id", "criterion"]
+    before = F.lag("end_s").over(Window.partitionBy(*keys).orderBy("start_s", "win"))
+    runs = islands(detections.withColumn("_before", before), keys, ["start_s", "win"], F.col("start_s") - F.col("_before") > gap)
+    return runs.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "island"))).where(F.col("_n") >= n).drop("_n", "_before", "island")
+
+
+def merge_detections(detections: DataFrame, gap: float = WINDOW_S) -> DataFrame:
+    """Per asset and criterion, detections that start at most `gap` after the latest end before are one: high if any of them is, with the first one's channel."""
+    first = F.min_by(F.struct("channel", "confidence"), F.struct("start_s", "end_s")).alias("_first")
+    out = merge_spans(detections, gap, ["asset_id", "criterion"], [F.bool_or(F.col("confidence") == "high").alias("_high"), first])
+    return out.select("asset_id", "criterion", "start_s", "end_s", "n_spans", F.col("_first.channel").alias("channel"), F.when(F.col("_high"), "high").otherwise(F.col("_first.confidence")).alias("confidence"))
 
 
 def majority_smooth(frames: DataFrame, flag: str, k: int = 3, keys: list[str] = CHANNEL, out: str = "smooth") -> DataFrame:
@@ -151,28 +214,64 @@ def tc_subregions(frames: DataFrame, flag: str, hole_s: float = 2.0, join_s: flo
     return out.where(F.col("end_s") - F.col("start_s") >= least_s).drop("part")
 
 
-def refine_start(regions: DataFrame, frames: DataFrame, level: str = "rms_level", band: tuple[float, float] = (-45.0, -8.0), ahead: int = 8) -> DataFrame:
-    """regions (asset_id, start_s, end_s) whose start moves back while the median of the next `ahead` levels stays in the band."""
-    w = Window.partitionBy("asset_id").orderBy("frame_idx").rowsBetween(0, ahead - 1)
-    own = frames.select("asset_id", "t", F.coalesce(F.percentile(level, 0.5).over(w).between(*band), F.lit(False)).alias("ok")) if level in frames.columns else frames
-    on = (F.col("f.asset_id") == F.col("r.asset_id")) & (F.col("f.t") < F.col("r.start_s"))
-    wide = regions.alias("r").join(own.alias("f"), on, "left")
-    bad = wide.groupBy("r.asset_id", "r.start_s", "r.end_s").agg(F.max(F.when(~F.col("f.ok"), F.col("f.t"))).alias("bad"), F.min("f.t").alias("first"))
-    first_good = bad.alias("b").join(own.where("ok").alias("g"), (F.col("b.asset_id") == F.col("g.asset_id")) & (F.col("g.t") < F.col("b.start_s")) & (F.col("g.t") > F.coalesce(F.col("b.bad"), F.lit(-1.0))), "left")
-    return first_good.groupBy("b.asset_id", "b.start_s", "b.end_s").agg(F.coalesce(F.min("g.t"), F.first("b.start_s")).alias("new")).select("asset_id", F.col("new").alias("start_s"), "end_s")
+def refine_start(regions: DataFrame, frames: DataFrame, level: str = "r128_m", band: tuple[float, float] = REFINE_BAND, smooth_s: float = REFINE_SMOOTH_S) -> DataFrame:
+    """regions (asset_id, start_s, ...) with the start moved back to the first of the frames before it, without a break, whose smoothed level is in the band.
+
+    A frame's smoothed level is the median of the levels there are in the `smooth_s` seconds from it on, by the asset's own step. The walk begins at
+    the first frame from the start on; a region after the last frame, or of an asset without frames, begins with the asset's first frame, or stays.
+    """
+    own = frame_steps(frames, ASSET).select("asset_id", "t", "_i", F.col(level).alias("x"), F.greatest(F.lit(1), F.floor(smooth_s / F.col("_dt")).cast("int")).alias("_ahead"))
+    spread = own.select("asset_id", "x", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_i") - F.col("_ahead") + 1), F.col("_i"))).alias("_i"))
+    smooth = spread.groupBy("asset_id", "_i").agg(F.percentile("x", 0.5).alias("mid"))
+    w = Window.partitionBy("asset_id").orderBy("_i")
+    judged = own.join(smooth, ["asset_id", "_i"]).withColumn("_next", F.lead("t").over(w))
+    failed = F.when(~F.coalesce(F.col("mid").between(*band), F.lit(False)), F.col("_next"))
+    reach = judged.select("asset_id", "t", F.coalesce(F.max(failed).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first("t").over(w)).alias("reach"))
+    row = F.struct(*regions.columns)
+    marks = reach.select("asset_id", "t", F.lit(1).alias("kind"), "reach").unionByName(regions.select("asset_id", F.col("start_s").alias("t"), F.lit(0).alias("kind"), row.alias("_row")), allowMissingColumns=True)
+    ahead = Window.partitionBy("asset_id").orderBy("t", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    begin = F.min(F.when(F.col("kind") == 1, F.col("t"))).over(Window.partitionBy("asset_id"))
+    out = marks.select("_row", "kind", F.first("reach", ignorenulls=True).over(ahead).alias("reach"), begin.alias("begin")).where("kind = 0")
+    return out.select(*[F.coalesce("reach", "begin", "_row.start_s").alias(c) if c == "start_s" else F.col("_row")[c].alias(c) for c in regions.columns])
+
+
+_RANK = {"low": 1, "medium": 2, "high": 3}
+
+
+def _best(confidences: Column) -> Column:
+    rank = lambda c: F.struct(F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in _RANK.items() for x in kv]), F.lower(c)), F.lit(0)).alias("rank"), c.alias("c"))
+    return F.array_max(F.transform(confidences, rank))["c"]
 
 
-def timecode_consensus(astats: DataFrame, r128: DataFrame) -> DataFrame:
-    """asset_id, start_s, end_s, methods, confidence: unions of astats regions that overlap; r128 joins where it overlaps and never extends them.
+def timecode_consensus(detections: DataFrame, assets: DataFrame) -> DataFrame:
+    """asset_id, start_s, end_s, channel, confidence, methods, method_count: regions on which detectors agree.
 
-    Assets without astats regions keep their r128 regions.
+    detections: asset_id, criterion, channel, start_s, end_s, confidence. Those of astats, of both channels, make the regions; R128 ones that overlap or touch
+    add their method and confidence and never move a bound. An R128 one that meets no region stands alone only where assets (asset_id,
+    astats_available) has no channel statistics of the asset; of such that overlap, the first stands.
     """
-    base = merge_spans(astats, 0.0)
-    on = (F.col("l.asset_id") == F.col("r.asset_id")) & (F.col("l.start_s") <= F.col("r.end_s")) & (F.col("r.start_s") <= F.col("l.end_s"))
-    both = base.alias("l").join(r128.select("asset_id", "start_s", "end_s").alias("r"), on, "left").groupBy("l.asset_id", "l.start_s", "l.end_s").agg(F.count("r.asset_id").alias("n"))
-    both = both.select("asset_id", "start_s", "end_s", F.when(F.col("n") > 0, "astats+r128").otherwise("astats").alias("methods"), F.when(F.col("n") > 0, "high").otherwise("medium").alias("confidence"))
-    alone = merge_spans(r128.join(astats.select("asset_id").distinct(), "asset_id", "left_anti"), 0.0).select("asset_id", "start_s", "end_s", F.lit("r128").alias("methods"), F.lit("medium").alias("confidence"))
-    return both.unionByName(alone)
+    loud = F.lower(F.col("criterion")).startswith("r128")
+    r128, astats = detections.where(loud), detections.where(~loud)
+    extra = [F.collect_list("confidence").alias("confs"), F.array_sort(F.collect_set("criterion")).alias("names"), F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(F.lower("channel"), F.lit("ch([0-9]+)"), F.lit(1))))).alias("chs"), F.coalesce(F.bool_or(F.lower("channel").contains("both")), F.lit(False)).alias("both")]
+    regions = merge_spans(astats.select("asset_id", "start_s", "end_s", "confidence", "criterion", "channel"), 0.0, ASSET, extra).drop("n_spans")
+    met = (F.col("l.asset_id") == F.col("r.asset_id")) & (F.col("l.start_s") <= F.col("r.end_s")) & (F.col("r.start_s") <= F.col("l.end_s"))
+    unmeasured = assets.where(~F.coalesce("astats_available", F.lit(False))).select("asset_id")
+    free = r128.alias("l").join(regions.alias("r"), met, "left_anti").join(unmeasured, "asset_id", "left_semi")
+    spans = free.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s"))).alias("spans"))  # merged detections of one asset
+    none = F.array().cast("array<struct<start_s: double, end_s: double>>")
+    apart = F.aggregate("spans", none, lambda a, x: F.when((F.size(a) == 0) | (F.element_at(a, -1)["end_s"] < x["start_s"]), F.array_append(a, x)).otherwise(a))
+    alone = spans.select("asset_id", F.explode(apart).alias("x")).select("asset_id", "x.start_s", "x.end_s", F.array().cast("array<string>").alias("confs"), F.array().cast("array<string>").alias("names"), F.array().cast("array<string>").alias("chs"), F.lit(False).alias("both"))
+    whole = regions.select(alone.columns).unionByName(alone)
+    wide = whole.alias("l").join(r128.select("asset_id", "start_s", "end_s", "confidence").alias("r"), met, "left")
+    out = wide.groupBy("l.asset_id", "l.start_s", "l.end_s", "confs", "names", "chs", "both").agg(F.collect_list("r.confidence").alias("more"), F.count("r.asset_id").alias("n"))
+    methods = F.concat(F.when(F.col("n") > 0, F.array(F.lit("R128"))).otherwise(F.array().cast("array<string>")), F.col("names"))
+    channel = F.when(F.col("both") | (F.size("chs") > 1), "Both channels").when(F.size("chs") == 1, F.concat(F.lit("Channel "), F.get("chs", F.lit(0)))).otherwise("Not channel-specific (mix-based)")
+    return out.select("asset_id", "start_s", "end_s", channel.alias("channel"), _best(F.concat("confs", "more")).alias("confidence"), F.array_join(methods, " + ").alias("methods"), F.size(methods).alias("method_count"))
+
+
+def single_audio_stream(frames: DataFrame, streams: DataFrame) -> DataFrame:
+    """frames of the assets whose audio is one stream (streams: asset_id, audio_streams); an unknown number passes, several streams were mixed down."""
+    return frames.join(streams.where(F.col("audio_streams") > 1).select("asset_id"), "asset_id", "left_anti")
 
 
 def tone_spans(chunks: DataFrame, tolerance: float = 1.0, least_ms: float = 2000.0, chunk_ms: float = 250.0) -> DataFrame:

@@ -14,7 +14,7 @@ from ..operators import intervals as I
 from ..operators import metadata as M
 from ..operators import similarity as S
 from ..operators import video as V
-from .frames import CHANNELS, FRAMES, channels, frames, table
+from .frames import CHANNELS, FRAMES, LOUDNESS, TIMECODE, channels, frames, loudness, table, timecode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -353,12 +353,6 @@ def _(spark, d):
     return I.overlapping_methods(own.where("end_s - start_s >= 4"), own.where("end_s - start_s = 1"))
 
 
-@_query("W18_timecode_consensus")
-def _(spark, d):
-    own = _spans(spark, d)
-    return A.timecode_consensus(own.where("end_s - start_s >= 4"), own.where("end_s - start_s = 1"))
-
-
 @_query("J15_bars_agreement", f"WITH {_SPANS}, a AS (SELECT asset_id, max(end_s) AS a FROM spans WHERE asset_id % 3 <> 0 GROUP BY asset_id), b AS (SELECT asset_id, max(start_s) AS b FROM spans WHERE asset_id % 5 <> 0 GROUP BY asset_id) SELECT asset_id, CASE WHEN a IS NULL THEN 'second only' WHEN b IS NULL THEN 'first only' WHEN abs(a - b) <= 1 THEN 'agree' ELSE 'differ' END AS verdict FROM a FULL JOIN b USING (asset_id)")
 def _(spark, d):
     own = _spans(spark, d)
@@ -413,34 +407,96 @@ def _(spark, d):
     return I.cross_channel_support(events).withColumn("corroborating", F.array_join("corroborating", "+"))
 
 
-@_query("W9_hopping_windows", f"WITH {CHANNELS}, n AS (SELECT asset_id, ch, frame_idx AS i, count(*) OVER (PARTITION BY asset_id, ch) AS total FROM channels), w AS (SELECT *, unnest(range(0, total, 10)) AS s FROM n) SELECT asset_id, ch, CAST(s // 10 AS INT) AS win, count(*) AS n FROM w WHERE i >= s AND i < s + 20 AND s + 20 <= total GROUP BY ALL")
+def _windows_sql(view: str, keys: str, count: str = "floor") -> str:
+    """wins: a row of `view` for each full window of 30 seconds, every half window, that it belongs to."""
+    on = " AND ".join(f"s.{k} = d.{k}" for k in keys.split(", "))
+    return f"""stepped AS (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY frame_idx) - 1 AS i, count(*) OVER (PARTITION BY {keys}) AS n FROM {view}),
+dts AS (SELECT {keys}, max(CASE WHEN i = 1 THEN t END) - max(CASE WHEN i = 0 THEN t END) AS d FROM stepped GROUP BY {keys}),
+sized AS (SELECT s.*, greatest(1, CAST({count}(30 / CASE WHEN d.d > 0 THEN d.d ELSE 0.1 END) AS INT)) AS size FROM stepped s JOIN dts d ON {on}),
+opened AS (SELECT *, unnest(range(0, n - size + 1, greatest(1, size // 2))) AS a FROM sized),
+wins AS (SELECT *, CAST(a // greatest(1, size // 2) AS INT) AS win FROM opened WHERE i >= a AND i < a + size)"""
+
+
+@_query("W9_hopping_windows", f"WITH {CHANNELS}, {_windows_sql('channels', 'asset_id, ch')} SELECT asset_id, ch, win, count(*) AS n FROM wins GROUP BY ALL")
+def _(spark, d):
+    return A.hopping_windows(channels(spark, d), ["asset_id", "ch"]).groupBy("asset_id", "ch", "win").agg(F.count("*").alias("n"))
+
+
+_ASTATS = f"""{TIMECODE}, {_windows_sql('timecode', 'asset_id, ch', 'round_even0')},
+stats AS (SELECT asset_id, ch, win, min(t) AS start_s, max(t) AS end_s, avg(rms_level) AS rm, stddev_samp(rms_level) AS rs, avg(crest_factor) AS cm, stddev_samp(crest_factor) AS cs, avg(zero_crossings_rate) AS zm, stddev_samp(zero_crossings_rate) AS zs, avg(entropy) AS em, stddev_samp(entropy) AS es FROM wins GROUP BY ALL),
+astats AS (SELECT asset_id, ch, 'astats (ch' || ch || ')' AS criterion, win, start_s, end_s, CASE WHEN rs < 0.5 AND cs < 0.1 AND zs < 0.005 AND es < 0.02 THEN 'high' ELSE 'medium' END AS confidence FROM stats
+ WHERE rm BETWEEN -30 AND -10 AND rs < 1 AND cm BETWEEN 1.55 AND 2.25 AND cs < 0.3 AND zm BETWEEN 0.05 AND 0.1 AND zs < 0.02 AND em BETWEEN 0.6 AND 0.8 AND es < 0.05)""".replace("round_even0(30 / CASE WHEN d.d > 0 THEN d.d ELSE 0.1 END)", "round_even(30 / CASE WHEN d.d > 0 THEN d.d ELSE 0.1 END, 0)")
+
+
+@_query("W11_astats_timecode", f"WITH {_ASTATS} SELECT * FROM astats")
+def _(spark, d):
+    return A.astats_timecode(timecode(spark, d))
+
+
+@_query("W11_label_channels", f"WITH {_ASTATS} SELECT a.asset_id, a.ch, a.win, CASE WHEN EXISTS (SELECT 1 FROM astats b WHERE b.asset_id = a.asset_id AND b.ch <> a.ch AND a.start_s <= b.end_s AND b.start_s <= a.end_s) THEN 'both (ch' || a.ch || ')' ELSE 'ch' || a.ch END AS channel FROM astats a")
+def _(spark, d):
+    return A.label_channels(A.astats_timecode(timecode(spark, d))).select("asset_id", "ch", "win", "channel")
+
+
+_R128 = f"""{LOUDNESS}, {_windows_sql('loudness', 'asset_id')},
+whole AS (SELECT asset_id, arg_max(r128_i, frame_idx) AS i FROM loudness WHERE r128_i < -1 GROUP BY asset_id),
+stats AS (SELECT asset_id, win, min(t) AS start_s, max(t) AS end_s, avg(r128_m) AS mm, coalesce(stddev_samp(r128_m), 0) AS ms, median(r128_m) AS md, min(r128_m) AS lowest, median(r128_lra) AS lra, avg(r128_lra_high) AS hm, coalesce(stddev_samp(r128_lra_high), 0) AS hs,
+ list(r128_m ORDER BY frame_idx) FILTER (WHERE r128_m IS NOT NULL) AS lm, list(r128_s ORDER BY frame_idx) FILTER (WHERE r128_s IS NOT NULL) AS ls FROM wins GROUP BY ALL),
+more AS (SELECT s.*, w.i, list_aggregate(list_transform(range(1, least(len(lm), len(ls)) + 1), lambda k: abs(lm[k] - ls[k])), 'median') AS gap FROM stats s LEFT JOIN whole w USING (asset_id)),
+r128 AS (SELECT asset_id, 'R128-A (stable mix at TC level)' AS criterion, 'n/a (mix-based)' AS channel, win, start_s, end_s, CASE WHEN ms < 1 THEN 'high' ELSE 'medium' END AS confidence FROM more WHERE ms < 2 AND mm > -25 AND lra < 8.5
+ UNION ALL SELECT asset_id, 'R128-B (TC + silence)', 'one channel', win, start_s, end_s, CASE WHEN hs < 0.5 THEN 'high' ELSE 'medium' END FROM more WHERE mm IS NOT NULL AND hm BETWEEN -30 AND -10 AND hs < 2 AND abs(md - i) > 20 AND lra > 13
+ UNION ALL SELECT asset_id, 'R128-C (TC + program audio)', 'one channel', win, start_s, end_s, CASE WHEN gap > 2 THEN 'high' ELSE 'medium' END FROM more WHERE gap > 1.5 AND ms > 8 AND hm BETWEEN -30 AND -24 AND hs < 3 AND lowest > -60),
+runs AS (SELECT *, sum(CASE WHEN start_s - before <= 45 THEN 0 ELSE 1 END) OVER (PARTITION BY asset_id, criterion ORDER BY start_s) AS g FROM (SELECT *, lag(end_s) OVER (PARTITION BY asset_id, criterion ORDER BY start_s) AS before FROM r128)),
+lasting AS (SELECT asset_id, criterion, channel, win, start_s, end_s, confidence FROM (SELECT *, count(*) OVER (PARTITION BY asset_id, criterion, g) AS k FROM runs) WHERE k >= 6),
+joined AS (SELECT *, sum(CASE WHEN start_s <= before + 30 THEN 0 ELSE 1 END) OVER (PARTITION BY asset_id, criterion ORDER BY start_s) AS g FROM (SELECT *, max(end_s) OVER (PARTITION BY asset_id, criterion ORDER BY start_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM lasting)),
+found AS (SELECT asset_id, criterion, min(start_s) AS start_s, max(end_s) AS end_s, count(*) AS n_spans, arg_min(channel, start_s) AS channel, CASE WHEN bool_or(confidence = 'high') THEN 'high' ELSE arg_min(confidence, start_s) END AS confidence FROM joined GROUP BY asset_id, criterion, g)"""
+
+
+@_query("W10_r128_timecode", f"WITH {_R128} SELECT * FROM r128")
+def _(spark, d):
+    return A.r128_timecode(loudness(spark, d))
+
+
+@_query("W12_filter_consecutive", f"WITH {_R128} SELECT * FROM lasting")
 def _(spark, d):
-    return A.hopping_windows(channels(spark, d), ["asset_id", "ch"], 20, 10).groupBy("asset_id", "ch", "win").agg(F.count("*").alias("n"))
+    return A.filter_consecutive(A.r128_timecode(loudness(spark, d)))
 
 
-@_query("W11_astats_timecode")
+@_query("W13_merge_detections", f"WITH {_R128} SELECT * FROM found")
 def _(spark, d):
-    return A.astats_timecode(channels(spark, d), 20, {"rms_level": (-40.0, -15.0), "zero_crossings_rate": (5.0, 20.0)}, {"rms_level": 30.0})
+    return A.merge_detections(A.filter_consecutive(A.r128_timecode(loudness(spark, d))))
 
 
-def _loudness(spark: SparkSession, d: str) -> DataFrame:
-    return channels(spark, d).where("ch = 1")
+_REFINED = f"""regions AS (SELECT * FROM found UNION ALL SELECT asset_id, 'late', max(t) * 0.75 + 1, max(t), 1, '', '' FROM loudness GROUP BY asset_id),
+seq AS (SELECT asset_id, t, r128_m, row_number() OVER (PARTITION BY asset_id ORDER BY frame_idx) - 1 AS i FROM loudness),
+step AS (SELECT asset_id, greatest(1, CAST(floor(1 / (max(CASE WHEN i = 1 THEN t END) - max(CASE WHEN i = 0 THEN t END))) AS INT)) AS ahead FROM seq GROUP BY asset_id),
+mids AS (SELECT s.asset_id, s.i, s.t, coalesce((SELECT median(x.r128_m) FROM seq x WHERE x.asset_id = s.asset_id AND x.i >= s.i AND x.i < s.i + p.ahead) BETWEEN -45 AND -8, false) AS ok FROM seq s JOIN step p USING (asset_id)),
+begun AS (SELECT r.*, (SELECT min(i) FROM mids m WHERE m.asset_id = r.asset_id AND m.t >= r.start_s) AS j FROM regions r),
+reached AS (SELECT b.*, coalesce((SELECT max(i) + 1 FROM mids m WHERE m.asset_id = b.asset_id AND m.i < b.j AND NOT m.ok), 0) AS k FROM begun b)"""
 
 
-@_query("W10_r128_timecode")
+@_query("W14_refine_start", f"WITH {_R128}, {_REFINED} SELECT r.asset_id, r.criterion, m.t AS start_s, r.end_s FROM reached r JOIN mids m ON m.asset_id = r.asset_id AND m.i = r.k")
 def _(spark, d):
-    return A.r128_timecode(_loudness(spark, d), 20, (-25.0, -15.0), 0.85, 3.0)
+    own = loudness(spark, d)
+    found = A.merge_detections(A.filter_consecutive(A.r128_timecode(own))).select("asset_id", "criterion", "start_s", "end_s")
+    late = own.groupBy("asset_id").agg((F.max("t") * 0.75 + 1).alias("start_s"), F.max("t").alias("end_s")).select("asset_id", F.lit("late").alias("criterion"), "start_s", "end_s")
+    return A.refine_start(found.unionByName(late), own)
 
 
-@_query("W12_filter_consecutive")
+@_query("W18_timecode_consensus")
 def _(spark, d):
-    return A.filter_consecutive(A.r128_timecode(_loudness(spark, d), 20, (-25.0, -15.0), 0.85, 3.0), 2, 6.0)
+    r128 = A.merge_detections(A.filter_consecutive(A.r128_timecode(loudness(spark, d)))).drop("n_spans")
+    lasting = A.filter_consecutive(A.astats_timecode(timecode(spark, d)), A.ASTATS_WINDOWS)
+    found = A.merge_detections(A.label_channels(lasting)).drop("n_spans")
+    assets = loudness(spark, d).select("asset_id", (F.col("asset_id") % 5 != 1).alias("astats_available")).distinct()
+    return A.timecode_consensus(found.where("asset_id % 5 != 1").unionByName(r128), assets)
 
 
-@_query("W13_merge_detections")
+@_query("F10_single_audio_stream", f"WITH {CHANNELS}, s AS (SELECT DISTINCT asset_id, CASE WHEN asset_id % 6 = 0 THEN NULL ELSE asset_id % 3 END AS n FROM channels) SELECT asset_id, count(*) AS n FROM channels JOIN s USING (asset_id) WHERE s.n IS NULL OR s.n <= 1 GROUP BY asset_id")
 def _(spark, d):
-    found = A.r128_timecode(_loudness(spark, d), 20, (-25.0, -15.0), 0.85, 3.0)
-    return A.merge_detections(found.withColumn("confidence", F.when(F.col("win") % 3 == 0, "high").otherwise("medium")))
+    own = channels(spark, d)
+    streams = own.select("asset_id").distinct().withColumn("audio_streams", F.when(F.col("asset_id") % 6 != 0, F.col("asset_id") % 3))
+    return A.single_audio_stream(own, streams).groupBy("asset_id").agg(F.count("*").alias("n"))
 
 
 @_query("W15_majority_smooth", f"WITH {CHANNELS} SELECT asset_id, ch, frame_idx, avg(CAST(peak_level > -5 AS INT)) OVER (PARTITION BY asset_id, ch ORDER BY frame_idx ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING) > 0.5 AS smooth FROM channels")
@@ -453,13 +509,6 @@ def _(spark, d):
     return A.tc_subregions(channels(spark, d).withColumn("flag", F.col("peak_level") > -5), "flag", 1.0)
 
 
-@_query("W14_refine_start")
-def _(spark, d):
-    own = _loudness(spark, d)
-    starts = own.groupBy("asset_id").agg((F.max("t") / 2).alias("start_s"), F.max("t").alias("end_s"))
-    return A.refine_start(starts, own)
-
-
 @_query("W24_spike_detection")
 def _(spark, d):
     series = table(spark, d, "events").select((F.col("user_id") % 20).alias("asset_id"), F.col("event_id").alias("frame_idx"), F.col("value"))

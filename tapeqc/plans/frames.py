@@ -42,8 +42,24 @@ channels AS (SELECT asset_id, ch, frame_idx, frame_idx * CAST(0.25 AS DOUBLE) AS
   CAST(CASE WHEN frame_idx % 23 = 11 THEN 1 ELSE 100 + e % 9 END AS DOUBLE) AS max_difference,
   CAST(CASE WHEN frame_idx % 46 = 11 THEN 1 ELSE 80 + e % 5 END AS DOUBLE) AS rms_difference,
   CAST(CASE WHEN frame_idx % 23 = 12 THEN 90 ELSE 7 + e % 3 END AS DOUBLE) AS zero_crossings_rate,
-  CAST(e % 40 AS DOUBLE) / -4.0 AS peak_level, CAST(e % 3 AS DOUBLE) AS flat_factor,
-  CAST(-20 - e % 3 AS DOUBLE) AS r128_m, CAST(-21 - e % 2 AS DOUBLE) AS r128_s, CAST(e % 4 AS DOUBLE) AS r128_lra FROM numbered)"""
+  CAST(e % 40 AS DOUBLE) / -4.0 AS peak_level, CAST(e % 3 AS DOUBLE) AS flat_factor FROM numbered)"""
+
+LOUDNESS = """mixed AS (SELECT user_id % 20 AS asset_id, event_id AS e, CAST(row_number() OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id) - 1 AS BIGINT) AS frame_idx FROM events),
+kinds AS (SELECT *, asset_id % 4 AS kind, frame_idx % 160 >= 120 AS quiet FROM mixed),
+loudness AS (SELECT asset_id, frame_idx, frame_idx * CAST(2.5 AS DOUBLE) AS t,
+  CAST(CASE WHEN frame_idx % 23 = 7 THEN NULL WHEN quiet THEN -70 WHEN kind = 0 AND asset_id % 8 = 0 THEN -20 - e % 3 WHEN kind = 0 THEN -20 - 2 * (e % 3) WHEN kind = 1 THEN -20 - e % 3 WHEN kind = 2 THEN -15 - 25 * (e % 2) ELSE -35 - e % 20 END AS DOUBLE) AS r128_m,
+  CAST(CASE WHEN frame_idx % 29 = 5 THEN NULL WHEN kind = 2 THEN -27 ELSE -21 END AS DOUBLE) AS r128_s,
+  CAST(CASE WHEN kind = 0 THEN 5 + e % 3 WHEN kind = 1 THEN 15 + e % 2 ELSE 10 END AS DOUBLE) AS r128_lra,
+  CAST(CASE WHEN kind = 0 THEN -12 WHEN kind = 1 THEN -20 - e % 2 WHEN kind = 2 THEN -27 - e % 3 ELSE -40 END AS DOUBLE) AS r128_lra_high,
+  CAST(CASE WHEN frame_idx % 7 = 3 THEN NULL WHEN frame_idx % 11 = 4 THEN 0 WHEN kind = 1 THEN -46 ELSE -22 END AS DOUBLE) AS r128_i FROM kinds)"""
+
+TIMECODE = """counted AS (SELECT user_id % 20 AS asset_id, CAST(event_id % 2 + 1 AS INT) AS ch, event_id AS e, CAST(row_number() OVER (PARTITION BY user_id % 20, event_id % 2 ORDER BY ts, event_id) - 1 AS BIGINT) AS frame_idx FROM events),
+carried AS (SELECT *, (asset_id % 4 = 0 OR asset_id % 4 = 1 AND ch = 1 OR asset_id % 4 = 2) AND frame_idx % 90 < 70 AS tc, CASE WHEN asset_id % 4 = 2 THEN 3 ELSE 1 END AS loose FROM counted),
+timecode AS (SELECT asset_id, ch, frame_idx, frame_idx * CAST(2.5 AS DOUBLE) AS t,
+  CAST(CASE WHEN frame_idx % 31 = 9 THEN NULL WHEN tc THEN -21 - loose * (e % 3) / 4.0 ELSE -70 END AS DOUBLE) AS rms_level,
+  CAST(CASE WHEN tc THEN 1.75 + loose * (e % 3) / 32.0 ELSE 5 END AS DOUBLE) AS crest_factor,
+  CAST(CASE WHEN frame_idx % 37 = 4 THEN NULL WHEN tc THEN 0.0703125 + loose * (e % 3) / 512.0 ELSE 0.25 END AS DOUBLE) AS zero_crossings_rate,
+  CAST(CASE WHEN tc THEN 0.6875 + loose * (e % 3) / 128.0 ELSE 0.25 END AS DOUBLE) AS entropy FROM carried)"""
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,6 +75,16 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _from(spark, sf_dir, "lineitem", FRAMES, "frames")
 
 
+def loudness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asset_id, frame_idx, t and the mix' loudness: events as frames of twenty assets, some with timecode of each kind."""
+    return _from(spark, sf_dir, "events", LOUDNESS, "loudness")
+
+
+def timecode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """asset_id, ch, frame_idx, t and the four metrics that tell timecode: events as two channels of twenty assets."""
+    return _from(spark, sf_dir, "events", TIMECODE, "timecode")
+
+
 def channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """asset_id, ch, frame_idx, t and the audio metrics: events as two channels of twenty assets."""
     return _from(spark, sf_dir, "events", CHANNELS, "channels")
