@@ -8,7 +8,7 @@ Set relations save most of the work. First every set of a list is compared with
 comparisons as there are sets in lists. What links joins a group, and pairs within a group need no comparison. Then lists that still hold
 several groups are walked in blocks, and blocks whose sizes and positions cannot give a link are skipped whole; for two sets that were
 compared with the same leader the answers known bound theirs from below and above, which settles most pairs without reading the sets. Only
-the rest is read and compared.
+the rest, if the shingles that both prefixes share allow it, is read and compared.
 
 Defined results: a null or empty text, or one without words, has no set and links with nothing; a text with fewer words than a shingle has one
 shingle, all its words. Repeated rows are documents of their own. Null ids are kept; a group's id is its smallest id that is not null. Whole
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from fractions import Fraction
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,32 +37,61 @@ SKETCH = 1 << 18
 FILTER = 1 << 21
 #: Sets of one list that a block pair holds on each side, and that are skipped together.
 BLOCK, _SKIPPED, _TOGETHER = 2048, 64, 48
+#: Pairs of one set that a task compares before the set's text is read again.
+_MEMBERS = 512
 _REMEMBERED = 150_000
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        self[word] = out = xxhash.xxh64_intdigest(word)
-        return out
-
-
-_HASHES = _WordHashes()
+_SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+_BASE = 0x9E3779B97F4A7C15
+_CHUNK = 1 << 20
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of _BASE, and of its inverse, modulo 2^64."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        x = np.full(n, base, dtype=np.uint64)
+        x[0] = 1
+        out.append(np.multiply.accumulate(x))
+    return out[0], out[1]
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word in order: a polynomial of its bytes, taken from running sums over the whole text, then mixed."""
+    a = np.frombuffer(text, dtype=np.uint8)
+    space = np.concatenate([[True], _SPACE[a], [True]])
+    edges = np.flatnonzero(space[1:] != space[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    out = np.empty(len(starts), dtype=np.uint64)
+    k = 0
+    while k < len(starts):
+        first = int(starts[k])
+        m = max(k + 1, int(np.searchsorted(ends, first + _CHUNK, "right")))
+        part = a[first : int(ends[m - 1])]
+        up, down = _powers(1 << max(16, len(part).bit_length()))
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)], out=sums[1:])
+        out[k:m] = (sums[ends[k:m] - first] - sums[starts[k:m] - first]) * down[starts[k:m] - first]
+        k = m
+    out ^= out >> np.uint64(32)
+    out *= np.uint64(0xD6E8FEB86659FD93)
+    return out ^ out >> np.uint64(29)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles of so many words, A-Z lower-cased; empty for a text without words."""
-    parts = (text or "").encode().lower().split()
-    if not parts:
-        return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(_HASHES.__getitem__, parts), dtype=np.uint64, count=len(parts))
+    h = word_hashes((text or "").encode().lower())
+    if not len(h):
+        return h
     n = min(words, len(h))
     out = np.full(len(h) - n + 1, n, dtype=np.uint64)
     for k in range(n):
-        out = (out ^ h[k : len(h) - n + 1 + k]) * np.uint64(0x9E3779B97F4A7C15)
+        out = (out ^ h[k : len(h) - n + 1 + k]) * np.uint64(_BASE)
         out ^= out >> np.uint64(29)
-    return np.unique(out)
+    out.sort()
+    return out[np.concatenate([[True], out[1:] != out[:-1]])]
 
 
 def _digest(s: np.ndarray) -> bytes | None:
@@ -80,15 +110,10 @@ def _survey(docs: DataFrame, words: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(SKETCH, dtype=np.int64)
         empty = lambda n, kind: pa.nulls(n, kind)
-        for b in batches:
-            sizes, digests = [], []
-            for text in b["text"]:
-                s = shingles(text.as_py(), words)
-                sizes.append(len(s))
-                digests.append(_digest(s))
-                counts += np.bincount((s % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH) if len(s) > 20_000 else 0
-                if 0 < len(s) <= 20_000:
-                    np.add.at(counts, (s % np.uint64(SKETCH)).astype(np.int64), 1)
+        for b in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
+            sets = [shingles(text.as_py(), words) for text in b["text"]]
+            sizes, digests = [len(s) for s in sets], [_digest(s) for s in sets]
+            counts += np.bincount((np.concatenate(sets) % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH)
             n = len(sizes)
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), empty(n, pa.int32()), empty(n, pa.int64())], schema=schema)
         own = np.flatnonzero(counts)
@@ -138,40 +163,53 @@ def _postings(docs: DataFrame, words: int, t: Fraction, sketch) -> DataFrame:
     return listed.select("token", "digest", "size", "pos", F.col("x.pos").alias("lead_pos"), F.col("x.size").alias("lead_size"), F.col("x.digest").alias("leader"))
 
 
-def _texts(docs: DataFrame, members: DataFrame, needed: DataFrame) -> DataFrame:
-    """digest, text: one text for each needed set.
+def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, t: Fraction) -> DataFrame:
+    """pairs (a, b of digests) with overlap, size_a, size_b and linked, by reading both sets.
 
-    Documents are found by the row hash of one member of each set. A broadcast table of at most FILTER places of those hashes keeps most of
-    the other texts from being moved; where it is full it lets all pass.
+    A set's text is that of one row that has it (reps: digest, row, id). A pair brings b's text; a's comes once for each _MEMBERS of its
+    pairs. Texts are moved from docs where they are asked for: a broadcast table of at most FILTER places of the rows asked for keeps most
+    others where they are, and lets all pass when it is full.
     """
+    parts = pairs.groupBy("a").agg(F.count("*").alias("_n")).select("a", F.ceil(F.col("_n") / _MEMBERS).cast("int").alias("_parts"))
+    members = pairs.join(parts, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("_parts")).cast("int").alias("part"))
+    leads = parts.select("a", F.lit(None).cast("binary").alias("b"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("part"))
+    asked = members.unionByName(leads).withColumn("digest", F.coalesce("b", "a")).join(reps, "digest").select("row", "id", "a", "b", "part")
+    asked = written(asked, "asked-texts")
     place = lambda c: F.pmod(F.col(c), F.lit(FILTER)).cast("int")
-    wanted = members.join(needed, "digest", "left_semi").groupBy("digest").agg(F.min("row").alias("row"))
-    wanted = written(wanted, "wanted-rows")
-    places = wanted.select(place("row").alias("_place")).distinct()
-    near = docs.withColumn("_place", place("row")).join(F.broadcast(places), "_place", "left_semi").select("row", "text")
-    return near.join(wanted, "row").groupBy("digest").agg(F.first("text").alias("text"))
-
-
-def _compare(pairs: DataFrame, texts: DataFrame, words: int, t: Fraction) -> DataFrame:
-    """pairs (a, b of digests) with overlap, size_a, size_b and linked, by reading both sets."""
-    wide = pairs.join(texts.select(F.col("digest").alias("b"), F.col("text").alias("text_b")), "b")
-    wide = wide.join(texts.select(F.col("digest").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
+    places = asked.select(place("row").alias("_place")).distinct()
+    near = docs.withColumn("_place", place("row")).join(F.broadcast(places), "_place", "left_semi")
+    texts = near.groupBy("row", F.coalesce("doc_id", F.lit(-1)).alias("id")).agg(F.first("text").alias("text"))  # of rows that repeat, one
+    dealt = texts.join(asked, ["row", "id"]).select("a", "part", "b", "text").repartition("a", "part").sortWithinPartitions("a", "part", F.asc_nulls_first("b"))
     schema = pa.schema({"a": pa.binary(), "b": pa.binary(), "overlap": pa.int32(), "size_a": pa.int32(), "size_b": pa.int32(), "linked": pa.bool_()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, x = None, np.zeros(0, dtype=np.uint64)
+        x = np.zeros(0, dtype=np.uint64)
         for b in batches:
             rows = []
-            for name, text_a, text_b in zip(b["a"].to_pylist(), b["text_a"], b["text_b"], strict=True):
-                if name != last:
-                    last, x = name, shingles(text_a.as_py(), words)
-                y = shingles(text_b.as_py(), words)
+            for one, other, text in zip(b["a"].to_pylist(), b["b"].to_pylist(), b["text"], strict=True):
+                y = shingles(text.as_py(), words)
+                if other is None:
+                    x = y
+                    continue
                 n = len(np.intersect1d(x, y, assume_unique=True))
-                rows.append((n, len(x), len(y), n >= least_overlap(len(x), len(y), t)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"], *(pa.array(c, k) for c, k in zip(cols, schema.types[2:], strict=True))], schema=schema)
+                rows.append((one, other, n, len(x), len(y), n >= least_overlap(len(x), len(y), t)))
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
-    return wide.mapInArrow(run, "a binary, b binary, overlap int, size_a int, size_b int, linked boolean")
+    return dealt.mapInArrow(run, "a binary, b binary, overlap int, size_a int, size_b int, linked boolean")
+
+
+def _prefixes_allow(pairs: DataFrame, shared: DataFrame, t: Fraction) -> DataFrame:
+    """The pairs (a, b) that may still link by the shingles that their prefixes share.
+
+    Of the shingles that two sets share, those up to the end of the prefix that ends first are in both prefixes; the others are among the rest
+    of that set. Shingles that one set alone holds are not in `shared`, nor in two prefixes.
+    """
+    size, prefix = F.col("size").cast("long"), F.expr(f"size - ceil(size * {t.numerator} / {t.denominator}D - 1e-9) + 1")
+    sets = shared.select("digest", "token", size.alias("size")).groupBy("digest").agg(F.collect_list("token").alias("tokens"), F.first("size").alias("size")).withColumn("rest", F.col("size") - prefix)
+    of = lambda x: sets.select(F.col("digest").alias(x), F.struct("tokens", "size", "rest").alias(f"s{x}"))
+    wide = pairs.join(of("a"), "a").join(of("b"), "b")
+    need = F.expr(f"ceil({t.numerator} * (sa.size + sb.size) / {t.numerator + t.denominator}D - 1e-9)")
+    return wide.where(F.size(F.array_intersect("sa.tokens", "sb.tokens")) + F.greatest("sa.rest", "sb.rest") >= need).select("a", "b")
 
 
 def _list_pairs(rows: DataFrame, t: Fraction) -> DataFrame:
@@ -291,12 +329,12 @@ def similar_groups(docs: DataFrame, words: int = 3, threshold: Fraction = Fracti
     sketch = docs.sparkSession.sparkContext.broadcast(counts)
 
     shared = written(_postings(own, words, t, sketch), "shared-postings")
-    texts = written(_texts(own, members, shared.select("digest").distinct()), "shared-texts")
+    reps = members.where("digest is not null").groupBy("digest").agg(F.min(F.struct("row", F.coalesce("doc_id", F.lit(-1)).alias("id"))).alias("x")).select("digest", "x.*")
 
     need = F.expr(f"ceil({t.numerator} * (size + lead_size) / {t.numerator + t.denominator}D - 1e-9)")
     star = shared.where("digest != leader").where((F.least(F.col("size") - F.col("pos"), F.col("lead_size") - F.col("lead_pos")) >= need) & (F.least("size", "lead_size") * t.denominator >= F.greatest("size", "lead_size") * t.numerator))
     star = star.select(F.col("leader").alias("a"), F.col("digest").alias("b")).distinct()
-    answers = written(_compare(star, texts, words, t), "leader-answers")
+    answers = written(_compare(own, reps, star, words, t), "leader-answers")
     linked = answers.where("linked").select("a", "b")
     parts = components(linked)
 
@@ -310,7 +348,8 @@ def similar_groups(docs: DataFrame, words: int = 3, threshold: Fraction = Fracti
     several = rows.groupBy("token").agg(F.count("*").alias("_n"), F.min("part").alias("p"), F.max("part").alias("q")).where("p != q").select("token", "_n")
     dealt = blocked(rows, "token", "digest", several, BLOCK).repartition("token", "_i", "_j").sortWithinPartitions("token", "_i", "_j", "digest")
     pairs = written(_list_pairs(dealt, t).groupBy("a", "b").agg(F.max("known").alias("known")), "open-pairs")
-    more = _compare(pairs.where("not known").select("a", "b"), texts, words, t).where("linked").select("a", "b")
+    left = written(_prefixes_allow(pairs.where("not known").select("a", "b"), shared, t), "left-pairs")
+    more = _compare(own, reps, left, words, t).where("linked").select("a", "b")
     nodes = components(linked.union(pairs.where("known").select("a", "b")).union(more))
 
     lows = members.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
