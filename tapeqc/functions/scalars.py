@@ -77,24 +77,33 @@ def parse_duration_tag(duration: Column | str, tag: Column | str) -> Column:
     return F.coalesce(_c(duration).try_cast("double"), hms_to_seconds(tag))
 
 
-#: Names of the twelve hue segments of 30 degrees, the first centred on 0.
-HUES = ("Red", "Orange", "Yellow", "Yellow-Green", "Green", "Cyan-Green", "Cyan", "Azure", "Blue", "Violet", "Magenta", "Rose")
+# Names of the twelve hue segments of 30 degrees, the first centred on 0.
+HUES = ("red", "orange", "yellow", "yellow-green", "green", "green-cyan", "cyan", "blue-cyan", "blue", "blue-magenta", "magenta", "red-magenta")
 
 
 def hue_label(degrees: Column | str) -> Column:
-    return F.element_at(F.array(*map(F.lit, HUES)), (F.floor(F.pmod(_c(degrees) + 15, F.lit(360)) / 30) + 1).cast("int"))
+    """The name of a hue angle's segment; empty where there is no angle."""
+    named = F.element_at(F.array(*map(F.lit, HUES)), (F.floor(F.pmod(_c(degrees) + 15, F.lit(360)) / 30) + 1).cast("int"))
+    return F.coalesce(named, F.lit(""))
+
+
+# What a level difference between channels is called, by the decibels that it stays below.
+IMBALANCE = {1: "Balanced", 3: "Slight imbalance", 6: "Moderate imbalance", None: "Significant imbalance"}
 
 
 def characterize_imbalance(db: Column | str) -> Column:
     db = F.abs(_c(db))
-    return F.when(db.isNull(), None).when(db < 1, "Balanced").when(db < 3, "Slight").when(db < 6, "Moderate").otherwise("Significant")
+    out = F.when(db.isNull(), None)
+    for below, name in IMBALANCE.items():
+        out = out.when(db < below, name) if below else out.otherwise(name)
+    return out
 
 
 def wildcard_to_regex(pattern: str) -> str:
     """`#` a digit, `@` a letter, `*` a letter or digit; anything else stands for itself. On the small table of profiles only.
 
-    >>> wildcard_to_regex("JPC_##@*.x")
-    'JPC_\\\\d{2}[A-Za-z][A-Za-z0-9]\\\\.x'
+    >>> wildcard_to_regex("TAPE_##@*.x")
+    'TAPE_\\\\d{2}[A-Za-z][A-Za-z0-9]\\\\.x'
     """
     out = []
     for m in re.finditer(r"#+|@|\*|[^#@*]+", pattern):
@@ -152,8 +161,15 @@ def floor_neg_inf(v: Column | str, floor: float = -120.0) -> Column:
     return F.when(_c(v) == float("-inf"), F.lit(floor)).otherwise(_c(v))
 
 
+# Zones of luma by the value that they stay below.
+LUMA_ZONES = {64: "subblack", 192: "midtones", None: "highlights"}
+
+
 def luma_zone(y: Column | str) -> Column:
-    return F.when(_c(y) < 64, "subblack").when(_c(y) < 192, "midtone").when(_c(y).isNotNull(), "highlight")
+    out = F.when(_c(y).isNull(), None)
+    for below, name in LUMA_ZONES.items():
+        out = out.when(_c(y) < below, name) if below else out.otherwise(name)
+    return out
 
 
 def format_percentage(part: Column | str, whole: Column | str) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import characterize_imbalance, dropped_sample_score
+from ..functions.scalars import IMBALANCE, characterize_imbalance, dropped_sample_score
 from .intervals import ASSET, gap_islands, islands, merge_spans, suppress_in_bars
 
 CHANNEL = ["asset_id", "ch"]
@@ -39,7 +39,7 @@ def channel_imbalance(frames: DataFrame, silent_db: float = -60.0) -> DataFrame:
     one = means.groupBy("asset_id").agg(F.count("*").alias("channels"), F.array_sort(F.collect_list(F.when(F.col("mean_rms") < silent_db, F.col("ch")))).alias("quiet"))
     out = one.join(worst, "asset_id", "left")
     label = F.when(F.col("channels") == 1, "Mono").otherwise(F.col("w.label"))
-    return out.select("asset_id", "channels", label.alias("label"), F.col("w.ch_a").alias("worst_a"), F.col("w.ch_b").alias("worst_b"), F.col("w.diff_db").alias("worst_db"), F.when(label == "Significant", F.array_join("quiet", ",")).otherwise("").alias("silent"))
+    return out.select("asset_id", "channels", label.alias("label"), F.col("w.ch_a").alias("worst_a"), F.col("w.ch_b").alias("worst_b"), F.col("w.diff_db").alias("worst_db"), F.when(label == IMBALANCE[None], F.array_join("quiet", ",")).otherwise("").alias("silent"))
 
 
 def _upper_median(c: str, n: int, keys: list[str] = CHANNEL) -> Column:
@@ -285,15 +285,30 @@ def tone_spans(chunks: DataFrame, tolerance: float = 1.0, least_ms: float = 2000
     return out.where(F.col("end_ms") - F.col("start_ms") >= least_ms)
 
 
-def spike_detection(series: DataFrame, width: int = 51, k: float = 3.0, group: int = 2) -> DataFrame:
-    """asset_id, first_idx, last_idx, peak: places that deviate from the running median by over k times the median deviation, wide ones left out."""
-    half = width // 2
-    near = Window.partitionBy("asset_id").orderBy("frame_idx").rowsBetween(-half, half)
-    own = series.withColumn("dev", F.abs(F.col("value") - F.percentile("value", 0.5).over(near)))
-    mad = own.groupBy("asset_id").agg(F.percentile("dev", 0.5).alias("mad"))
-    hits = gap_islands(own.join(mad, "asset_id").where(F.col("dev") > k * F.col("mad")), ["asset_id"], "frame_idx", group)
-    out = hits.groupBy("asset_id", "island").agg(F.min("frame_idx").alias("first_idx"), F.max("frame_idx").alias("last_idx"), F.max("dev").alias("peak"))
-    return out.where(F.col("last_idx") - F.col("first_idx") <= group).drop("island")
+def spike_detection(series: DataFrame, least_width: int = 51, share: int = 20, k: float = 3.0, group: int = 2, bright: float = 0.3) -> DataFrame:
+    """asset_id, first_idx, last_idx, peak: narrow places of a series (asset_id, frame_idx, value) that stand far above its running median.
+
+    The median's window is the larger of `least_width` and one in `share` of the asset's values, made odd; beyond the ends the first and the last value go
+    on. Far is over k times the median absolute deviation, or the standard deviation where that is 0; a flat series has no spikes. Where there
+    is a column bright, that share of a place must be bright too. Places at most `group` apart are one; of over `group` values none is a spike.
+    """
+    by = Window.partitionBy("asset_id")
+    own = series.withColumn("_i", F.row_number().over(by.orderBy("frame_idx")) - 1).withColumn("_n", F.count("*").over(by))
+    half = F.floor(F.greatest(F.lit(least_width), F.floor(F.col("_n") / share)) / 2).cast("int")  # of an odd width, or of the odd one above
+    own = own.withColumn("_half", half)
+    beyond = F.when((F.col("_i") == 0) & (F.col("_n") == 1), F.sequence(-F.col("_half"), F.col("_half"))).when(F.col("_i") == 0, F.sequence(-F.col("_half"), F.lit(0))).when(F.col("_i") == F.col("_n") - 1, F.sequence(F.lit(0), F.col("_half"))).otherwise(F.array(F.lit(0)))
+    padded = own.select("*", F.explode(beyond).alias("_off")).withColumn("_at", F.col("_i") + F.col("_off"))
+    # One frame for windows of any width: places are measured in half widths.
+    near = by.orderBy(F.col("_at") / (F.col("_half") + 0.5)).rangeBetween(-1, 1)
+    dev = padded.withColumn("dev", F.col("value") - F.percentile("value", 0.5).over(near)).where("_off = 0")
+    spread = dev.groupBy("asset_id").agg(F.percentile(F.abs("dev"), 0.5).alias("mad"), F.stddev_pop("dev").alias("sd"))
+    least = F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("sd"))
+    high = dev.join(spread, "asset_id").where((least > 0) & (F.col("dev") > k * least))
+    if "bright" in series.columns:
+        high = high.where(F.col("bright") > bright)
+    hits = gap_islands(high, ["asset_id"], "_i", group)
+    out = hits.groupBy("asset_id", "island").agg(F.min("frame_idx").alias("first_idx"), F.max("frame_idx").alias("last_idx"), F.max("dev").alias("peak"), F.count("*").alias("n"))
+    return out.where(F.col("n") <= group).drop("island", "n")
 
 
 def excluded_channels(imbalance_silent: DataFrame, ltc_coverage: DataFrame, channels: DataFrame, share: float = 0.75) -> DataFrame:

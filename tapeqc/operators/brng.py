@@ -30,9 +30,9 @@ def violation_histogram(violations: DataFrame, bin_s: float = 10.0) -> DataFrame
 
 
 def suggest_periods(violations: DataFrame, n: int = 3, length_s: float = 60.0, bin_s: float = 10.0) -> DataFrame:
-    """asset_id, rank, start_s, n: the densest bins whose periods of length_s do not overlap."""
+    """asset_id, rank, start_s, n: the densest bins, the earlier of equal ones first, whose periods of length_s neither overlap nor touch."""
     bins = violation_histogram(violations, bin_s).select("asset_id", "start_s", "n")
-    return greedy_spaced(bins, ["asset_id"], [-F.col("n"), F.col("start_s")], "start_s", length_s, n)
+    return greedy_spaced(bins, ["asset_id"], [-F.col("n"), F.col("start_s")], "start_s", length_s, n, touching=True)
 
 
 def diverse_top_k(violations: DataFrame, k: int = 5, apart_s: float = 10.0) -> DataFrame:
@@ -73,47 +73,119 @@ def border_fraction(full: DataFrame, active: DataFrame) -> DataFrame:
     return a.join(b, "asset_id", "left").select("asset_id", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)), 6).alias("fraction"))
 
 
-def violation_patterns(violations: DataFrame) -> DataFrame:
-    """asset_id, n, edge_pct, continuous_pct, linear_pct, left/right/top/bottom pct and pixels to add, adjust: from rows with edges (array), continuous, linear."""
-    n = F.count("*")
-    pct = lambda c: F.round(F.count_if(c) * 100.0 / n, 6)
-    sides = ("left", "right", "top", "bottom")
-    one = violations.groupBy("asset_id").agg(n.alias("n"), pct(F.size("edges") > 0).alias("edge_pct"), pct(F.col("continuous")).alias("continuous_pct"), pct(F.col("linear")).alias("linear_pct"), *[pct(F.array_contains("edges", s)).alias(f"{s}_pct") for s in sides])
-    more = [F.when(F.col(f"{s}_pct") > 50, 10).when(F.col(f"{s}_pct") > 20, 5).otherwise(0).alias(f"{s}_px") for s in sides]
-    return one.select("*", *more, ((F.col("continuous_pct") > 20) | (F.col("linear_pct") > 20) | (F.greatest(*[F.col(f"{s}_pct") for s in sides]) > 20)).alias("adjust"))
-
-
-def diagnostic_counts(rows: DataFrame) -> DataFrame:
-    """asset_id, diagnostic, n, pct, rank: diagnostics (array) with "Edge artifacts (...)" as one, commonest first."""
-    own = rows.select("asset_id", F.explode("diagnostics").alias("d")).withColumn("diagnostic", F.when(F.col("d").startswith("Edge artifacts"), "Edge artifacts").otherwise(F.col("d")))
-    one = own.groupBy("asset_id", "diagnostic").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("asset_id")
-    return one.select("asset_id", "diagnostic", "n", F.round(F.col("n") * 100.0 / F.sum("n").over(w), 6).alias("pct"), F.row_number().over(w.orderBy(F.desc("n"), "diagnostic")).alias("rank"))
-
+SIDES = ("left", "right", "top", "bottom")
 
-def violation_assessment(violations: DataFrame) -> DataFrame:
-    """asset_id, n, avg_pct, max_pct, assessment."""
-    one = violations.groupBy("asset_id").agg(F.count("*").alias("n"), F.round(F.avg("pct"), 6).alias("avg_pct"), F.max("pct").alias("max_pct"))
-    return one.withColumn("assessment", brng_diagnosis(F.col("avg_pct"), F.col("max_pct")))
 
+def violation_patterns(violations: DataFrame) -> DataFrame:
+    """asset_id, n, edge_pct, continuous_pct, linear_pct; left_pct, left_score, left_px and so on for each side; n_edges, adjust.
 
-def brng_diagnosis(pct: Column, worst: Column) -> Column:
-    return F.when(pct.isNull(), "No violations").when((pct < 1) & (worst < 5), "Minimal").when(pct < 5, "Minor").when(pct < 15, "Moderate").otherwise("Severe")
+    violations: asset_id, edges (array of the sides affected), continuous (whether a side's violations run on), linear (whether lines were
+    found), scores (map of side to its line score). A side's pixels to add are 10 where over half of the violations affect it, 5 over a
+    fifth. adjust: whether borders should move, by any of six rules.
+    """
+    n = F.count("*")
+    pct = lambda c: F.count_if(F.coalesce(c, F.lit(False))) * 100.0 / n
+    sides = [x for s in SIDES for x in (pct(F.array_contains("edges", s)).alias(f"{s}_pct"), F.avg(F.try_element_at("scores", F.lit(s))).alias(f"{s}_score"))]
+    one = violations.groupBy("asset_id").agg(n.alias("n"), pct(F.size("edges") > 0).alias("edge_pct"), pct(F.col("continuous")).alias("continuous_pct"), pct(F.col("linear")).alias("linear_pct"), *sides)
+    pixels = [F.when(F.col(f"{s}_pct") > 50, 10).when(F.col(f"{s}_pct") > 20, 5).otherwise(0).alias(f"{s}_px") for s in SIDES]
+    several, edge, continuous = F.lit(0), F.col("edge_pct"), F.col("continuous_pct")
+    for s in SIDES:
+        several = several + (F.col(f"{s}_pct") > 0).cast("int")
+    one = one.select("*", *pixels, several.alias("n_edges"))
+    highest = F.greatest(*[F.coalesce(F.col(f"{s}_score"), F.lit(0.0)) for s in SIDES])
+    rules = (F.col("linear_pct") > 20) | (continuous > 15) | ((edge > 30) & (continuous > 0)) | ((edge > 60) & (continuous == 0)) | ((continuous > 10) & (F.col("n_edges") >= 2)) | (highest > 40)
+    return one.withColumn("adjust", rules)
+
+
+# Diagnostics in the order of a report; one that only recommends is none.
+DIAGNOSTICS = ("Sub-black detected", "Highlight clipping", "Edge artifacts", "Linear blanking patterns", "General broadcast range violations")
+NO_DIAGNOSTIC = "Border adjustment recommended"
+
+
+def diagnostic_counts(violations: DataFrame) -> DataFrame:
+    """asset_id, diagnostic, n, pct (of the asset's violations), rank (the report's order, others after it by first appearance), dominant.
+
+    violations: asset_id, frame_idx, diagnostics (array). "Edge artifacts (...)" count as one whatever the sides; the dominant diagnostic is the
+    commonest, the first to appear of equal ones.
+    """
+    own = violations.select("asset_id", "frame_idx", F.posexplode("diagnostics").alias("i", "d"))
+    own = own.withColumn("diagnostic", F.when(F.col("d").startswith("Edge artifacts"), "Edge artifacts").otherwise(F.col("d"))).where(F.col("diagnostic") != NO_DIAGNOSTIC)
+    one = own.groupBy("asset_id", "diagnostic").agg(F.count("*").alias("n"), F.min(F.struct("frame_idx", "i")).alias("first"))
+    whole = violations.groupBy("asset_id").agg(F.count("*").alias("whole"))
+    order = F.array_position(F.array(*map(F.lit, DIAGNOSTICS)), F.col("diagnostic"))
+    w = Window.partitionBy("asset_id")
+    rank = F.row_number().over(w.orderBy(F.when(order > 0, order).otherwise(len(DIAGNOSTICS) + 1), "first"))
+    first = F.row_number().over(w.orderBy(F.desc("n"), "first")) == 1
+    return one.join(whole, "asset_id").select("asset_id", "diagnostic", "n", F.round(F.col("n") * 100.0 / F.col("whole"), 6).alias("pct"), rank.alias("rank"), first.alias("dominant"))
+
+
+def violation_assessment(violations: DataFrame, patterns: DataFrame) -> DataFrame:
+    """asset_id, n, avg_pct, max_pct, edge_pct, linear_pct, assessment: the text composed of the level, the place and the lines of an asset's violations.
+
+    violations: asset_id, pct; patterns: asset_id, edge_pct, linear_pct. Assets without violations give no row.
+    """
+    one = violations.groupBy("asset_id").agg(F.count("*").alias("n"), F.avg("pct").alias("avg_pct"), F.max("pct").alias("max_pct"))
+    wide = one.join(patterns.select("asset_id", "edge_pct", "linear_pct"), "asset_id", "left").fillna(0.0, ["edge_pct", "linear_pct"])
+    avg, edge, linear = F.col("avg_pct"), F.col("edge_pct"), F.col("linear_pct")
+    whole = lambda x: F.bround(x, 0).cast("long")
+    level = F.when(avg >= 1.0, F.format_string("Average BRNG: %.2f%%", avg)).when(avg >= 0.1, F.format_string("Average BRNG: %.2f%% (low-level)", avg)).otherwise(F.format_string("Average BRNG: %.3f%% (minimal)", avg))
+    place = F.when(edge > 70, F.format_string("%d%% of violations at frame edges", whole(edge))).when(edge > 40, F.format_string("%d%% edge violations, %d%% content area", whole(edge), whole(100 - edge))).when(edge > 0, F.format_string("Violations primarily in content area (%d%%)", whole(100 - edge)))
+    lines = F.when(linear > 20, F.format_string("linear blanking patterns detected (%d%%)", whole(linear)))
+    return wide.select("asset_id", "n", "avg_pct", "max_pct", "edge_pct", "linear_pct", F.concat_ws("; ", level, place, lines).alias("assessment"))
+
+
+# Diagnoses of an asset's broadcast range.
+DIAGNOSES = {
+    "compliant": "Video appears broadcast-compliant",
+    "minor": "Minor BRNG violations - likely acceptable",
+    "significant": "Significant BRNG violations requiring correction",
+    "moderate": "Moderate BRNG violations detected",
+    "border": "BRNG violations primarily in border areas - active content appears broadcast-safe",
+    "content": "Significant BRNG violations in active picture area - requires correction",
+    "review": "BRNG violations detected in active picture area - review recommended",
+    "bordered": "Video appears broadcast-compliant with properly detected borders",
+}
+
+
+def brng_diagnosis(pct: Column, max_brng: Column, border_periods: Column, content_periods: Column, has_active_area: Column) -> Column:
+    """The diagnosis by the share of frames in violation and the worst value; with an active area, by the periods' verdicts (J16)."""
+    say = {k: F.lit(v) for k, v in DIAGNOSES.items()}
+    plain = F.when((pct < 10) & (max_brng < 0.1), say["compliant"]).when((pct < 50) & (max_brng < 1.0), say["minor"]).when(max_brng > 2.0, say["significant"]).otherwise(say["moderate"])
+    area = F.when(border_periods > content_periods, say["border"]).when((content_periods > 0) & (pct > 50), say["content"]).when(content_periods > 0, say["review"]).otherwise(say["bordered"])
+    return F.when(has_active_area, area).otherwise(plain)
 
 
 def meaningful_improvement(before: DataFrame, after: DataFrame) -> DataFrame:
-    """asset_id, improved: fewer than 80 per cent of the violations or of the worst one, or no edge side left that needs pixels."""
-    b = before.select("asset_id", F.col("n").alias("n0"), F.col("max_pct").alias("w0"))
-    a = after.select("asset_id", F.col("n").alias("n1"), F.col("max_pct").alias("w1"))
-    wide = b.join(a, "asset_id", "left")
-    improved = (F.coalesce("n1", F.lit(0)) < 0.8 * F.col("n0")) | (F.coalesce("w1", F.lit(0.0)) < 0.8 * F.col("w0"))
+    """asset_id, improved: whether a refinement (after) helped, or another one should be tried.
+
+    Both: asset_id, n (violations), worst_pct (of the first one reported), edge_pct, width, height (of the active area; null if unknown). Fewer than 80 per
+    cent of the violations, or of the worst one, is an improvement. Else, where edges still hold over half, it goes on unless the area
+    is known and did not move; else edges must have fallen below 70 per cent of theirs. Assets that one of the two lacks are not improved.
+    """
+    b = before.select("asset_id", *[F.col(c).alias(f"{c}0") for c in ("n", "worst_pct", "edge_pct", "width", "height")])
+    a = after.select("asset_id", *[F.col(c).alias(f"{c}1") for c in ("n", "worst_pct", "edge_pct", "width", "height")])
+    wide = b.join(a, "asset_id", "full_outer")
+    known = F.col("width0").isNotNull() & F.col("width1").isNotNull() & F.col("height0").isNotNull() & F.col("height1").isNotNull()
+    moved = (F.col("width0") != F.col("width1")) | (F.col("height0") != F.col("height1"))
+    fewer, milder = F.col("n1") < 0.8 * F.col("n0"), F.coalesce("worst_pct1", F.lit(0.0)) < 0.8 * F.coalesce("worst_pct0", F.lit(0.0))
+    edge0, edge1 = F.coalesce("edge_pct0", F.lit(0.0)), F.coalesce("edge_pct1", F.lit(0.0))
+    improved = F.when(F.col("n0").isNull() | F.col("n1").isNull(), False).when(fewer | milder, True).when(edge1 > 50, ~known | moved).otherwise((edge0 > 0) & (edge1 < 0.7 * edge0))
     return wide.select("asset_id", improved.alias("improved"))
 
 
 def method_correlation(by_signal: DataFrame, by_brng: DataFrame) -> DataFrame:
-    """asset_id, agreement: whether two methods' verdicts (verdict) say the same of an asset."""
-    wide = by_signal.select("asset_id", F.col("verdict").alias("a")).join(by_brng.select("asset_id", F.col("verdict").alias("b")), "asset_id", "full_outer")
-    return wide.select("asset_id", F.when(F.col("a").isNull() | F.col("b").isNull(), "single method").when(F.col("a") == F.col("b"), "agree").otherwise("differ").alias("agreement"))
+    """asset_id, agreement: how the period analysis (diagnosis, a text of DIAGNOSES) and the frame analysis (adjust, edge_pct) of an asset agree.
+
+    both_border, both_content, content_and_border, border_and_content; where one of them is of neither kind likely_border (edges over
+    half), likely_content (under a fifth) or mixed. Assets that one of the two lacks give no row.
+    """
+    wide = by_signal.select("asset_id", F.lower("diagnosis").alias("d")).join(by_brng.select("asset_id", "adjust", "edge_pct"), "asset_id")
+    border, content = F.col("d").contains("border"), F.col("d").contains("active") & F.col("d").contains("requires")
+    edges = F.col("edge_pct")
+    at_border = F.coalesce("adjust", F.lit(False)) | (edges > 50)
+    inside = ~at_border & (edges < 30)
+    out = F.when(border & at_border, "both_border").when(content & inside, "both_content").when(content & at_border, "content_and_border").when(border & inside, "border_and_content")
+    return wide.select("asset_id", out.when(edges > 50, "likely_border").when(edges < 20, "likely_content").otherwise("mixed").alias("agreement"))
 
 
 def border_median(frame_borders: DataFrame) -> DataFrame:
@@ -121,39 +193,91 @@ def border_median(frame_borders: DataFrame) -> DataFrame:
     return frame_borders.groupBy("asset_id").agg(*[F.percentile(s, 0.5).cast("int").alias(f"{s}_px") for s in ("left", "right", "top", "bottom")])
 
 
+def _spaced(last: Column, n: int) -> Column:
+    """n whole numbers evenly spaced from 0 to `last`, cut to whole numbers; repeats left out."""
+    return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * last / max(1, n - 1)).cast("long")))
+
+
 def sample_evenly(frames: DataFrame, n: int = 20) -> DataFrame:
     """asset_id, frame_idx, t: n frames of each asset, evenly spaced (all, if it has no more)."""
     last = frames.groupBy("asset_id").agg(F.max("frame_idx").alias("last"))
-    picks = last.select("asset_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda k: F.floor(k * F.col("last") / max(1, n - 1))))).alias("frame_idx"))
+    picks = last.select("asset_id", F.explode(_spaced(F.col("last"), n)).alias("frame_idx"))
     return frames.join(picks, ["asset_id", "frame_idx"], "left_semi").select("asset_id", "frame_idx", "t")
 
 
+def sample_targeted(segments: DataFrame, violations: DataFrame, first: int = 500, least: int = 100, fill: int = 100, most: int = 500) -> DataFrame:
+    """asset_id, period_no, frame_no: the frames of each segment (start_s, end_s, total_frames, fps) to look at.
+
+    Those of the asset's worst `first` violations (asset_id, frame_idx, t, score) that lie in the segment; where they are fewer than `least`, `fill`
+    evenly spaced frames too, of all then the first `most`. A segment of an asset without violations has `most` evenly spaced frames.
+    """
+    worst = top_violations(violations, first).select("asset_id", "t")
+    some = segments.join(worst.select("asset_id").distinct().withColumn("_any", F.lit(True)), "asset_id", "left")
+    on = (F.col("s.asset_id") == F.col("v.asset_id")) & (F.col("v.t") >= F.col("s.start_s")) & (F.col("v.t") < F.col("s.end_s"))
+    hits = segments.alias("s").join(worst.alias("v"), on).select("s.asset_id", "period_no", F.floor((F.col("v.t") - F.col("s.start_s")) * F.col("fps")).alias("frame_no"), "total_frames")
+    hits = hits.where(F.col("frame_no") < F.col("total_frames")).groupBy("asset_id", "period_no").agg(F.array_sort(F.collect_set("frame_no")).alias("hits"))  # at most `first`
+    wide = some.join(hits, ["asset_id", "period_no"], "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<bigint>")))
+    filled = F.slice(F.array_sort(F.array_union("hits", _spaced(F.col("total_frames") - 1, fill))), 1, most)
+    picks = F.when(F.col("_any").isNull(), F.transform(F.sequence(F.lit(0), F.least(F.lit(most), F.col("total_frames")).cast("int") - 1), lambda k: F.floor(k * (F.col("total_frames") - 1) / F.greatest(F.lit(1), F.least(F.lit(most), F.col("total_frames")) - 1)).cast("long"))).when(F.size("hits") < least, filled).otherwise(F.col("hits"))
+    return wide.select("asset_id", "period_no", F.explode(F.array_distinct(picks)).alias("frame_no"))
+
+
+def _shared(start: str, length: str) -> Column:
+    """Seconds that a span (p.start, p.length) and a black segment (b) share."""
+    return F.least(F.col(start) + F.col(length), F.col("b.end_s")) - F.greatest(start, "b.start_s")
+
+
+def black_seconds(periods: DataFrame, black: DataFrame, start: str = "start_s", keys: tuple[str, ...] = ("asset_id", "period_no")) -> DataFrame:
+    """periods with black_s: the seconds of each that black segments (asset_id, start_s, end_s) cover."""
+    shared = _shared(f"p.{start}", "p.duration_s")
+    own = periods.alias("p").join(black.alias("b"), (F.col("p.asset_id") == F.col("b.asset_id")) & (shared > 0)).select(*[F.col(f"p.{k}") for k in keys], shared.alias("_s"))
+    sums = own.groupBy(*keys).agg(F.sum("_s").alias("black_s"))
+    return periods.join(sums, list(keys), "left").withColumn("black_s", F.coalesce("black_s", F.lit(0.0)))
+
+
 def validate_periods(periods: DataFrame, black: DataFrame, most: float = 0.25) -> DataFrame:
-    """periods with black_s and valid: black segments may cover at most that share of a period."""
-    shared = F.least(F.col("p.start_s") + F.col("p.duration_s"), F.col("b.end_s")) - F.greatest("p.start_s", "b.start_s")
-    wide = periods.alias("p").join(black.alias("b"), (F.col("p.asset_id") == F.col("b.asset_id")) & (shared > 0), "left")
-    one = wide.groupBy("p.asset_id", "p.period_no", "p.start_s", "p.duration_s").agg(F.coalesce(F.sum(shared), F.lit(0.0)).alias("black_s"))
-    return one.withColumn("valid", F.col("black_s") <= most * F.col("duration_s"))
+    """periods (asset_id, period_no, start_s, duration_s) with black_s and valid: black segments may cover at most that share of a period."""
+    return black_seconds(periods, black).withColumn("valid", F.col("black_s") <= most * F.col("duration_s"))
+
+
+def shift_periods(periods: DataFrame, black: DataFrame, assets: DataFrame, step_s: float = 5.0, most: float = 0.25, most_shifted: float = 0.1, tail_s: float = 10.0) -> DataFrame:
+    """asset_id, period_no, start_s, duration_s: periods that black segments cover too much of, moved; those without a place leave.
+
+    assets: asset_id, duration_s (of the whole), first_s (where periods may begin). Places are tried in steps up to half of the asset to either side,
+    forward first: inside the asset less its last `tail_s`, covered to at most `most_shifted`, and a whole duration away from the starts of
+    the asset's periods before. Periods of an asset are settled in order; candidates are judged for those that must move only.
+    """
+    judged = validate_periods(periods, black, most).join(assets.select("asset_id", F.col("duration_s").alias("whole_s"), "first_s"), "asset_id")
+    steps = F.greatest(F.lit(0), F.ceil(F.col("whole_s") * 0.5 / step_s).cast("int") - 1)
+    moves = F.flatten(F.transform(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")), lambda k: F.array(k * step_s, -k * step_s)))
+    tried = judged.where("not valid").select("asset_id", "period_no", "start_s", "duration_s", "whole_s", "first_s", F.posexplode(moves).alias("k", "by"))
+    tried = tried.withColumn("at", F.col("start_s") + F.col("by")).where((F.col("at") >= F.col("first_s")) & (F.col("at") + F.col("duration_s") <= F.col("whole_s") - tail_s))
+    free = black_seconds(tried.select("asset_id", "period_no", "k", "at", "duration_s"), black, "at", ("asset_id", "period_no", "k")).where(F.col("black_s") / F.col("duration_s") <= most_shifted)
+    places = free.groupBy("asset_id", "period_no").agg(F.array_sort(F.collect_list(F.struct("k", "at"))).alias("places"))  # as many as an asset has steps
+    rows = judged.join(places, ["asset_id", "period_no"], "left")
+    each = rows.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("period_no", "start_s", "duration_s", "valid", F.coalesce("places", F.expr("array()").cast("array<struct<k: int, at: double>>")).alias("places")))).alias("ps"))
+    none = F.array().cast("array<struct<period_no: int, start_s: double, duration_s: double>>")
 
+    def settle(done: Column, p: Column) -> Column:
+        far = F.filter(p["places"], lambda x: F.forall(done, lambda u: F.abs(x["at"] - u["start_s"]) >= p["duration_s"]))
+        put = lambda at: F.array_append(done, F.struct(p["period_no"].cast("int").alias("period_no"), at.alias("start_s"), p["duration_s"].alias("duration_s")))
+        return F.when(p["valid"], put(p["start_s"])).when(F.size(far) > 0, put(F.get(far, F.lit(0))["at"])).otherwise(done)
 
-def shift_periods(periods: DataFrame, black: DataFrame, durations: DataFrame, step_s: float = 5.0, steps: int = 12, most: float = 0.1) -> DataFrame:
-    """asset_id, period_no, start_s, duration_s: each period at the nearest place, forward first, that black segments cover at most `most` of; else where it was."""
-    moves = F.explode(F.transform(F.sequence(F.lit(0), F.lit(2 * steps)), lambda k: F.struct(k.alias("k"), (F.when(k % 2 == 1, F.floor((k + 1) / 2)).otherwise(-F.floor(k / 2)) * step_s).alias("by"))))
-    own = periods.join(durations.select("asset_id", F.col("duration_s").alias("whole_s")), "asset_id").select("asset_id", "period_no", "start_s", "duration_s", "whole_s", moves.alias("m"))
-    own = own.withColumn("at", F.col("start_s") + F.col("m.by")).where((F.col("at") >= 0) & (F.col("at") + F.col("duration_s") <= F.col("whole_s")))
-    shared = F.least(F.col("p.at") + F.col("p.duration_s"), F.col("b.end_s")) - F.greatest("p.at", "b.start_s")
-    wide = own.alias("p").join(black.alias("b"), (F.col("p.asset_id") == F.col("b.asset_id")) & (shared > 0), "left")
-    one = wide.groupBy("p.asset_id", "p.period_no", "p.start_s", "p.duration_s", "p.at", "p.m.k").agg(F.coalesce(F.sum(shared), F.lit(0.0)).alias("black_s"))
-    good = one.where(F.col("black_s") <= most * F.col("duration_s")).groupBy("asset_id", "period_no").agg(F.min_by("at", "k").alias("new"))
-    return periods.join(good, ["asset_id", "period_no"], "left").select("asset_id", "period_no", F.coalesce("new", "start_s").alias("start_s"), "duration_s")
+    return each.select("asset_id", F.explode(F.aggregate("ps", none, settle)).alias("x")).select("asset_id", "x.*")
 
 
 def replace_low_value_periods(periods: DataFrame, candidates: DataFrame, least: float = 5.0) -> DataFrame:
-    """asset_id, period_no, start_s, duration_s: periods whose score is under `least` give way to the candidates (rank, start_s) that overlap no kept one, in order."""
-    keep, low = periods.where(F.col("score") >= least), periods.where(F.col("score") < least)
-    on = (F.col("c.asset_id") == F.col("k.asset_id")) & (F.col("c.start_s") < F.col("k.start_s") + F.col("k.duration_s")) & (F.col("k.start_s") < F.col("c.start_s") + F.col("c.duration_s"))
-    free = candidates.alias("c").join(keep.alias("k"), on, "left_anti")
+    """asset_id, period_no, start_s, duration_s: periods that showed next to nothing give way, in order, to the candidates that meet no current period.
+
+    periods: asset_id, period_no, start_s, duration_s, verdict (J16), active_pct. A period's score is the active area's share, 100 more with
+    content violations, 50 more with border ones. candidates: asset_id, rank, start_s, duration_s; those that overlap or touch a current period are out.
+    """
+    base = F.when(F.col("verdict") == "content_violations", 100).when(F.col("verdict") == "border_violations", 50).otherwise(0)
+    scored = periods.withColumn("score", base + F.coalesce("active_pct", F.lit(0.0)))
+    keep, low = scored.where(F.col("score") >= least), scored.where(F.col("score") < least)
+    on = (F.col("c.asset_id") == F.col("k.asset_id")) & (F.col("c.start_s") <= F.col("k.start_s") + F.col("k.duration_s")) & (F.col("k.start_s") <= F.col("c.start_s") + F.col("c.duration_s"))
+    free = candidates.alias("c").join(periods.alias("k"), on, "left_anti")
     number = lambda df, by: df.withColumn("_i", F.row_number().over(Window.partitionBy("asset_id").orderBy(by)))
-    new = number(free, "rank").select("asset_id", "_i", F.col("start_s").alias("new_s"))
-    swapped = number(low, "period_no").join(new, ["asset_id", "_i"], "left").select("asset_id", "period_no", F.coalesce("new_s", "start_s").alias("start_s"), "duration_s")
+    new = number(free, "rank").select("asset_id", "_i", F.col("start_s").alias("new_s"), F.col("duration_s").alias("new_length"))
+    swapped = number(low, "period_no").join(new, ["asset_id", "_i"], "left").select("asset_id", "period_no", F.coalesce("new_s", "start_s").alias("start_s"), F.coalesce("new_length", "duration_s").alias("duration_s"))
     return keep.select("asset_id", "period_no", "start_s", "duration_s").unionByName(swapped)

@@ -63,11 +63,14 @@ def suppress_in_bars(candidates: DataFrame, bars: DataFrame, margin: float = 1.0
 
 
 def assign_period(points: DataFrame, periods: DataFrame) -> DataFrame:
-    """points (asset_id, t) with period_no of the first period [start_s, start_s + duration_s) that holds them, else null."""
-    held = (F.col("q.start_s") <= F.col("p.t")) & (F.col("p.t") < F.col("q.start_s") + F.col("q.duration_s")) & (F.col("p.asset_id") == F.col("q.asset_id"))
-    keys = points.columns
-    wide = points.alias("p").join(periods.select("asset_id", "start_s", "duration_s", "period_no").alias("q"), held, "left")
-    return wide.groupBy(*[F.col(f"p.{k}").alias(k) for k in keys]).agg(F.min("q.period_no").alias("period_no"))
+    """points (asset_id, t, ...) with period_no of the first period [start_s, start_s + duration_s) that holds them, else null; repeated points stay.
+
+    An asset's periods, few as they are, come to its points as one array.
+    """
+    own = periods.groupBy("asset_id").agg(F.collect_list(F.struct("period_no", "start_s", "duration_s")).alias("_periods"))
+    held = F.filter("_periods", lambda p: (p["start_s"] <= F.col("t")) & (F.col("t") < p["start_s"] + p["duration_s"]))
+    first = F.array_min(F.transform(held, lambda p: p["period_no"]))
+    return points.join(own, "asset_id", "left").select(*points.columns, first.alias("period_no"))
 
 
 def period_overlap(p: DataFrame, q: DataFrame) -> DataFrame:
@@ -98,14 +101,28 @@ def cross_channel_support(events: DataFrame, slack: float = 0.5) -> DataFrame:
     return events.alias("l").join(strong.alias("r"), on, "left_semi")
 
 
-def even_periods(durations: DataFrame, n: int = 3, length_s: float = 60.0, lead_s: float = 10.0) -> DataFrame:
-    """asset_id, period_no, start_s, duration_s: n periods evenly spaced from bars_end_s + lead_s on; shorter assets get one that fits, if any."""
-    first = F.coalesce("bars_end_s", F.lit(0.0)) + lead_s
-    room = F.col("duration_s") - first
-    count = F.when(room >= n * length_s, n).when(room >= length_s, F.floor(room / length_s)).when(room > 0, 1).otherwise(0).cast("int")
-    base = durations.select("asset_id", first.alias("first"), room.alias("room"), count.alias("n"), F.least(F.lit(length_s), room).alias("length")).where("n > 0")
-    spaced = base.withColumn("period_no", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return spaced.select("asset_id", "period_no", (F.col("first") + F.col("period_no") * F.floor((F.col("room") - F.col("length")) / F.greatest(F.lit(1), F.col("n") - 1))).alias("start_s"), F.col("length").alias("duration_s"))
+def even_periods(assets: DataFrame, n: int = 3, length_s: float = 60.0, lead_s: float = 10.0, tail_s: float = 30.0, hints: DataFrame | None = None) -> DataFrame:
+    """asset_id, period_no, start_s, duration_s: up to n periods of each asset (asset_id, duration_s, content_start_s, bars_end_s).
+
+    They begin `lead_s` after the content's start and the bars' end and leave the last `tail_s` alone. Where the n best hints (asset_id, rank, t) from
+    there on all give a period around them that fits, these are it. Else periods are evenly spaced, fewer where there is no room for n;
+    where there is none for one, one is cut to what there is; an asset with nothing left has none.
+    """
+    first = F.greatest(F.coalesce("content_start_s", F.lit(0.0)), F.coalesce("bars_end_s", F.lit(0.0))) + lead_s
+    base = assets.select("asset_id", first.alias("first"), (F.col("duration_s") - tail_s).alias("end")).withColumn("room", F.col("end") - F.col("first"))
+    count = F.when(F.col("room") >= n * length_s, n).when(F.col("room") >= length_s, F.least(F.lit(n), F.floor(F.col("room") / length_s))).otherwise(1).cast("int")
+    own = base.where("room > 0").withColumn("n", count)
+    spaced = own.select("*", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("period_no"))
+    step = F.greatest(F.lit(0.0), F.col("room") - length_s) / F.greatest(F.lit(1), F.col("n") - 1)
+    even = spaced.select("asset_id", "period_no", (F.col("first") + F.col("period_no") * step).alias("start_s"), F.least(F.lit(length_s), F.col("room")).alias("duration_s"))
+    if hints is None:
+        return even
+    near = hints.join(base, "asset_id").where(F.col("t") >= F.col("first"))
+    best = near.withColumn("_r", F.row_number().over(Window.partitionBy("asset_id").orderBy("rank"))).where(F.col("_r") <= n)
+    around = best.withColumn("start_s", F.greatest("first", F.col("t") - length_s / 2)).where(F.col("start_s") + length_s <= F.col("end"))
+    full = around.groupBy("asset_id").agg(F.count("*").alias("_k")).where(F.col("_k") == n).select("asset_id")
+    chosen = around.join(full, "asset_id", "left_semi").select("asset_id", (F.col("_r") - 1).alias("period_no"), "start_s", F.lit(length_s).alias("duration_s"))
+    return chosen.unionByName(even.join(full, "asset_id", "left_anti"))
 
 
 def descending(c: str) -> Column:
@@ -113,8 +130,8 @@ def descending(c: str) -> Column:
     return F.when(F.isnan(c), F.lit(float("-inf"))).otherwise(-F.col(c))
 
 
-def greedy_spaced(df: DataFrame, keys: list[str], order: list[Column], at: str, apart: float, k: int, fill: bool = False) -> DataFrame:
-    """The first k rows of each key in `order` (ascending) that stand at least `apart` from all chosen before; with `fill`, others make up k.
+def greedy_spaced(df: DataFrame, keys: list[str], order: list[Column], at: str, apart: float, k: int, fill: bool = False, touching: bool = False) -> DataFrame:
+    """The first k rows of each key in `order` (ascending) that stand at least `apart` (more than that if `touching` is too near) from all chosen before; with `fill`, others make up k.
 
     A round for each of the k takes every key's best row by an aggregation, then leaves out the rows near it: a key holds k rows at once, however
     many candidates it has.
@@ -129,8 +146,8 @@ def greedy_spaced(df: DataFrame, keys: list[str], order: list[Column], at: str,
             on = F.col(f"l.{c}").eqNullSafe(F.col(f"c.{c}")) & on
         return own.alias("l").join(chosen.alias("c"), on, "left_anti")
 
-    same = F.col("l._id") == F.col("c._id")
-    near = same | F.coalesce(F.abs(F.col("l._at") - F.col("c._at")) < apart, F.lit(True))
+    same, far = F.col("l._id") == F.col("c._id"), F.abs(F.col("l._at") - F.col("c._at"))
+    near = same | F.coalesce(far <= apart if touching else far < apart, F.lit(True))
     for rank in range(1, k + 1):
         best = (own if chosen is None else left(near)).groupBy(*keys).agg(F.min_by(F.struct("_row", "_at", "_id"), F.struct("_by", "_id")).alias("_x"))
         best = written(best.select(*keys, F.lit(rank).alias("rank"), "_x.*"), "spaced-chosen")

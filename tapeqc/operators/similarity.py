@@ -32,10 +32,15 @@ def ssim_to_reference(frames: DataFrame, reference: list[float], width: int, hei
     return frames.select("asset_id", "frame_idx", score("luma").alias("score"))
 
 
-def ssim_runs(scores: DataFrame, threshold: float = 0.7, least: int = 1) -> DataFrame:
-    """asset_id, first_idx, end_idx: the first run of frames over the threshold with more than `least` frames; ends at the first frame below, or null."""
+def ssim_runs(scores: DataFrame, threshold: float = 0.7, least: int = 0, all_runs: bool = False) -> DataFrame:
+    """asset_id, first_idx, end_idx: runs of samples (asset_id, frame_idx, score) over the threshold, up to the first sample below, of more than `least` frames.
+
+    The search stops after an asset's first run, be it too short, unless all_runs. A run that no sample ends is none.
+    """
     w = Window.partitionBy("asset_id").orderBy("frame_idx")
     own = scores.withColumn("ok", F.col("score") > threshold).withColumn("next", F.lead("frame_idx").over(w)).withColumn("_b", F.lag("ok").over(w))
     runs = islands(own, ["asset_id"], ["frame_idx"], F.col("ok") != F.col("_b")).where("ok")
-    one = runs.groupBy("asset_id", "island").agg(F.min("frame_idx").alias("first_idx"), F.max_by("next", "frame_idx").alias("end_idx"), F.count("*").alias("n")).where(F.col("n") >= least)
-    return one.groupBy("asset_id").agg(F.min_by(F.struct("first_idx", "end_idx"), "first_idx").alias("x")).select("asset_id", "x.*")
+    one = runs.groupBy("asset_id", "island").agg(F.min("frame_idx").alias("first_idx"), F.max_by("next", "frame_idx").alias("end_idx"))
+    if not all_runs:
+        one = one.groupBy("asset_id").agg(F.min_by(F.struct("first_idx", "end_idx"), "first_idx").alias("x")).select("asset_id", "x.*")
+    return one.where(F.col("end_idx") - F.col("first_idx") > least).select("asset_id", "first_idx", "end_idx")

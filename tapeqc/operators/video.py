@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
+from ..functions.scalars import LUMA_ZONES, luma_zone
 from .intervals import ASSET, gap_islands, islands, merge_spans
 
 
@@ -54,10 +55,25 @@ def bars_frame(bit_depth: int = 10, relaxed: bool = False) -> Column:
     return F.coalesce((F.col("YMAX") > ymax) & (F.col("YMIN") < ymin) & (F.col("YDIF") < ydif) & (F.col("SATMAX") > sat), F.lit(False))
 
 
-def whole_video_bars(frames: DataFrame, share: float = 0.95) -> DataFrame:
-    """asset_id, end_s: assets of which at least `share` of frames are still, saturated bars."""
-    good = bars_frame() & F.coalesce(F.col("TOUT") <= 0.02, F.lit(True))
-    return frames.groupBy("asset_id").agg(F.avg(good.cast("double")).alias("x"), F.max("t").alias("end_s")).where(F.col("x") >= share).select("asset_id", "end_s")
+# What a frame of bars stays over or under when a whole video is tested, by bit depth.
+WHOLE_BARS = {
+    10: {"TOUT": 0.020, "YMAX": 800, "YMIN": 10, "YDIF": 25, "SATMAX": 300, "UMAX": 1020, "UDIF": 20, "VMAX": 970, "VDIF": 15},
+    8: {"TOUT": 0.020, "YMAX": 199, "YMIN": 3, "YDIF": 2, "SATMAX": 75, "UMAX": 255, "UDIF": 5, "VMAX": 243, "VDIF": 4},
+}
+
+
+def whole_bars_frame(bit_depth: int = 10) -> Column:
+    """Whether a frame meets all nine criteria; a metric that is missing fails."""
+    k, out = WHOLE_BARS[bit_depth], F.lit(True)
+    for c, limit in k.items():
+        out = out & (F.col(c) <= limit if c == "TOUT" else F.col(c) > limit if c in ("YMAX", "SATMAX") else F.col(c) < limit)
+    return F.coalesce(out, F.lit(False))
+
+
+def whole_video_bars(frames: DataFrame, share: float = 0.95, bit_depth: int = 10) -> DataFrame:
+    """asset_id, end_s: assets of which at least `share` of the frames are bars by all nine criteria."""
+    met = F.count_if(whole_bars_frame(bit_depth)) * 1.0 / F.count("*")
+    return frames.groupBy("asset_id").agg(met.alias("x"), F.max("t").alias("end_s")).where(F.col("x") >= share).select("asset_id", "end_s")
 
 
 def detect_bars(frames: DataFrame, min_run: int | None = None, max_misses: int | None = None, relaxed: bool = False, start_s: float = 0.0, end_s: float = 300.0, min_s: float = 2.0, bit_depth: int = 10) -> DataFrame:
@@ -195,15 +211,47 @@ def bars_agreement(a: DataFrame, b: DataFrame, tolerance: float = 1.0) -> DataFr
     return wide.select("asset_id", verdict.alias("verdict"))
 
 
+# The bit that each noise plane of a 10-bit sample shows, and the planes' channels.
+BIT_PLANES, PLANE_CHANNELS = {1: "9th", 2: "10th", 3: "8th", 4: "7th"}, {0: "Y", 1: "Cb", 2: "Cr"}
+
+
 def bitplane_summary(planes: DataFrame) -> DataFrame:
-    """asset_id, channel, bit, zero_pct, avg, max, empty: of per-frame noise values (value) of each bit plane of each channel."""
-    return planes.groupBy("asset_id", "channel", "bit").agg(F.round(F.avg((F.col("value") == 0).cast("double")) * 100, 6).alias("zero_pct"), F.round(F.avg("value"), 6).alias("avg"), F.max("value").alias("max"), (F.max("value") == 0).alias("empty"))
+    """asset_id, channel, bit, status, frames, zero_pct, average, max: of per-frame noise (asset_id, channel, bit, value) in the four lowest planes.
+
+    Every asset has a row for each of the three channels and four bits: empty (always 0), active, or no_data.
+    """
+    own = planes.where(F.col("bit").isin(*BIT_PLANES) & F.col("channel").isin(*PLANE_CHANNELS))
+    found = own.groupBy("asset_id", "channel", "bit").agg(F.count("value").alias("frames"), F.count_if(F.col("value") == 0).alias("zeros"), F.avg("value").alias("average"), F.max("value").alias("max"))
+    pairs = F.array(*[F.struct(F.lit(c).alias("channel"), F.lit(b).alias("bit")) for c in PLANE_CHANNELS for b in BIT_PLANES])
+    every = planes.select("asset_id").distinct().select("asset_id", F.explode(pairs).alias("p")).select("asset_id", "p.*")
+    wide = every.join(found, ["asset_id", "channel", "bit"], "left").withColumn("frames", F.coalesce("frames", F.lit(0)))
+    status = F.when(F.col("frames") == 0, "no_data").when(F.col("zeros") == F.col("frames"), "empty").otherwise("active")
+    return wide.select("asset_id", "channel", "bit", status.alias("status"), "frames", F.round(F.col("zeros") * 100.0 / F.col("frames"), 1).alias("zero_pct"), F.round("average", 6).alias("average"), F.round("max", 6).alias("max"))
 
 
-def bitplane_verdict(summary: DataFrame, low_bits: int = 2) -> DataFrame:
-    """asset_id, verdict: truncated if all low bits of all channels are empty, partial if some are, else valid."""
-    low = summary.where(F.col("bit") <= low_bits).groupBy("asset_id").agg(F.bool_and("empty").alias("all"), F.bool_or("empty").alias("any"))
-    return low.select("asset_id", F.when(F.col("all"), "truncated").when(F.col("any"), "partial").otherwise("valid").alias("verdict"))
+def bitplane_verdict(planes: DataFrame) -> DataFrame:
+    """asset_id, status, order_check, avg_9th_10th, avg_7th_8th: whether samples have the depth that they claim.
+
+    truncated: all planes with data are empty; partial_truncation: some are; else valid. order_check: whether the less significant bits
+    have no less noise (expected) than the more significant ones; null where one of the four has no data.
+    """
+    summary = bitplane_summary(planes).groupBy("asset_id").agg(F.bool_or(F.col("status") == "empty").alias("any"), F.bool_or(F.col("status") == "active").alias("active"))
+    bit = lambda b: F.round(F.avg(F.when(F.col("bit") == b, F.col("value"))), 6)
+    bits = planes.where(F.col("channel").isin(*PLANE_CHANNELS)).groupBy("asset_id").agg(((bit(1) + bit(2)) / 2).alias("low"), ((bit(3) + bit(4)) / 2).alias("high"))
+    status = F.when(F.col("any") & ~F.col("active"), "truncated").when(F.col("any"), "partial_truncation").otherwise("valid")
+    order = F.when(F.col("low") >= F.col("high"), "expected").when(F.col("low") < F.col("high"), "unexpected")
+    shown = lambda c: F.when(order.isNotNull(), F.round(c, 6))
+    return summary.join(bits, "asset_id", "left").select("asset_id", status.alias("status"), order.alias("order_check"), shown("low").alias("avg_9th_10th"), shown("high").alias("avg_7th_8th"))
+
+
+def luma_zones(pixels: DataFrame) -> DataFrame:
+    """asset_id, subblack_ratio, midtone_ratio, highlight_ratio, primary_zone: where in brightness the pixels (asset_id, y) in violation lie."""
+    zone, names = luma_zone("y"), list(LUMA_ZONES.values())
+    one = pixels.groupBy("asset_id").agg(*[F.count_if(zone == z).alias(z) for z in names])
+    whole = F.greatest(F.lit(1), F.col("subblack") + F.col("midtones") + F.col("highlights"))
+    most = F.greatest(*names)
+    primary = F.when(F.col("subblack") == most, "subblack").when(F.col("midtones") == most, "midtones").otherwise("highlights")
+    return one.select("asset_id", *[F.round(F.col(z) / whole, 6).alias(f"{z.rstrip('s')}_ratio") for z in names], primary.alias("primary_zone"))
 
 
 def _within(frames: DataFrame, spans: DataFrame, margin: float = 0.0) -> DataFrame:

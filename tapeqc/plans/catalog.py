@@ -76,7 +76,31 @@ def _(spark, d):
     return frames(spark, d).groupBy("asset_id").agg(F.count_if(V.bars_frame()).alias("strict"), F.count_if(V.bars_frame(relaxed=True)).alias("relaxed"))
 
 
-@_query("F5_whole_video_bars", f"WITH {FRAMES} SELECT asset_id, max(t) AS end_s FROM frames GROUP BY asset_id HAVING avg(CAST({_BARS} AND TOUT <= 0.02 AS INT)) >= 0.05")
+_TAPE = {"YMAX": ("820 + YDIF", 205), "YMIN": (4, 2), "YDIF": ("YDIF", 1), "SATMAX": ("310 + YDIF", 80), "UMAX": ("UMAX", 240), "UDIF": ("UDIF", 2), "VMAX": ("VMAX", 230), "VDIF": ("VDIF", 2), "TOUT": ("CASE WHEN asset_id % 15 = 5 AND frame_idx % 50 = 9 THEN NULL ELSE 0.02 END", 0.01)}
+_BAR = "asset_id % 5 = 0 AND NOT (asset_id % 10 = 0 AND frame_idx % 18 = 3)"
+_TAPES = "SELECT asset_id, frame_idx, t, " + ", ".join(f"CAST(CASE WHEN {_BAR} THEN {ten} WHEN asset_id % 5 = 1 THEN {eight} ELSE {c} END AS DOUBLE) AS {c}" for c, (ten, eight) in _TAPE.items()) + " FROM frames"
+
+
+def _whole_sql(bits: int) -> str:
+    k = V.WHOLE_BARS[bits]
+    met = " AND ".join(f"{c} {'<=' if c == 'TOUT' else '>' if c in ('YMAX', 'SATMAX') else '<'} {x}" for c, x in k.items())
+    return f"WITH {FRAMES}, tapes AS ({_TAPES}) SELECT asset_id, max(t) AS end_s FROM tapes GROUP BY asset_id HAVING count(*) FILTER (WHERE {met}) * 100.0 / count(*) >= 95"
+
+
+def _tapes(spark: SparkSession, d: str) -> DataFrame:
+    return spark.sql(_TAPES.replace("FROM frames", "FROM {frames}"), frames=frames(spark, d))
+
+
+@_query("F5_whole_video_bars", _whole_sql(10))
+def _(spark, d):
+    return V.whole_video_bars(_tapes(spark, d))
+
+
+@_query("F5_whole_video_bars_8bit", _whole_sql(8))
+def _(spark, d):
+    return V.whole_video_bars(_tapes(spark, d), bit_depth=8)
+
+
 def _(spark, d):
     return V.whole_video_bars(frames(spark, d), share=0.05)
 
@@ -194,12 +218,16 @@ def _(spark, d):
     return V.downsample_trace(frames(spark, d), "YMAX", 50)
 
 
-@_query("P24_luma_zones", f"WITH {FRAMES} SELECT asset_id, CASE WHEN YAVG < 64 THEN 'subblack' WHEN YAVG < 192 THEN 'midtone' ELSE 'highlight' END AS zone, count(*) AS n FROM (SELECT asset_id, YAVG - 280 AS YAVG FROM frames) GROUP BY ALL")
+@_query("P24_luma_zones", f"WITH {FRAMES}, z AS (SELECT asset_id, count(*) FILTER (WHERE YAVG - 280 < 64) AS a, count(*) FILTER (WHERE YAVG - 280 >= 64 AND YAVG - 280 < 192) AS b, count(*) FILTER (WHERE YAVG - 280 >= 192) AS c FROM frames WHERE asset_id % 4 <> 3 OR YAVG >= 380 GROUP BY asset_id) SELECT asset_id, round(a / greatest(1, a + b + c), 6) AS subblack_ratio, round(b / greatest(1, a + b + c), 6) AS midtone_ratio, round(c / greatest(1, a + b + c), 6) AS highlight_ratio, CASE WHEN a >= b AND a >= c THEN 'subblack' WHEN b >= c THEN 'midtones' ELSE 'highlights' END AS primary_zone FROM z")
+def _(spark, d):
+    return V.luma_zones(frames(spark, d).where("asset_id % 4 != 3 or YAVG >= 380").select("asset_id", (F.col("YAVG") - 280).alias("y")))
+
+
 def _(spark, d):
     return frames(spark, d).select("asset_id", P.luma_zone(F.col("YAVG") - 280).alias("zone")).groupBy("asset_id", "zone").agg(F.count("*").alias("n"))
 
 
-_HUE_SQL = "CASE CAST(floor(((HUEMED + 15) % 360) / 30) AS INT) " + " ".join(f"WHEN {k} THEN '{h}'" for k, h in enumerate(P.HUES)) + " END"
+_HUE_SQL = "CASE " + " ".join(f"WHEN HUEMED % 360 < {k} THEN '{h}'" for k, h in ((15, "red"), (45, "orange"), (75, "yellow"), (105, "yellow-green"), (135, "green"), (165, "green-cyan"), (195, "cyan"), (225, "blue-cyan"), (255, "blue"), (285, "blue-magenta"), (315, "magenta"), (345, "red-magenta"), (360, "red"))) + " ELSE '' END"
 
 
 @_query("P9_hue_label", f"WITH {FRAMES} SELECT asset_id, {_HUE_SQL} AS hue, count(*) AS n FROM frames GROUP BY ALL")
@@ -277,7 +305,7 @@ def _(spark, d):
     return I.period_overlap(_periods(own), _periods(own, 40.0, 10.0))
 
 
-_VALIDATED = "SELECT p.asset_id, p.period_no, p.start_s, p.duration_s, coalesce(sum(least(p.start_s + p.duration_s, s.end_s) - greatest(p.start_s, s.start_s)), 0) AS black_s FROM periods p LEFT JOIN segments s ON s.asset_id = p.asset_id AND least(p.start_s + p.duration_s, s.end_s) > greatest(p.start_s, s.start_s) GROUP BY ALL"
+_VALIDATED = "SELECT p.asset_id, p.period_no, p.start_s, p.duration_s, sum(CASE WHEN s.asset_id IS NULL THEN 0 ELSE least(p.start_s + p.duration_s, s.end_s) - greatest(p.start_s, s.start_s) END) AS black_s FROM periods p LEFT JOIN segments s ON s.asset_id = p.asset_id AND least(p.start_s + p.duration_s, s.end_s) > greatest(p.start_s, s.start_s) GROUP BY ALL"
 
 
 @_query("T7_validate_periods", f"WITH {FRAMES}, {_PERIODS}, {_SEGMENTS}, o AS ({_VALIDATED}) SELECT *, black_s <= 0.25 * duration_s AS valid FROM o")
@@ -287,28 +315,97 @@ def _(spark, d):
 
 
 @_query("T8_shift_periods")
+def _(spark, d):
+    own = frames(spark, d)
+    assets = own.groupBy("asset_id").agg((F.max("t") + 10).alias("duration_s"), F.lit(2.0).alias("first_s"))
+    return B.shift_periods(_periods(own), V.black_segments(own), assets)
+
+
 def _(spark, d):
     own = frames(spark, d)
     return B.shift_periods(_periods(own), V.black_segments(own), own.groupBy("asset_id").agg(F.max("t").alias("duration_s")))
 
 
-@_query("T6_even_periods")
+_EVEN = "e AS (SELECT asset_id, max(t) AS len, CAST(asset_id % 3 * 4 AS DOUBLE) AS content, CASE WHEN asset_id % 2 = 0 THEN 10.0 END AS bars FROM frames GROUP BY asset_id), f AS (SELECT asset_id, greatest(content, coalesce(bars, 0)) + 10 AS first, CASE WHEN asset_id % 5 = 1 THEN 55 WHEN asset_id % 5 = 2 THEN 75 ELSE len END - 30 AS last FROM e), g AS (SELECT *, last - first AS room, CASE WHEN last - first >= 36 THEN 3 WHEN last - first >= 12 THEN CAST(least(3, floor((last - first) / 12)) AS INT) ELSE 1 END AS n FROM f WHERE last > first), even AS (SELECT asset_id, CAST(unnest(range(n)) AS INT) AS period_no, first, room, n FROM g), spaced AS (SELECT asset_id, period_no, first + period_no * greatest(0, room - 12) / greatest(1, n - 1) AS start_s, least(12, room) AS duration_s FROM even)"
+
+
+def _even_assets(spark: SparkSession, d: str) -> DataFrame:
+    length = F.when(F.col("asset_id") % 5 == 1, 55.0).when(F.col("asset_id") % 5 == 2, 75.0).otherwise(F.max("t"))
+    own = frames(spark, d).groupBy("asset_id").agg(F.max("t").alias("m"), length.alias("duration_s"))
+    return own.select("asset_id", "duration_s", (F.col("asset_id") % 3 * 4.0).alias("content_start_s"), F.when(F.col("asset_id") % 2 == 0, 10.0).alias("bars_end_s"))
+
+
+@_query("T6_even_periods", f"WITH {FRAMES}, {_EVEN} SELECT * FROM spaced")
+def _(spark, d):
+    return I.even_periods(_even_assets(spark, d), 3, 12.0)
+
+
+@_query("T6_hinted_periods", f"WITH {FRAMES}, {_EVEN}, h AS (SELECT DISTINCT asset_id, r AS rank, CAST(8 + (r * 7 + asset_id) % 11 * 5 AS DOUBLE) AS t FROM frames, (VALUES (1), (2), (3), (4), (5)) v(r)), near AS (SELECT h.asset_id, greatest(g.first, h.t - 6) AS start_s, g.last, row_number() OVER (PARTITION BY h.asset_id ORDER BY rank) AS r FROM h JOIN g USING (asset_id) WHERE h.t >= g.first), good AS (SELECT *, count(*) OVER (PARTITION BY asset_id) AS k FROM near WHERE r <= 3 AND start_s + 12 <= last) SELECT asset_id, CAST(r - 1 AS INT) AS period_no, start_s, CAST(12 AS DOUBLE) AS duration_s FROM good WHERE k = 3 UNION ALL SELECT * FROM spaced WHERE asset_id NOT IN (SELECT asset_id FROM good WHERE k = 3)")
+def _(spark, d):
+    own = _even_assets(spark, d)
+    hints = own.select("asset_id", F.explode(F.sequence(F.lit(1), F.lit(5))).alias("rank")).withColumn("t", 8 + (F.col("rank") * 7 + F.col("asset_id")) % 11 * 5.0)
+    return I.even_periods(own, 3, 12.0, hints=hints)
+
+
 def _(spark, d):
     own = frames(spark, d)
     return I.even_periods(own.groupBy("asset_id").agg(F.max("t").alias("duration_s"), F.lit(10.0).alias("bars_end_s")), 3, 12.0)
 
 
-@_query("T10_sample_evenly")
+@_query("T10_sample_evenly", f"WITH {FRAMES}, l AS (SELECT asset_id, max(frame_idx) AS last FROM frames GROUP BY asset_id), p AS (SELECT DISTINCT asset_id, CAST(floor(k * last / 19) AS BIGINT) AS frame_idx FROM l, (SELECT unnest(range(20)) AS k)) SELECT asset_id, frame_idx, f.t FROM p JOIN frames f USING (asset_id, frame_idx)")
 def _(spark, d):
     return B.sample_evenly(frames(spark, d), 20)
 
 
-@_query("A14_violation_assessment", f"WITH {FRAMES}, v AS ({_BRNG}), o AS (SELECT asset_id, count(*) AS n, {_r('avg(pct)')} AS avg_pct, max(pct) AS max_pct FROM v GROUP BY asset_id) SELECT *, CASE WHEN avg_pct < 1 AND max_pct < 5 THEN 'Minimal' WHEN avg_pct < 5 THEN 'Minor' WHEN avg_pct < 15 THEN 'Moderate' ELSE 'Severe' END AS assessment FROM o")
+@_query("T10_sample_targeted")
+def _(spark, d):
+    own = frames(spark, d)
+    segments = _periods(own).where("asset_id % 9 != 4 or period_no < 2").select("asset_id", "period_no", "start_s", (F.col("start_s") + F.col("duration_s")).alias("end_s"), F.lit(360).alias("total_frames"), F.lit(24.0).alias("fps"))
+    return B.sample_targeted(segments, B.brng_violations(own).where("asset_id % 4 != 3"), 100, 20, 25, 40)
+
+
+def _(spark, d):
+    return B.sample_evenly(frames(spark, d), 20)
+
+
+_SIDE_FLAGS = {
+    "l": "k = 2 AND f % 2 = 0 OR k = 3 AND f % 3 <> 0 OR k = 4 AND f % 10 = 0 OR k = 5 AND f % 9 = 0 OR k = 6 AND f % 5 = 0",
+    "u": "k = 3 AND f % 6 = 1 OR k = 4 AND f % 10 = 5",
+    "c": "k = 1 AND f % 5 = 0 OR k = 2 AND f % 20 = 0 OR k = 4 AND f % 8 = 0",
+    "n": "k = 0 AND f % 4 = 0",
+}
+_SCALED = "pct / CASE asset_id % 3 WHEN 0 THEN 1 WHEN 1 THEN 8 ELSE 100 END"
+_MARK = "asset_id, frame_idx, " + _SCALED + " AS pct, " + ", ".join(f"({x}) AS {c}" for c, x in _SIDE_FLAGS.items()) + ", CAST(CASE WHEN k = 5 THEN 30 + f % 30 WHEN k = 6 AND f % 2 = 0 THEN 12 END AS DOUBLE) AS s"
+_MARKED = f"v AS ({_BRNG}), kept AS (SELECT *, asset_id % 7 AS k, frame_idx AS f FROM v), marked AS (SELECT {_MARK} FROM kept)"
+_SIDE_SQL = ", ".join(f"{x} AS {s}_pct, {y} AS {s}_score, CASE WHEN {x} > 50 THEN 10 WHEN {x} > 20 THEN 5 ELSE 0 END AS {s}_px" for s, x, y in (("left", "100.0 * count(*) FILTER (WHERE l) / count(*)", "avg(s)"), ("right", "0.0::DOUBLE", "NULL::DOUBLE"), ("top", "100.0 * count(*) FILTER (WHERE u) / count(*)", "NULL::DOUBLE"), ("bottom", "0.0::DOUBLE", "NULL::DOUBLE")))
+_PATTERNS = f"""sides AS (SELECT asset_id, count(*) AS n, 100.0 * count(*) FILTER (WHERE l OR u) / count(*) AS edge_pct, 100.0 * count(*) FILTER (WHERE c) / count(*) AS continuous_pct, 100.0 * count(*) FILTER (WHERE n) / count(*) AS linear_pct, {_SIDE_SQL}, CAST(bool_or(l) AS INT) + CAST(bool_or(u) AS INT) AS n_edges FROM marked GROUP BY asset_id),
+patterns AS (SELECT *, linear_pct > 20 OR continuous_pct > 15 OR edge_pct > 30 AND continuous_pct > 0 OR edge_pct > 60 AND continuous_pct = 0 OR continuous_pct > 10 AND n_edges >= 2 OR coalesce(left_score, 0) > 40 AS adjust FROM sides)"""
+
+
+def _marked(spark: SparkSession, d: str) -> DataFrame:
+    own = B.brng_violations(frames(spark, d)).selectExpr("*", "asset_id % 7 AS k", "frame_idx AS f").selectExpr(*[f"({x}) AS {c}" for c, x in _SIDE_FLAGS.items()], "asset_id", "frame_idx", f"{_SCALED} AS pct", "CAST(CASE WHEN k = 5 THEN 30 + f % 30 WHEN k = 6 AND f % 2 = 0 THEN 12 END AS DOUBLE) AS s")
+    edges = F.array_compact(F.array(F.when(F.col("l"), "left"), F.when(F.col("u"), "top")))
+    return own.select("asset_id", "frame_idx", "pct", edges.alias("edges"), F.col("c").alias("continuous"), F.col("n").alias("linear"), F.when(F.col("s").isNotNull(), F.create_map(F.lit("left"), "s")).alias("scores"))
+
+
+@_query("A14_violation_assessment", f"""WITH {FRAMES}, {_MARKED}, {_PATTERNS}, o AS (SELECT asset_id, avg(pct) AS avg_pct, max(pct) AS max_pct FROM marked GROUP BY asset_id)
+SELECT asset_id, n, avg_pct, max_pct, edge_pct, linear_pct, concat_ws('; ', CASE WHEN avg_pct >= 1 THEN printf('Average BRNG: %.2f%%', avg_pct) WHEN avg_pct >= 0.1 THEN printf('Average BRNG: %.2f%% (low-level)', avg_pct) ELSE printf('Average BRNG: %.3f%% (minimal)', avg_pct) END,
+ CASE WHEN edge_pct > 70 THEN printf('%.0f%% of violations at frame edges', edge_pct) WHEN edge_pct > 40 THEN printf('%.0f%% edge violations, %.0f%% content area', edge_pct, 100 - edge_pct) WHEN edge_pct > 0 THEN printf('Violations primarily in content area (%.0f%%)', 100 - edge_pct) END,
+ CASE WHEN linear_pct > 20 THEN printf('linear blanking patterns detected (%.0f%%)', linear_pct) END) AS assessment FROM o JOIN patterns USING (asset_id)""")
+def _(spark, d):
+    own = _marked(spark, d)
+    return B.violation_assessment(own, B.violation_patterns(own))
+
+
 def _(spark, d):
     return B.violation_assessment(B.brng_violations(frames(spark, d)))
 
 
-@_query("A12_violation_patterns")
+@_query("A12_violation_patterns", f"WITH {FRAMES}, {_MARKED}, {_PATTERNS} SELECT * FROM patterns")
+def _(spark, d):
+    return B.violation_patterns(_marked(spark, d))
+
+
 def _(spark, d):
     edges = F.array_compact(F.array(F.when(F.col("frame_idx") % 2 == 0, "left"), F.when(F.col("frame_idx") % 5 == 0, "top"), F.when(F.col("frame_idx") % 7 == 0, "right")))
     own = B.brng_violations(frames(spark, d)).select("asset_id", edges.alias("edges"), (F.col("frame_idx") % 3 == 0).alias("continuous"), (F.col("frame_idx") % 11 == 0).alias("linear"))
@@ -370,7 +467,7 @@ def _(spark, d):
 _MEANS = "o AS (SELECT asset_id, ch, rms_level, row_number() OVER (PARTITION BY asset_id, ch ORDER BY frame_idx) AS i FROM channels WHERE rms_level IS NOT NULL), n AS (SELECT asset_id, min(m) AS n FROM (SELECT asset_id, ch, max(i) AS m FROM o GROUP BY ALL) GROUP BY asset_id), means AS (SELECT asset_id, ch, avg(rms_level) AS mean_rms FROM o JOIN n USING (asset_id) WHERE i <= n GROUP BY ALL)"
 
 
-@_query("J12_channel_pairs", f"WITH {CHANNELS}, {_MEANS}, p AS (SELECT a.asset_id, a.ch AS ch_a, b.ch AS ch_b, a.mean_rms - b.mean_rms AS diff FROM means a JOIN means b ON a.asset_id = b.asset_id AND a.ch < b.ch) SELECT asset_id, ch_a, ch_b, {_r('abs(diff)')} AS diff_db, CASE WHEN abs(diff) < 1 THEN 'Balanced' WHEN abs(diff) < 3 THEN 'Slight' WHEN abs(diff) < 6 THEN 'Moderate' ELSE 'Significant' END AS label, CASE WHEN diff > 0 THEN ch_a WHEN diff < 0 THEN ch_b END AS louder FROM p")
+@_query("J12_channel_pairs", f"WITH {CHANNELS}, {_MEANS}, p AS (SELECT a.asset_id, a.ch AS ch_a, b.ch AS ch_b, a.mean_rms - b.mean_rms AS diff FROM means a JOIN means b ON a.asset_id = b.asset_id AND a.ch < b.ch) SELECT asset_id, ch_a, ch_b, {_r('abs(diff)')} AS diff_db, CASE WHEN abs(diff) < 1 THEN 'Balanced' WHEN abs(diff) < 3 THEN 'Slight imbalance' WHEN abs(diff) < 6 THEN 'Moderate imbalance' ELSE 'Significant imbalance' END AS label, CASE WHEN diff > 0 THEN ch_a WHEN diff < 0 THEN ch_b END AS louder FROM p")
 def _(spark, d):
     return A.channel_pairs(A.channel_means(channels(spark, d)))
 
@@ -417,9 +514,9 @@ opened AS (SELECT *, unnest(range(0, n - size + 1, greatest(1, size // 2))) AS a
 wins AS (SELECT *, CAST(a // greatest(1, size // 2) AS INT) AS win FROM opened WHERE i >= a AND i < a + size)"""
 
 
-@_query("W9_hopping_windows", f"WITH {CHANNELS}, {_windows_sql('channels', 'asset_id, ch')} SELECT asset_id, ch, win, count(*) AS n FROM wins GROUP BY ALL")
+@_query("W9_hopping_windows", f"WITH {TIMECODE}, {_windows_sql('timecode', 'asset_id, ch')} SELECT asset_id, ch, win, count(*) AS n FROM wins GROUP BY ALL")
 def _(spark, d):
-    return A.hopping_windows(channels(spark, d), ["asset_id", "ch"]).groupBy("asset_id", "ch", "win").agg(F.count("*").alias("n"))
+    return A.hopping_windows(timecode(spark, d), ["asset_id", "ch"]).groupBy("asset_id", "ch", "win").agg(F.count("*").alias("n"))
 
 
 _ASTATS = f"""{TIMECODE}, {_windows_sql('timecode', 'asset_id, ch', 'round_even0')},
@@ -536,7 +633,7 @@ def _(spark, d):
 
 @_query("W23_ssim_runs")
 def _(spark, d):
-    return S.ssim_runs(_ssim(spark, d), 0.0)
+    return S.ssim_runs(_ssim(spark, d), 0.0, all_runs=True)
 
 
 # --- Metadata and fixity -------------------------------------------------------------------------------------------------------------
@@ -681,15 +778,15 @@ def _(spark, d):
     return _clock(spark, d).select("k", P.parse_duration_tag(own, F.format_string("%02d:%02d:%02d.25", "h", "m", "s")).alias("duration_s"))
 
 
-@_query("P10_imbalance_label", "SELECT c_custkey AS asset_id, CASE WHEN abs(c_acctbal) < 1000 THEN 'Balanced' WHEN abs(c_acctbal) < 3000 THEN 'Slight' WHEN abs(c_acctbal) < 6000 THEN 'Moderate' ELSE 'Significant' END AS label FROM customer")
+@_query("P10_imbalance_label", "SELECT c_custkey AS asset_id, CASE WHEN abs(c_acctbal) < 1000 THEN 'Balanced' WHEN abs(c_acctbal) < 3000 THEN 'Slight imbalance' WHEN abs(c_acctbal) < 6000 THEN 'Moderate imbalance' ELSE 'Significant imbalance' END AS label FROM customer")
 def _(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("asset_id"), P.characterize_imbalance(F.col("c_acctbal") / 1000).alias("label"))
 
 
 @_query("P11_wildcard_names", "SELECT c_custkey AS asset_id, c_custkey BETWEEN 100 AND 999 AS fits FROM customer")
 def _(spark, d):
-    name = F.concat(F.lit("JPC_"), F.col("c_custkey").cast("string"))
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("asset_id"), name.rlike(f"^{P.wildcard_to_regex('JPC_###')}$").alias("fits"))
+    name = F.concat(F.lit("TAPE_"), F.col("c_custkey").cast("string"))
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("asset_id"), name.rlike(f"^{P.wildcard_to_regex('TAPE_###')}$").alias("fits"))
 
 
 @_query("P12_hash_algorithm", "SELECT doc_id AS asset_id, CASE doc_id % 3 WHEN 0 THEN 'md5' WHEN 1 THEN 'sha256' END AS algorithm FROM documents")
@@ -730,7 +827,12 @@ def _(spark, d):
     return table(spark, d, "events").select("event_id", P.dropped_sample_score(F.col("event_id") % 20, F.col("event_id") % 3).alias("x")).select("event_id", "x.*")
 
 
-@_query("P19_brng_diagnosis", "SELECT c_custkey AS asset_id, CASE WHEN c_acctbal < 500 AND c_custkey % 10 < 5 THEN 'Minimal' WHEN c_acctbal < 2500 THEN 'Minor' WHEN c_acctbal < 7500 THEN 'Moderate' ELSE 'Severe' END AS diagnosis FROM customer")
+@_query("P19_brng_diagnosis", "WITH c AS (SELECT c_custkey AS asset_id, c_acctbal / 100 AS pct, c_custkey % 30 / 10.0 AS top, c_custkey % 4 AS b, c_custkey % 3 AS c, c_custkey % 2 = 0 AS area FROM customer) SELECT asset_id, CASE WHEN NOT area THEN CASE WHEN pct < 10 AND top < 0.1 THEN 'Video appears broadcast-compliant' WHEN pct < 50 AND top < 1 THEN 'Minor BRNG violations - likely acceptable' WHEN top > 2 THEN 'Significant BRNG violations requiring correction' ELSE 'Moderate BRNG violations detected' END WHEN b > c THEN 'BRNG violations primarily in border areas - active content appears broadcast-safe' WHEN c > 0 THEN CASE WHEN pct > 50 THEN 'Significant BRNG violations in active picture area - requires correction' ELSE 'BRNG violations detected in active picture area - review recommended' END ELSE 'Video appears broadcast-compliant with properly detected borders' END AS diagnosis FROM c")
+def _(spark, d):
+    k = F.col("c_custkey")
+    return table(spark, d, "customer").select(k.alias("asset_id"), B.brng_diagnosis(F.col("c_acctbal") / 100, k % 30 / 10.0, k % 4, k % 3, k % 2 == 0).alias("diagnosis"))
+
+
 def _(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("asset_id"), B.brng_diagnosis(F.col("c_acctbal") / 500, F.col("c_custkey") % 10).alias("diagnosis"))
 
@@ -771,13 +873,16 @@ def _(spark, d):
 
 # --- Reports over several checks -----------------------------------------------------------------------------------------------------
 
-_PLANES = "planes AS (SELECT l_suppkey AS asset_id, CAST(l_linenumber % 3 AS INT) AS channel, CAST(l_orderkey % 10 + 1 AS INT) AS bit, CASE WHEN l_suppkey % 3 = 0 AND l_orderkey % 10 < 2 OR l_suppkey % 3 = 1 AND l_orderkey % 10 = 0 THEN 0 ELSE l_quantity END AS value FROM lineitem), planesum AS (SELECT asset_id, channel, bit, round(avg(CAST(value = 0 AS INT)) * 100, 6) AS zero_pct, round(avg(value), 6) AS avg, max(value) AS max, max(value) = 0 AS empty FROM planes GROUP BY ALL)"
+_NOISE = "CASE WHEN l_suppkey % 3 = 0 AND l_orderkey % 10 < 4 OR l_suppkey % 3 = 1 AND l_orderkey % 10 = 0 THEN 0 WHEN (l_orderkey % 10 < 2) = (l_suppkey % 2 = 0) THEN 2 * l_quantity ELSE l_quantity END"
+_PLANES = f"""planes AS (SELECT l_suppkey AS asset_id, CAST(l_linenumber % 3 AS INT) AS channel, CAST(l_orderkey % 10 + 1 AS INT) AS bit, CAST({_NOISE} AS DOUBLE) AS value FROM lineitem WHERE l_suppkey % 7 <> 0 OR l_linenumber % 3 <> 2),
+seen AS (SELECT asset_id, channel, bit, count(*) AS frames, count(*) FILTER (WHERE value = 0) AS zeros, avg(value) AS average, max(value) AS max FROM planes WHERE bit <= 4 GROUP BY ALL),
+planesum AS (SELECT a.asset_id, CAST(c AS INT) AS channel, CAST(b AS INT) AS bit, CASE WHEN coalesce(frames, 0) = 0 THEN 'no_data' WHEN zeros = frames THEN 'empty' ELSE 'active' END AS status, coalesce(frames, 0) AS frames, round(zeros * 100.0 / frames, 1)::DOUBLE AS zero_pct, round(average, 6) AS average, round(max, 6) AS max
+ FROM (SELECT DISTINCT asset_id FROM planes) a, (SELECT unnest(range(3)) AS c), (SELECT unnest(range(1, 5)) AS b) LEFT JOIN seen s ON s.asset_id = a.asset_id AND s.channel = c AND s.bit = b)"""
 
 
 def _planes(spark: SparkSession, d: str) -> DataFrame:
-    third, low = F.col("l_suppkey") % 3, F.col("l_orderkey") % 10
-    value = F.when((third == 0) & (low < 2) | (third == 1) & (low == 0), 0.0).otherwise(F.col("l_quantity"))
-    return table(spark, d, "lineitem").select(F.col("l_suppkey").alias("asset_id"), (F.col("l_linenumber") % 3).cast("int").alias("channel"), (low + 1).cast("int").alias("bit"), value.alias("value"))
+    own = table(spark, d, "lineitem").where("l_suppkey % 7 != 0 or l_linenumber % 3 != 2")
+    return own.select(F.col("l_suppkey").alias("asset_id"), (F.col("l_linenumber") % 3).cast("int").alias("channel"), (F.col("l_orderkey") % 10 + 1).cast("int").alias("bit"), F.expr(_NOISE).cast("double").alias("value"))
 
 
 @_query("A8_bitplane_summary", f"WITH {_PLANES} SELECT * FROM planesum")
@@ -785,7 +890,11 @@ def _(spark, d):
     return V.bitplane_summary(_planes(spark, d))
 
 
-@_query("A8_bitplane_verdict", f"WITH {_PLANES} SELECT asset_id, CASE WHEN bool_and(empty) THEN 'truncated' WHEN bool_or(empty) THEN 'partial' ELSE 'valid' END AS verdict FROM planesum WHERE bit <= 2 GROUP BY asset_id")
+@_query("A8_bitplane_verdict", f"WITH {_PLANES}, b AS (SELECT asset_id, bit, round(avg(value), 6) AS a FROM planes WHERE bit <= 4 GROUP BY ALL), o AS (SELECT asset_id, (max(CASE WHEN bit = 1 THEN a END) + max(CASE WHEN bit = 2 THEN a END)) / 2 AS low, (max(CASE WHEN bit = 3 THEN a END) + max(CASE WHEN bit = 4 THEN a END)) / 2 AS high FROM b GROUP BY asset_id), s AS (SELECT asset_id, bool_or(status = 'empty') AS hollow, bool_or(status = 'active') AS act FROM planesum GROUP BY asset_id) SELECT asset_id, CASE WHEN hollow AND NOT act THEN 'truncated' WHEN hollow THEN 'partial_truncation' ELSE 'valid' END AS status, CASE WHEN low >= high THEN 'expected' WHEN low < high THEN 'unexpected' END AS order_check, CASE WHEN low IS NOT NULL AND high IS NOT NULL THEN round(low, 4) END AS avg_9th_10th, CASE WHEN low IS NOT NULL AND high IS NOT NULL THEN round(high, 4) END AS avg_7th_8th FROM s LEFT JOIN o USING (asset_id)")
+def _(spark, d):
+    return V.bitplane_verdict(_planes(spark, d)).withColumns({c: F.round(c, 4) for c in ("avg_9th_10th", "avg_7th_8th")})
+
+
 def _(spark, d):
     return V.bitplane_verdict(V.bitplane_summary(_planes(spark, d)))
 
@@ -809,7 +918,15 @@ def _(spark, d):
     return B.period_compare(*_full_active(spark, d))
 
 
-@_query("A13_diagnostic_counts", f"WITH x AS (SELECT user_id % 20 AS asset_id, CASE WHEN event_id % 3 = 0 THEN 'Edge artifacts' ELSE 'Linear blanking' END AS diagnostic FROM events UNION ALL SELECT user_id % 20, 'Edge artifacts' FROM events WHERE event_id % 5 = 0), c AS (SELECT asset_id, diagnostic, count(*) AS n FROM x GROUP BY ALL) SELECT *, {_r('n * 100.0 / sum(n) OVER (PARTITION BY asset_id)')}::DOUBLE AS pct, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY n DESC, diagnostic) AS INT) AS rank FROM c")
+@_query("A13_diagnostic_counts", f"""WITH x AS (SELECT user_id % 20 AS asset_id, event_id AS f, 0 AS i, CASE WHEN event_id % 3 = 0 THEN 'Edge artifacts' WHEN event_id % 3 = 1 THEN 'Linear blanking patterns' ELSE 'Odd' END AS d FROM events UNION ALL SELECT user_id % 20, event_id, 1, 'Edge artifacts' FROM events WHERE event_id % 5 = 0 UNION ALL SELECT user_id % 20, event_id, 2, 'Sub-black detected' FROM events WHERE event_id % 11 = 0 UNION ALL SELECT user_id % 20, event_id, 3, 'Another' FROM events WHERE event_id % 13 = 0),
+c AS (SELECT asset_id, d AS diagnostic, count(*) AS n, min(f * 10 + i) AS first FROM x GROUP BY ALL), w AS (SELECT user_id % 20 AS asset_id, count(*) AS whole FROM events GROUP BY ALL)
+SELECT asset_id, diagnostic, n, {_r('n * 100.0 / whole')}::DOUBLE AS pct, CAST(row_number() OVER (PARTITION BY asset_id ORDER BY CASE diagnostic WHEN 'Sub-black detected' THEN 1 WHEN 'Edge artifacts' THEN 3 WHEN 'Linear blanking patterns' THEN 4 ELSE 9 END, first) AS INT) AS rank, row_number() OVER (PARTITION BY asset_id ORDER BY n DESC, first) = 1 AS dominant FROM c JOIN w USING (asset_id)""")
+def _(spark, d):
+    e = F.col("event_id")
+    found = F.array_compact(F.array(F.when(e % 3 == 0, "Edge artifacts (left, top)").when(e % 3 == 1, "Linear blanking patterns").otherwise("Odd"), F.when(e % 5 == 0, "Edge artifacts (top)"), F.when(e % 11 == 0, "Sub-black detected"), F.when(e % 13 == 0, "Another"), F.when(e % 7 == 0, "Border adjustment recommended")))
+    return B.diagnostic_counts(table(spark, d, "events").select((F.col("user_id") % 20).alias("asset_id"), e.alias("frame_idx"), found.alias("diagnostics")))
+
+
 def _(spark, d):
     e = F.col("event_id")
     found = F.array_compact(F.array(F.when(e % 3 == 0, "Edge artifacts (left)").otherwise("Linear blanking"), F.when(e % 5 == 0, "Edge artifacts (top)")))
@@ -823,7 +940,20 @@ def _(spark, d):
     return A.excluded_channels(own.where("asset_id % 3 = 0 and ch = 1"), own.withColumn("fraction", covered), own.groupBy("asset_id").agg(F.count("*").alias("channels")))
 
 
-@_query("A22_meaningful_improvement", f"WITH {FRAMES}, v AS ({_BRNG}), b AS (SELECT asset_id, count(*) AS n0, max(pct) AS w0 FROM v GROUP BY asset_id), a AS (SELECT asset_id, count(*) AS n1, max(pct) AS w1 FROM v WHERE frame_idx % 10 < asset_id % 10 + 1 GROUP BY asset_id) SELECT asset_id, coalesce(n1, 0) < 0.8 * n0 OR coalesce(w1, 0) < 0.8 * w0 AS improved FROM b LEFT JOIN a USING (asset_id)")
+_RUNS = """b AS (SELECT asset_id, count(*) AS n, max(pct) AS worst, 100.0 * count(*) FILTER (WHERE l OR u) / count(*) AS edge FROM marked WHERE asset_id % 11 <> 0 GROUP BY asset_id),
+a AS (SELECT asset_id, count(*) AS n, max(pct) AS worst, 100.0 * count(*) FILTER (WHERE (l OR u) AND (asset_id % 4 <> 1 OR frame_idx % 20 = 0)) / count(*) AS edge FROM marked WHERE asset_id % 3 <> 0 OR frame_idx % 10 < asset_id % 10 + 1 GROUP BY asset_id)"""
+
+
+@_query("A22_meaningful_improvement", f"WITH {FRAMES}, {_MARKED}, {_RUNS} SELECT asset_id, CASE WHEN b.n IS NULL OR a.n IS NULL THEN false WHEN a.n < 0.8 * b.n OR a.worst < 0.8 * b.worst THEN true WHEN a.edge > 50 THEN asset_id % 5 <> 0 ELSE b.edge > 0 AND a.edge < 0.7 * b.edge END AS improved FROM b FULL JOIN a USING (asset_id)")
+def _(spark, d):
+    own = _marked(spark, d)
+    one = lambda df, edge, width: df.groupBy("asset_id").agg(F.count("*").alias("n"), F.max("pct").alias("worst_pct"), (F.count_if(edge) * 100.0 / F.count("*")).alias("edge_pct")).select("*", width.alias("width"), F.lit(480).alias("height"))
+    at_edge, k = F.size("edges") > 0, F.col("asset_id")
+    before = one(own.where("asset_id % 11 != 0"), at_edge, F.when(k % 5 != 1, 700))
+    after = one(own.where("asset_id % 3 != 0 or frame_idx % 10 < asset_id % 10 + 1"), at_edge & ((k % 4 != 1) | (F.col("frame_idx") % 20 == 0)), F.when(k % 5 == 0, 700).otherwise(690))
+    return B.meaningful_improvement(before, after)
+
+
 def _(spark, d):
     own = B.brng_violations(frames(spark, d))
     one = lambda df: df.groupBy("asset_id").agg(F.count("*").alias("n"), F.max("pct").alias("max_pct"))
@@ -842,7 +972,15 @@ def _(spark, d):
     return V.head_bars_end(own.where("end_s - start_s >= 4 and start_s < 300"), own.where("end_s - start_s = 1"))
 
 
-@_query("A26_method_correlation", f"WITH {FRAMES}, a AS (SELECT asset_id, CASE WHEN avg(YMAX) > 800 THEN 'high' ELSE 'low' END AS a FROM frames WHERE asset_id % 7 <> 0 GROUP BY asset_id), b AS (SELECT asset_id, CASE WHEN avg(BRNG) > 0.02 THEN 'high' ELSE 'low' END AS b FROM frames WHERE asset_id % 5 <> 0 GROUP BY asset_id) SELECT asset_id, CASE WHEN a IS NULL OR b IS NULL THEN 'single method' WHEN a = b THEN 'agree' ELSE 'differ' END AS agreement FROM a FULL JOIN b USING (asset_id)")
+_SAID = "CASE asset_id % 4 WHEN 0 THEN 'BRNG violations primarily in border areas - active content appears broadcast-safe' WHEN 1 THEN 'Significant BRNG violations in active picture area - requires correction' WHEN 2 THEN 'BRNG violations detected in active picture area - review recommended' ELSE 'Video appears broadcast-compliant' END"
+
+
+@_query("A26_method_correlation", f"WITH {FRAMES}, {_MARKED}, {_PATTERNS}, x AS (SELECT asset_id, asset_id % 4 = 0 AS border, asset_id % 4 = 1 AS content, adjust OR edge_pct > 50 AS edgy, edge_pct FROM patterns WHERE asset_id % 9 <> 0) SELECT asset_id, CASE WHEN border AND edgy THEN 'both_border' WHEN content AND NOT edgy AND edge_pct < 30 THEN 'both_content' WHEN content AND edgy THEN 'content_and_border' WHEN border AND NOT edgy AND edge_pct < 30 THEN 'border_and_content' WHEN edge_pct > 50 THEN 'likely_border' WHEN edge_pct < 20 THEN 'likely_content' ELSE 'mixed' END AS agreement FROM x")
+def _(spark, d):
+    patterns = B.violation_patterns(_marked(spark, d))
+    return B.method_correlation(patterns.select("asset_id", F.expr(_SAID).alias("diagnosis")).where("asset_id % 9 != 0"), patterns)
+
+
 def _(spark, d):
     own = frames(spark, d)
     verdict = lambda c, least: F.when(F.avg(c) > least, "high").otherwise("low").alias("verdict")
@@ -862,7 +1000,15 @@ def _(spark, d):
     return I.suppress_in_bars(own.where("rms_level = -95"), bars).select("asset_id", "ch", "frame_idx")
 
 
-@_query("T9_replace_low_value_periods", f"WITH {FRAMES}, {_PERIODS}, p AS (SELECT *, asset_id % 3 + 4 * period_no AS score FROM periods), c AS (SELECT asset_id, r AS rank, CAST(35 + 12 * r AS DOUBLE) AS start_s, CAST(15 AS DOUBLE) AS duration_s FROM (SELECT DISTINCT asset_id FROM frames), (VALUES (1), (2), (3)) v(r)), k AS (SELECT * FROM p WHERE score >= 5), f AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY rank) AS i FROM c WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.asset_id = c.asset_id AND c.start_s < k.start_s + k.duration_s AND k.start_s < c.start_s + c.duration_s)), l AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY period_no) AS i FROM p WHERE score < 5) SELECT asset_id, period_no, start_s, duration_s FROM k UNION ALL SELECT l.asset_id, l.period_no, coalesce(f.start_s, l.start_s), l.duration_s FROM l LEFT JOIN f ON l.asset_id = f.asset_id AND l.i = f.i")
+@_query("T9_replace_low_value_periods", f"WITH {FRAMES}, {_PERIODS}, p AS (SELECT *, CASE WHEN (asset_id + period_no) % 4 = 0 THEN 'content_violations' WHEN (asset_id + period_no) % 4 = 1 THEN 'border_violations' ELSE 'minimal' END AS verdict, CAST(asset_id % 3 + 4 * period_no AS DOUBLE) AS active_pct FROM periods), q AS (SELECT *, CASE verdict WHEN 'content_violations' THEN 100 WHEN 'border_violations' THEN 50 ELSE 0 END + active_pct AS score FROM p), c AS (SELECT asset_id, r AS rank, CAST(35 + 8 * r AS DOUBLE) AS start_s, CAST(4 AS DOUBLE) AS duration_s FROM (SELECT DISTINCT asset_id FROM frames), (VALUES (1), (2), (3), (4)) v(r)), f AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY rank) AS i FROM c WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.asset_id = c.asset_id AND NOT (c.start_s + c.duration_s < p.start_s OR c.start_s > p.start_s + p.duration_s))), l AS (SELECT *, row_number() OVER (PARTITION BY asset_id ORDER BY period_no) AS i FROM q WHERE score < 5) SELECT asset_id, period_no, start_s, duration_s FROM q WHERE score >= 5 UNION ALL SELECT l.asset_id, l.period_no, coalesce(f.start_s, l.start_s), coalesce(f.duration_s, l.duration_s) FROM l LEFT JOIN f ON l.asset_id = f.asset_id AND l.i = f.i")
+def _(spark, d):
+    own = frames(spark, d)
+    candidates = own.select("asset_id").distinct().withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(4)))).select("asset_id", "rank", (35.0 + 8 * F.col("rank")).alias("start_s"), F.lit(4.0).alias("duration_s"))
+    k = (F.col("asset_id") + F.col("period_no")) % 4
+    verdict = F.when(k == 0, "content_violations").when(k == 1, "border_violations").otherwise("minimal")
+    return B.replace_low_value_periods(_periods(own).select("*", verdict.alias("verdict"), (F.col("asset_id") % 3 + 4.0 * F.col("period_no")).alias("active_pct")), candidates)
+
+
 def _(spark, d):
     own = frames(spark, d)
     candidates = own.select("asset_id").distinct().withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(3)))).select("asset_id", "rank", (35.0 + 12 * F.col("rank")).alias("start_s"), F.lit(15.0).alias("duration_s"))
