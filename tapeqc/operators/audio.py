@@ -199,15 +199,19 @@ def majority_smooth(frames: DataFrame, flag: str, k: int = 3, keys: list[str] =
 
 
 def tc_subregions(frames: DataFrame, flag: str, hole_s: float = 2.0, join_s: float = 1.0, least_s: float = 2.0) -> DataFrame:
-    """asset_id, ch, start_s, end_s: stretches of smoothed timecode frames, split at holes of hole_s or more, at least least_s long.
+    """asset_id, ch, start_s, end_s: from first to last flagged frame of the stretches between sustained holes, at least least_s long.
 
-    Holes less than `join_s` apart are one.
+    A hole is a run of frames whose smoothed flag is off, runs less than join_s apart being one, of hole_s or more; its first and last frame
+    belong to the stretches beside it.
     """
     own = majority_smooth(frames, flag)
-    off = gap_islands(own.where("not smooth"), CHANNEL, "t", join_s).groupBy(*CHANNEL, "island").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"))
+    w = Window.partitionBy(*CHANNEL).orderBy("frame_idx")
+    marked = own.withColumn("_on", F.coalesce(F.lag("smooth").over(w), F.lit(True))).where("not smooth")
+    off = islands(marked.withColumn("_last", F.lag("t").over(w)), CHANNEL, ["frame_idx"], F.col("_on") & F.coalesce(F.col("t") - F.col("_last") >= join_s, F.lit(True)))
+    off = off.groupBy(*CHANNEL, "island").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"))
     holes = off.where(F.col("end_s") - F.col("start_s") >= hole_s).select(F.col("asset_id").alias("a"), F.col("ch").alias("c"), "start_s", "end_s")
-    kept = own.where("smooth").join(holes, (F.col("asset_id") == F.col("a")) & (F.col("ch") == F.col("c")) & F.col("t").between(F.col("start_s"), F.col("end_s")), "left_anti")
-    cuts = holes.select(F.col("a").alias("asset_id"), F.col("c").alias("ch"), F.col("start_s").alias("t"), F.lit(1).alias("cut"))
+    kept = own.where(F.col(flag)).join(holes, (F.col("asset_id") == F.col("a")) & (F.col("ch") == F.col("c")) & (F.col("t") > F.col("start_s")) & (F.col("t") < F.col("end_s")), "left_anti")
+    cuts = holes.select(F.col("a").alias("asset_id"), F.col("c").alias("ch"), F.col("end_s").alias("t"), F.lit(1).alias("cut"))
     marks = kept.select(*CHANNEL, "t", F.lit(0).alias("cut")).unionByName(cuts)
     marks = marks.withColumn("part", F.sum("cut").over(Window.partitionBy(*CHANNEL).orderBy("t", F.desc("cut")).rowsBetween(Window.unboundedPreceding, 0))).where("cut = 0")
     out = marks.groupBy(*CHANNEL, "part").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"))

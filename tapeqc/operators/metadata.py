@@ -19,20 +19,54 @@ def check_spec(metadata: DataFrame, spec: DataFrame, trim: bool = False) -> Data
     return wide.where(F.col("value").isNotNull() & ~F.array_contains("accepted", value)).select("asset_id", *FIELD, F.array_join("accepted", " | ").alias("expected"), F.col("value").alias("actual"))
 
 
+#: Rows that a table of expectations may have to be held as one literal array; beyond it is joined as a table.
+LITERAL_ROWS = 10_000
+
+
+def _for_each(assets: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Every asset (asset_id) with every row of `wanted`, a small table of expectations: held as one literal array where it has at most LITERAL_ROWS rows, else joined over salts."""
+    types, rows = dict(wanted.dtypes), wanted.limit(LITERAL_ROWS + 1).collect()
+    if len(rows) > LITERAL_ROWS:
+        salt = assets.select("asset_id", F.pmod(F.xxhash64("asset_id"), F.lit(64)).cast("int").alias("_s"))
+        return salt.join(wanted.withColumn("_s", F.explode(F.array(*map(F.lit, range(64))))), "_s").drop("_s")
+    held = F.array(*[F.struct(*[F.lit(r[n]).cast(t).alias(n) for n, t in types.items()]) for r in rows])
+    none = f"array<struct<{', '.join(f'`{n}`: {t}' for n, t in types.items())}>>"
+    return assets.select("asset_id", F.explode(held if rows else held.cast(none)).alias("_x")).select("asset_id", "_x.*")
+
+
 def validate_profile(metadata: DataFrame, assets: DataFrame, spec: DataFrame) -> DataFrame:
-    """asset_id, section, matches, mismatches, missing, valid: every expected field of every asset; values compare after trimming."""
-    wanted = assets.select("asset_id", F.lit(1).alias("_one")).join(F.broadcast(spec.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    wide = wanted.join(metadata.select("asset_id", *FIELD, "value"), ["asset_id", *FIELD], "left")
-    match = F.array_contains(F.transform("accepted", lambda x: F.trim(x)), F.trim("value"))
-    one = wide.groupBy("asset_id", "section").agg(F.count_if(match).alias("matches"), F.count_if(~match).alias("mismatches"), F.count_if(F.col("value").isNull()).alias("missing"))
+    """asset_id, section, matches, mismatches, missing, valid: every expected field of every asset.
+
+    A value matches when it is, trimmed, one of the accepted ones. Where metadata has `values`, an array, and the field several accepted ones, all of
+    these must be among the values. A field that is absent is missing unless nothing is expected of it.
+    """
+    several = F.col("values") if "values" in metadata.columns else F.lit(None).cast("array<string>")
+    own = metadata.select("asset_id", *FIELD, "value", several.alias("_several"))
+    wide = _for_each(assets, spec.select(*FIELD, "accepted")).join(own, ["asset_id", *FIELD], "left")
+    one_of = F.array_contains(F.transform("accepted", lambda x: F.trim(x)), F.trim("value"))
+    match = F.when(F.col("_several").isNotNull() & (F.size("accepted") > 1), F.size(F.array_except("accepted", "_several")) == 0).otherwise(one_of)
+    absent = F.col("value").isNull() & F.col("_several").isNull()
+    expected = F.exists("accepted", lambda x: x != "")
+    one = wide.groupBy("asset_id", "section").agg(F.count_if(~absent & match).alias("matches"), F.count_if(~absent & ~match).alias("mismatches"), F.count_if(absent & expected).alias("missing"))
     return one.withColumn("valid", (F.col("mismatches") == 0) & (F.col("missing") == 0))
 
 
-def check_presence(tags: DataFrame, assets: DataFrame, expected: list[str]) -> DataFrame:
-    """asset_id, field, problem: fields of each asset that are not there or empty."""
-    wanted = assets.select("asset_id", F.explode(F.array(*map(F.lit, expected))).alias("field"))
+def check_presence(tags: DataFrame, assets: DataFrame, expected: list[str], names: dict[str, str] | None = None, mkv: str = "mkv") -> DataFrame:
+    """asset_id, field, problem: fields of each asset that are not there or empty; of `names`, whose value does not hold the expected text, as differs.
+
+    Commas of format_name count as blanks on both sides. ENCODER_SETTINGS is asked for only of assets whose extension is mkv, where
+    assets has extension.
+    """
+    wanted = assets.select("asset_id", F.explode(F.array(*map(F.lit, [*expected, *(k for k in names or {} if k not in expected)]))).alias("field"))
+    if "extension" in assets.columns:
+        other = assets.where(F.lower(F.ltrim(F.col("extension"), F.lit("."))) != mkv).select("asset_id", F.lit("ENCODER_SETTINGS").alias("field"))
+        wanted = wanted.join(other, ["asset_id", "field"], "left_anti")
     wide = wanted.join(tags.select("asset_id", "field", "value"), ["asset_id", "field"], "left")
     problem = F.when(F.col("value").isNull(), "not found").when(F.trim("value") == "", "empty")
+    plain = lambda c: F.replace(c, F.lit(","), F.lit(" "))
+    for k, text in (names or {}).items():
+        have, want = (plain(F.col("value")), plain(F.lit(text))) if k == "format_name" else (F.col("value"), F.lit(text))
+        problem = problem.when((F.col("field") == k) & ~F.contains(have, want), "differs")
     return wide.withColumn("problem", problem).where("problem is not null").select("asset_id", "field", "problem")
 
 
@@ -52,7 +86,7 @@ def _holds(op: Column, have: Column, want: Column) -> Column:
 
 def check_policy(metadata: DataFrame, assets: DataFrame, rules: DataFrame) -> DataFrame:
     """asset_id, group_id, passed: rules (group_id, group_op, rule, tracktype, field, operator, value) of each group joined by its `and` or `or`."""
-    wanted = assets.select("asset_id", F.lit(1).alias("_one")).join(F.broadcast(rules.withColumn("_one", F.lit(1))), "_one").drop("_one")
+    wanted = _for_each(assets, rules)
     have = metadata.select("asset_id", F.col("section").alias("tracktype"), "field", F.col("value").alias("have"))
     wide = wanted.join(have, ["asset_id", "tracktype", "field"], "left").withColumn("ok", _holds(F.col("operator"), F.col("have"), F.col("value")))
     return wide.groupBy("asset_id", "group_id").agg(F.when(F.first("group_op") == "or", F.bool_or("ok")).otherwise(F.bool_and("ok")).alias("passed"))

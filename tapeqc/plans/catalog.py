@@ -124,7 +124,7 @@ def _(spark, d):
     return V.bars_extremes(own, V.detect_bars(own).withColumn("label", F.lit("head")))
 
 
-@_query("A3_bars_vs_reference")
+@_query("A3_bars_vs_reference", f"WITH {FRAMES}, {_DETECT}, x AS (SELECT d.asset_id, " + ", ".join(f"{'greatest(0, ' if k.endswith('MAX') else 'least(1023, '}CAST({'max' if k.endswith('MAX') else 'min'}(f.{k}) AS INT)) AS {k}" for k in V.SMPTE) + " FROM detected d JOIN frames f ON f.asset_id = d.asset_id AND f.t BETWEEN d.start_s AND d.end_s GROUP BY d.asset_id), a AS (SELECT DISTINCT asset_id FROM frames) " + " UNION ALL ".join(f"SELECT a.asset_id, '{k}' AS tag, CAST({e} AS DOUBLE) AS expected, coalesce(CAST(x.{k} AS DOUBLE), {e}) AS detected FROM a LEFT JOIN x ON x.asset_id = a.asset_id" for k, e in {"YMAX": 940.0, "YMIN": 28.0, "UMIN": 148.0, "UMAX": 876.0, "VMIN": 124.0, "VMAX": 867.0, "SATMIN": 0.0, "SATMAX": 405.0}.items()))
 def _(spark, d):
     own = frames(spark, d)
     return V.bars_vs_reference(own.select("asset_id").distinct(), V.bars_extremes(own, V.detect_bars(own).withColumn("label", F.lit("head"))))
@@ -472,7 +472,9 @@ def _(spark, d):
     return A.channel_pairs(A.channel_means(channels(spark, d)))
 
 
-@_query("A6_channel_imbalance")
+@_query("A6_channel_imbalance", f"""WITH {CHANNELS}, {_MEANS}, n2 AS (SELECT asset_id, count(*) AS channels, string_agg(CAST(ch AS VARCHAR), ',' ORDER BY ch) FILTER (WHERE mean_rms < -60) AS quiet FROM means GROUP BY asset_id), p AS (SELECT a.asset_id, a.ch AS ch_a, b.ch AS ch_b, round(abs(a.mean_rms - b.mean_rms), 6) AS diff FROM means a JOIN means b ON a.asset_id = b.asset_id AND a.ch < b.ch),
+w AS (SELECT asset_id, arg_max(ch_a, (diff, -ch_a, -ch_b)) AS worst_a, arg_max(ch_b, (diff, -ch_a, -ch_b)) AS worst_b, max(diff) AS worst_db FROM p GROUP BY asset_id), l AS (SELECT *, CASE WHEN channels = 1 THEN 'Mono' WHEN worst_db < 1 THEN 'Balanced' WHEN worst_db < 3 THEN 'Slight imbalance' WHEN worst_db < 6 THEN 'Moderate imbalance' WHEN worst_db IS NOT NULL THEN 'Significant imbalance' END AS label FROM n2 LEFT JOIN w USING (asset_id))
+SELECT asset_id, channels, label, worst_a, worst_b, worst_db, CASE WHEN label = 'Significant imbalance' THEN coalesce(quiet, '') ELSE '' END AS silent FROM l""")
 def _(spark, d):
     return A.channel_imbalance(channels(spark, d))
 
@@ -492,13 +494,19 @@ def _(spark, d):
     return A.dropout_candidates(channels(spark, d)).withColumn("n", F.size("corroborating")).drop("corroborating")
 
 
-@_query("W8_dropout_events")
+_EVENTS = f"""{_DROPOUTS}, ev0 AS (SELECT *, sum(CASE WHEN t - before <= 0.5 THEN 0 ELSE 1 END) OVER (PARTITION BY asset_id, ch ORDER BY t) AS g FROM (SELECT *, lag(t) OVER (PARTITION BY asset_id, ch ORDER BY t) AS before FROM candidates)),
+ev1 AS (SELECT asset_id, ch, min(t) AS start_s, max(t) AS end_s, min(rms_level) AS worst_rms, max(median_rms) AS median_rms, max(c1) AS c1, max(c2) AS c2, max(c3) AS c3 FROM ev0 GROUP BY asset_id, ch, g),
+ev2 AS (SELECT *, c1 + c2 + c3 AS k FROM ev1 WHERE end_s - start_s <= 2 OR c1 + c2 + c3 >= 2),
+events3 AS (SELECT asset_id, ch, start_s, end_s, worst_rms, median_rms, concat_ws('+', CASE WHEN c1 = 1 THEN 'Max_difference' END, CASE WHEN c2 = 1 THEN 'RMS_difference' END, CASE WHEN c3 = 1 THEN 'Zero_crossings_rate' END) AS corroborating, CASE WHEN k >= 2 THEN 'high' WHEN k = 1 THEN 'medium' ELSE 'low' END AS confidence FROM ev2 e WHERE NOT (k = 1 AND c3 = 1) OR EXISTS (SELECT 1 FROM ev2 o WHERE o.asset_id = e.asset_id AND o.ch <> e.ch AND o.c1 + o.c2 > 0 AND e.start_s <= o.end_s + 0.5 AND o.start_s <= e.end_s + 0.5))"""
+
+
+@_query("W8_dropout_events", f"WITH {CHANNELS}, {_EVENTS} SELECT * FROM events3")
 def _(spark, d):
     out = A.dropout_events(A.dropout_candidates(channels(spark, d)), gap=0.5)
     return out.withColumn("corroborating", F.array_join("corroborating", "+"))
 
 
-@_query("J8_cross_channel_support")
+@_query("J8_cross_channel_support", f"WITH {CHANNELS}, {_EVENTS} SELECT * FROM events3 e WHERE EXISTS (SELECT 1 FROM events3 o WHERE o.asset_id = e.asset_id AND o.ch <> e.ch AND (o.corroborating LIKE '%difference%') AND e.start_s <= o.end_s + 0.5 AND o.start_s <= e.end_s + 0.5)")
 def _(spark, d):
     events = A.dropout_events(A.dropout_candidates(channels(spark, d)), gap=0.5)
     return I.cross_channel_support(events).withColumn("corroborating", F.array_join("corroborating", "+"))
@@ -660,16 +668,27 @@ def _(spark, d):
     return M.check_spec(_meta(spark, d), _spec(spark)).select("asset_id", "field", "actual")
 
 
-@_query("J2_validate_profile", f"WITH {_META}, c AS (SELECT asset_id, count(*) FILTER (WHERE {_ACCEPTED}) AS matches, count(*) FILTER (WHERE NOT ({_ACCEPTED})) AS mismatches FROM meta GROUP BY asset_id) SELECT asset_id, 'Video' AS section, matches, mismatches + 1 AS mismatches, CAST(1 AS BIGINT) AS missing, false AS valid FROM c")
+@_query("J2_validate_profile", f"WITH {_META}, c AS (SELECT asset_id, count(*) FILTER (WHERE {_ACCEPTED}) AS matches, count(*) FILTER (WHERE NOT ({_ACCEPTED}) OR field = 'Type') AS mismatches FROM meta WHERE asset_id % 3 <> 0 OR field <> 'Brand' GROUP BY asset_id) SELECT asset_id, 'Video' AS section, matches, mismatches, CAST(1 + CAST(asset_id % 3 = 0 AS INT) AS BIGINT) AS missing, false AS valid FROM c")
 def _(spark, d):
     own = _meta(spark, d)
-    return M.validate_profile(own, own.select("asset_id").distinct(), _spec(spark))
+    return M.validate_profile(own.where("asset_id % 3 != 0 or field != 'Brand'"), own.select("asset_id").distinct(), _spec(spark))
 
 
-@_query("J3_check_presence", f"WITH {_META} SELECT DISTINCT asset_id, 'Codec' AS field, 'not found' AS problem FROM meta")
+@_query("J2_validate_lists", "SELECT p_partkey AS asset_id, 'Audio' AS section, CAST(p_brand = 'Brand#13' OR p_size < 20 AND p_partkey % 2 = 0 AS BIGINT) AS matches, CAST(NOT (p_brand = 'Brand#13' OR p_size < 20 AND p_partkey % 2 = 0) AS BIGINT) AS mismatches, CAST(0 AS BIGINT) AS missing, p_brand = 'Brand#13' OR p_size < 20 AND p_partkey % 2 = 0 AS valid FROM part")
 def _(spark, d):
-    own = _meta(spark, d)
-    return M.check_presence(own, own.select("asset_id").distinct(), ["Brand", "Codec"])
+    own = table(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), F.lit("exiftool").alias("tool"), F.lit("Audio").alias("section"), F.lit("CodecID").alias("field"), F.lit(None).cast("string").alias("value"), F.when(F.col("p_brand") == "Brand#13", F.array(F.lit("V_MS"), F.lit("A_FLAC"), F.lit("x"))).when((F.col("p_size") < 20) & (F.col("p_partkey") % 2 == 0), F.array(F.lit("A_FLAC"), F.lit("V_MS"))).otherwise(F.array(F.lit("A_FLAC"))).alias("values"))
+    spec = spark.createDataFrame([("exiftool", "Audio", "CodecID", ["A_FLAC", "V_MS"]), ("exiftool", "Audio", "Title", [""])], "tool string, section string, field string, accepted array<string>")
+    return M.validate_profile(own, own.select("asset_id").distinct(), spec)
+
+
+@_query("J3_check_presence", "WITH x AS (SELECT p_partkey AS asset_id, p_partkey % 3 = 0 AS gone, p_partkey % 3 = 1 AS blank, p_partkey % 5 AS e, p_type AS name FROM part) SELECT asset_id, 'title' AS field, CASE WHEN gone THEN 'not found' ELSE 'empty' END AS problem FROM x WHERE gone OR blank UNION ALL SELECT asset_id, 'ENCODER_SETTINGS', 'not found' FROM x WHERE e < 3 UNION ALL SELECT asset_id, 'format_name', 'differs' FROM x WHERE NOT contains(replace(name, ',', ' '), 'STEEL')")
+def _(spark, d):
+    k = F.col("p_partkey")
+    own = table(spark, d, "part")
+    title = own.where("p_partkey % 3 != 0").select(k.alias("asset_id"), F.lit("title").alias("field"), F.when(k % 3 == 1, " ").otherwise("a").alias("value"))
+    name = own.select(k.alias("asset_id"), F.lit("format_name").alias("field"), F.replace(F.col("p_type"), F.lit(" "), F.lit(",")).alias("value"))
+    assets = own.select(k.alias("asset_id"), F.when(k % 5 < 3, ".MKV").otherwise("mxf").alias("extension"))
+    return M.check_presence(title.unionByName(name), assets, ["title", "ENCODER_SETTINGS"], {"format_name": "STEEL"})
 
 
 _POLICY = [(0, "and", "size", "Video", "Size", ">", "10"), (0, "and", "brand", "Video", "Brand", "!=", "Brand#13"), (1, "or", "small", "Video", "Size", "<=", "5"), (1, "or", "codec", "Video", "Codec", "exists", None)]
@@ -718,13 +737,13 @@ def _(spark, d):
     return M.verify_stream_hash(stored, now)
 
 
-@_query("A17_validator_summary")
+@_query("A17_validator_summary", "SELECT user_id % 20 AS asset_id, count(*) FILTER (WHERE event_id % 5 <> 0 AND event_id % 7 = 0) AS errors, count(*) FILTER (WHERE event_id % 5 = 0) AS clusters, count(*) FILTER (WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 11 = 0) AS warnings, CASE WHEN count(*) FILTER (WHERE event_id % 5 <> 0 AND event_id % 7 <> 0 AND event_id % 11 <> 0) > 0 THEN 'file is valid' END AS verdict, count(*) FILTER (WHERE event_id % 5 <> 0 AND event_id % 7 = 0) > 0 AS invalid FROM events GROUP BY ALL")
 def _(spark, d):
     line = F.when(F.col("event_id") % 5 == 0, F.concat(F.lit("WRN0C2: Unexpected Cluster at "), F.col("event_id").cast("string"))).when(F.col("event_id") % 7 == 0, "ERR201: bad element").when(F.col("event_id") % 11 == 0, "WRN801: odd").otherwise("file is valid")
     return M.validator_summary(table(spark, d, "events").select((F.col("user_id") % 20).alias("asset_id"), F.col("event_id").alias("line_no"), line.alias("line")))
 
 
-@_query("U5_merge_profiles")
+@_query("U5_merge_profiles", "WITH i AS (SELECT DISTINCT p_brand AS name, p_type AS body FROM part), e AS (SELECT * FROM i WHERE length(name) > 7), k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY body) - CASE WHEN length(name) > 7 THEN 0 ELSE 1 END AS k FROM i) SELECT * FROM e UNION ALL SELECT CASE k WHEN 0 THEN name WHEN 1 THEN name || ' (imported)' ELSE name || ' (imported ' || k || ')' END, body FROM k")
 def _(spark, d):
     one = table(spark, d, "part").select(F.col("p_brand").alias("name"), F.col("p_type").alias("body")).distinct()
     return M.merge_profiles(one.where("length(name) > 7"), one)

@@ -4,6 +4,22 @@ from compare import compare
 from tapeqc.plans import catalog
 
 SF = "/root/testdata/sf0.001"
+#: Queries without SQL, and the tests that hold their operators against plain Python.
+PLAIN = {
+    "T3_diverse_top_k": "test_rules.py::test_spaced_choices",
+    "T4_failure_highlights": "test_rules.py::test_highlights",
+    "T5_suggest_periods": "test_rules.py::test_spaced_choices",
+    "T8_shift_periods": "test_rules.py::test_shifted_periods",
+    "T10_sample_targeted": "test_rules.py::test_targeted_samples",
+    "W3_detect_bars_guided": "test_refine.py::test_guided_bars",
+    "W16_tc_subregions": "test_rules.py::test_subregions",
+    "W17_refine_gaps": "test_refine.py::test_refined_gaps",
+    "W18_timecode_consensus": "test_rules.py::test_consensus",
+    "W21_tone_spans": "test_rules.py::test_tone_spans",
+    "W22_ssim_to_reference": "test_rules.py::test_ssim_of_known_pictures",
+    "W23_ssim_runs": "test_rules.py::test_ssim_runs",
+    "W24_spike_detection": "test_rules.py::test_spikes",
+}
 
 
 @pytest.mark.parametrize("name", list(catalog.QUERIES))
@@ -13,6 +29,14 @@ def test_query(spark, name):
     assert ": 0 rows" not in said, said
 
 
+def test_every_query_is_checked(request):
+    assert {n for n in catalog.QUERIES if n not in catalog.ORACLE_SQL} == set(PLAIN)
+    here = request.path.parent
+    for place in PLAIN.values():
+        file, _, test = place.partition("::")
+        assert f"def {test}(" in (here / file).read_text(), place
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
