@@ -42,7 +42,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",  # [0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,}+",  # [0-9]([\x20-]?[0-9])+ with 13 digits or more
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": "(?<![A-Za-z0-9])(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])",
+    "iban": "(?<![A-Za-z0-9])(?=[A-Z]{2}[0-9]{2})(?:" + "|".join(rf"(?:{c.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}" for n, c in IBAN_LENGTHS.items()) + ")(?![A-Za-z0-9])",
     "tel": r"(?<![0-9+(.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
 }
 BASE = ("email", "ip", "card", "phone")
@@ -121,11 +121,9 @@ def _found(text: Column, kind: str) -> Column:
     A match's context is read from the pieces beside it and beside its neighbours, so that no text is walked once for each match.
     """
     pattern = PATTERNS[kind]
-    both = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
     none = F.array().cast("array<struct<kind: string, start: int, end: int, value: string, score: double>>")
 
-    def spans(z: Column) -> Column:
-        gaps, hits = z["gaps"], z["hits"]
+    def spans(hits: Column, gaps: Column) -> Column:
         gap, hit = (lambda k: F.coalesce(F.get(gaps, k), F.lit(""))), (lambda k: F.coalesce(F.get(hits, k), F.lit("")))
 
         def span(h: Column, k: Column, at: Column) -> Column:
@@ -137,10 +135,10 @@ def _found(text: Column, kind: str) -> Column:
 
         lengths = F.transform(hits, lambda h, k: F.length(gap(k)) + F.length(h))
         placed = _let(_starts(lengths), lambda at: F.transform(hits, lambda h, k: span(h, k, at)))
-        confirmed = F.filter(placed, lambda s: F.coalesce(_valid(kind, s["value"]), F.lit(False)) & (s["score"] >= LEAST_SCORE))
-        return F.when(F.size(hits) > 0, confirmed).otherwise(none)
+        return F.filter(placed, lambda s: F.coalesce(_valid(kind, s["value"]), F.lit(False)) & (s["score"] >= LEAST_SCORE))
 
-    return _let(both, spans)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return _let(found, lambda hits: F.when(F.size(hits) > 0, _let(F.split(text, pattern, -1), lambda gaps: spans(hits, gaps))).otherwise(none))
 
 
 def find_pii(docs: DataFrame, kinds: tuple[str, ...] = tuple(PATTERNS), out: str = "spans") -> DataFrame:
