@@ -182,14 +182,47 @@ def humanize_label(s: Column | str) -> Column:
 
 
 def border_regions(x: Column | str, y: Column | str, w: Column | str, h: Column | str, width: int, height: int) -> Column:
-    """array of struct(side, x, y, w, h): what the active area leaves of the frame on each side, empty sides left out."""
+    """array of struct(side, x, y, w, h): what the active area leaves of the frame on each side, corners on both of theirs, empty sides left out."""
     x, y, w, h = map(_c, (x, y, w, h))
     side = lambda name, a, b, c, d: F.struct(F.lit(name).alias("side"), a.cast("int").alias("x"), b.cast("int").alias("y"), c.cast("int").alias("w"), d.cast("int").alias("h"))
     zero = F.lit(0)
-    sides = F.array(side("left", zero, zero, x, F.lit(height)), side("right", x + w, zero, width - x - w, F.lit(height)), side("top", x, zero, w, y), side("bottom", x, y + h, w, height - y - h))
+    whole = F.lit(width)
+    sides = F.array(side("left", zero, zero, x, F.lit(height)), side("right", x + w, zero, width - x - w, F.lit(height)), side("top", zero, zero, whole, y), side("bottom", zero, y + h, whole, height - y - h))
     return F.filter(sides, lambda s: (s["w"] > 0) & (s["h"] > 0))
 
 
+def simple_area(width: Column | str, height: Column | str, border: int = 25) -> Column:
+    """struct(x, y, w, h): the frame less a border of fixed width; the whole frame where nothing would be left."""
+    w, h = _c(width) - 2 * border, _c(height) - 2 * border
+    fits = (w > 0) & (h > 0)
+    at = F.when(fits, border).otherwise(0)
+    return F.struct(at.alias("x"), at.alias("y"), F.when(fits, w).otherwise(_c(width)).cast("int").alias("w"), F.when(fits, h).otherwise(_c(height)).cast("int").alias("h"))
+
+
+# Kinds of findings in the order of a report.
+PROFILES = ("color_bars_detection", "color_bars_evaluation", "threshold_profile", "tag_check")
+
+
+def timestamp_sort_key(text: Column | str) -> Column:
+    """struct(hours, minutes, seconds, fraction) of HH:MM:SS.ffff, the fraction in four digits; what is no time comes last."""
+    parts = F.split(_c(text), ":")
+    seconds = F.split(F.get(parts, F.lit(2)), r"\.")
+    whole = lambda x: F.try_to_number(F.trim(x), F.lit("99999999")).cast("int")
+    fraction = F.coalesce(whole(F.substring(F.rpad(F.get(seconds, F.lit(1)), 4, "0"), 1, 4)), F.when(F.size(seconds) < 2, 0))
+    found = F.struct(whole(F.get(parts, F.lit(0))).alias("hours"), whole(F.get(parts, F.lit(1))).alias("minutes"), whole(F.get(seconds, F.lit(0))).alias("seconds"), fraction.alias("fraction"))
+    there = (F.size(parts) == 3) & found["hours"].isNotNull() & found["minutes"].isNotNull() & found["seconds"].isNotNull() & found["fraction"].isNotNull()
+    last = F.struct(F.lit(9999).alias("hours"), F.lit(99).alias("minutes"), F.lit(99).alias("seconds"), F.lit(99).alias("fraction"))
+    return F.when(there, found).otherwise(last)
+
+
+def profile_sort_key(name: Column | str) -> Column:
+    """The place of a finding's kind in a report, by what its name begins with; others come last."""
+    out = F
+    for k, kind in enumerate(PROFILES):
+        out = out.when(_c(name).startswith(kind), k)
+    return out.otherwise(99)
+
+
 def expand_borders(x: Column | str, y: Column | str, w: Column | str, h: Column | str, by: dict[str, int], width: int, height: int, least: int = 100) -> Column:
     """struct(x, y, w, h): the active area made smaller by `by` pixels on the named sides, at least `least` wide and high, inside the frame."""
     x, y, w, h = map(_c, (x, y, w, h))

@@ -58,6 +58,19 @@ def exclude_regions(points: DataFrame, regions: DataFrame, margin: float = 0.0)
     return points.alias("p").join(regions.alias("r"), on, "left_anti")
 
 
+def time_range(points: DataFrame, start_s: float | None = None, end_s: float | None = None) -> DataFrame:
+    """Rows whose t lies from start_s to end_s, both included; an end that is None leaves its side open."""
+    for bound, keep in ((start_s, lambda b: F.col("t") >= b), (end_s, lambda b: F.col("t") <= b)):
+        points = points if bound is None else points.where(keep(bound))
+    return points
+
+
+def skip_head_bars(points: DataFrame, ends: DataFrame, inclusive: bool = False) -> DataFrame:
+    """Rows (asset_id, t) from the end of their asset's head bars (asset_id, bars_end_s) on, or after it with `inclusive`; assets without bars stay whole."""
+    on = (F.col("p.asset_id") == F.col("e.asset_id")) & ((F.col("p.t") <= F.col("e.bars_end_s")) if inclusive else (F.col("p.t") < F.col("e.bars_end_s")))
+    return points.alias("p").join(ends.alias("e"), on, "left_anti")
+
+
 def suppress_in_bars(candidates: DataFrame, bars: DataFrame, margin: float = 1.0) -> DataFrame:
     return exclude_regions(candidates, bars, margin)
 

@@ -14,6 +14,7 @@ from ..operators import intervals as I
 from ..operators import metadata as M
 from ..operators import similarity as S
 from ..operators import video as V
+from ..sources import readers as R
 from .frames import CHANNELS, FRAMES, LOUDNESS, TIMECODE, channels, frames, loudness, table, timecode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -863,11 +864,38 @@ def _area(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), (F.col("p_size") % 8).alias("x"), (F.col("p_size") % 5).alias("y"), F.lit(700).alias("w"), (486 - F.col("p_size") % 5).alias("h"))
 
 
-@_query("P20_border_regions", f"WITH {_AREA} SELECT asset_id, 'left' AS side, 0 AS x, 0 AS y, x AS w, 486 AS h FROM area WHERE x > 0 UNION ALL SELECT asset_id, 'right', x + w, 0, 720 - x - w, 486 FROM area UNION ALL SELECT asset_id, 'top', x, 0, w, y FROM area WHERE y > 0")
+@_query("P20_border_regions", f"WITH {_AREA} SELECT asset_id, 'left' AS side, 0 AS x, 0 AS y, x AS w, 486 AS h FROM area WHERE x > 0 UNION ALL SELECT asset_id, 'right', x + w, 0, 720 - x - w, 486 FROM area UNION ALL SELECT asset_id, 'top', 0, 0, 720, y FROM area WHERE y > 0")
 def _(spark, d):
     return _area(spark, d).select("asset_id", F.explode(P.border_regions("x", "y", "w", "h", 720, 486)).alias("r")).select("asset_id", "r.*")
 
 
+@_query("P20_simple_area", "SELECT p_partkey AS asset_id, CASE WHEN p_size > 16 THEN 8 ELSE 0 END AS x, CASE WHEN p_size > 16 THEN 8 ELSE 0 END AS y, CASE WHEN p_size > 16 THEN p_size - 16 ELSE p_size END AS w, CASE WHEN p_size > 16 THEN p_size + 84 ELSE p_size + 100 END AS h FROM part")
+def _(spark, d):
+    return table(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), P.simple_area(F.col("p_size"), F.col("p_size") + 100, 8).alias("a")).select("asset_id", "a.*")
+
+
+@_query("P26_sort_keys", "WITH x AS (SELECT o_orderkey AS k, CAST(o_orderkey % 24 AS INT) AS h, CAST(o_orderkey % 60 AS INT) AS s, o_orderkey % 7 = 0 AS bad, CAST(o_orderkey % 5 AS INT) AS p FROM orders) SELECT k, CASE WHEN bad THEN 9999 ELSE h END AS hours, CASE WHEN bad THEN 99 ELSE 5 END AS minutes, CASE WHEN bad THEN 99 ELSE s END AS seconds, CASE WHEN bad THEN 99 WHEN k % 3 = 0 THEN 0 ELSE 2500 END AS fraction, CASE WHEN p = 4 THEN 99 ELSE p END AS place FROM x")
+def _(spark, d):
+    k = F.col("o_orderkey")
+    time = F.when(k % 7 == 0, F.when(k % 2 == 0, "").otherwise("1:2")).otherwise(F.concat(F.format_string("%02d:05:%02d", k % 24, k % 60), F.when(k % 3 == 0, "").otherwise(".25")))
+    kind = F.element_at(F.array(*[F.lit(f"{p}_x") for p in P.PROFILES], F.lit("other")), (k % 5 + 1).cast("int"))
+    return table(spark, d, "orders").select(k.alias("k"), P.timestamp_sort_key(time).alias("t"), P.profile_sort_key(kind).alias("place")).select("k", "t.*", "place")
+
+
+@_query("P8_av_durations", "WITH x AS (SELECT l_orderkey AS asset_id, (l_partkey * 8 + l_linenumber) * 64 + CAST(l_quantity AS INT) AS i, CASE WHEN l_linenumber % 2 = 0 THEN 'audio' ELSE 'video' END AS kind, CASE WHEN l_quantity >= 10 THEN l_quantity + 0.5 WHEN l_quantity >= 5 THEN 3600 + l_quantity END AS s, CASE WHEN l_quantity % 3 = 1 THEN 48000 END AS r FROM lineitem) SELECT asset_id, CAST(arg_min(s, i) FILTER (WHERE kind = 'video' AND s IS NOT NULL) AS DOUBLE) AS video_s, CAST(arg_min(s, i) FILTER (WHERE kind = 'audio' AND s IS NOT NULL) AS DOUBLE) AS audio_s, CAST(coalesce(arg_min(r, i) FILTER (WHERE kind = 'audio' AND r IS NOT NULL), 0) AS INT) AS sample_rate FROM x GROUP BY asset_id")
+def _(spark, d):
+    q = F.col("l_quantity")
+    own = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("asset_id"), ((F.col("l_partkey") * 8 + F.col("l_linenumber")) * 64 + q.cast("int")).alias("index"), F.when(F.col("l_linenumber") % 2 == 0, "audio").otherwise("video").alias("codec_type"), F.when(q >= 10, (q + 0.5).cast("string")).when(q < 5, "N/A").alias("duration"), F.when(q < 5, None).otherwise(F.format_string("01:00:%02d.000000000", q.cast("int"))).alias("tag_duration"), F.when(q % 3 == 1, "48000").alias("sample_rate"))
+    return R.av_durations(own)
+
+
+@_query("F11_skip_head_bars", f"WITH {FRAMES} SELECT asset_id, frame_idx FROM frames WHERE t <= 40 AND (asset_id % 3 = 0 OR t >= asset_id % 20)")
+def _(spark, d):
+    own = frames(spark, d)
+    ends = own.where("asset_id % 3 != 0").select("asset_id", (F.col("asset_id") % 20).cast("double").alias("bars_end_s")).distinct()
+    return I.skip_head_bars(I.time_range(own, None, 40.0), ends).select("asset_id", "frame_idx")
+
+
 @_query("P21_expand_borders", f"WITH {_AREA} SELECT asset_id, x + 5 AS x, y + 3 AS y, least(w - 7, 720 - x - 5) AS w, least(h - 3, 486 - y - 3) AS h FROM area")
 def _(spark, d):
     return _area(spark, d).select("asset_id", P.expand_borders("x", "y", "w", "h", {"left": 5, "top": 3, "right": 2}, 720, 486).alias("a")).select("asset_id", "a.*")

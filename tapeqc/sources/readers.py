@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import hms_to_seconds, metric_name
+from ..functions.scalars import hms_to_seconds, metric_name, parse_duration_tag
 
 FRAME = "_media_type string, _pkt_pts_time double, _pkt_dts_time double, _n long, tag array<struct<_key: string, _value: string>>"
 
@@ -87,14 +87,49 @@ def read_ffprobe(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_mediatrace_tags(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """asset_metadata rows of MediaTrace XML: each tag name with the first string given for it."""
-    names = F.regexp_extract_all("text", F.lit(r'(?s)<block[^>]*name="TagName"[^>]*>.*?<data[^>]*>(.*?)</data>'), F.lit(1))
-    values = F.regexp_extract_all("text", F.lit(r'(?s)<block[^>]*name="TagString"[^>]*>.*?<data[^>]*>(.*?)</data>'), F.lit(1))
-    own = _texts(spark, paths).select("asset_id", F.posexplode(F.arrays_zip(names.alias("n"), values.alias("v"))).alias("pos", "x"))
-    one = own.groupBy("asset_id", F.col("x.n").alias("field")).agg(F.min_by("x.v", "pos").alias("value"))
+    """asset_metadata rows of MediaTrace XML: each tag name with the string of the first SimpleTag block that gives it one."""
+    data = lambda x, name: F.regexp_extract(x, rf'(?s)<block[^>]*name="{name}"[^>]*>.*?<data[^>]*>(.*?)</data>', 1)
+    blocks = F.split("text", '(?s)<block[^>]*name="SimpleTag"', -1)
+    own = _texts(spark, paths).select("asset_id", F.posexplode(F.slice(blocks, F.lit(2), F.greatest(F.lit(0), F.size(blocks) - 1))).alias("pos", "tag"))
+    pairs = own.where(F.col("tag").rlike('(?s)name="TagString"[^>]*>.*?<data')).select("asset_id", "pos", _unescaped(data(F.col("tag"), "TagName")).alias("field"), _unescaped(data(F.col("tag"), "TagString")).alias("value"))
+    one = pairs.where("field != ''").groupBy("asset_id", "field").agg(F.min_by("value", "pos").alias("value"))
     return _long(one.withColumn("section", F.lit("tags")), "mediatrace")
 
 
+def _unescaped(x: Column) -> Column:
+    for name, c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
+        x = F.replace(x, F.lit(f"&{name};"), F.lit(c))
+    return x
+
+
+# Elements of a tag's targets that name one part of the file.
+TARGET_UIDS = ("TrackUID", "EditionUID", "ChapterUID", "AttachmentUID")
+
+
+def read_matroska_tags(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """asset_id, tag_no, scope, name, value of Matroska tag XML: scope is global where a tag's targets name no part of the file, else targeted."""
+    raw = F.regexp_extract_all("text", F.lit(r"(?s)<Tag>.*?</Tag>"), F.lit(0))
+    tags = _texts(spark, paths).select("asset_id", F.posexplode(raw).alias("tag_no", "tag"))
+    targets = F.regexp_extract("tag", r"(?s)<Targets>(.*?)</Targets>", 1)
+    scope = F.when(targets.rlike("<(?:" + "|".join(TARGET_UIDS) + ")[ >/]"), "targeted").otherwise("global")
+    simple = F.regexp_extract_all("tag", F.lit(r"(?s)<Simple>.*?</Simple>"), F.lit(0))
+    own = tags.select("asset_id", "tag_no", scope.alias("scope"), F.explode(simple).alias("s"))
+    part = lambda n: _unescaped(F.regexp_extract("s", rf"(?s)<{n}>(.*?)</{n}>", 1))
+    return own.select("asset_id", "tag_no", "scope", part("Name").alias("name"), part("String").alias("value"))
+
+
+def av_durations(streams: DataFrame) -> DataFrame:
+    """asset_id, video_s, audio_s, sample_rate: of the first video and audio stream that state them.
+
+    streams: asset_id, index, codec_type, duration, tag_duration, sample_rate (strings, null where absent). A stream's own duration goes before its
+    tag's; the sample rate is 0 where no audio stream has one.
+    """
+    own = streams.withColumn("_s", parse_duration_tag("duration", F.coalesce("tag_duration", F.lit(None).cast("string")))).withColumn("_rate", F.col("sample_rate").try_cast("int"))
+    first = lambda kind, x: F.min_by(x, F.when((F.col("codec_type") == kind) & F.col(x).isNotNull(), F.col("index")))
+    rate = F.min_by("_rate", F.when((F.col("codec_type") == "audio") & (F.col("_rate") != 0), F.col("index")))
+    return own.groupBy("asset_id").agg(first("video", "_s").alias("video_s"), first("audio", "_s").alias("audio_s"), F.coalesce(rate, F.lit(0)).alias("sample_rate"))
+
+
 def read_stream_hash_tags(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """asset_id, stream, algorithm, hash of the stream hash tags in Matroska tag XML."""
     pick = lambda s: F.xpath_string("text", F.lit(f'//Simple[Name="{s.upper()}_STREAM_HASH"]/String'))
