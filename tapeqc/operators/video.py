@@ -86,12 +86,13 @@ def detect_bars(frames: DataFrame, min_run: int | None = None, max_misses: int |
     own = frames.where(F.col("t").between(start_s, end_s)).select("asset_id", "frame_idx", "t", bars_frame(bit_depth, relaxed).alias("ok"))
     own = islands(own.withColumn("_before", F.lag("ok").over(_by_time())), ASSET, ["frame_idx"], F.col("ok") != F.col("_before"), "run")
     runs = own.groupBy("asset_id", "run", "ok").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
-    heads = runs.where(F.col("ok") & (F.col("n") >= min_run)).groupBy("asset_id").agg(F.min("first").alias("start_s"))
-    ends = runs.where(~F.col("ok") & (F.col("n") >= max_misses)).select("asset_id", "run", F.col("first").alias("miss_s"))
-    later = ends.join(heads, "asset_id").where(F.col("miss_s") - F.col("start_s") > min_s).groupBy("asset_id").agg(F.min("miss_s").alias("closed_s"))
-    found = heads.join(later, "asset_id", "left")
-    last = own.where("ok").join(found, "asset_id").where((F.col("t") >= F.col("start_s")) & (F.col("closed_s").isNull() | (F.col("t") < F.col("closed_s"))))
-    return last.groupBy("asset_id", "start_s", "closed_s").agg(F.max("t").alias("end_s")).select("asset_id", "start_s", "end_s", "closed_s")
+    # All from the runs, which stay where their asset's frames are: no frame is read twice.
+    whole = Window.partitionBy("asset_id")
+    runs = runs.withColumn("start_s", F.min(F.when(F.col("ok") & (F.col("n") >= min_run), F.col("first"))).over(whole))
+    ended = ~F.col("ok") & (F.col("n") >= max_misses) & (F.col("first") - F.col("start_s") > min_s)
+    runs = runs.withColumn("closed_s", F.min(F.when(ended, F.col("first"))).over(whole))
+    inside = F.col("ok") & (F.col("first") >= F.col("start_s")) & (F.col("closed_s").isNull() | (F.col("first") < F.col("closed_s")))
+    return runs.where(inside).groupBy("asset_id", "start_s", "closed_s").agg(F.max("last").alias("end_s")).select("asset_id", "start_s", "end_s", "closed_s")
 
 
 def bars_extremes(frames: DataFrame, regions: DataFrame) -> DataFrame:
