@@ -7,7 +7,8 @@ filter), has words enough (length filter), and has words enough from its first p
 pass are counted in full; no block that matches is missed.
 
 Defined results: a null text is empty: no words, no labels, score 0. Words are runs of digits, lower-cased ASCII letters and all
-characters from U+0080 on. Repeated rows each give a row; texts may be of any length.
+characters from U+0080 on. Repeated rows each give a row, null ids are kept; texts may be of any length. Of blocks that hold equally much of a
+template the first counts. An empty table gives none; other columns are left alone.
 """
 
 from __future__ import annotations

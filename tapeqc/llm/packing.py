@@ -23,6 +23,8 @@ from .ranks import with_offsets
 from .shared import written
 from .words import encoder
 
+#: Runs of a plan that are broadcast, some 50 bytes each; a longer table is joined by shuffles.
+BROADCAST_RUNS = 200_000
 PIECES = pa.schema({"doc_id": pa.int64(), "piece": pa.int32(), "start": pa.int64(), "length": pa.int64(), "ids": pa.binary()})
 
 
@@ -193,7 +195,8 @@ def pack(pieces: DataFrame, length: int = 2048) -> DataFrame:
             offset += times * x
         first += n
     table = spark.createDataFrame(rows, "length long, _from long, _to long, _times long, _first long, _at long")
-    found = ranked.join(F.broadcast(table), (ranked["length"] == table["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).drop(table["length"])
+    small = F.broadcast(table) if len(rows) <= BROADCAST_RUNS else table
+    found = ranked.join(small, (ranked["length"] == table["length"]) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))).drop(table["length"])
     inside = F.col("_rank") - F.col("_from")
     return found.select(*pieces.columns, (F.col("_first") + F.floor(inside / F.col("_times"))).cast("long").alias("sequence_id"), (F.col("_at") + (inside % F.col("_times")) * F.col("length")).cast("long").alias("offset"))
 

@@ -27,20 +27,24 @@ def _of_kind(kind: str) -> Callable[[Column], Column]:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null texts have no words and are taken 0 times; a null source is the last one; repeated rows are documents of their own, null ids kept; an empty table gives no row."""
     return mixing.Mix(_table(spark, sf_dir, "documents")).documents()
 
 
 def op2_prefix_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are null, zero or hold a null or non-finite component take no part; ties go to the smaller vec_id, null last; equal rows find each other; an empty table gives no row."""
     return ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are null or without a letter are `und` with score 0; a null doc_id is not held out; rows that repeat are predicted each; ties go to the first language; an empty table gives no row."""
     docs = _table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(~langid.held_out()))
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null html is an empty payload; of equal payloads the largest page_id is the response, a null one last; repeated rows are records of their own; an empty table gives no row."""
     pages = _table(spark, sf_dir, "pages")
     files = warc.write_index(warc.write_archives(pages, min_bytes=0))
     found = warc.lookup(files, pages.select("url", "page_id"))
@@ -48,6 +52,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text is empty: no words, null places, no labels, score 0; the best of a label's equal blocks is the first; rows that repeat and null ids are kept; an empty table gives no row."""
     found = license_scan.scan(_table(spark, sf_dir, "documents"))
     starts, base, own = (F.transform(c, _field(f)) for c, f in (("places", "word"), ("places", "label"), ("blocks", "label")))
     label_list = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
@@ -57,12 +62,14 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text is its end id alone; null ids come first, rows that share one in the order of their texts' hashes; an empty table gives no row."""
     manifest = wavelet.write_tokens(_table(spark, sf_dir, "documents"), TOKENIZER, end_id=1)
     found = wavelet.read_tokens(manifest)
     return found.select("doc_id", "start", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
 
 
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text is empty and has no spans, the hash of nothing; rows that repeat and null ids are kept; an empty table gives no row."""
     found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     counts = [F.size(F.filter("spans", _of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.BASE]
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
@@ -70,15 +77,18 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text is its end id alone; only documents of over 2048 ids are cut; rows that repeat and null ids are kept; an empty table gives no row."""
     places, _ = packing.packed_documents(_table(spark, sf_dir, "documents"), TOKENIZER, length=2048, end_id=0)
     return places.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op9_lattice_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors that are null, zero or hold a null or non-finite component link with nothing; rows that repeat link with each other; a null vec_id is no component's id; an empty table gives no row."""
     return lattice.near_duplicates(_table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
 def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts that are null or without words have no set and stay alone; rows that repeat are documents of their own and link; a component's id is its smallest that is not null; an empty table gives no row."""
     return jaccard.similar_groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
