@@ -13,7 +13,6 @@ rows are learned and predicted each; other columns are kept, but for ones named
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -22,6 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,6 +31,7 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: What _WORD takes for letters and is none, and marks, at which it parts words; and words in texts that have any.
 _ODD, _LETTERS = regex.compile(r"[\p{No}\p{Nl}\p{M}]"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _LONGEST = 4
+#: Words whose rows a Python worker remembers at most, some 200 bytes each; results don't depend on it.
 _REMEMBERED = 100_000
 #: Odd multipliers of an n-gram's characters, and of its length.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
@@ -60,7 +61,7 @@ def _gram_keys(codes: np.ndarray, n: int) -> np.ndarray:
 
 
 def _word_keys(words: list[str]) -> np.ndarray:
-    return np.array([int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little") for w in words], dtype=np.uint64)
+    return np.array([xxhash.xxh64_intdigest(w.encode()) for w in words], dtype=np.uint64)
 
 
 def _places(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
