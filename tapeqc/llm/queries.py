@@ -1,4 +1,4 @@
-"""The queries of the ten operators over whole tables, each a thin one that derives its columns from its operator's output."""
+"""The queries of the training-data operators over whole tables, each a thin one that derives its columns from its operator's output."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, jaccard, langid, lattice, license_scan, mixing, packing, pii, warc, wavelet
+from . import ann, fim, jaccard, langid, lattice, license_scan, mixing, packing, pii, trie, warc, wavelet
 
 #: The tokenizer that the queries encode with.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -92,7 +92,18 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_prefix_forest, op3_language_id, op4_warc, op5_license_scan, op6_wavelet_tokens, op7_pii, op8_pattern_packing, op9_lattice_dedup, op10_jaccard_join)}
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns stand by turn, null first, then by the SHA-256 of role and text; repeated rows are turns of their own; rows without a conv_id take no part; an empty table gives no row."""
+    return trie.nodes(trie.write_tries(trie.rebuilt(_table(spark, sf_dir, "conversations"))))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text is empty and plain; a null doc_id draws from `42:` alone; rows that repeat are kept; an empty table gives no row."""
+    turned = fim.restore(fim.transform(_table(spark, sf_dir, "documents"), seed=42, rate=50, spm_rate=80))
+    return turned.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_prefix_forest, op3_language_id, op4_warc, op5_license_scan, op6_wavelet_tokens, op7_pii, op8_pattern_packing, op9_lattice_dedup, op10_jaccard_join, op12_conversation_trie, op13_fill_in_middle)}
 
 _WARC_SQL = """
 WITH p AS (
@@ -112,7 +123,56 @@ SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, b32 AS payload_d
 FROM bits
 """
 
+_CRC32 = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ord(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, e: xor(xor(c, e) >> 1, CASE WHEN xor(c, e) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+
+_TRIE_SQL = f"""
+WITH turns AS (
+  SELECT conv_id, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest, length(coalesce(text, '')) AS w
+  FROM conversations WHERE conv_id IS NOT NULL
+), own AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, ({_CRC32} % 6)::INT AS h, list(digest ORDER BY turn NULLS FIRST, digest) AS digests, list(w ORDER BY turn NULLS FIRST, digest) AS ws
+  FROM turns GROUP BY conv_id
+), paths AS (
+  SELECT o.conv_id, list_concat(coalesce(b.digests[1:o.h], []), o.digests[o.h + 1:]) AS digests, list_concat(coalesce(b.ws[1:o.h], []), o.ws[o.h + 1:]) AS ws
+  FROM own o LEFT JOIN own b ON b.conv_id = o.base
+), places AS (
+  SELECT conv_id, ws, len(digests) AS n, list_transform(range(0, len(digests) + 1), lambda d: sha256(d || ':' || array_to_string(digests[1:d], ','))) AS keys FROM paths
+), rows AS (
+  SELECT conv_id, d.d AS depth, keys[d.d + 1] AS key, CASE WHEN d.d > 0 THEN keys[d.d] END AS parent, keys[1:d.d + 1] AS above, CASE WHEN d.d > 0 THEN ws[d.d] ELSE 0 END AS w, d.d = n AS ends
+  FROM places, unnest(range(0, n + 1)) AS d(d)
+), nodes AS (
+  SELECT key, min(depth) AS depth, min(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n, any_value(above) AS above, any_value(w) AS w,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE ends), '')) AS ends_sha256
+  FROM rows GROUP BY key
+), kids AS (
+  SELECT parent AS key, count(*) AS children FROM nodes WHERE parent IS NOT NULL GROUP BY parent
+), sums AS (
+  SELECT a.a AS key, sum((n - 1) * w) AS saved, count(*) FILTER (WHERE children IS NULL) AS leaves
+  FROM nodes LEFT JOIN kids USING (key), unnest(above) AS a(a) GROUP BY a.a
+)
+SELECT v.conv_id, v.depth, p.conv_id AS parent_conv_id, v.n AS n_convs, coalesce(children, 0) AS n_children, leaves AS n_leaves, saved::BIGINT AS saved_tokens, v.ends_sha256
+FROM nodes v JOIN sums USING (key) LEFT JOIN kids USING (key) LEFT JOIN nodes p ON p.key = v.parent
+"""
+
+_SPACE = r"\x20\x09-\x0D"
+_FIM_SQL = f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+') AS tokens, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS hex FROM documents
+), h AS (
+  SELECT *, len(tokens) AS n, list_transform(range(0, 4), lambda k: ('0x' || substr(hex, 8 * k + 1, 8))::BIGINT) AS h FROM d
+), f AS (
+  SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 50 THEN 'plain' WHEN h[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM h
+), c AS (
+  SELECT *, array_to_string(tokens[1:a], '') AS p, array_to_string(tokens[a + 1:b], '') AS m, array_to_string(tokens[b + 1:], '') AS s FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM c
+"""
 
 
 #: DuckDB SQL for the queries whose every column SQL can express at the tables' size.
-ORACLE_SQL: dict[str, str] = {"op4_warc": _WARC_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc": _WARC_SQL, "op12_conversation_trie": _TRIE_SQL, "op13_fill_in_middle": _FIM_SQL}
