@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, fim, jaccard, langid, lattice, license_scan, mixing, packing, pii, trie, warc, wavelet
+from . import ann, fim, jaccard, langid, lattice, license_scan, mixing, packing, pii, repeats, trie, warc, wavelet
 
 #: The tokenizer that the queries encode with.
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -92,6 +92,13 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(_table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A null text is empty; texts of under 200 bytes stay; rows that repeat and equal texts are texts of their own, and so repeats; null ids are kept; an empty table gives no row."""
+    found = repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=200)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, span: n + span["end"] - span["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns stand by turn, null first, then by the SHA-256 of role and text; repeated rows are turns of their own; rows without a conv_id take no part; an empty table gives no row."""
     return trie.nodes(trie.write_tries(trie.rebuilt(_table(spark, sf_dir, "conversations"))))
@@ -103,7 +110,7 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turned.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_prefix_forest, op3_language_id, op4_warc, op5_license_scan, op6_wavelet_tokens, op7_pii, op8_pattern_packing, op9_lattice_dedup, op10_jaccard_join, op12_conversation_trie, op13_fill_in_middle)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_mixing, op2_prefix_forest, op3_language_id, op4_warc, op5_license_scan, op6_wavelet_tokens, op7_pii, op8_pattern_packing, op9_lattice_dedup, op10_jaccard_join, op11_suffix_dedup, op12_conversation_trie, op13_fill_in_middle)}
 
 _WARC_SQL = """
 WITH p AS (
