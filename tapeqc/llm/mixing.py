@@ -25,7 +25,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Sources that a mix may have: their sizes and weights are settled on the driver.
 MAX_SOURCES = 1_000_000
 _EXPLODED = 4096
-#: The column that numbers a mix's rows.
+#: The column of a mix's tables that numbers its rows; a column of docs by that name means nothing.
 ROW = "_mix_row"
 
 
@@ -123,15 +123,15 @@ class Mix:
     """A mix of `docs` (doc_id, text, source): its documents' places, its slots and what it takes of each document.
 
     weights: a source's weight by its place in code point order, null last; shorter lists repeat. `share` of all words are taken, of no
-    source more than `most` times its words. The same seed gives the same mix.
+    source more than `most` times its words. The same seed gives the same mix. numbers: a column of docs that numbers its rows, if there is one.
     """
 
-    def __init__(self, docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 256, n_shards: int = 256, seed: int = 7):
+    def __init__(self, docs: DataFrame, weights: list[float] = (3, 1, 2), share: float = 1.5, most: float = 2.0, block_words: int = 256, n_shards: int = 256, seed: int = 7, numbers: str | None = None):
         self.spark, self.block_words, self.seed, self.most = docs.sparkSession, block_words, seed, int(np.ceil(most))
-        own = docs if ROW in docs.columns else docs.withColumn(ROW, F.monotonically_increasing_id())
+        row = F.col(numbers) if numbers else F.monotonically_increasing_id()
         three = [F.col("doc_id").cast("long"), F.col("source"), F.col("text")]
         size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-        own = own.select(three[0].alias("doc_id"), "source", F.xxhash64(*three).alias("_k"), F.col(ROW), size.alias("size"))
+        own = docs.select(three[0].alias("doc_id"), "source", F.xxhash64(*three).alias("_k"), row.alias(ROW), size.alias("size"))
         self.sizes = written(own, "mix-sizes")  # rows keep their numbers from here on
         found = self.sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
         if len(found) > MAX_SOURCES:
@@ -203,12 +203,12 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     A text that is taken whole stays as it is; of others the taken words stay, joined by single spaces. n_chars, if there, is set anew.
     Documents of which no words are taken, those without words among them, leave.
     """
-    whole = written(docs.withColumn(ROW, F.monotonically_increasing_id()), "mix-documents")
-    mix = Mix(whole, **how)
+    every = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
+    whole = written(docs.select(every.alias("_row"), F.monotonically_increasing_id().alias(ROW)), "mix-documents")
+    mix = Mix(whole.select("_row.doc_id", "_row.source", "_row.text", ROW), numbers=ROW, **how)
     takes = mix.taken().where("n_words > 0").groupBy(ROW, "size", "epoch").agg(F.array_sort(F.collect_list(F.struct("begin", "n_words"))).alias("cuts"))
     takes = takes.select(F.col(ROW).alias("_of"), "size", "cuts")
-    own = F.struct(*[F.col(f"`{c.replace('`', '``')}`") for c in docs.columns])
-    taken = whole.select(F.col(ROW).alias("_at"), own.alias("_row")).join(takes, F.col("_at") == F.col("_of"))
+    taken = whole.select(F.col(ROW).alias("_at"), "_row").join(takes, F.col("_at") == F.col("_of"))
     text = F.col("_row")["text"]
     words = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
     all_taken = F.aggregate("cuts", F.lit(0).cast("long"), lambda s, c: s + c.n_words) == F.col("size")
