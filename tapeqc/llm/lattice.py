@@ -12,7 +12,8 @@ null ids are kept as null and come last as representatives; an empty table gives
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -108,15 +109,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = 8,
     own = own.withColumn("ok", usable("v")).withColumn("node", F.when(F.col("ok"), F.concat(F.hex(F.xxhash64("v")), F.lit("-"), F.hex(F.xxhash64(F.lit(3), "v")))))
     members = written(own.select("vec_id", "node"), "vector-nodes")
     classes = own.where("ok").groupBy("node").agg(F.count("*").alias("copies"), F.first("v").alias("v"))
-    classes = written(classes.withColumn("d", F.size("v")), "vector-classes")
-    sizes = [r.d for r in classes.select("d").distinct().collect()]
-    found = None
-    for d in sizes:
-        some = _links(classes.where(F.col("d") == d), threshold, LatticeTables(d, tables, probes, scale, seed), d)
-        found = some if found is None else found.union(some)
-    if found is None:
-        return members.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    found = written(found, "vector-links")
+    classes = written(classes, "vector-classes")
+    found = written(_links(classes, threshold, lambda d: LatticeTables(d, tables, probes, scale, seed)), "vector-links")
     counts = found.where("n > 0").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     groups = components(found.where("b is not null").select("a", "b"))
     ids = members.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
@@ -128,14 +122,26 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = 8,
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
 
 
-def _links(classes: DataFrame, threshold: float, lattice: LatticeTables, dimension: int) -> DataFrame:
-    """a, b, n: how many copies of linked vectors a cell counts for a (b null), and for each linked vector of a cell a link to another (n 0)."""
+def _by_dimension(rows: pa.RecordBatch | pa.Table) -> Iterator[tuple[int, pa.RecordBatch | pa.Table]]:
+    """The rows whose vectors have one dimension, for each there is."""
+    column = rows["v"].combine_chunks() if isinstance(rows, pa.Table) else rows["v"]
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False)
+    found = np.unique(sizes).tolist()
+    for d in found:
+        yield d, rows if len(found) == 1 else rows.take(pa.array(np.flatnonzero(sizes == d)))
+
+
+def _links(classes: DataFrame, threshold: float, lattices: Callable[[int], LatticeTables]) -> DataFrame:
+    """a, b, n: how many copies of linked vectors a cell counts for a (b null), and for each linked vector of a cell a link to another (n 0).
+
+    Vectors of all dimensions go together; each dimension has projections and cells of its own.
+    """
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lattice = cache(lattices)
         for whole in batches:
-            for k in range(0, whole.num_rows, 2000):
-                b = whole.slice(k, 2000)
-                cells = lattice.cells(_unit(_matrix(b["v"], dimension)))
+            for d, b in (x for k in range(0, whole.num_rows, 2000) for x in _by_dimension(whole.slice(k, 2000))):
+                cells = lattice(d).cells(_unit(_matrix(b["v"], d)))
                 n, width = cells.shape[0], cells.shape[1] * cells.shape[2]
                 home = np.tile(np.arange(cells.shape[2]) == 0, cells.shape[1])
                 yield pa.RecordBatch.from_arrays([pa.array(cells.reshape(-1)), pa.array(np.tile(home, n)), b["node"].take(pa.array(np.repeat(np.arange(n), width)))], names=["cell", "home", "node"])
@@ -147,8 +153,9 @@ def _links(classes: DataFrame, threshold: float, lattice: LatticeTables, dimensi
     out = pa.schema({"a": pa.string(), "b": pa.string(), "n": pa.int64()})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _groups(batches):
-            a, b, n = _cell_links(group, threshold, lattice, dimension)
+        lattice = cache(lattices)
+        for d, group in (x for together in _groups(batches) for x in _by_dimension(together)):
+            a, b, n = _cell_links(group, threshold, lattice(d), d)
             if a:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(n, pa.int64())], schema=out)
 
