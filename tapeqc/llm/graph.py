@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import discard, written
 
 
 def _digest(links: DataFrame) -> tuple:
@@ -28,7 +28,8 @@ def components(links: DataFrame) -> DataFrame:
         large = both.join(low, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("x")).select("x.*")
-        links = written(small.where(F.col("a") != F.col("b")).distinct(), "links")
+        before, links = links, written(small.where(F.col("a") != F.col("b")).distinct(), "links")
+        discard(before)
         now = _digest(links)
         if now == last:
             break

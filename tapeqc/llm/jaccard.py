@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .blocks import blocked
 from .graph import components
-from .shared import written
+from .shared import discard, written
 
 #: Counters of the sketch, one 8-byte number each: what the driver and each task hold of the corpus' counts.
 SKETCH = 1 << 18
@@ -40,6 +40,8 @@ BLOCK, _SKIPPED, _TOGETHER = 2048, 64, 48
 #: Pairs of one set that a task compares before the set's text is read again.
 _MEMBERS = 512
 _REMEMBERED = 150_000
+#: A shingle whose counter stands so far above the others' has its list dealt over so many tasks.
+HOT, SLICES = 20_000, 64
 
 
 _SPACE = np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -129,15 +131,17 @@ def _postings(docs: DataFrame, words: int, t: Fraction, sketch) -> DataFrame:
     """token, digest, size, pos and, of the token's list, lead_pos, lead_size, leader: a row for each prefix shingle that several sets share.
 
     A task gives the postings of equal sets that it meets again but once, so that copies do not pile up in their shingles' tasks. One
-    exchange, by shingle, serves the removal of other repeats and the lists' counts and leaders.
+    exchange, by shingle, serves the removal of other repeats and the lists' counts and leaders. Lists that the sketch shows to be long are
+    dealt in slices by set, each with a count and a leader of its own; these, a row a slice, are summed, and joined back slice by slice.
     """
-    schema = pa.schema({"token": pa.int64(), "digest": pa.binary(), "size": pa.int32(), "pos": pa.int32()})
+    schema = pa.schema({"token": pa.int64(), "slice": pa.int32(), "digest": pa.binary(), "size": pa.int32(), "pos": pa.int32()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, seen = sketch.value, set()
+        hot = HOT + 2 * counts.mean()
         for b in batches:
             for k in range(0, b.num_rows, 256):
-                tokens, digests, sizes, positions = [], [], [], []
+                tokens, slices, digests, sizes, positions = [], [], [], [], []
                 for text in b["text"].slice(k, 256):
                     s = shingles(text.as_py(), words)
                     if not len(s) or (digest := _digest(s)) in seen:
@@ -150,17 +154,27 @@ def _postings(docs: DataFrame, words: int, t: Fraction, sketch) -> DataFrame:
                     near = np.flatnonzero(c <= np.partition(c, n - 1)[n - 1])
                     first = near[np.lexsort((s[near], c[near]))][:n]
                     tokens.append(s[first].view(np.int64))
+                    slices.append(np.where(c[first] > hot, digest[0] % SLICES, -1).astype(np.int32))
                     digests += [digest] * n
                     sizes.append(np.full(n, len(s), dtype=np.int32))
                     positions.append(np.arange(n, dtype=np.int32))
                 if digests:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(digests, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(positions))], schema=schema)
-
-    rows = docs.select("text").mapInArrow(run, "token long, digest binary, size int, pos int").repartition("token")
-    sets = rows.groupBy("token", "digest").agg(F.first("size").alias("size"), F.first("pos").alias("pos"))
-    whole = Window.partitionBy("token")
-    listed = sets.select("*", F.count("*").over(whole).alias("n"), F.min(F.struct("pos", "size", "digest")).over(whole).alias("x")).where("n > 1")
-    return listed.select("token", "digest", "size", "pos", F.col("x.pos").alias("lead_pos"), F.col("x.size").alias("lead_size"), F.col("x.digest").alias("leader"))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(slices)), pa.array(digests, pa.binary()), pa.array(np.concatenate(sizes)), pa.array(np.concatenate(positions))], schema=schema)
+
+    rows = docs.select("text").mapInArrow(run, "token long, slice int, digest binary, size int, pos int").repartition("token", "slice")
+    sets = rows.groupBy("token", "slice", "digest").agg(F.first("size").alias("size"), F.first("pos").alias("pos"))
+    whole = Window.partitionBy("token", "slice")
+    listed = sets.select("*", F.count("*").over(whole).alias("n"), F.min(F.struct("pos", "size", "digest")).over(whole).alias("x")).where("n > 1 OR slice >= 0")
+    listed = written(listed, "shared-postings")
+    named = ["token", "digest", "size", "pos", F.col("x.pos").alias("lead_pos"), F.col("x.size").alias("lead_size"), F.col("x.digest").alias("leader")]
+    sliced = listed.where("slice >= 0")
+    if sliced.isEmpty():
+        return listed.select(*named)
+    tops = sliced.groupBy("token", "slice").agg(F.first("n").alias("n"), F.first("x").alias("x")).groupBy("token").agg(F.sum("n").alias("n"), F.min("x").alias("x"), F.collect_list("slice").alias("slices"))
+    tops = tops.where("n > 1").select("token", F.explode("slices").alias("slice"), "x")
+    summed = written(listed.where("slice < 0").select(*named).union(sliced.drop("x", "n").join(tops, ["token", "slice"]).select(*named)), "summed-postings")
+    discard(listed)
+    return summed
 
 
 def _compare(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, t: Fraction) -> DataFrame:
@@ -328,7 +342,7 @@ def similar_groups(docs: DataFrame, words: int = 3, threshold: Fraction = Fracti
         counts[r.bucket] = r.n
     sketch = docs.sparkSession.sparkContext.broadcast(counts)
 
-    shared = written(_postings(own, words, t, sketch), "shared-postings")
+    shared = _postings(own, words, t, sketch)
     reps = members.where("digest is not null").groupBy("digest").agg(F.min(F.struct("row", F.coalesce("doc_id", F.lit(-1)).alias("id"))).alias("x")).select("digest", "x.*")
 
     need = F.expr(f"ceil({t.numerator} * (size + lead_size) / {t.numerator + t.denominator}D - 1e-9)")
@@ -351,6 +365,7 @@ def similar_groups(docs: DataFrame, words: int = 3, threshold: Fraction = Fracti
     left = written(_prefixes_allow(pairs.where("not known").select("a", "b"), shared, t), "left-pairs")
     more = _compare(own, reps, left, words, t).where("linked").select("a", "b")
     nodes = components(linked.union(pairs.where("known").select("a", "b")).union(more))
+    discard(shared, answers, rows, pairs, left)
 
     lows = members.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("low"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("best"))
     lows = lows.join(nodes.withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
