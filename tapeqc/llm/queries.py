@@ -130,6 +130,27 @@ SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, b32 AS payload_d
 FROM bits
 """
 
+_REPEATS_SQL = """
+WITH b AS (
+  SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents
+), w AS (
+  SELECT r, u.i AS i, md5_number(substr(x, 2 * u.i + 1, 400)) AS m FROM b, unnest(range(0, n - 199)) AS u(i)
+), twice AS (
+  SELECT m FROM w GROUP BY m HAVING count(*) > 1
+), opens AS (
+  SELECT r, i, CASE WHEN i > coalesce(lag(i) OVER p + 200, -1) THEN 1 ELSE 0 END AS opens FROM w SEMI JOIN twice USING (m) WINDOW p AS (PARTITION BY r ORDER BY i)
+), runs AS (
+  SELECT r, run, min(i) AS s, max(i) + 200 AS e FROM (SELECT r, i, sum(opens) OVER (PARTITION BY r ORDER BY i) AS run FROM opens) GROUP BY r, run
+), cuts AS (
+  SELECT r, list(struct_pack(s := s, e := e) ORDER BY s) AS spans FROM runs GROUP BY r
+), d AS (
+  SELECT doc_id, n, x, coalesce(spans, []) AS spans FROM b LEFT JOIN cuts USING (r)
+)
+SELECT doc_id, n AS n_bytes, coalesce(list_sum(list_transform(spans, lambda v: v.e - v.s)), 0)::BIGINT AS n_removed, len(spans) AS n_spans,
+  sha256(unhex(array_to_string(list_transform(range(0, len(spans) + 1), lambda k: substr(x, 2 * (CASE WHEN k = 0 THEN 0 ELSE spans[k].e END) + 1, 2 * ((CASE WHEN k = len(spans) THEN n ELSE spans[k + 1].s END) - (CASE WHEN k = 0 THEN 0 ELSE spans[k].e END)))), ''))) AS kept_sha256
+FROM d
+"""
+
 _CRC32 = "xor(list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ord(x)::BIGINT, 0, 0, 0, 0, 0, 0, 0]))), lambda c, e: xor(xor(c, e) >> 1, CASE WHEN xor(c, e) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
 
 _TRIE_SQL = f"""
@@ -182,4 +203,4 @@ FROM c
 
 
 #: DuckDB SQL for the queries whose every column SQL can express at the tables' size.
-ORACLE_SQL: dict[str, str] = {"op4_warc": _WARC_SQL, "op12_conversation_trie": _TRIE_SQL, "op13_fill_in_middle": _FIM_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc": _WARC_SQL, "op11_suffix_dedup": _REPEATS_SQL, "op12_conversation_trie": _TRIE_SQL, "op13_fill_in_middle": _FIM_SQL}

@@ -89,6 +89,15 @@ def test_mix(docs, nothing):
     assert mixing.Mix(nothing).documents().count() == 0 and mixing.mixed_documents(nothing).count() == 0
 
 
+def test_mix_of_rows_numbered_by_another(spark):
+    rows_ = [(1, "a b c", "x", 7, "k"), (1, "a b c", "x", 7, "k"), (2, "d e f g", "y", 7, None), (3, "h", None, None, "k")]
+    df = spark.createDataFrame(rows_, "doc_id long, text string, source string, _mix_row long, _k string")
+    found = mixing.Mix(df, block_words=2).documents().collect()
+    assert len(found) == 4 and sorted(r.doc_id for r in found) == [1, 1, 2, 3] and all(r.taken <= 2 * r["size"] for r in found)
+    out = mixing.mixed_documents(df, block_words=2).collect()
+    assert {r._mix_row for r in out} <= {7, None} and sum(len(r.text.split()) for r in out) == sum(r.taken for r in found)
+
+
 def vectors(spark, extra=()):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((300, 16))
@@ -409,7 +418,9 @@ def test_plan_holds_every_piece():
         assert sum(k for _, k in runs) <= 1.02 * lengths.sum() / 2048 + 1
 
 
-def test_jaccard(docs, nothing, spark):
+@pytest.mark.parametrize("hot", [jaccard.HOT, -100])
+def test_jaccard(docs, nothing, spark, monkeypatch, hot):
+    monkeypatch.setattr(jaccard, "HOT", hot)  # -100: every list is dealt in slices
     rng = np.random.default_rng(5)
     texts = [r[1] for r in rows()]
     base = [f"w{k}" for k in rng.integers(0, 60, 120)]
