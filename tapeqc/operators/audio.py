@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import IMBALANCE, characterize_imbalance, dropped_sample_score
 from .intervals import ASSET, gap_islands, islands, merge_spans, suppress_in_bars
+from .medians import running_median
+from .runs import runs
 
 CHANNEL = ["asset_id", "ch"]
 
@@ -42,7 +44,7 @@ def channel_imbalance(frames: DataFrame, silent_db: float = -60.0) -> DataFrame:
     return out.select("asset_id", "channels", label.alias("label"), F.col("w.ch_a").alias("worst_a"), F.col("w.ch_b").alias("worst_b"), F.col("w.diff_db").alias("worst_db"), F.when(label == IMBALANCE[None], F.array_join("quiet", ",")).otherwise("").alias("silent"))
 
 
-def _upper_median(c: str, n: int, keys: list[str] = CHANNEL) -> Column:
+def _upper_median(c: str, n: int, keys: list[str | Column] = CHANNEL) -> Column:
     """The upper median of the previous n values that are there; null before n of them."""
     before = F.collect_list(c).over(Window.partitionBy(*keys).orderBy("frame_idx").rowsBetween(-n, -1))
     return F.when(F.size(before) == n, F.element_at(F.sort_array(before), n // 2 + 1))
@@ -54,18 +56,14 @@ def dropout_candidates(frames: DataFrame, n: int = 7, floor_db: float = -55.0, d
     Frames without an RMS level are left out first; each other metric keeps a window of its own values that are there. A frame joins the
     windows after it was judged.
     """
-    own = frames.where(F.col("rms_level").isNotNull())
-    judged = own.select(*CHANNEL, "frame_idx", "t", "rms_level", _upper_median("rms_level", n).alias("median_rms"))
-    found = judged.where((F.col("median_rms") >= floor_db) & (F.col("median_rms") - F.col("rms_level") >= drop_db))
     rules = {"max_difference": ("Max_difference", lambda x, m: x < 0.1 * m), "rms_difference": ("RMS_difference", lambda x, m: x < 0.1 * m), "zero_crossings_rate": ("Zero_crossings_rate", lambda x, m: x > 3 * m)}
-    names = []
-    for c, (name, rule) in rules.items():
-        if c not in frames.columns:
-            continue
-        other = own.where(F.col(c).isNotNull()).select(*CHANNEL, "frame_idx", F.col(c).alias("x"), _upper_median(c, n).alias("m"))
-        found = found.join(other.select(*CHANNEL, "frame_idx", F.when((F.col("m") > 0) & rule(F.col("x"), F.col("m")), name).alias(name)), [*CHANNEL, "frame_idx"], "left")
-        names.append(name)
-    return found.select(*CHANNEL, "frame_idx", "t", "rms_level", "median_rms", F.array_compact(F.array(*[F.col(x) for x in names]).cast("array<string>")).alias("corroborating"))
+    rules = {c: rule for c, rule in rules.items() if c in frames.columns}
+    own = frames.where(F.col("rms_level").isNotNull()).withColumn("median_rms", _upper_median("rms_level", n))
+    for c in rules:  # a metric's rows with and without a value are apart, so that the rows before are those with one
+        own = own.withColumn(f"_{c}", _upper_median(c, n, [*CHANNEL, F.col(c).isNull()]))
+    found = own.where((F.col("median_rms") >= floor_db) & (F.col("median_rms") - F.col("rms_level") >= drop_db))
+    names = [F.when((F.col(f"_{c}") > 0) & rule(F.col(c), F.col(f"_{c}")), name) for c, (name, rule) in rules.items()]
+    return found.select(*CHANNEL, "frame_idx", "t", "rms_level", "median_rms", F.array_compact(F.array(*names).cast("array<string>")).alias("corroborating"))
 
 
 def dropout_events(candidates: DataFrame, bars: DataFrame | None = None, gap: float = 3.5, long_s: float = 2.0) -> DataFrame:
@@ -224,11 +222,12 @@ def refine_start(regions: DataFrame, frames: DataFrame, level: str = "r128_m", b
     A frame's smoothed level is the median of the levels there are in the `smooth_s` seconds from it on, by the asset's own step. The walk begins at
     the first frame from the start on; a region after the last frame, or of an asset without frames, begins with the asset's first frame, or stays.
     """
-    own = frame_steps(frames, ASSET).select("asset_id", "t", "_i", F.col(level).alias("x"), F.greatest(F.lit(1), F.floor(smooth_s / F.col("_dt")).cast("int")).alias("_ahead"))
-    spread = own.select("asset_id", "x", F.explode(F.sequence(F.greatest(F.lit(0), F.col("_i") - F.col("_ahead") + 1), F.col("_i"))).alias("_i"))
-    smooth = spread.groupBy("asset_id", "_i").agg(F.percentile("x", 0.5).alias("mid"))
+    asked = frames.join(regions.select("asset_id").distinct(), "asset_id", "left_semi")
+    own = frame_steps(asked, ASSET).select("asset_id", "t", "_i", F.col(level).alias("x"), F.greatest(F.lit(1), F.floor(smooth_s / F.col("_dt")).cast("int")).alias("_ahead"))
     w = Window.partitionBy("asset_id").orderBy("_i")
-    judged = own.join(smooth, ["asset_id", "_i"]).withColumn("_next", F.lead("t").over(w))
+    # One frame for windows of any width: places are measured in widths, a little short of which the next window begins.
+    near = Window.partitionBy("asset_id").orderBy(F.col("_i") / (F.col("_ahead") - 0.5)).rangeBetween(0, 1)
+    judged = own.withColumns({"mid": F.percentile("x", 0.5).over(near), "_next": F.lead("t").over(w)})
     failed = F.when(~F.coalesce(F.col("mid").between(*band), F.lit(False)), F.col("_next"))
     reach = judged.select("asset_id", "t", F.coalesce(F.max(failed).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first("t").over(w)).alias("reach"))
     row = F.struct(*regions.columns)
@@ -251,16 +250,16 @@ def timecode_consensus(detections: DataFrame, assets: DataFrame) -> DataFrame:
     """asset_id, start_s, end_s, channel, confidence, methods, method_count: regions on which detectors agree.
 
     detections: asset_id, criterion, channel, start_s, end_s, confidence. Those of astats, of both channels, make the regions; R128 ones that overlap or touch
-    add their method and confidence and never move a bound. An R128 one that meets no region stands alone only where assets (asset_id,
-    astats_available) has no channel statistics of the asset; of such that overlap, the first stands.
+    add their method and confidence and never move a bound. An R128 one that meets no region stands alone unless assets (asset_id,
+    astats_available) says that the asset has channel statistics; of such that overlap, the first stands.
     """
     loud = F.lower(F.col("criterion")).startswith("r128")
     r128, astats = detections.where(loud), detections.where(~loud)
     extra = [F.collect_list("confidence").alias("confs"), F.array_sort(F.collect_set("criterion")).alias("names"), F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(F.lower("channel"), F.lit("ch([0-9]+)"), F.lit(1))))).alias("chs"), F.coalesce(F.bool_or(F.lower("channel").contains("both")), F.lit(False)).alias("both")]
     regions = merge_spans(astats.select("asset_id", "start_s", "end_s", "confidence", "criterion", "channel"), 0.0, ASSET, extra).drop("n_spans")
     met = (F.col("l.asset_id") == F.col("r.asset_id")) & (F.col("l.start_s") <= F.col("r.end_s")) & (F.col("r.start_s") <= F.col("l.end_s"))
-    unmeasured = assets.where(~F.coalesce("astats_available", F.lit(False))).select("asset_id")
-    free = r128.alias("l").join(regions.alias("r"), met, "left_anti").join(unmeasured, "asset_id", "left_semi")
+    measured = assets.where("astats_available").select("asset_id")
+    free = r128.alias("l").join(regions.alias("r"), met, "left_anti").join(measured, "asset_id", "left_anti")
     spans = free.groupBy("asset_id").agg(F.array_sort(F.collect_list(F.struct("start_s", "end_s"))).alias("spans"))  # merged detections of one asset
     none = F.array().cast("array<struct<start_s: double, end_s: double>>")
     apart = F.aggregate("spans", none, lambda a, x: F.when((F.size(a) == 0) | (F.element_at(a, -1)["end_s"] < x["start_s"]), F.array_append(a, x)).otherwise(a))
@@ -296,23 +295,15 @@ def spike_detection(series: DataFrame, least_width: int = 51, share: int = 20, k
     on. Far is over k times the median absolute deviation, or the standard deviation where that is 0; a flat series has no spikes. Where there
     is a column bright, that share of a place must be bright too. Places at most `group` apart are one; of over `group` values none is a spike.
     """
-    by = Window.partitionBy("asset_id")
-    own = series.withColumn("_i", F.row_number().over(by.orderBy("frame_idx")) - 1).withColumn("_n", F.count("*").over(by))
-    half = F.floor(F.greatest(F.lit(least_width), F.floor(F.col("_n") / share)) / 2).cast("int")  # of an odd width, or of the odd one above
-    own = own.withColumn("_half", half)
-    beyond = F.when((F.col("_i") == 0) & (F.col("_n") == 1), F.sequence(-F.col("_half"), F.col("_half"))).when(F.col("_i") == 0, F.sequence(-F.col("_half"), F.lit(0))).when(F.col("_i") == F.col("_n") - 1, F.sequence(F.lit(0), F.col("_half"))).otherwise(F.array(F.lit(0)))
-    padded = own.select("*", F.explode(beyond).alias("_off")).withColumn("_at", F.col("_i") + F.col("_off"))
-    # One frame for windows of any width: places are measured in half widths.
-    near = by.orderBy(F.col("_at") / (F.col("_half") + 0.5)).rangeBetween(-1, 1)
-    dev = padded.withColumn("dev", F.col("value") - F.percentile("value", 0.5).over(near)).where("_off = 0")
+    dev = running_median(series, "value", least_width, share, "_median").withColumn("dev", F.col("value") - F.col("_median"))
     spread = dev.groupBy("asset_id").agg(F.percentile(F.abs("dev"), 0.5).alias("mad"), F.stddev_pop("dev").alias("sd"))
     least = F.when(F.col("mad") > 0, F.col("mad")).otherwise(F.col("sd"))
     high = dev.join(spread, "asset_id").where((least > 0) & (F.col("dev") > k * least))
     if "bright" in series.columns:
         high = high.where(F.col("bright") > bright)
-    hits = gap_islands(high, ["asset_id"], "_i", group)
-    out = hits.groupBy("asset_id", "island").agg(F.min("frame_idx").alias("first_idx"), F.max("frame_idx").alias("last_idx"), F.max("dev").alias("peak"), F.count("*").alias("n"))
-    return out.where(F.col("n") <= group).drop("island", "n")
+    totals = {"first_idx": (F.min("frame_idx"), F.min), "last_idx": (F.max("frame_idx"), F.max), "peak": (F.max("dev"), F.max), "n": (F.count("*"), F.sum)}
+    hits = runs(high, ASSET, "_place", F.lit(True), totals, lambda before, now: now["first"] - before["last"] <= group)
+    return hits.where(F.col("n") <= group).select("asset_id", "first_idx", "last_idx", "peak")
 
 
 def excluded_channels(imbalance_silent: DataFrame, ltc_coverage: DataFrame, channels: DataFrame, share: float = 0.75) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .intervals import descending, greedy_spaced
+from .intervals import descending, greedy_spaced, with_regions
 from .video import is_black
 
 
@@ -52,10 +52,10 @@ def failure_highlights(failures: DataFrame, apart_s: float = 4.0) -> DataFrame:
 
 def brng_period_summary(frames: DataFrame, periods: DataFrame, least: float = 0.01) -> DataFrame:
     """asset_id, period_no, frames, violations, pct, max_brng, avg_brng: over the frames of each period."""
-    inside = (F.col("f.asset_id") == F.col("p.asset_id")) & (F.col("f.t") >= F.col("p.start_s")) & (F.col("f.t") < F.col("p.start_s") + F.col("p.duration_s"))
-    own = frames.select("asset_id", "t", "BRNG").alias("f").join(periods.alias("p"), inside)
+    spans = periods.select("asset_id", "period_no", "start_s", "duration_s")
+    own = with_regions(frames.select("asset_id", "t", "BRNG"), spans, F.col("start_s") + F.col("duration_s"), open_end=True)
     bad = F.count_if(F.col("BRNG") > least)
-    return own.groupBy(F.col("p.asset_id").alias("asset_id"), "period_no").agg(F.count("*").alias("frames"), bad.alias("violations"), F.round(bad * 100.0 / F.count("*"), 6).alias("pct"), F.max("BRNG").alias("max_brng"), F.round(F.avg("BRNG"), 9).alias("avg_brng"))
+    return own.groupBy("asset_id", F.col("_region.period_no").alias("period_no")).agg(F.count("*").alias("frames"), bad.alias("violations"), F.round(bad * 100.0 / F.count("*"), 6).alias("pct"), F.max("BRNG").alias("max_brng"), F.round(F.avg("BRNG"), 9).alias("avg_brng"))
 
 
 def period_compare(full: DataFrame, active: DataFrame) -> DataFrame:

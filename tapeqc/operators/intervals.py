@@ -1,10 +1,15 @@
 """Interval algebra over regions (asset_id, start_s, end_s): runs, unions, overlaps and exclusions, all keyed by asset.
 
-Range joins carry the asset's equality, so they are hash or sort-merge joins with a residual condition; regions are few for each asset.
+Range joins are equality joins on asset and bin, with a residual condition. Bins are as wide as regions are long on average, so that regions
+have at most three copies each on average, whatever their lengths, and a point, which has one bin, meets only the regions near it: an asset's points
+and regions are dealt over as many tasks as they fill. Two intervals overlap if one's start lies in the other, so that overlaps are two joins of
+points with regions, which between them find a pair once. Regions with a null or infinite bound, or that end before they start, hold nothing.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -33,16 +38,61 @@ def merge_spans(spans: DataFrame, gap: float = 0.0, keys: list[str] = ASSET, ext
     return runs.groupBy(*keys, "island").agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n_spans"), *(extra or [])).drop("island")
 
 
-def _overlaps(slack: float) -> Column:
-    return (F.col("l.start_s") <= F.col("r.end_s") + slack) & (F.col("r.start_s") <= F.col("l.end_s") + slack)
+#: The least width of a bin in seconds.
+LEAST_S = 1 / 64
 
 
-def spans_overlap(left: DataFrame, right: DataFrame, slack: float = 0.0, keys: list[str] = ASSET, inside: bool = True) -> DataFrame:
-    """Rows of left that overlap (touching counts) some span of right within `slack`; with inside=False those that overlap none."""
-    on = _overlaps(slack)
+def _binned(regions: DataFrame, keys: list[str], end: Column) -> tuple[Column, DataFrame]:
+    """A bin's width, and keys, _bin, _from, _to, _region: a row for each region and each bin that it reaches, _region the struct of its columns."""
+    bounds = regions.select(*keys, F.col("start_s").cast("double").alias("_from"), end.cast("double").alias("_to"), F.struct(*regions.columns).alias("_region"))
+    bounds = bounds.where((F.col("_from") <= F.col("_to")) & (F.abs("_from") < float("inf")) & (F.abs("_to") < float("inf")))
+    width = F.greatest(F.lit(LEAST_S), F.coalesce(bounds.select(F.avg(F.col("_to") - F.col("_from"))).scalar(), F.lit(1.0)))
+    return width, bounds.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.col("_to") / width))))
+
+
+def _inside(at: Column, open_end: bool) -> Column:
+    return (at >= F.col("r._from")) & ((at < F.col("r._to")) if open_end else (at <= F.col("r._to")))
+
+
+def with_regions(points: DataFrame, regions: DataFrame, end: Column | None = None, keys: list[str] = ASSET, open_end: bool = False, how: str = "inner") -> DataFrame:
+    """points (keys, t, ...) with _region, the struct of a region that holds them: a row for each pair; or, by `how`, the points with or without any.
+
+    `end`: a region's end, if it is not end_s; with open_end it is outside.
+    """
+    width, binned = _binned(regions, keys, F.col("end_s") if end is None else end)
+    on = (F.col("p._bin") == F.col("r._bin")) & _inside(F.col("p.t"), open_end)
     for k in keys:
-        on = (F.col(f"l.{k}") == F.col(f"r.{k}")) & on
-    return left.alias("l").join(right.alias("r"), on, "left_semi" if inside else "left_anti")
+        on = (F.col(f"p.{k}") == F.col(f"r.{k}")) & on
+    joined = points.withColumn("_bin", F.floor(F.col("t") / width)).alias("p").join(binned.alias("r"), on, how)
+    return joined.select("p.*", "r._region").drop("_bin") if how == "inner" else joined.drop("_bin")
+
+
+def near_regions(points: DataFrame, regions: DataFrame, out: str, found: Callable[[Column], Column], end: Column | None = None, open_end: bool = False) -> DataFrame:
+    """points (asset_id, t, ...), each once, with `out`: `found` of the array of the regions that hold it (null where there is none near).
+
+    The regions of a bin come to its points as one array.
+    """
+    width, binned = _binned(regions, ASSET, F.col("end_s") if end is None else end)
+    lists = binned.groupBy("asset_id", "_bin").agg(F.collect_list(F.struct("_from", "_to", "_region")).alias("_near"))
+    holds = lambda r: (F.col("t") >= r["_from"]) & ((F.col("t") < r["_to"]) if open_end else (F.col("t") <= r["_to"]))
+    joined = points.withColumn("_bin", F.floor(F.col("t") / width)).join(lists, ["asset_id", "_bin"], "left")
+    return joined.select(*points.columns, found(F.transform(F.filter("_near", holds), lambda r: r["_region"])).alias(out))
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """_left, _right: structs of the rows whose intervals (start_s, end_s; both ends included) overlap, each pair of rows once."""
+    a, b = (df.select(*keys, "start_s", "end_s", F.col("start_s").alias("t"), F.struct(*df.columns).alias("_row")) for df in (left, right))
+    pair = lambda x, y: (x.alias("_left"), y.alias("_right"))
+    first = with_regions(a, b, keys=keys).select(*pair(F.col("_row"), F.col("_region._row")))
+    second = with_regions(b, a, keys=keys).where(F.col("t") > F.col("_region.start_s")).select(*pair(F.col("_region._row"), F.col("_row")))
+    return first.union(second)
+
+
+def spans_overlap(left: DataFrame, right: DataFrame, slack: float = 0.0, keys: list[str] = ASSET, inside: bool = True) -> DataFrame:
+    """Rows of left that overlap (touching counts) some span of right within `slack`; with inside=False those that overlap none. Rows that repeat stay."""
+    wide = right.select(*keys, (F.col("start_s") - slack).alias("start_s"), (F.col("end_s") + slack).alias("end_s"))
+    met = _met(left.distinct(), wide, keys).select("_left").distinct()
+    return left.withColumn("_row", F.struct(*left.columns)).join(met, F.col("_row").eqNullSafe(F.col("_left")), "left_semi" if inside else "left_anti").drop("_row")
 
 
 def uncovered(left: DataFrame, right: DataFrame, slack: float = 5.0, pad: float = 5.0) -> DataFrame:
@@ -54,8 +104,7 @@ def uncovered(left: DataFrame, right: DataFrame, slack: float = 5.0, pad: float
 
 def exclude_regions(points: DataFrame, regions: DataFrame, margin: float = 0.0) -> DataFrame:
     """Rows (asset_id, t) that lie in no region, ends included and `margin` seconds after them; regions without bounds exclude nothing."""
-    on = (F.col("p.asset_id") == F.col("r.asset_id")) & (F.col("p.t") >= F.col("r.start_s")) & (F.col("p.t") <= F.col("r.end_s") + margin)
-    return points.alias("p").join(regions.alias("r"), on, "left_anti")
+    return with_regions(points, regions, F.col("end_s") + margin, how="left_anti")
 
 
 def time_range(points: DataFrame, start_s: float | None = None, end_s: float | None = None) -> DataFrame:
@@ -76,21 +125,17 @@ def suppress_in_bars(candidates: DataFrame, bars: DataFrame, margin: float = 1.0
 
 
 def assign_period(points: DataFrame, periods: DataFrame) -> DataFrame:
-    """points (asset_id, t, ...) with period_no of the first period [start_s, start_s + duration_s) that holds them, else null; repeated points stay.
-
-    An asset's periods, few as they are, come to its points as one array.
-    """
-    own = periods.groupBy("asset_id").agg(F.collect_list(F.struct("period_no", "start_s", "duration_s")).alias("_periods"))
-    held = F.filter("_periods", lambda p: (p["start_s"] <= F.col("t")) & (F.col("t") < p["start_s"] + p["duration_s"]))
-    first = F.array_min(F.transform(held, lambda p: p["period_no"]))
-    return points.join(own, "asset_id", "left").select(*points.columns, first.alias("period_no"))
+    """points (asset_id, t, ...) with period_no of the first period [start_s, start_s + duration_s) that holds them, else null; repeated points stay."""
+    first = lambda held: F.array_min(F.transform(held, lambda p: p["period_no"]))
+    return near_regions(points, periods.select("asset_id", "period_no", "start_s", "duration_s"), "period_no", first, F.col("start_s") + F.col("duration_s"), open_end=True)
 
 
 def period_overlap(p: DataFrame, q: DataFrame) -> DataFrame:
     """asset_id, period_p, period_q, overlap_s: seconds that two sets of periods (period_no, start_s, duration_s) share, pair by pair."""
-    shared = F.least(F.col("p.start_s") + F.col("p.duration_s"), F.col("q.start_s") + F.col("q.duration_s")) - F.greatest("p.start_s", "q.start_s")
-    wide = p.alias("p").join(q.alias("q"), (F.col("p.asset_id") == F.col("q.asset_id")) & (shared > 0))
-    return wide.select("p.asset_id", F.col("p.period_no").alias("period_p"), F.col("q.period_no").alias("period_q"), shared.alias("overlap_s"))
+    a, b = (df.select("asset_id", "period_no", "start_s", (F.col("start_s") + F.col("duration_s")).alias("end_s")) for df in (p, q))
+    shared = F.least("_left.end_s", "_right.end_s") - F.greatest("_left.start_s", "_right.start_s")
+    wide = _met(a, b, ASSET).where(shared > 0)
+    return wide.select("_left.asset_id", F.col("_left.period_no").alias("period_p"), F.col("_right.period_no").alias("period_q"), shared.alias("overlap_s"))
 
 
 def coverage_fraction(spans: DataFrame, durations: DataFrame, keys: list[str] = ASSET) -> DataFrame:
@@ -110,8 +155,9 @@ def overlapping_methods(astats: DataFrame, r128: DataFrame) -> DataFrame:
 def cross_channel_support(events: DataFrame, slack: float = 0.5) -> DataFrame:
     """Events (asset_id, ch, start_s, end_s, corroborating) that another channel's event, corroborated by more than zero crossings, overlaps."""
     strong = events.where(F.exists("corroborating", lambda x: x != "Zero_crossings_rate"))
-    on = (F.col("l.asset_id") == F.col("r.asset_id")) & (F.col("l.ch") != F.col("r.ch")) & _overlaps(slack)
-    return events.alias("l").join(strong.alias("r"), on, "left_semi")
+    wide = strong.select("asset_id", "ch", (F.col("start_s") - slack).alias("start_s"), (F.col("end_s") + slack).alias("end_s"))
+    met = _met(events.distinct(), wide, ASSET).where(F.col("_left.ch") != F.col("_right.ch")).select("_left").distinct()
+    return events.withColumn("_row", F.struct(*events.columns)).join(met, F.col("_row").eqNullSafe(F.col("_left")), "left_semi").drop("_row")
 
 
 def even_periods(assets: DataFrame, n: int = 3, length_s: float = 60.0, lead_s: float = 10.0, tail_s: float = 30.0, hints: DataFrame | None = None) -> DataFrame:

@@ -2,34 +2,60 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .intervals import islands
 
 
-def ssim(x: np.ndarray, y: np.ndarray, span: float, box: int = 7) -> float:
-    """Mean structural similarity over full boxes, with sample covariances."""
-    view = lambda a: np.lib.stride_tricks.sliding_window_view(a, (box, box)).reshape(-1, box * box)
-    a, b = view(x), view(y)
+def _box_sums(a: np.ndarray, box: int) -> np.ndarray:
+    """Sums over all full boxes of each picture (pictures x height x width), from running sums down and across."""
+    sums = np.zeros((len(a), a.shape[1] + 1, a.shape[2] + 1))
+    np.cumsum(np.cumsum(a, axis=1), axis=2, out=sums[:, 1:, 1:])
+    return sums[:, box:, box:] - sums[:, :-box, box:] - sums[:, box:, :-box] + sums[:, :-box, :-box]
+
+
+def ssim(pictures: np.ndarray, reference: np.ndarray, span: float, box: int = 7) -> np.ndarray:
+    """Mean structural similarity of each picture (pictures x height x width) to a reference, over full boxes, with sample covariances."""
+    shift = reference.mean()  # near 0, squares lose fewer digits
+    x, y = pictures - shift, (reference - shift)[None]
     n, c1, c2 = box * box, (0.01 * span) ** 2, (0.03 * span) ** 2
-    ma, mb = a.mean(axis=1), b.mean(axis=1)
-    va, vb = a.var(axis=1, ddof=1), b.var(axis=1, ddof=1)
-    cov = ((a - ma[:, None]) * (b - mb[:, None])).sum(axis=1) / (n - 1)
-    return float((((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean())
+    sx, sy = _box_sums(x, box), _box_sums(y, box)
+    va = (_box_sums(x * x, box) - sx * sx / n) / (n - 1)
+    vb = (_box_sums(y * y, box) - sy * sy / n) / (n - 1)
+    cov = (_box_sums(x * y, box) - sx * sy / n) / (n - 1)
+    ma, mb = sx / n + shift, sy / n + shift
+    return (((2 * ma * mb + c1) * (2 * cov + c2)) / ((ma**2 + mb**2 + c1) * (va + vb + c2))).mean(axis=(1, 2))
+
+
+#: Values of pictures that are compared together.
+_TOGETHER = 1 << 20
 
 
 def ssim_to_reference(frames: DataFrame, reference: list[float], width: int, height: int, span: float = 255.0) -> DataFrame:
-    """asset_id, frame_idx, score of frames (asset_id, frame_idx, luma: width x height values) against one reference picture."""
-    picture = np.asarray(reference, dtype=float).reshape(height, width)
+    """asset_id, frame_idx, score of frames (asset_id, frame_idx, luma: width x height values) against one reference picture; a picture of another size or with a null has no score."""
+    picture, size = np.asarray(reference, dtype=float).reshape(height, width), width * height
+    step = max(1, _TOGETHER // size)
 
-    @F.pandas_udf("double")
-    def score(luma: pd.Series) -> pd.Series:
-        return luma.map(lambda v: ssim(np.asarray(v, dtype=float).reshape(height, width), picture, span))
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (whole.slice(k, step) for whole in batches for k in range(0, whole.num_rows, step)):
+            luma = b["luma"]
+            lengths = pc.fill_null(pc.list_value_length(luma), -1).to_numpy(zero_copy_only=False)
+            fit = np.flatnonzero(lengths == size)
+            values = luma.take(pa.array(fit)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, height, width)
+            out = np.full(b.num_rows, np.nan)
+            if len(fit):
+                out[fit] = ssim(values, picture, span)
+            yield pa.RecordBatch.from_arrays([b["asset_id"], b["frame_idx"], pa.array(out, mask=np.isnan(out))], names=["asset_id", "frame_idx", "score"])
 
-    return frames.select("asset_id", "frame_idx", score("luma").alias("score"))
+    own = frames.select("asset_id", "frame_idx", "luma")
+    return own.mapInArrow(score, StructType([*own.schema.fields[:2], StructField("score", DoubleType())]))
 
 
 def ssim_runs(scores: DataFrame, threshold: float = 0.7, least: int = 0, all_runs: bool = False) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions.scalars import LUMA_ZONES, luma_zone
-from .intervals import ASSET, gap_islands, islands, merge_spans
+from .intervals import ASSET, islands, merge_spans, near_regions, with_regions
+from .runs import runs
 
 
 def _by_time() -> WindowSpec:
@@ -97,10 +98,9 @@ def detect_bars(frames: DataFrame, min_run: int | None = None, max_misses: int |
 
 def bars_extremes(frames: DataFrame, regions: DataFrame) -> DataFrame:
     """asset_id, label, and each of eight extremes, truncated, over the frames of each region."""
-    inside = (F.col("f.asset_id") == F.col("r.asset_id")) & F.col("f.t").between(F.col("r.start_s"), F.col("r.end_s"))
-    wide = frames.alias("f").join(regions.alias("r"), inside)
-    extreme = [(F.greatest(F.lit(0), F.max(f"f.{k}").cast("int")) if k.endswith("MAX") else F.least(F.lit(1023), F.min(f"f.{k}").cast("int"))).alias(k) for k in SMPTE if k in frames.columns]
-    return wide.groupBy(F.col("r.asset_id").alias("asset_id"), F.col("r.label").alias("label")).agg(*extreme)
+    wide = with_regions(frames, regions.select("asset_id", "label", "start_s", "end_s"))
+    extreme = [(F.greatest(F.lit(0), F.max(k).cast("int")) if k.endswith("MAX") else F.least(F.lit(1023), F.min(k).cast("int"))).alias(k) for k in SMPTE if k in frames.columns]
+    return wide.groupBy("asset_id", F.col("_region.label").alias("label")).agg(*extreme)
 
 
 def bars_vs_reference(assets: DataFrame, extremes: DataFrame) -> DataFrame:
@@ -144,10 +144,12 @@ def chroma_events(frames: DataFrame, gap: int = 10, bit_depth: int = 10) -> Data
     """Runs of flagged frames with index gaps of at most `gap`; single frames stay only if both rules fire. With the summary of each."""
     flags = chroma_flags(bit_depth)
     own = frames.select("asset_id", "frame_idx", "t", "SATMAX", "HUEMED", *[x.alias(k) for k, x in flags.items()]).where("envelope or saturation")
-    runs = gap_islands(own, ASSET, "frame_idx", gap)
-    rules = F.array_compact(F.array(F.when(F.bool_or("envelope"), "envelope"), F.when(F.bool_or("saturation"), "saturation")))
-    peak = F.max_by(F.struct("t", "HUEMED"), F.struct("SATMAX", -F.col("frame_idx")))
-    out = runs.groupBy("asset_id", "island").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"), F.count("*").alias("frame_count"), F.array_join(rules, "+").alias("rules"), F.max("SATMAX").alias("peak_satmax"), peak.alias("p"), F.count_if(F.col("envelope") & F.col("saturation")).alias("both"))
+    peak = F.max(F.struct("SATMAX", -F.col("frame_idx"), "t", "HUEMED"))
+    totals = {"start_s": (F.min("t"), F.min), "end_s": (F.max("t"), F.max), "frame_count": (F.count("*"), F.sum), "p": (peak, F.max), "both": (F.count_if(F.col("envelope") & F.col("saturation")), F.sum)}
+    totals |= {k: (F.bool_or(k), F.bool_or) for k in flags}
+    events = runs(own, ASSET, "frame_idx", F.lit(True), totals, lambda before, now: now["first"] - before["last"] <= gap)
+    rules = F.array_compact(F.array(*[F.when(F.col(k), k) for k in flags]))
+    out = events.select("asset_id", "start_s", "end_s", "frame_count", F.array_join(rules, "+").alias("rules"), F.col("p.SATMAX").alias("peak_satmax"), "p", "both")
     out = out.where("frame_count >= 2 or both > 0")
     return out.select("asset_id", "start_s", "end_s", (F.col("end_s") - F.col("start_s")).alias("duration_s"), "frame_count", "rules", "peak_satmax", F.col("p.t").alias("peak_s"), F.col("p.HUEMED").alias("peak_hue"))
 
@@ -160,25 +162,37 @@ def top_events(events: DataFrame, k: int = 10) -> DataFrame:
 def black_segments(frames: DataFrame, min_s: float = 2.0, gap: float = 0.5) -> DataFrame:
     """asset_id, start_s, end_s, frames: runs of black frames. A run ends where a frame that is not black stands over `gap` after its last black one."""
     own = frames.select("asset_id", "frame_idx", "t", is_black().alias("black"))
-    last = F.last(F.when(F.col("black"), F.col("t")), ignorenulls=True).over(_by_time().rowsBetween(Window.unboundedPreceding, -1))
-    cut = ~F.col("black") & (F.col("t") - last > gap)
-    own = own.withColumn("cut", F.coalesce(cut, F.lit(False)).cast("int"))
-    own = own.withColumn("island", F.sum("cut").over(_by_time().rowsBetween(Window.unboundedPreceding, 0))).where("black")
-    runs = own.groupBy("asset_id", "island").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"), F.count("*").alias("frames"))
-    return runs.where(F.col("end_s") - F.col("start_s") >= min_s).drop("island")
+    dark = F.when(F.col("black"), F.col("t"))
+    totals = {"light_s": (F.max(F.when(~F.col("black"), F.col("t"))), F.max), "start_s": (F.min(dark), F.min), "end_s": (F.max(dark), F.max), "frames": (F.count_if("black"), F.sum)}
+    # Frames that are not black with the black ones after them; then those of them that belong together.
+    units = runs(own, ASSET, "frame_idx", F.col("black"), totals, lambda before, now: ~before["tail"] | now["head"]).where("frames > 0").drop("last")
+    totals = {"start_s": (F.min("start_s"), F.min), "end_s": (F.max("end_s"), F.max), "frames": (F.sum("frames"), F.sum)}
+    found = runs(units, ASSET, "first", F.struct("light_s", "end_s"), totals, lambda before, now: now["head"]["light_s"] - before["tail"]["end_s"] <= gap)
+    return found.where(F.col("end_s") - F.col("start_s") >= min_s).select("asset_id", "start_s", "end_s", "frames")
 
 
 def low_diff_frame(bit_depth: int = 10) -> Column:
+    """Whether a frame hardly differs from the one before, and is no flat field: a difference that is missing is large, a missing level is not flat."""
     most, flat = (1.0, 8.0) if bit_depth == 10 else (0.25, 2.0)
-    return F.coalesce((F.col("YDIF") < most) & (F.coalesce("UDIF", F.lit(0.0)) < most) & (F.coalesce("VDIF", F.lit(0.0)) < most) & (F.col("YMAX") - F.col("YMIN") >= flat), F.lit(False))
+    low = (F.col("YDIF") < most) & (F.col("UDIF") < most) & (F.col("VDIF") < most)
+    return F.coalesce(low, F.lit(False)) & ~F.coalesce(F.col("YMAX") - F.col("YMIN") < flat, F.lit(False))
 
 
-def freeze_candidates(frames: DataFrame, min_run: int = 2, bit_depth: int = 10) -> DataFrame:
-    """Runs of at least min_run frames that hardly differ from the one before: start_s, end_s, duplicates, frozen (one more) and their differences."""
-    own = frames.withColumn("low", low_diff_frame(bit_depth))
-    own = islands(own.withColumn("_before", F.lag("low").over(_by_time())), ASSET, ["frame_idx"], F.col("low") != F.col("_before")).where("low")
-    out = own.groupBy("asset_id", "island").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"), F.count("*").alias("duplicates"), (F.count("*") + 1).alias("frozen"), F.round(F.avg("YDIF"), 6).alias("avg_ydif"), F.max("YDIF").alias("max_ydif"), F.round(F.avg("UDIF"), 6).alias("avg_udif"), F.round(F.avg("VDIF"), 6).alias("avg_vdif"))
-    return out.where(F.col("duplicates") >= min_run).drop("island")
+def freeze_candidates(frames: DataFrame, min_run: int = 2, bit_depth: int = 10, excluded: DataFrame | None = None) -> DataFrame:
+    """Runs of at least min_run frames that hardly differ from the one before: start_s, end_s, duplicates, frozen (one more) and their differences; of VREP too, where frames have it.
+
+    Frames in an excluded region (asset_id, start_s, end_s: black segments, bars) end a run; those without a time are passed over.
+    """
+    means = {k: c for k, c in {"avg_ydif": "YDIF", "avg_udif": "UDIF", "avg_vdif": "VDIF", "avg_vrep": "VREP"}.items() if c in frames.columns}
+    own = frames.where(F.col("t").isNotNull()).select("asset_id", "frame_idx", "t", low_diff_frame(bit_depth).alias("low"), *[F.coalesce(c, F.lit(0.0)).alias(c) if c == "VREP" else c for c in means.values()])
+    if excluded is not None:
+        own = near_regions(own, excluded.select("asset_id", "start_s", "end_s"), "_out", lambda held: F.coalesce(F.size(held) > 0, F.lit(False)))
+        own = own.withColumn("low", F.col("low") & ~F.col("_out"))
+    totals = {"low": (F.bool_or("low"), F.bool_or), "start_s": (F.min("t"), F.min), "end_s": (F.max("t"), F.max), "duplicates": (F.count("*"), F.sum), "max_ydif": (F.max("YDIF"), F.max)}
+    totals |= {f"{k}_{x}": (f(c), F.sum) for k, c in means.items() for x, f in (("sum", F.sum), ("n", F.count))}
+    out = runs(own, ASSET, "frame_idx", F.col("low"), totals).where(F.col("low") & (F.col("duplicates") >= min_run))
+    mean = {k: F.round(F.col(f"{k}_sum") / F.when(F.col(f"{k}_n") > 0, F.col(f"{k}_n")), 6).alias(k) for k in means}
+    return out.select("asset_id", "start_s", "end_s", "duplicates", (F.col("duplicates") + 1).alias("frozen"), mean["avg_ydif"], "max_ydif", *[mean[k] for k in means if k != "avg_ydif"])
 
 
 def freeze_summary(runs: DataFrame, assets: DataFrame, fps: float = 30000 / 1001) -> DataFrame:
