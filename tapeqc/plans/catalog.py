@@ -102,10 +102,6 @@ def _(spark, d):
     return V.whole_video_bars(_tapes(spark, d), bit_depth=8)
 
 
-def _(spark, d):
-    return V.whole_video_bars(frames(spark, d), share=0.05)
-
-
 _DETECT = f"""own AS (SELECT asset_id, frame_idx, t, {_BARS} AS ok FROM frames WHERE t BETWEEN 0 AND 300),
 grp AS (SELECT *, frame_idx - row_number() OVER (PARTITION BY asset_id, ok ORDER BY frame_idx) AS g FROM own),
 runs AS (SELECT asset_id, ok, g, count(*) AS n, min(t) AS first, max(t) AS last FROM grp GROUP BY ALL),
@@ -224,10 +220,6 @@ def _(spark, d):
     return V.luma_zones(frames(spark, d).where("asset_id % 4 != 3 or YAVG >= 380").select("asset_id", (F.col("YAVG") - 280).alias("y")))
 
 
-def _(spark, d):
-    return frames(spark, d).select("asset_id", P.luma_zone(F.col("YAVG") - 280).alias("zone")).groupBy("asset_id", "zone").agg(F.count("*").alias("n"))
-
-
 _HUE_SQL = "CASE " + " ".join(f"WHEN HUEMED % 360 < {k} THEN '{h}'" for k, h in ((15, "red"), (45, "orange"), (75, "yellow"), (105, "yellow-green"), (135, "green"), (165, "green-cyan"), (195, "cyan"), (225, "blue-cyan"), (255, "blue"), (285, "blue-magenta"), (315, "magenta"), (345, "red-magenta"), (360, "red"))) + " ELSE '' END"
 
 
@@ -322,11 +314,6 @@ def _(spark, d):
     return B.shift_periods(_periods(own), V.black_segments(own), assets)
 
 
-def _(spark, d):
-    own = frames(spark, d)
-    return B.shift_periods(_periods(own), V.black_segments(own), own.groupBy("asset_id").agg(F.max("t").alias("duration_s")))
-
-
 _EVEN = "e AS (SELECT asset_id, max(t) AS len, CAST(asset_id % 3 * 4 AS DOUBLE) AS content, CASE WHEN asset_id % 2 = 0 THEN 10.0 END AS bars FROM frames GROUP BY asset_id), f AS (SELECT asset_id, greatest(content, coalesce(bars, 0)) + 10 AS first, CASE WHEN asset_id % 5 = 1 THEN 55 WHEN asset_id % 5 = 2 THEN 75 ELSE len END - 30 AS last FROM e), g AS (SELECT *, last - first AS room, CASE WHEN last - first >= 36 THEN 3 WHEN last - first >= 12 THEN CAST(least(3, floor((last - first) / 12)) AS INT) ELSE 1 END AS n FROM f WHERE last > first), even AS (SELECT asset_id, CAST(unnest(range(n)) AS INT) AS period_no, first, room, n FROM g), spaced AS (SELECT asset_id, period_no, first + period_no * greatest(0, room - 12) / greatest(1, n - 1) AS start_s, least(12, room) AS duration_s FROM even)"
 
 
@@ -348,11 +335,6 @@ def _(spark, d):
     return I.even_periods(own, 3, 12.0, hints=hints)
 
 
-def _(spark, d):
-    own = frames(spark, d)
-    return I.even_periods(own.groupBy("asset_id").agg(F.max("t").alias("duration_s"), F.lit(10.0).alias("bars_end_s")), 3, 12.0)
-
-
 @_query("T10_sample_evenly", f"WITH {FRAMES}, l AS (SELECT asset_id, max(frame_idx) AS last FROM frames GROUP BY asset_id), p AS (SELECT DISTINCT asset_id, CAST(floor(k * last / 19) AS BIGINT) AS frame_idx FROM l, (SELECT unnest(range(20)) AS k)) SELECT asset_id, frame_idx, f.t FROM p JOIN frames f USING (asset_id, frame_idx)")
 def _(spark, d):
     return B.sample_evenly(frames(spark, d), 20)
@@ -365,10 +347,6 @@ def _(spark, d):
     return B.sample_targeted(segments, B.brng_violations(own).where("asset_id % 4 != 3"), 100, 20, 25, 40)
 
 
-def _(spark, d):
-    return B.sample_evenly(frames(spark, d), 20)
-
-
 _SIDE_FLAGS = {
     "l": "k = 2 AND f % 2 = 0 OR k = 3 AND f % 3 <> 0 OR k = 4 AND f % 10 = 0 OR k = 5 AND f % 9 = 0 OR k = 6 AND f % 5 = 0",
     "u": "k = 3 AND f % 6 = 1 OR k = 4 AND f % 10 = 5",
@@ -398,21 +376,11 @@ def _(spark, d):
     return B.violation_assessment(own, B.violation_patterns(own))
 
 
-def _(spark, d):
-    return B.violation_assessment(B.brng_violations(frames(spark, d)))
-
-
 @_query("A12_violation_patterns", f"WITH {FRAMES}, {_MARKED}, {_PATTERNS} SELECT * FROM patterns")
 def _(spark, d):
     return B.violation_patterns(_marked(spark, d))
 
 
-def _(spark, d):
-    edges = F.array_compact(F.array(F.when(F.col("frame_idx") % 2 == 0, "left"), F.when(F.col("frame_idx") % 5 == 0, "top"), F.when(F.col("frame_idx") % 7 == 0, "right")))
-    own = B.brng_violations(frames(spark, d)).select("asset_id", edges.alias("edges"), (F.col("frame_idx") % 3 == 0).alias("continuous"), (F.col("frame_idx") % 11 == 0).alias("linear"))
-    return B.violation_patterns(own)
-
-
 # --- Interval algebra ----------------------------------------------------------------------------------------------------------------
 
 _MERGED = """o AS (SELECT *, max(end_s) OVER (PARTITION BY asset_id ORDER BY start_s, end_s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM spans),
@@ -853,10 +821,6 @@ def _(spark, d):
     return table(spark, d, "customer").select(k.alias("asset_id"), B.brng_diagnosis(F.col("c_acctbal") / 100, k % 30 / 10.0, k % 4, k % 3, k % 2 == 0).alias("diagnosis"))
 
 
-def _(spark, d):
-    return table(spark, d, "customer").select(F.col("c_custkey").alias("asset_id"), B.brng_diagnosis(F.col("c_acctbal") / 500, F.col("c_custkey") % 10).alias("diagnosis"))
-
-
 _AREA = "area AS (SELECT p_partkey AS asset_id, CAST(p_size % 8 AS INT) AS x, CAST(p_size % 5 AS INT) AS y, 700 AS w, CAST(486 - p_size % 5 AS INT) AS h FROM part)"
 
 
@@ -942,10 +906,6 @@ def _(spark, d):
     return V.bitplane_verdict(_planes(spark, d)).withColumns({c: F.round(c, 4) for c in ("avg_9th_10th", "avg_7th_8th")})
 
 
-def _(spark, d):
-    return V.bitplane_verdict(V.bitplane_summary(_planes(spark, d)))
-
-
 _ACTIVE = "active AS (SELECT asset_id, period_no, pct / (1 + asset_id % 4) AS pct FROM summary WHERE period_no < 2)"
 
 
@@ -974,12 +934,6 @@ def _(spark, d):
     return B.diagnostic_counts(table(spark, d, "events").select((F.col("user_id") % 20).alias("asset_id"), e.alias("frame_idx"), found.alias("diagnostics")))
 
 
-def _(spark, d):
-    e = F.col("event_id")
-    found = F.array_compact(F.array(F.when(e % 3 == 0, "Edge artifacts (left)").otherwise("Linear blanking"), F.when(e % 5 == 0, "Edge artifacts (top)")))
-    return B.diagnostic_counts(table(spark, d, "events").select((F.col("user_id") % 20).alias("asset_id"), found.alias("diagnostics")))
-
-
 @_query("A20_excluded_channels", f"WITH {CHANNELS}, f AS (SELECT DISTINCT asset_id, ch, asset_id % 3 = 0 AND ch = 1 AS silent, asset_id % 4 = 0 AND ch = 2 OR asset_id = 3 AND ch = 1 AS timecode FROM channels) SELECT asset_id, ch, concat_ws('+', CASE WHEN silent THEN 'silent' END, CASE WHEN timecode THEN 'timecode' END) AS reasons FROM f WHERE (silent OR timecode) AND asset_id % 12 <> 0")
 def _(spark, d):
     own = channels(spark, d).select("asset_id", "ch").distinct()
@@ -1001,12 +955,6 @@ def _(spark, d):
     return B.meaningful_improvement(before, after)
 
 
-def _(spark, d):
-    own = B.brng_violations(frames(spark, d))
-    one = lambda df: df.groupBy("asset_id").agg(F.count("*").alias("n"), F.max("pct").alias("max_pct"))
-    return B.meaningful_improvement(one(own), one(own.where("frame_idx % 10 < asset_id % 10 + 1")))
-
-
 @_query("A24_tc_channel_summary", "WITH r AS (SELECT DISTINCT o_custkey % 50 AS asset_id, CASE WHEN o_custkey % 5 = 0 THEN 1 ELSE o_orderkey % 2 + 1 END AS ch FROM orders) SELECT asset_id, CASE WHEN count(*) > 1 THEN 'Both channels' ELSE 'Channel ' || min(ch) END AS label FROM r GROUP BY asset_id")
 def _(spark, d):
     ch = F.when(F.col("o_custkey") % 5 == 0, 1).otherwise(F.col("o_orderkey") % 2 + 1)
@@ -1028,12 +976,6 @@ def _(spark, d):
     return B.method_correlation(patterns.select("asset_id", F.expr(_SAID).alias("diagnosis")).where("asset_id % 9 != 0"), patterns)
 
 
-def _(spark, d):
-    own = frames(spark, d)
-    verdict = lambda c, least: F.when(F.avg(c) > least, "high").otherwise("low").alias("verdict")
-    return B.method_correlation(own.where("asset_id % 7 != 0").groupBy("asset_id").agg(verdict("YMAX", 800)), own.where("asset_id % 5 != 0").groupBy("asset_id").agg(verdict("BRNG", 0.02)))
-
-
 @_query("J4_check_encoder_settings", "SELECT p_partkey AS asset_id, 'deck' AS device, 'differs' AS problem, p_brand || ',' || p_size AS actual FROM part WHERE NOT (p_brand = 'Brand#13' AND p_size = 7) UNION ALL SELECT p_partkey, 'tbc', 'absent', '' FROM part")
 def _(spark, d):
     settings = F.create_map(F.lit("deck"), F.array("p_brand", F.col("p_size").cast("string")))
@@ -1056,12 +998,6 @@ def _(spark, d):
     return B.replace_low_value_periods(_periods(own).select("*", verdict.alias("verdict"), (F.col("asset_id") % 3 + 4.0 * F.col("period_no")).alias("active_pct")), candidates)
 
 
-def _(spark, d):
-    own = frames(spark, d)
-    candidates = own.select("asset_id").distinct().withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(3)))).select("asset_id", "rank", (35.0 + 12 * F.col("rank")).alias("start_s"), F.lit(15.0).alias("duration_s"))
-    return B.replace_low_value_periods(_periods(own).withColumn("score", F.col("asset_id") % 3 + 4 * F.col("period_no")), candidates)
-
-
 _SIDES = {"left": "l_linenumber", "right": "l_quantity % 9", "top": "l_quantity % 4", "bottom": "l_orderkey % 5"}
 
 

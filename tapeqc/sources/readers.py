@@ -6,9 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hms_to_seconds, metric_name, parse_duration_tag
-
-FRAME = "_media_type string, _pkt_pts_time double, _pkt_dts_time double, _n long, tag array<struct<_key: string, _value: string>>"
-
+from .reports import report_frames
 
 def _asset() -> Column:
     """The file's name up to its first dot."""
@@ -16,8 +14,8 @@ def _asset() -> Column:
 
 
 def read_frame_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """tags_long(asset_id, media_type, frame_idx, t, key, value) of frame reports in XML, gzipped or not; a report is one task."""
-    raw = spark.read.format("xml").option("rowTag", "frame").schema(FRAME).load(paths).withColumn("asset_id", _asset())
+    """tags_long(asset_id, media_type, frame_idx, t, key, value) of frame reports in XML, gzipped or not; a large report is read by several tasks."""
+    raw = report_frames(spark, paths)
     own = select_timestamp(raw)
     w = Window.partitionBy("asset_id", "_media_type").orderBy("t", "_n")
     own = own.withColumn("frame_idx", F.row_number().over(w) - 1)
