@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -190,6 +192,16 @@ def merge_detections(detections: DataFrame, gap: float = WINDOW_S) -> DataFrame:
     return out.select("asset_id", "criterion", "start_s", "end_s", "n_spans", F.col("_first.channel").alias("channel"), F.when(F.col("_high"), "high").otherwise(F.col("_first.confidence")).alias("confidence"))
 
 
+def union_detections(detections: dict[str, DataFrame]) -> DataFrame:
+    """asset_id, place, method, criterion, channel, start_s, end_s, confidence: the detections of all methods, numbered by start within the asset.
+
+    Of equal starts, those of the earlier method come first, then the earlier end and the criterion.
+    """
+    parts = [df.select("asset_id", F.lit(name).alias("method"), F.lit(k).alias("_method"), "criterion", "channel", "start_s", "end_s", "confidence") for k, (name, df) in enumerate(detections.items())]
+    w = Window.partitionBy("asset_id").orderBy("start_s", "_method", "end_s", "criterion", "channel")
+    return reduce(DataFrame.unionByName, parts).select("asset_id", F.row_number().over(w).alias("place"), "method", "criterion", "channel", "start_s", "end_s", "confidence")
+
+
 def majority_smooth(frames: DataFrame, flag: str, k: int = 3, keys: list[str] = CHANNEL, out: str = "smooth") -> DataFrame:
     """df with `out`: more than half of the rows within k, itself included, have the flag."""
     near = Window.partitionBy(*keys).orderBy("frame_idx").rowsBetween(-k, k)

@@ -222,6 +222,13 @@ def sample_targeted(segments: DataFrame, violations: DataFrame, first: int = 500
     return wide.select("asset_id", "period_no", F.explode(F.array_distinct(picks)).alias("frame_no"))
 
 
+def border_widths(areas: DataFrame) -> DataFrame:
+    """asset_id, left_px, right_px, top_px, bottom_px, crop_pct of active areas (asset_id, x, y, w, h, width, height): the borders around them, none below 0, and the share of the picture that they take."""
+    right, bottom = (F.greatest(F.lit(0), F.col(whole) - F.col(at) - F.col(n)) for whole, at, n in (("width", "x", "w"), ("height", "y", "h")))
+    share = F.when(F.col("width") * F.col("height") > 0, 100.0 - 100.0 * F.col("w") * F.col("h") / (F.col("width") * F.col("height")))
+    return areas.select("asset_id", F.col("x").alias("left_px"), right.alias("right_px"), F.col("y").alias("top_px"), bottom.alias("bottom_px"), F.round(share, 6).alias("crop_pct"))
+
+
 def _shared(start: str, length: str) -> Column:
     """Seconds that a span (p.start, p.length) and a black segment (b) share."""
     return F.least(F.col(start) + F.col(length), F.col("b.end_s")) - F.greatest(start, "b.start_s")
@@ -266,6 +273,15 @@ def shift_periods(periods: DataFrame, black: DataFrame, assets: DataFrame, step_
     return each.select("asset_id", F.explode(F.aggregate("ps", none, settle)).alias("x")).select("asset_id", "x.*")
 
 
+def settle_periods(periods: DataFrame, candidates: DataFrame, black: DataFrame, assets: DataFrame, least: float = 5.0, **shifts: float) -> DataFrame:
+    """replace_low_value_periods, and the periods of assets in which one was replaced judged anew against black segments and moved, or left out, by shift_periods; others stay as they are."""
+    new = replace_low_value_periods(periods, candidates, least)
+    was = periods.select("asset_id", "period_no", F.col("start_s").alias("_s"), F.col("duration_s").alias("_d"))
+    moved = new.join(was, ["asset_id", "period_no"]).where((F.col("start_s") != F.col("_s")) | (F.col("duration_s") != F.col("_d"))).select("asset_id").distinct()
+    again = shift_periods(new.join(moved, "asset_id", "left_semi"), black, assets, **shifts)
+    return again.unionByName(new.join(moved, "asset_id", "left_anti").select(again.columns))
+
+
 def replace_low_value_periods(periods: DataFrame, candidates: DataFrame, least: float = 5.0) -> DataFrame:
     """asset_id, period_no, start_s, duration_s: periods that showed next to nothing give way, in order, to the candidates that meet no current period.
 

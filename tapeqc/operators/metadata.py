@@ -92,6 +92,32 @@ def check_policy(metadata: DataFrame, assets: DataFrame, rules: DataFrame) -> Da
     return wide.groupBy("asset_id", "group_id").agg(F.when(F.first("group_op") == "or", F.bool_or("ok")).otherwise(F.bool_and("ok")).alias("passed"))
 
 
+def check_policy_tree(metadata: DataFrame, assets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """asset_id, policy, node_id, parent_id, passed: every rule and group of policies of any depth, for every asset.
+
+    nodes: policy, node_id, parent_id (null: the whole policy), depth (0: the whole), op (and, or; null: a rule), tracktype, field, occurrence,
+    operator, value. metadata: asset_id, section, field, value, and track_no (from 0) where there are several tracks of a section. A rule holds by
+    its occurrence in any track (`*` or null), in all, or in the track of that number; a rule on a field that no track has is judged once. Groups are
+    folded from the lowest level up, a round a level; a group without members passes.
+    """
+    track = F.col("track_no").cast("string") if "track_no" in metadata.columns else F.lit("0")
+    have = metadata.select("asset_id", F.col("section").alias("tracktype"), "field", F.col("value").alias("have"), track.alias("_track"))
+    rules = _for_each(assets, nodes.where("op IS NULL").select("policy", "node_id", "parent_id", "depth", "tracktype", "field", F.coalesce("occurrence", F.lit("*")).alias("occurrence"), "operator", "value"))
+    met = F.col("_track").isNull() | F.col("occurrence").isin("*", "all") | (F.col("occurrence") == F.col("_track"))
+    wide = rules.join(have, ["asset_id", "tracktype", "field"], "left").withColumn("ok", F.when(met, _holds(F.col("operator"), F.col("have"), F.col("value"))))
+    ok = F.when(F.first("occurrence") == "all", F.bool_and("ok")).otherwise(F.bool_or("ok"))
+    key = ["asset_id", "policy", "node_id", "parent_id", "depth"]
+    judged = wide.groupBy(*key).agg(F.coalesce(ok, F.first("operator") == "must not exist").alias("passed"))
+    groups = _for_each(assets, nodes.where("op IS NOT NULL").select("policy", "node_id", "parent_id", "depth", "op"))
+    deepest = nodes.where("op IS NOT NULL").agg(F.max("depth")).first()[0]
+    for depth in range(-1 if deepest is None else deepest, -1, -1):
+        below = judged.where(F.col("depth") == depth + 1).groupBy("asset_id", "policy", F.col("parent_id").alias("node_id")).agg(F.bool_and("passed").alias("every"), F.bool_or("passed").alias("any"))
+        level = groups.where(F.col("depth") == depth).join(below, ["asset_id", "policy", "node_id"], "left")
+        passed = F.coalesce(F.when(F.col("op") == "or", F.col("any")).otherwise(F.col("every")), F.lit(True))
+        judged = judged.unionByName(level.select(*key, passed.alias("passed")))
+    return judged.select("asset_id", "policy", "node_id", "parent_id", "passed")
+
+
 def policy_verdict(outcomes: DataFrame) -> DataFrame:
     """asset_id, fails, verdict from rows asset_id, passed."""
     one = outcomes.groupBy("asset_id").agg(F.count_if(~F.col("passed")).alias("fails"))
@@ -112,13 +138,63 @@ def filename_reason(name: Column, sections: list[tuple[str, str]], extension: st
     return reason
 
 
-def step_readiness(inventory: DataFrame, steps: list[tuple[str, bool, str, str]]) -> DataFrame:
-    """asset_id, step, status: for each step (name, enabled, column its input needs, column its output fills) of each asset.
+# Why a step stands as it does.
+STEP_REASONS = {"disabled": "Disabled in configuration", "precondition_not_met": "Precondition not met", "already_exists": "Output already exists", "will_run": "Ready to run"}
 
-    disabled before precondition_not_met before already_exists before will_run.
+
+def step_readiness(inventory: DataFrame, steps: DataFrame) -> DataFrame:
+    """asset_id, step, status, reason, missing, warnings: for each step of each asset, whether it will run and why not.
+
+    inventory: asset_id, items (an array of what there is). steps: step_no, step, enabled, needs, wants (arrays of items) and makes (an item or
+    null), a small table. In their order, a step that is enabled, has all it needs and whose output is not there yet will run, and what it makes is
+    there for those after it; what a step that will not run would have made is not. `missing`: what it needs and lacks, where it is enabled. `warnings`:
+    what a step that will run wants and lacks, and so leaves out silently. Disabled goes before precondition_not_met before already_exists.
+    """
+    rows = steps.select("step_no", "step", "enabled", "needs", "wants", "makes").limit(LITERAL_ROWS + 1).collect()
+    if len(rows) > LITERAL_ROWS:
+        raise ValueError(f"over {LITERAL_ROWS} steps")
+    texts = lambda x: F.array(*map(F.lit, x or [])).cast("array<string>")
+    item = lambda r: F.struct(F.lit(r.step).alias("step"), F.lit(bool(r.enabled)).alias("enabled"), texts(r.needs).alias("needs"), texts(r.wants).alias("wants"), F.lit(r.makes).cast("string").alias("makes"))
+    plan = F.array(*map(item, sorted(rows, key=lambda r: r.step_no)))
+    done = "array<struct<step: string, status: string, missing: array<string>, wanted: array<string>>>"
+    begin = F.struct(F.coalesce("items", texts([])).alias("items"), F.array().cast(done).alias("done"))
+
+    def judge(state: Column, s: Column) -> Column:
+        lacks = F.array_except(s["needs"], state["items"])
+        there = F.coalesce(F.array_contains(state["items"], s["makes"]), F.lit(False))
+        status = F.when(~s["enabled"], "disabled").when(F.size(lacks) > 0, "precondition_not_met").when(there, "already_exists").otherwise("will_run")
+        none = texts([])
+        out = F.struct(s["step"].alias("step"), status.alias("status"), F.when(s["enabled"], lacks).otherwise(none).alias("missing"), F.when(status == "will_run", F.array_except(s["wants"], state["items"])).otherwise(none).alias("wanted"))
+        items = F.when((status == "will_run") & s["makes"].isNotNull(), F.array_append(state["items"], s["makes"])).otherwise(state["items"])
+        return F.struct(items.alias("items"), F.array_append(state["done"], out).alias("done"))
+
+    found = inventory.select("asset_id", F.explode(F.aggregate(plan, begin, judge, lambda state: state["done"])).alias("x")).select("asset_id", "x.*")
+    reason = F.lit(None).cast("string")
+    for status, text in STEP_REASONS.items():
+        reason = F.when(F.col("status") == status, text).otherwise(reason)
+    missing = F.array_join("missing", ", ")
+    return found.select("asset_id", "step", "status", F.when(missing != "", F.concat(reason, F.lit(": "), missing)).otherwise(reason).alias("reason"), missing.alias("missing"), F.array_join("wanted", ", ").alias("warnings"))
+
+
+def only_specified(metadata: DataFrame, spec: DataFrame) -> DataFrame:
+    """metadata of the fields that a specification (tool, section, field) names."""
+    return metadata.join(spec.select(*FIELD).distinct(), FIELD, "left_semi")
+
+
+def migrate_settings(settings: DataFrame, renames: DataFrame) -> DataFrame:
+    """asset_id, path, value: settings (asset_id, path with dots, value) under their new names.
+
+    renames: old, new (paths), a small table. The longest old path that a setting's path is, or begins with before a dot, gives way to its new one; where
+    a setting stands under the new name already, that one wins. yes and no of renamed settings become true and false; others stay as they are.
     """
-    item = lambda s: F.struct(F.lit(s[0]).alias("step"), F.when(F.lit(not s[1]), "disabled").when(~F.coalesce(F.col(s[2]), F.lit(False)), "precondition_not_met").when(F.coalesce(F.col(s[3]), F.lit(False)), "already_exists").otherwise("will_run").alias("status"))
-    return inventory.select("asset_id", F.explode(F.array(*map(item, steps))).alias("x")).select("asset_id", "x.*")
+    roots = F.transform(F.sequence(F.lit(1), F.size(F.split("path", r"\."))), lambda k: F.array_join(F.slice(F.split("path", r"\."), F.lit(1), k), "."))
+    tried = settings.select("asset_id", "path", "value", F.explode(roots).alias("old"))
+    found = tried.join(renames.select("old", "new"), "old", "left").groupBy("asset_id", "path", "value").agg(F.max(F.when(F.col("new").isNotNull(), F.struct(F.length("old").alias("n"), "old", "new"))).alias("x"))
+    moved = F.col("x").isNotNull()
+    path = F.when(moved, F.concat("x.new", F.substr("path", F.length("x.old") + 1))).otherwise(F.col("path"))
+    truth = F.when(moved & (F.lower("value") == "yes"), "true").when(moved & (F.lower("value") == "no"), "false").otherwise(F.col("value"))
+    own = found.select("asset_id", path.alias("path"), F.struct(moved.alias("moved"), F.col("path").alias("was"), truth.alias("value")).alias("x"))
+    return own.groupBy("asset_id", "path").agg(F.min("x").alias("x")).select("asset_id", "path", "x.value")
 
 
 def metadata_difference_report(parts: dict[str, DataFrame]) -> DataFrame:

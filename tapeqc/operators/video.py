@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -37,6 +38,35 @@ def threshold_violations(frames: DataFrame, thresholds: dict[str, float], start_
     return frames.select("asset_id", "frame_idx", "t", F.explode(bad).alias("x")).select("asset_id", "frame_idx", "t", "x.*")
 
 
+def thresholds_by_asset(assets: DataFrame, checks: DataFrame) -> DataFrame:
+    """asset_id, limits: the thresholds of each asset's profile as one map; assets (asset_id, profile), checks (profile, tag, threshold). A profile without thresholds checks nothing."""
+    maps = checks.where("threshold IS NOT NULL").groupBy("profile").agg(F.map_from_entries(F.collect_list(F.struct("tag", F.col("threshold").cast("double")))).alias("limits"))
+    return assets.join(maps, "profile", "left").select("asset_id", F.coalesce("limits", F.create_map().cast("map<string, double>")).alias("limits"))
+
+
+def _by_limits(frames: DataFrame, limits: DataFrame) -> tuple[DataFrame, list[str], Callable[[str], Column]]:
+    """frames with their asset's limits, the metrics that frames have, and whether a metric fails its asset's limit."""
+    metrics = [c for c, t in frames.dtypes if t == "double" and c != "t"]
+    limit = lambda k: F.try_element_at("limits", F.lit(k))
+    return frames.join(limits, "asset_id"), metrics, lambda k: F.coalesce(fails(F.lit(k), F.col(k), limit(k)), F.lit(False))
+
+
+def profile_violations(frames: DataFrame, limits: DataFrame) -> DataFrame:
+    """threshold_violations with the thresholds of each asset's own profile (limits: asset_id, limits), over the wide frames as they are."""
+    wide, metrics, bad = _by_limits(frames, limits)
+    items = F.array(*[F.when(bad(k), F.struct(F.lit(k).alias("tag"), F.col(k).alias("value"), F.try_element_at("limits", F.lit(k)).alias("threshold"))) for k in metrics])
+    return wide.select("asset_id", "frame_idx", "t", F.explode(F.array_compact(items)).alias("x")).select("asset_id", "frame_idx", "t", "x.*")
+
+
+def profile_summary(frames: DataFrame, limits: DataFrame) -> DataFrame:
+    """threshold_summary with the thresholds of each asset's own profile: a row for each metric that the profile has, in one aggregation."""
+    wide, metrics, bad = _by_limits(frames, limits)
+    one = wide.groupBy("asset_id").agg(F.count("*").alias("total"), F.count_if(reduce(lambda a, b: a | b, map(bad, metrics))).alias("any_failed"), F.first("limits").alias("limits"), *[F.count_if(bad(k)).alias(k) for k in metrics])
+    items = F.array_compact(F.array(*[F.when(F.map_contains_key("limits", k), F.struct(F.lit(k).alias("tag"), F.col(k).alias("failed"))) for k in metrics]))
+    long = one.select("asset_id", "total", "any_failed", F.explode(items).alias("x"))
+    return long.select("asset_id", "x.tag", "x.failed", F.round(100.0 * F.col("x.failed") / F.col("total"), 6).alias("pct"), "any_failed", "total")
+
+
 def threshold_summary(frames: DataFrame, thresholds: dict[str, float]) -> DataFrame:
     """asset_id, tag, failed, pct, any_failed, total: one aggregation with a count for each metric, unpivoted; no shuffle beyond the asset."""
     bad = {k: F.coalesce(fails(F.lit(k), F.col(k), F.lit(float(v))), F.lit(False)) for k, v in thresholds.items()}
@@ -219,11 +249,22 @@ def head_bars_end(a: DataFrame, b: DataFrame, within_s: float = 10.0) -> DataFra
     return both.groupBy("asset_id").agg(F.max("end_s").alias("bars_end_s"))
 
 
-def bars_agreement(a: DataFrame, b: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """asset_id, verdict: how two detectors' ends (end_s) compare."""
+def bars_agreement(a: DataFrame, b: DataFrame, tolerance: float = 1.0, assets: DataFrame | None = None) -> DataFrame:
+    """asset_id, verdict: how two detectors' ends (end_s) compare; with assets (asset_id, those on which both ran), also where both found none."""
     wide = a.select("asset_id", F.col("end_s").alias("a")).join(b.select("asset_id", F.col("end_s").alias("b")), "asset_id", "full_outer")
     verdict = F.when(F.col("a").isNull(), "second only").when(F.col("b").isNull(), "first only").when(F.abs(F.col("a") - F.col("b")) <= tolerance, "agree").otherwise("differ")
-    return wide.select("asset_id", verdict.alias("verdict"))
+    found = wide.select("asset_id", verdict.alias("verdict"))
+    return found if assets is None else assets.select("asset_id").distinct().join(found, "asset_id", "left").select("asset_id", F.coalesce("verdict", F.lit("none")).alias("verdict"))
+
+
+def union_passes(passes: dict[tuple[str, str], DataFrame]) -> DataFrame:
+    """asset_id, place, kind, label, start_s, end_s: the regions (asset_id, start_s, end_s) of all passes, numbered by start within the asset.
+
+    passes: regions by (kind, label), in their order: of equal starts, the earlier pass comes first, then the earlier end.
+    """
+    parts = [df.select("asset_id", F.lit(kind).alias("kind"), F.lit(label).alias("label"), F.lit(k).alias("_pass"), "start_s", "end_s") for k, ((kind, label), df) in enumerate(passes.items())]
+    w = Window.partitionBy("asset_id").orderBy("start_s", "_pass", "end_s")
+    return reduce(DataFrame.unionByName, parts).select("asset_id", F.row_number().over(w).alias("place"), "kind", "label", "start_s", "end_s")
 
 
 # The bit that each noise plane of a 10-bit sample shows, and the planes' channels.

@@ -15,6 +15,7 @@ from ..operators import metadata as M
 from ..operators import similarity as S
 from ..operators import video as V
 from ..sources import readers as R
+from . import files
 from .frames import CHANNELS, FRAMES, LOUDNESS, TIMECODE, channels, frames, loudness, table, timecode
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -686,12 +687,6 @@ def _(spark, d):
     return table(spark, d, "customer").select(F.col("c_custkey").alias("asset_id"), M.filename_reason(name, [("regex", r"Customer#[0-9]{9}")], "mkv").alias("reason"))
 
 
-@_query("F12_step_readiness", "SELECT s_suppkey AS asset_id, s.step, CASE WHEN s.step = 'c' THEN 'disabled' WHEN s.step = 'b' AND s_acctbal <= 0 THEN 'precondition_not_met' WHEN s_nationkey % 2 = 0 THEN 'already_exists' ELSE 'will_run' END AS status FROM supplier, (VALUES ('a'), ('b'), ('c')) s(step)")
-def _(spark, d):
-    inventory = table(spark, d, "supplier").select(F.col("s_suppkey").alias("asset_id"), F.lit(True).alias("video"), (F.col("s_acctbal") > 0).alias("report"), (F.col("s_nationkey") % 2 == 0).alias("done"))
-    return M.step_readiness(inventory, [("a", True, "video", "done"), ("b", True, "report", "done"), ("c", False, "video", "done")])
-
-
 @_query("A19_fixity_verdict", "SELECT doc_id AS asset_id, CASE WHEN doc_id % 4 = 0 THEN 'sha256' ELSE 'md5' END AS algorithm, CASE WHEN doc_id % 4 = 0 THEN sha256(text) ELSE md5(text) END AS checksum, CASE WHEN doc_id % 7 = 0 THEN 'differ' ELSE 'match' END AS verdict FROM documents")
 def _(spark, d):
     own = table(spark, d, "documents").select(F.col("doc_id").alias("asset_id"), F.lit("2024-01-31").cast("date").alias("file_date"), F.when(F.col("doc_id") % 4 == 0, "sha256").otherwise("md5").alias("algorithm"), F.when(F.col("doc_id") % 4 == 0, F.sha2("text", 256)).otherwise(F.md5("text")).alias("checksum"))
@@ -1032,3 +1027,7 @@ def _(spark, d):
     own = channels(spark, d).withColumn("flag", F.col("peak_level") > -5)
     regions = A.tc_subregions(own, "flag", 1.0).withColumn("confidence", F.when(F.col("start_s") % 2 == 0, "high").otherwise("medium"))
     return A.refine_gaps(regions, own, "flag", gap=10.0, margin=2.0, hole_s=1.0)
+
+
+QUERIES |= files.QUERIES
+ORACLE_SQL |= files.ORACLE_SQL

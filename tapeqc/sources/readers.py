@@ -2,20 +2,29 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from xml.etree.ElementTree import Element, ParseError, fromstring
+
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions.scalars import hms_to_seconds, metric_name, parse_duration_tag
-from .reports import report_frames
+from ..tables import discard, shared_dir, written
+from .reports import PART_BYTES, report_frames
 
 def _asset() -> Column:
     """The file's name up to its first dot."""
     return F.regexp_extract(F.input_file_name(), r"([^/]+?)\.[^/]*$", 1)
 
 
-def read_frame_reports(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_frame_reports(spark: SparkSession, paths: str | list[str], part_bytes: int = PART_BYTES) -> DataFrame:
     """tags_long(asset_id, media_type, frame_idx, t, key, value) of frame reports in XML, gzipped or not; a large report is read by several tasks."""
-    raw = report_frames(spark, paths)
+    raw = report_frames(spark, paths, part_bytes)
     own = select_timestamp(raw)
     w = Window.partitionBy("asset_id", "_media_type").orderBy("t", "_n")
     own = own.withColumn("frame_idx", F.row_number().over(w) - 1)
@@ -84,20 +93,50 @@ def read_ffprobe(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return _long(own, "ffprobe")
 
 
+def _parsed(files: DataFrame, schema: str, found: Callable[[Element], Iterable[tuple]]) -> DataFrame:
+    """asset_id and the columns of schema: what `found` gives of each file's XML tree, names without their namespaces. A file that is not XML gives nothing."""
+    whole = StructType.fromDDL(f"asset_id string, {schema}")
+    kinds = to_arrow_schema(whole)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = []
+            for asset_id, text in zip(b["asset_id"].to_pylist(), b["text"].to_pylist(), strict=True):
+                try:
+                    root = fromstring(text.encode())
+                except ParseError:
+                    continue
+                for x in root.iter():
+                    x.tag = x.tag.rpartition("}")[2] if isinstance(x.tag, str) else ""
+                rows += [(asset_id, *row) for row in found(root)]
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds.types, strict=True)], schema=kinds)
+
+    return files.select("asset_id", "text").mapInArrow(run, whole)
+
+
+def _own(block: Element, name: str, inner: str) -> Iterator[Element]:
+    """The blocks of a name in a block, at any depth, but not in a block of the name `inner` inside it."""
+    for x in block:
+        if x.get("name") == name:
+            yield x
+        elif x.get("name") != inner:
+            yield from _own(x, name, inner)
+
+
 def read_mediatrace_tags(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """asset_metadata rows of MediaTrace XML: each tag name with the string of the first SimpleTag block that gives it one."""
-    data = lambda x, name: F.regexp_extract(x, rf'(?s)<block[^>]*name="{name}"[^>]*>.*?<data[^>]*>(.*?)</data>', 1)
-    blocks = F.split("text", '(?s)<block[^>]*name="SimpleTag"', -1)
-    own = _texts(spark, paths).select("asset_id", F.posexplode(F.slice(blocks, F.lit(2), F.greatest(F.lit(0), F.size(blocks) - 1))).alias("pos", "tag"))
-    pairs = own.where(F.col("tag").rlike('(?s)name="TagString"[^>]*>.*?<data')).select("asset_id", "pos", _unescaped(data(F.col("tag"), "TagName")).alias("field"), _unescaped(data(F.col("tag"), "TagString")).alias("value"))
-    one = pairs.where("field != ''").groupBy("asset_id", "field").agg(F.min_by("value", "pos").alias("value"))
-    return _long(one.withColumn("section", F.lit("tags")), "mediatrace")
+    """asset_metadata rows of MediaTrace XML: each tag name with the string of the first SimpleTag block that gives it one, blocks standing at any depth."""
 
+    def found(root: Element) -> Iterator[tuple]:
+        first: dict[str, str] = {}
+        for block in root.iter("block"):
+            if block.get("name") == "SimpleTag":
+                name, value = ([d.text for x in _own(block, n, "SimpleTag") for d in x.iter("data") if d.text] for n in ("TagName", "TagString"))
+                if name and value:
+                    first.setdefault(name[0], value[0])
+        yield from first.items()
 
-def _unescaped(x: Column) -> Column:
-    for name, c in (("lt", "<"), ("gt", ">"), ("quot", '"'), ("apos", "'"), ("amp", "&")):
-        x = F.replace(x, F.lit(f"&{name};"), F.lit(c))
-    return x
+    return _long(_parsed(_texts(spark, paths), "field string, value string", found).withColumn("section", F.lit("tags")), "mediatrace")
 
 
 # Elements of a tag's targets that name one part of the file.
@@ -105,15 +144,38 @@ TARGET_UIDS = ("TrackUID", "EditionUID", "ChapterUID", "AttachmentUID")
 
 
 def read_matroska_tags(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """asset_id, tag_no, scope, name, value of Matroska tag XML: scope is global where a tag's targets name no part of the file, else targeted."""
-    raw = F.regexp_extract_all("text", F.lit(r"(?s)<Tag>.*?</Tag>"), F.lit(0))
-    tags = _texts(spark, paths).select("asset_id", F.posexplode(raw).alias("tag_no", "tag"))
-    targets = F.regexp_extract("tag", r"(?s)<Targets>(.*?)</Targets>", 1)
-    scope = F.when(targets.rlike("<(?:" + "|".join(TARGET_UIDS) + ")[ >/]"), "targeted").otherwise("global")
-    simple = F.regexp_extract_all("tag", F.lit(r"(?s)<Simple>.*?</Simple>"), F.lit(0))
-    own = tags.select("asset_id", "tag_no", scope.alias("scope"), F.explode(simple).alias("s"))
-    part = lambda n: _unescaped(F.regexp_extract("s", rf"(?s)<{n}>(.*?)</{n}>", 1))
-    return own.select("asset_id", "tag_no", "scope", part("Name").alias("name"), part("String").alias("value"))
+    """asset_id, tag_no, scope, name, value of Matroska tag XML: scope is global where a tag's targets name no part of the file, else targeted. Simple elements in others count."""
+
+    def found(root: Element) -> Iterator[tuple]:
+        for number, tag in enumerate(root.iter("Tag")):
+            scope = "targeted" if any(t.find(uid) is not None for t in tag.iter("Targets") for uid in TARGET_UIDS) else "global"
+            for simple in tag.iter("Simple"):
+                yield number, scope, simple.findtext("Name") or "", simple.findtext("String") or ""
+
+    return _parsed(_texts(spark, paths), "tag_no int, scope string, name string, value string", found)
+
+
+def read_policy_tree(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """policy (the file's), node_id, parent_id, depth, op, name, tracktype, field, occurrence, operator, value: every group (op and/or) and rule (op null) of policy XML, of any depth, in the order of the file."""
+
+    def found(root: Element) -> Iterator[tuple]:
+        count = iter(range(1 << 31))
+
+        def walk(x: Element, parent: int | None, depth: int) -> Iterator[tuple]:
+            own = next(count)
+            if x.tag == "rule":
+                yield own, parent, depth, None, x.get("name"), x.get("tracktype"), x.get("value"), x.get("occurrence"), x.get("operator"), x.text
+            else:
+                yield own, parent, depth, "or" if x.get("type") == "or" else "and", x.get("name"), None, None, None, None, None
+                for part in x:
+                    if part.tag in ("policy", "rule"):
+                        yield from walk(part, own, depth + 1)
+
+        if root.tag == "policy":
+            yield from walk(root, None, 0)
+
+    own = _parsed(_texts(spark, paths), "node_id int, parent_id int, depth int, op string, name string, tracktype string, field string, occurrence string, operator string, value string", found)
+    return own.withColumnRenamed("asset_id", "policy")
 
 
 def av_durations(streams: DataFrame) -> DataFrame:
@@ -160,15 +222,11 @@ def read_checksums(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 
 
 def read_policy(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """policy, group_id, group_op, rule, tracktype, field, operator, value of policy XML with one level of groups."""
-    rules = "array<struct<_name: string, _value: string, _tracktype: string, _operator: string, _text: string>>"
-    group = f"struct<_name: string, _type: string, rule: {rules}>"
-    schema = f"_name string, _type string, rule {rules}, policy array<{group}>"
-    raw = spark.read.format("xml").option("rowTag", "policy").option("valueTag", "_text").schema(schema).load(paths)
-    own = F.struct(F.col("_name").alias("_name"), F.col("_type").alias("_type"), F.col("rule").alias("rule"))
-    groups = raw.select(F.col("_name").alias("policy"), F.posexplode(F.concat(F.array(own), F.coalesce("policy", F.array().cast(f"array<{group}>")))).alias("group_id", "g"))
-    found = groups.select("policy", "group_id", F.coalesce("g._type", F.lit("and")).alias("group_op"), F.explode("g.rule").alias("r"))
-    return found.select("policy", "group_id", "group_op", F.col("r._name").alias("rule"), F.col("r._tracktype").alias("tracktype"), F.col("r._value").alias("field"), F.col("r._operator").alias("operator"), F.col("r._text").alias("value"))
+    """policy, group_id, group_op, rule, tracktype, field, operator, value: the rules of policy XML with the group that each stands in."""
+    nodes = read_policy_tree(spark, paths)
+    groups = nodes.where("op IS NOT NULL").select("policy", F.col("node_id").alias("group_id"), F.col("op").alias("group_op"))
+    rules = nodes.where("op IS NULL").select("policy", F.col("parent_id").alias("group_id"), F.col("name").alias("rule"), "tracktype", "field", "operator", "value")
+    return rules.join(groups, ["policy", "group_id"]).select("policy", "group_id", "group_op", "rule", "tracktype", "field", "operator", "value")
 
 
 def read_region_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -179,12 +237,18 @@ def read_region_csv(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return own.where("start_s is not null and end_s is not null")
 
 
-def read_spec(spark: SparkSession, paths: str | list[str], profile: str = "default") -> DataFrame:
-    """spec(profile, tool, section, field, accepted) of JSON {tool: {section: {field: value or list}}}."""
-    raw = _texts(spark, paths).select(F.explode(F.from_json("text", "map<string, map<string, map<string, string>>>")).alias("tool", "sections"))
-    own = raw.select("tool", F.explode("sections").alias("section", "fields")).select("tool", "section", F.explode("fields").alias("field", "value"))
+def read_spec(spark: SparkSession, paths: str | list[str], profile: str | None = "default") -> DataFrame:
+    """spec(profile, tool, section, field, accepted) of JSON {tool: {section: {field: value or list}}}; without a profile's name, each file is one by its own."""
+    raw = _texts(spark, paths).select(F.col("asset_id").alias("_file"), F.explode(F.from_json("text", "map<string, map<string, map<string, string>>>")).alias("tool", "sections"))
+    own = raw.select("_file", "tool", F.explode("sections").alias("section", "fields")).select("_file", "tool", "section", F.explode("fields").alias("field", "value"))
     accepted = F.when(F.trim("value").startswith("["), F.from_json("value", "array<string>")).otherwise(F.array("value"))
-    return own.select(F.lit(profile).alias("profile"), "tool", "section", "field", accepted.alias("accepted"))
+    return own.select((F.col("_file") if profile is None else F.lit(profile)).alias("profile"), "tool", "section", "field", accepted.alias("accepted"))
+
+
+def read_checks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """checks(profile, tag, threshold) of JSON {profile: {tag: threshold}}: thresholds of frame metrics; null or unreadable ones are not checked."""
+    raw = _texts(spark, paths).select(F.explode(F.from_json("text", "map<string, map<string, string>>")).alias("profile", "tags"))
+    return raw.select("profile", F.explode("tags").alias("tag", "value")).select("profile", "tag", F.col("value").try_cast("double").alias("threshold")).where("threshold IS NOT NULL")
 
 
 #: Endings of frame reports, best first.
@@ -200,6 +264,41 @@ def asset_inventory(listing: DataFrame, video: tuple[str, ...] = (".mkv", ".mov"
 
 
 def write_findings(df: DataFrame, path: str, buckets: int = 64) -> None:
-    """Findings as Parquet in `buckets` folders by the asset's hash, sorted by asset: no folder for each asset, and readers prune by asset."""
-    own = df.withColumn("bucket", F.pmod(F.xxhash64("asset_id"), F.lit(buckets)).cast("int"))
-    own.repartition("bucket").sortWithinPartitions("bucket", "asset_id").write.mode("overwrite").partitionBy("bucket").parquet(path)
+    """Findings as Parquet in `buckets` folders by the asset's hash, sorted by asset: no folder for each asset, and readers prune by asset.
+
+    The findings of the assets in df replace theirs of earlier runs, so that writing twice leaves one copy; other assets' stay. Folders that hold none of
+    df's assets are not touched; the others are written anew as wholes and exchanged when all are written.
+    """
+    spark = df.sparkSession
+    new = written(df.withColumn("bucket", F.pmod(F.xxhash64("asset_id"), F.lit(buckets)).cast("int")), "findings")
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        old = spark.read.schema(new.schema).parquet(path)
+        touched = old.join(new.select("bucket").distinct(), "bucket", "left_semi")
+        kept = touched.join(new.select("asset_id").distinct(), "asset_id", "left_anti").select(new.columns)
+        whole = written(kept.unionByName(new), "findings")
+        discard(new)
+        new = whole
+    dealt = new.repartition("bucket").sortWithinPartitions("bucket", "asset_id")
+    dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
+    discard(new)
+
+
+def write_sidecars(files: DataFrame) -> DataFrame:
+    """Writes a small file for each row of files (name, content: binary) and returns path: a new folder that driver and executors share, with a folder inside for each attempt."""
+    folder = shared_dir(files.sparkSession, "sidecars")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+        own = uuid.uuid4().hex
+        for b in batches:
+            paths = []
+            for name, content in zip(b["name"].to_pylist(), b["content"].to_pylist(), strict=True):
+                fs.create_dir(f"{root}/{own}", recursive=True)
+                with fs.open_output_stream(f"{root}/{own}/{name}", compression=None) as f:
+                    f.write(content)
+                paths.append(f"{folder}/{own}/{name}")
+            yield pa.RecordBatch.from_pydict({"path": paths}, pa.schema({"path": pa.string()}))
+
+    own = files.select(F.col("name").cast("string").alias("name"), F.col("content").cast("binary").alias("content"))
+    return written(own.mapInArrow(run, "path string"), "sidecar-files")
