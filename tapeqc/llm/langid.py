@@ -1,8 +1,9 @@
 """Language identification by words first, then shorter and shorter character n-grams.
 
-A model holds the log frequencies, in each language, of the commonest words and of the commonest character n-grams of 1 to 4 characters in words. A
-word that the model knows scores by its own frequencies; another one by those of its longest n-grams of which any is known. A text's
-language is the one with the largest sum.
+A model holds the log frequencies, in each language, of all words and of all character n-grams of 1 to 4 characters in words that it met at least
+`least` times, as sorted sparse tables: a key has an entry for each language that it was met in, so that a model grows with the rows that it
+learns from, which are bounded, and not with the square of the languages. A word that the model knows scores by its own frequencies; another one
+by those of its longest n-grams of which any is known. A text's language is the one with the largest sum.
 
 Words are runs of letters and of the marks that combine with them; digits and number signs are no letters.
 
@@ -31,8 +32,8 @@ _WORD = re.compile(r"[^\W\d_]+")
 #: What _WORD takes for letters and is none, and marks, at which it parts words; and words in texts that have any.
 _ODD, _LETTERS = regex.compile(r"[\p{No}\p{Nl}\p{M}]"), regex.compile(r"\p{L}[\p{L}\p{M}]*")
 _LONGEST = 4
-#: Words whose rows a Python worker remembers at most, some 200 bytes each; results don't depend on it.
-_REMEMBERED = 100_000
+#: Words whose rows a Python worker remembers at most, and numbers in these rows; results don't depend on them.
+_REMEMBERED, _CELLS = 100_000, 10_000_000
 #: Odd multipliers of an n-gram's characters, and of its length.
 _MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -70,21 +71,41 @@ def _places(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, known[at] == keys if len(known) else np.zeros(len(keys), dtype=bool)
 
 
+@dataclass
+class SparseTable:
+    """Sorted 64-bit keys, and for each a run of entries: a language, and how far the log of the key's frequency in it stands above that of a key not met."""
+
+    keys: np.ndarray
+    starts: np.ndarray
+    langs: np.ndarray
+    gains: np.ndarray
+
+    @classmethod
+    def of(cls, keys: np.ndarray, langs: np.ndarray, gains: np.ndarray) -> SparseTable:
+        order = np.argsort(keys, kind="stable")
+        found, starts = np.unique(keys[order], return_index=True)
+        return cls(found, np.append(starts, len(keys)), langs[order].astype(np.int32), gains[order].astype(np.float32))
+
+    def add(self, out: np.ndarray, rows: np.ndarray, at: np.ndarray) -> None:
+        """Adds the entries of the keys at `at` to the rows of out (rows x languages)."""
+        counts = self.starts[at + 1] - self.starts[at]
+        entry = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(self.starts[at], counts)
+        np.add.at(out, (np.repeat(rows, counts), self.langs[entry]), self.gains[entry])
+
+
 @dataclass
 class LanguageModel:
-    """languages, and sorted 64-bit keys of words and of n-grams; each has a row of log frequencies less the row's mean."""
+    """languages, and the tables of words and of n-grams."""
 
     languages: list[str]
-    words: np.ndarray
-    word_table: np.ndarray
-    grams: np.ndarray
-    gram_table: np.ndarray
+    words: SparseTable
+    grams: SparseTable
 
     def rows(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Each word's row: its own, or the mean of its longest n-grams of which any is known, or zeros; and whether it or two characters in turn are known."""
-        out = np.zeros((len(words), len(self.languages)), dtype=np.float32)
-        at, known = _places(self.words, _word_keys(words))
-        out[known] = self.word_table[at[known]]
+        out = np.zeros((len(words), len(self.languages)))
+        at, known = _places(self.words.keys, _word_keys(words))
+        self.words.add(out, np.flatnonzero(known), at[known])
         familiar = known.copy()
         left = np.flatnonzero(~known)
         for n in range(_LONGEST, 0, -1):
@@ -94,12 +115,12 @@ class LanguageModel:
             owner = np.repeat(np.arange(len(left)), [len(words[k]) + 2 for k in left])
             keys = _gram_keys(codes, n)
             of = owner[: len(keys)]
-            at, there = _places(self.grams, keys)
+            at, there = _places(self.grams.keys, keys)
             there &= of == owner[n - 1 :]
             of, at = of[there], at[there]
             found = np.bincount(of, minlength=len(left))
-            sums = np.stack([np.bincount(of, weights=self.gram_table[at, x], minlength=len(left)) for x in range(len(self.languages))], axis=1)
-            out[left[found > 0]] = sums[found > 0] / found[found > 0, None]
+            self.grams.add(out, left[of], at)
+            out[left[found > 0]] /= found[found > 0, None]
             familiar[left[found > 0]] = n > 1
             left = left[found == 0]
         return out, familiar
@@ -128,13 +149,14 @@ class _Rows(dict):
         n = len(self)
         if n > len(self.matrix):
             self.matrix = np.concatenate([self.matrix, np.zeros((max(n, len(self.matrix) * 3 // 2) - len(self.matrix), self.matrix.shape[1]), dtype=np.float32)])
-        for k in range(0, len(self.new), 10_000):
-            part = self.new[k : k + 10_000]
+        step = max(100, min(10_000, _CELLS // (len(self.model.languages) + 1)))
+        for k in range(0, len(self.new), step):
+            part = self.new[k : k + step]
             at = n - len(self.new) + k
             self.matrix[at : at + len(part), :-1], self.matrix[at : at + len(part), -1] = self.model.rows(part)
         out = [self.matrix[r].sum(axis=0, dtype=np.float64) for r in rows]
         self.new = []
-        if n > _REMEMBERED:
+        if n > min(_REMEMBERED, _CELLS // (len(self.model.languages) + 1)):
             self.forget()
         return out
 
@@ -146,12 +168,11 @@ def sampled(docs: DataFrame, most: int, n: int) -> DataFrame:
     return docs.where(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1) < F.lit((1 << 63) * most // n))
 
 
-def fit(docs: DataFrame, max_docs: int = 20_000, max_words: int = 40_000, max_grams: int = 40_000, max_cells: int = 8_000_000) -> LanguageModel:
+def fit(docs: DataFrame, max_docs: int = 20_000, least: int = 2) -> LanguageModel:
     """Learns from docs (doc_id, text, lang); rows with a null text or lang are left out.
 
-    The fit takes about `max_docs` rows, those with the smallest hash of text and doc_id. Each language gives its own commonest `max_words`
-    words and `max_grams` n-grams, and what one language gives is counted in all: the model's size never grows with the input. Each of its
-    two tables holds at most `max_cells` numbers; only with more languages than some fourteen does that leave each fewer words.
+    The fit takes about `max_docs` rows, those with the smallest hash of text and doc_id: that bounds the model, which keeps every word and n-gram that
+    they hold at least `least` times in all, whatever the number of languages.
     """
     docs = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull()).select("doc_id", "text", F.col("lang").cast("string").alias("lang"))
     docs = sampled(docs, max_docs, docs.select("lang").count())
@@ -173,13 +194,9 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_words: int = 40_000, max_gr
 
     counts = written(docs.select("text", "lang").mapInArrow(count, "lang string, n int, gram string, c long").groupBy("lang", "n", "gram").agg(F.sum("c").alias("c")), "language-counts")
     languages = sorted(r.lang for r in counts.select("lang").distinct().collect())
-    fair = max(1, max_cells // max(1, len(languages)) ** 2)
-    max_words, max_grams = min(max_words, fair), min(max_grams, fair)
-    order = Window.partitionBy("lang", F.col("n") == 0).orderBy(F.desc("c"), "n", "gram")
-    ranked = counts.withColumn("place", F.row_number().over(order))
-    picked = ranked.where(F.col("place") <= F.when(F.col("n") == 0, max_words).otherwise(max_grams)).select("n", "gram").distinct()
     number = F.array_position(F.array(*map(F.lit, languages)).cast("array<string>"), F.col("lang")) - 1
-    own = counts.join(picked, ["n", "gram"], "left_semi").select("n", "gram", number.cast("int").alias("lang"), "c").toArrow()
+    everywhere = F.sum("c").over(Window.partitionBy("n", "gram"))
+    own = counts.withColumn("all", everywhere).where(F.col("all") >= least).select("n", "gram", number.cast("int").alias("lang"), "c").toArrow()
     sizes, langs, own_c = (own[x].to_numpy() for x in ("n", "lang", "c"))
     totals = np.ones((_LONGEST + 1, len(languages)))
     for r in counts.groupBy("lang", "n").agg(F.sum("c").alias("c")).collect():
@@ -191,15 +208,9 @@ def fit(docs: DataFrame, max_docs: int = 20_000, max_words: int = 40_000, max_gr
         texts = own["gram"].take(pa.array(at)).to_pylist()
         keys[at] = _gram_keys(_codes("".join(texts)), size)[::size] if size else _word_keys(texts)
 
-    def table(of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        found, first, at = np.unique(keys[of], return_index=True, return_inverse=True)
-        out = np.zeros((len(found), len(languages)))
-        out[at, langs[of]] = own_c[of]
-        size = sizes[of][first]
-        out = np.log(out / totals[size] + floor[size][:, None])
-        return found, (out - out.mean(axis=1, keepdims=True) if len(out) else out).astype(np.float32)
-
-    return LanguageModel(languages, *table(sizes == 0), *table(sizes > 0))
+    gains = np.log(own_c / totals[sizes, langs] + floor[sizes]) - np.log(floor[sizes])
+    table = lambda of: SparseTable.of(keys[of], langs[of], gains[of])
+    return LanguageModel(languages, table(sizes == 0), table(sizes > 0))
 
 
 _COUNTS = pa.schema({"lang": pa.string(), "n": pa.int32(), "gram": pa.string(), "c": pa.int64()})

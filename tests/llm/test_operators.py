@@ -168,21 +168,31 @@ def test_rare_languages_keep_their_words(spark):
     common = [(k, " ".join(f"{a}{b}en" for a in "bcdfghjklm" for b in "aeiou"), "en") for k in range(40)]
     rare = [(100, "qulto quvto zulto zuvto", "xx"), (101, "qixpy qirpy zixpy zirpy", "yy")]
     docs = spark.createDataFrame([*common, *rare], "doc_id long, text string, lang string")
-    model = langid.fit(docs, max_words=20, max_grams=30)
-    assert len(model.words) == 20 + 4 + 4
+    model = langid.fit(docs, least=1)
+    assert len(model.words.keys) == 50 + 4 + 4
     asked = spark.createDataFrame([(1, "quvto zulto"), (2, "zirpy qixpy"), (3, "baen caen"), (4, "quvtoquv")], "doc_id long, text string")
     assert {r.doc_id: r.lang_pred for r in langid.predict(asked, model).collect()} == {1: "xx", 2: "yy", 3: "en", 4: "xx"}
     shared = spark.createDataFrame([(1, "aa bb cc " * 9 + "dd", "en"), (2, "dd dd dd ee", "xx")], "doc_id long, text string, lang string")
-    model = langid.fit(shared, max_words=1)
-    k = int(np.searchsorted(model.words, langid._word_keys(["dd"])[0]))
-    assert len(model.words) == 2 and model.word_table.dtype == np.float32
-    want = np.log([1 / 28 + 0.5 / 28, 3 / 4 + 0.5 / 28])  # dd was counted once in en, though it is none of en's commonest
-    assert np.allclose(model.word_table[k], want - want.mean(), atol=1e-5)
+    model = langid.fit(shared)
+    k = int(np.searchsorted(model.words.keys, langid._word_keys(["dd"])[0]))
+    assert len(model.words.keys) == 4  # ee was met once
+    mine = slice(model.words.starts[k], model.words.starts[k + 1])
+    assert model.words.langs[mine].tolist() == [0, 1]
+    assert np.allclose(model.words.gains[mine], np.log([(1 + 0.5) / 0.5, (3 / 4 + 0.5 / 28) / (0.5 / 28)]), atol=1e-5)
+
+
+def test_many_languages_keep_their_words(spark):
+    letters = str.maketrans("0123456789", "qrstuvwxyz")
+    docs = spark.createDataFrame([(k, " ".join(f"{a}{k}x" for a in "abcdefgh").translate(letters), f"l{k:03}") for k in range(200)], "doc_id long, text string, lang string")
+    model = langid.fit(docs, least=1)
+    assert len(model.words.keys) == 1600 and len(model.words.gains) == 1600 and len(model.languages) == 200
+    got = langid.predict(docs, model).where("lang_pred = lang").count()
+    assert got == 200
 
 
 def test_language_rows_are_forgotten_and_found_again(monkeypatch):
-    words = np.sort(langid._word_keys(["dd", "ee"]))
-    model = langid.LanguageModel(["en", "xx"], words, np.array([[1, -1], [-2, 2]], dtype=np.float32), words[:0], np.zeros((0, 2), dtype=np.float32))
+    words, nothing = langid._word_keys(["dd", "ee"]), np.zeros(0)
+    model = langid.LanguageModel(["en", "xx"], langid.SparseTable.of(np.repeat(words, 2), np.array([0, 1, 0, 1]), np.array([1, -1, -2, 2.0])), langid.SparseTable.of(nothing.astype(np.uint64), nothing, nothing))
     monkeypatch.setattr(langid, "_REMEMBERED", 3)
     rows = langid._Rows(model)
     asked = [["dd", "ee", "ee"], ["un", "known", "dd"], []]
@@ -210,12 +220,6 @@ def test_a_sample_is_never_empty(spark):
     assert str((1 << 63) * 20_000 // 21_000_000_000) in share
 
 
-def test_model_is_bounded_with_many_languages(spark):
-    docs = spark.createDataFrame([(k, " ".join(f"{a}{k}x" for a in "abcdefgh").translate(str.maketrans("0123456789", "qrstuvwxyz")), f"l{k:02}") for k in range(40)], "doc_id long, text string, lang string")
-    model = langid.fit(docs, max_cells=3200)
-    assert model.word_table.size <= 3200 and model.gram_table.size <= 3200 and len(model.languages) == 40
-
-
 def test_warc_repeated_rows_over_blocks(spark, monkeypatch):
     monkeypatch.setattr(warc, "BLOCK_LINES", 2)
     pages = [(1, "http://a.b/", "x")] * 25 + [(None, "http://a.b/", "y")] * 13 + [(None, None, None)] * 9 + [(k, f"http://a.b/{k}", "z") for k in range(2, 9)] + [(7, None, "w")] * 5
@@ -383,6 +387,23 @@ def test_pii(docs, nothing, spark):
     assert found == {1: "iban:5:32", 2: "iban:6:28,iban:33:51", 3: "tel:5:17,tel:21:33"}
 
 
+def test_redaction(spark):
+    rng = np.random.default_rng(1)
+    texts = ["", "x", "😀 é " * 5000, "".join(rng.choice(list("ab é😀"), 6144))]
+    rows_ = []
+    for k, t in enumerate(texts):
+        for cuts in ([], [(0, len(t))], sorted({tuple(sorted(rng.integers(0, len(t) + 1, 2).tolist())) for _ in range(40)}), [(2048, 2050), (2049, 4096), (4096, 4100)]):
+            rows_.append((k, t, [("ab"[i % 2], a, b) for i, (a, b) in enumerate(c for c in cuts if c[0] < c[1] <= len(t))]))
+    df = spark.createDataFrame(rows_, "doc_id long, text string, spans array<struct<kind: string, start: int, end: int>>")
+    for r in df.select("text", "spans", pii.redacted(F.col("text"), F.col("spans")).alias("r")).collect():
+        out, at = "", 0
+        for s in sorted(r.spans, key=lambda s: (s.start, s.end, s.kind)):
+            if s.start >= at:
+                out += r.text[at : s.start] + f"[{s.kind.upper()}]"
+            at = max(at, s.end)
+        assert r.r == out + r.text[at:]
+
+
 def test_pii_in_a_text_of_very_many(spark):
     text = "".join(f"a{k}@b.co é {k % 250}.1.2.3 " for k in range(30_000))
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")

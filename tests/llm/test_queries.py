@@ -8,6 +8,7 @@ from fractions import Fraction
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -114,6 +115,45 @@ def test_language_id(spark, sf):
     assert sum(a == b for a, b in right) >= 0.95 * len(right)
 
 
+def test_language_id_by_backoff(spark, sf):
+    """The predictions of the query beside a plain one: words, else the longest n-grams that are known."""
+    words = lambda text: regex.findall(r"\p{L}[\p{L}\p{M}]*", (text or "").lower())
+    taught = [(d[1], d[2]) for d in documents() if d[1] is not None and d[2] and not (d[0] is not None and zlib.crc32(str(d[0]).encode()) % 4 == 2)]
+    counts, totals, langs = Counter(), Counter(), sorted({lang for _, lang in taught})
+    grams = lambda w, n: [f"^{w}$"[k : k + n] for k in range(len(w) + 3 - n)]
+    for text, lang in taught:
+        for w in words(text):
+            for n, g in [(0, w), *((n, g) for n in range(1, 5) for g in grams(w, n))]:
+                counts[n, g, lang] += 1
+                totals[n, lang] += 1
+    everywhere = Counter()
+    for (n, g, _), c in counts.items():
+        everywhere[n, g] += c
+    floor = {n: 0.5 / max(totals[n, x] for x in langs) for n in range(5)}
+    gain = lambda n, g: np.array([np.log(counts[n, g, x] / totals[n, x] + floor[n]) - np.log(floor[n]) for x in langs]) if everywhere[n, g] >= 2 else None
+
+    def row(w):
+        if (own := gain(0, w)) is not None:
+            return own
+        for n in range(4, 0, -1):
+            if found := [x for g in grams(w, n) if (x := gain(n, g)) is not None]:
+                return np.mean(found, axis=0)
+        return np.zeros(len(langs))
+
+    plain = {}
+    for doc_id, text, *_ in documents():
+        found = words(text)
+        if doc_id is None:
+            continue
+        x = sum((row(w) for w in found), np.zeros(len(langs)))
+        p = np.exp((x - x.max()) * min(1.0, 10 / max(1, len(found))))
+        plain[doc_id] = (langs[int(np.argmax(x))], p.max() / p.sum()) if found else ("und", 0.0)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in run(spark, sf, "op3_language_id") if r.doc_id is not None}
+    assert len(plain) > 130
+    for doc_id, (lang, score) in plain.items():
+        assert got[doc_id][0] == lang and abs(got[doc_id][1] - score) < 1e-4, doc_id
+
+
 def test_license_scan(spark, sf):
     phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
     want = Counter()
