@@ -152,13 +152,38 @@ def span_list(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def redacted(text: Column, spans: Column) -> Column:
-    """The text with [KIND] in each span's place; spans that overlap are one."""
+#: Code points of a block of text from which gaps between spans are cut.
+_BLOCK = 2048
+
 
-    def step(at: Column, s: Column) -> Column:
-        more = F.concat(at["out"], F.substring(text, at["pos"] + 1, s["start"] - at["pos"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        return F.struct(F.greatest(at["pos"], s["end"]).alias("pos"), F.when(s["start"] >= at["pos"], more).otherwise(at["out"]).alias("out"))
+def redacted(text: Column, spans: Column) -> Column:
+    """The text with [KIND] in each span's place; spans that overlap are one, named by the first.
 
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    whole = F.aggregate(ordered, F.struct(F.lit(0).alias("pos"), F.lit("").alias("out")), step, lambda at: F.concat(at["out"], F.substring(text, at["pos"] + 1, F.length(text))))
+    The text is parted into blocks once, and what stands between spans is cut from these and joined: no span walks the text.
+    """
+    none = F.array().cast("array<struct<start: int, end: int, kind: string>>")
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].cast("int").alias("start"), s["end"].cast("int").alias("end"), s["kind"].alias("kind"))))
+
+    def step(state: Column, s: Column) -> Column:
+        apart = s["start"] >= state["pos"]
+        # A span that begins inside goes on the one before: what it covers more is a span without a name.
+        more = F.struct(F.greatest(s["start"], state["pos"]).alias("start"), s["end"].alias("end"), F.when(apart, s["kind"]).otherwise("").alias("kind"))
+        return F.struct(F.greatest(state["pos"], s["end"]).alias("pos"), F.when(apart | (s["end"] > state["pos"]), F.array_append(state["out"], more)).otherwise(state["out"]).alias("out"))
+
+    merged = F.aggregate(ordered, F.struct(F.lit(0).alias("pos"), none.alias("out")), step, lambda state: state["out"])
+    blocks = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{_BLOCK}}}"), F.lit(0))
+
+    def gap(b: Column, start: Column, end: Column) -> Column:
+        first, last = (F.floor(x / _BLOCK).cast("int") for x in (start, end))
+        block = lambda k: F.coalesce(F.get(b, k), F.lit(""))
+        within = F.substring(block(first), start % _BLOCK + 1, end - start)
+        across = F.concat(F.substring(block(first), start % _BLOCK + 1, F.lit(_BLOCK)), F.array_join(F.slice(b, first + 2, F.greatest(F.lit(0), last - first - 1)), ""), F.substring(block(last), F.lit(1), end % _BLOCK))
+        return F.when(first == last, within).otherwise(across)
+
+    def parts(b: Column, m: Column) -> Column:
+        before = lambda i: F.when(i == 0, 0).otherwise(F.get(m, i - 1)["end"])
+        named = F.transform(m, lambda s, i: F.concat(gap(b, before(i), s["start"]), F.when(s["kind"] == "", "").otherwise(F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]")))))
+        return F.concat(F.array_join(named, ""), gap(b, F.element_at(m, -1)["end"], F.length(text)))
+
+    whole = _let(blocks, lambda b: _let(merged, lambda m: parts(b, m)))
     return F.when(F.size(spans) > 0, whole).otherwise(text)
