@@ -1,10 +1,12 @@
 """License scan: phrases, and text blocks that contain a license template's words.
 
-A text is cut into blocks of `block_words` words, each half over the one before. A block matches a template when it holds at least `threshold`
-of the template's distinct words: an exact set-similarity join. The templates' words are ordered by the number of documents that
-hold them, counted over all documents; a block can match only if it holds one of the template's rarest words, its prefix (prefix
-filter), has words enough (length filter), and has words enough from its first prefix word on (positional filter). Only blocks that
-pass are counted in full; no block that matches is missed.
+For each template a text is cut into blocks half as long again as the template, each a half of the template after the one before, so that every place
+where the template's words could stand lies whole in a block. A block matches when it holds at least `threshold` of the template's
+distinct words: an exact set-similarity join. The templates' words are ordered by the number of documents that hold them, counted over all
+documents, rarest first. A block can match only if it holds one of the template's rarest words, its prefix, one more than may be missing (prefix
+filter); if it has so many of the template's words at all, repeats counted (length filter); and if from its rarest one on there are enough
+left both in the template and among the block's words, repeats counted (positional filter). These need counts alone; only blocks that pass have
+their distinct words counted, and no block that matches is missed.
 
 Defined results: a null text is empty: no words, no labels, score 0. Words are runs of digits, lower-cased ASCII letters and all
 characters from U+0080 on. Repeated rows each give a row, null ids are kept; texts may be of any length. Of blocks that hold equally much of a
@@ -13,6 +15,7 @@ template the first counts. An empty table gives none; other columns are left alo
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from math import ceil
 
@@ -21,20 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .licenses import TEXTS
+
 # Phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-# Words of well-known license texts and their labels.
-TEMPLATES = {
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies",
-    "apache-text": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at",
-    "gpl-text": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "mit-notice": "released under the mit license",
-    "apache-notice": "licensed under the apache license",
-    "gpl-notice": "under the terms of the gnu general public license",
-}
-
 _AS_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
@@ -42,7 +36,7 @@ def words_of(text: str | None) -> list[bytes]:
     return (text or "").encode().translate(_AS_WORDS).split()
 
 
-def template_counts(docs: DataFrame, templates: dict[str, str] = TEMPLATES) -> dict[bytes, int]:
+def template_counts(docs: DataFrame, templates: dict[str, str] = TEXTS) -> dict[bytes, int]:
     """For each word of the templates the number of documents that hold it; a few hundred counts at most reach the driver."""
     own = sorted({w for t in templates.values() for w in words_of(t)})
 
@@ -64,35 +58,51 @@ class Templates:
     def __init__(self, templates: dict[str, str], counts: dict[bytes, int], threshold: float):
         order = sorted(counts, key=lambda w: (counts[w], w))
         self.number = {w: k for k, w in enumerate(order)}
-        self.sets = {name: sorted({self.number[w] for w in words_of(t)}) for name, t in templates.items()}
-        self.needed = {name: max(1, ceil(threshold * len(s) - 1e-9)) for name, s in self.sets.items()}
-        self.prefix = {name: s[: len(s) - self.needed[name] + 1] for name, s in self.sets.items()}
-        self.prefixes = frozenset(w for w, k in self.number.items() if any(k in p for p in self.prefix.values()))
-
-    def best(self, words: list[bytes], block_words: int) -> dict[str, tuple[float, int]]:
-        """label: (largest containment, first word of the first block that has it) of the blocks that match."""
+        words = {name: words_of(t) for name, t in templates.items()}
+        self.step = {name: max(1, -(-len(w) // 2)) for name, w in words.items()}
+        self.width = {name: len(w) + self.step[name] for name, w in words.items()}
+        self.rank = {name: self._ranks(w) for name, w in words.items()}
+        self.size = {name: int(r.max(initial=-1)) + 1 for name, r in self.rank.items()}
+        self.needed = {name: max(1, ceil(threshold * n - 1e-9)) for name, n in self.size.items()}
+        self.prefix = {name: n - self.needed[name] + 1 for name, n in self.size.items()}
+        self.prefixes = frozenset(w for w, k in self.number.items() if any(0 <= r[k] < self.prefix[name] for name, r in self.rank.items()))
+
+    def _ranks(self, words: list[bytes]) -> np.ndarray:
+        """For each word number its place among the template's words, the rarest first; -1 for words that are none of it. One more for words of no template."""
+        out = np.full(len(self.number) + 1, -1, dtype=np.int32)
+        own = sorted({self.number[w] for w in words})
+        out[own] = np.arange(len(own))
+        return out
+
+    def best(self, words: list[bytes], seen: Counter | None = None) -> dict[str, tuple[float, int]]:
+        """label: (largest containment, first word of the first block that has it) of the blocks that match. seen: counts blocks and what each filter leaves."""
         if self.prefixes.isdisjoint(words):
             return {}
-        ids = np.fromiter((self.number.get(w, -1) for w in words), dtype=np.int32, count=len(words))
-        at = np.flatnonzero(ids >= 0)
-        step, found = max(1, block_words // 2), {}
-        own = ids[at]
-        for name, template in self.sets.items():
-            hits, need = at[np.isin(own, self.prefix[name])], self.needed[name]
-            blocks = np.unique(np.concatenate([hits // step, hits // step - 1])) if len(hits) else []
-            members = np.isin(own, template)
-            mine, mine_at = own[members], at[members]
-            for start in (int(b) * step for b in blocks if b >= 0):
-                lo, hi = np.searchsorted(mine_at, [start, start + block_words])
-                if hi - lo < need:  # length filter
-                    continue
-                first = hits[np.searchsorted(hits, start)]
-                low = int(np.searchsorted(np.array(template), ids[first]))
-                if hi - lo < need or len(template) - low + len(set(mine[lo:hi].tolist()) & set(template[:low])) < need:  # positional filter
+        none, found = len(self.number), {}
+        ids = np.fromiter((self.number.get(w, none) for w in words), dtype=np.int32, count=len(words))
+        for name, ranks in self.rank.items():
+            rank, step, width, need = ranks[ids], self.step[name], self.width[name], self.needed[name]
+            at = np.flatnonzero(rank >= 0)
+            rank = rank[at]
+            hits = at[rank < self.prefix[name]]
+            if not len(hits):
+                continue
+            low = np.maximum(0, -(-(hits - width + 1) // step))
+            blocks = np.unique(np.concatenate([np.minimum(low + k, hits // step) for k in range(-(-width // step) + 1)]))
+            los, his = np.searchsorted(at, blocks * step), np.searchsorted(at, blocks * step + width)
+            enough = np.flatnonzero(his - los >= need)  # length filter
+            if seen is not None:
+                seen.update({"blocks": -(-len(words) // step), "prefix": len(blocks), "length": len(enough)})
+            for k in enough.tolist():
+                own = rank[los[k] : his[k]]
+                least = int(own.min())
+                if 1 + min(self.size[name] - least - 1, int(np.count_nonzero(own > least))) < need:  # positional filter
                     continue
-                held = len(set(mine[lo:hi].tolist()))
-                if held >= need and held / len(template) > found.get(name, (0.0, 0))[0]:
-                    found[name] = (held / len(template), start)
+                held = len(np.unique(own))
+                if seen is not None:
+                    seen.update({"positional": 1, "matching": int(held >= need)})
+                if held >= need and held / self.size[name] > found.get(name, (0.0, 0))[0]:
+                    found[name] = (held / self.size[name], int(blocks[k]) * step)
         return found
 
 
@@ -116,7 +126,7 @@ def phrase_places(words: list[bytes], phrases: dict[str, str] = PHRASES) -> list
 OUT = pa.schema({"doc_id": pa.int64(), "n_words": pa.int64(), "places": pa.list_(pa.struct({"word": pa.int64(), "label": pa.string()})), "blocks": pa.list_(pa.struct({"label": pa.string(), "containment": pa.float64(), "word": pa.int64()}))})
 
 
-def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: float = 0.8, block_words: int = 96) -> DataFrame:
+def scan(docs: DataFrame, templates: dict[str, str] = TEXTS, threshold: float = 0.8) -> DataFrame:
     """doc_id, n_words, places (word, label: where a phrase stands), blocks (label, containment, word: each matching template's best block)."""
     found = Templates(templates, template_counts(docs, templates), threshold)
 
@@ -127,7 +137,7 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, threshold: floa
                 words = words_of(text.as_py())
                 rows["n_words"].append(len(words))
                 rows["places"].append([{"word": k, "label": label} for k, label in phrase_places(words)])
-                rows["blocks"].append([{"label": k, "containment": c, "word": w} for k, (c, w) in sorted(found.best(words, block_words).items())])
+                rows["blocks"].append([{"label": k, "containment": c, "word": w} for k, (c, w) in sorted(found.best(words).items())])
             yield pa.RecordBatch.from_pydict(rows, OUT)
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

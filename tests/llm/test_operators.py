@@ -265,21 +265,35 @@ def test_licenses(docs, nothing):
     assert {b.label for b in got[10].blocks} >= {"mit-notice"} and not got[5].blocks and got[0].n_words == 0
     assert license_scan.scan(nothing).count() == 0
     rng = np.random.default_rng(1)
-    counts = {w: int(rng.integers(1, 99)) for t in license_scan.TEMPLATES.values() for w in license_scan.words_of(t)}
-    found = license_scan.Templates(license_scan.TEMPLATES, counts, 0.8)
+    texts = license_scan.TEXTS | {"again": "one two one two one", "single": "alone"}
+    counts = {w: int(rng.integers(1, 99)) for t in texts.values() for w in license_scan.words_of(t)}
+    found, names, matches = license_scan.Templates(texts, counts, 0.8), list(texts), 0
     vocabulary = [*sorted(counts), b"zz", b"yy"]
-    for turn in range(200):
-        words = [vocabulary[k] for k in rng.integers(0, len(vocabulary), 60)]
+    for turn in range(300):
+        words = [vocabulary[k] for k in rng.integers(0, len(vocabulary), int(rng.integers(0, 400)))]
         if turn % 2:
-            words[20:20] = license_scan.words_of(list(license_scan.TEMPLATES.values())[turn % 7])[turn % 5 :]
+            own = license_scan.words_of(texts[names[turn % len(names)]])[turn % 5 :]
+            words[turn % 60 : turn % 60] = [w for k, w in enumerate(own) if (k * turn) % 11 or turn % 3]
         best = {}
-        for name, text in license_scan.TEMPLATES.items():
-            t = set(license_scan.words_of(text))
-            for start in range(0, len(words), 48):
-                c = len(t & set(words[start : start + 96])) / len(t)
-                if c >= 0.8 - 1e-9:
-                    best[name] = max(best.get(name, 0), c)
-        assert {k: v[0] for k, v in found.best(words, 96).items()} == pytest.approx(best)
+        for name, text in texts.items():
+            t, n = set(license_scan.words_of(text)), len(license_scan.words_of(text))
+            step = max(1, -(-n // 2))
+            for start in range(0, len(words), step):
+                c = len(t & set(words[start : start + n + step])) / len(t)
+                if c >= 0.8 - 1e-9 and c > best.get(name, (0, 0))[0]:
+                    best[name] = (c, start)
+        assert found.best(words) == best
+        matches += len(best)
+    assert matches > 150
+
+
+def test_every_license_text_is_found(spark):
+    texts = license_scan.TEXTS
+    rows_ = [(k, "before it " * (k * 7) + t.upper() + " and after" * 50) for k, t in enumerate(texts.values())]
+    rows_ += [(100 + k, " ".join(t.split()[::2])) for k, t in enumerate(texts.values())]
+    got = {r.doc_id: {b.label: b.containment for b in r.blocks} for r in license_scan.scan(spark.createDataFrame(rows_, "doc_id long, text string")).collect()}
+    assert all(got[k][name] == 1.0 for k, name in enumerate(texts))
+    assert not any(name in got[100 + k] for k, name in enumerate(texts) if name.endswith("text") and len(texts[name].split()) > 60)
 
 
 def encode(text, end):
