@@ -75,14 +75,21 @@ def threshold_summary(frames: DataFrame, thresholds: dict[str, float]) -> DataFr
     return long.select("asset_id", "x.tag", "x.failed", F.round(100.0 * F.col("x.failed") / F.col("total"), 6).alias("pct"), "any_failed", "total")
 
 
-def is_black(ymax: float = 300, yhigh: float = 115, ylow: float = 97, ymin: float = 6.5) -> Column:
+# Levels of black frames, bars, chroma errors and frames that hardly differ, by bit depth where they depend on it.
+BLACK = {"ymax": 300, "yhigh": 115, "ylow": 97, "ymin": 6.5}
+BARS = {10: (800, 10, 8, 250), 8: (210, 10, 3, 100)}
+RELAXED = (0.75, 2, 2, 0.4)
+CHROMA = {"low": 100, "high": 900, "saturation": 600}
+FREEZE = {10: (1.0, 8.0), 8: (0.25, 2.0)}
+CLAMPED = {"tolerance": 1.0, "hits": 10, "pct": 1.0}
+
+
+def is_black(ymax: float = BLACK["ymax"], yhigh: float = BLACK["yhigh"], ylow: float = BLACK["ylow"], ymin: float = BLACK["ymin"]) -> Column:
     return F.coalesce((F.col("YMAX") < ymax) & (F.col("YHIGH") < yhigh) & (F.col("YLOW") < ylow) & (F.col("YMIN") < ymin), F.lit(False))
 
 
 def bars_frame(bit_depth: int = 10, relaxed: bool = False) -> Column:
-    ymax, ymin, ydif, sat = (800, 10, 8, 250) if bit_depth == 10 else (210, 10, 3, 100)
-    if relaxed:
-        ymax, ymin, ydif, sat = ymax * 0.75, ymin * 2, ydif * 2, sat * 0.4
+    ymax, ymin, ydif, sat = (x * (y if relaxed else 1) for x, y in zip(BARS[bit_depth], RELAXED, strict=True))
     return F.coalesce((F.col("YMAX") > ymax) & (F.col("YMIN") < ymin) & (F.col("YDIF") < ydif) & (F.col("SATMAX") > sat), F.lit(False))
 
 
@@ -141,7 +148,7 @@ def bars_vs_reference(assets: DataFrame, extremes: DataFrame) -> DataFrame:
     return wide.select("asset_id", F.explode(items).alias("x")).select("asset_id", "x.*")
 
 
-def clamped_levels(frames: DataFrame, limits: dict[str, tuple[float, str]], tolerance: float = 1.0, hits: int = 10, pct: float = 1.0) -> DataFrame:
+def clamped_levels(frames: DataFrame, limits: dict[str, tuple[float, str]], tolerance: float = CLAMPED["tolerance"], hits: int = CLAMPED["hits"], pct: float = CLAMPED["pct"]) -> DataFrame:
     """asset_id, metric, extreme, hits, hit_pct, beyond, verdict for each limit {metric: (level, 'floor' or 'ceiling')}, in one pass."""
     aggs = [F.count("*").alias("total")]
     for k, (level, side) in limits.items():
@@ -165,9 +172,9 @@ def bit_depth(frames: DataFrame) -> DataFrame:
 
 def chroma_flags(bit_depth: int = 10) -> dict[str, Column]:
     """envelope: U and V reach both ends; saturation: SATMAX too high."""
-    k = 1.0 if bit_depth == 10 else 0.25
-    envelope = (F.col("UMIN") < 100 * k) & (F.col("VMIN") < 100 * k) & (F.col("UMAX") > 900 * k) & (F.col("VMAX") > 900 * k)
-    return {"envelope": F.coalesce(envelope, F.lit(False)), "saturation": F.coalesce(F.col("SATMAX") > 600 * k, F.lit(False))}
+    low, high, most = (CHROMA[x] * (1.0 if bit_depth == 10 else 0.25) for x in ("low", "high", "saturation"))
+    envelope = (F.col("UMIN") < low) & (F.col("VMIN") < low) & (F.col("UMAX") > high) & (F.col("VMAX") > high)
+    return {"envelope": F.coalesce(envelope, F.lit(False)), "saturation": F.coalesce(F.col("SATMAX") > most, F.lit(False))}
 
 
 def chroma_events(frames: DataFrame, gap: int = 10, bit_depth: int = 10) -> DataFrame:
@@ -203,7 +210,7 @@ def black_segments(frames: DataFrame, min_s: float = 2.0, gap: float = 0.5) -> D
 
 def low_diff_frame(bit_depth: int = 10) -> Column:
     """Whether a frame hardly differs from the one before, and is no flat field: a difference that is missing is large, a missing level is not flat."""
-    most, flat = (1.0, 8.0) if bit_depth == 10 else (0.25, 2.0)
+    most, flat = FREEZE[bit_depth]
     low = (F.col("YDIF") < most) & (F.col("UDIF") < most) & (F.col("VDIF") < most)
     return F.coalesce(low, F.lit(False)) & ~F.coalesce(F.col("YMAX") - F.col("YMIN") < flat, F.lit(False))
 

@@ -287,10 +287,10 @@ def _(spark, d):
 _SUMMARY = f"summary AS (SELECT p.asset_id, p.period_no, count(*) AS frames, count(*) FILTER (WHERE BRNG > 0.01) AS violations, {_r('count(*) FILTER (WHERE BRNG > 0.01) * 100.0 / count(*)')}::DOUBLE AS pct, max(BRNG) AS max_brng, round(avg(BRNG), 9) AS avg_brng FROM frames f JOIN periods p ON f.asset_id = p.asset_id AND f.t >= p.start_s AND f.t < p.start_s + p.duration_s GROUP BY ALL)"
 
 
-@_query("A10_brng_period_summary", f"WITH {FRAMES}, {_PERIODS}, {_SUMMARY} SELECT asset_id, period_no, frames, violations, pct, max_brng FROM summary")
+@_query("A10_brng_period_summary", f"WITH {FRAMES}, {_PERIODS}, {_SUMMARY} SELECT asset_id, period_no, frames, violations, pct, max_brng, round(avg_brng, 6) AS avg_brng FROM summary")
 def _(spark, d):
     own = frames(spark, d)
-    return B.brng_period_summary(own, _periods(own)).drop("avg_brng")
+    return B.brng_period_summary(own, _periods(own)).withColumn("avg_brng", F.round("avg_brng", 6))
 
 
 @_query("J17_period_overlap", f"WITH {FRAMES}, {_PERIODS}, q AS (SELECT asset_id, period_no, start_s * 2 AS start_s, duration_s FROM periods) SELECT p.asset_id, p.period_no AS period_p, q.period_no AS period_q, least(p.start_s + p.duration_s, q.start_s + q.duration_s) - greatest(p.start_s, q.start_s) AS overlap_s FROM periods p JOIN q ON p.asset_id = q.asset_id AND least(p.start_s + p.duration_s, q.start_s + q.duration_s) > greatest(p.start_s, q.start_s)")
@@ -345,7 +345,7 @@ def _(spark, d):
 def _(spark, d):
     own = frames(spark, d)
     segments = _periods(own).where("asset_id % 9 != 4 or period_no < 2").select("asset_id", "period_no", "start_s", (F.col("start_s") + F.col("duration_s")).alias("end_s"), F.lit(360).alias("total_frames"), F.lit(24.0).alias("fps"))
-    return B.sample_targeted(segments, B.brng_violations(own).where("asset_id % 4 != 3"), 100, 20, 25, 40)
+    return B.sample_targeted(segments, B.brng_violations(own).where("asset_id % 4 != 3"), first=100, least=20, fill=25, most=40)
 
 
 _SIDE_FLAGS = {
@@ -584,7 +584,17 @@ def _(spark, d):
     return A.tc_subregions(channels(spark, d).withColumn("flag", F.col("peak_level") > -5), "flag", 1.0)
 
 
-@_query("W24_spike_detection")
+_SPIKES = """s AS (SELECT user_id % 20 AS asset_id, event_id AS f, value AS v, row_number() OVER (PARTITION BY user_id % 20 ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id % 20) AS n FROM events),
+h AS (SELECT *, greatest(51, n // 20) // 2 AS half FROM s),
+p AS (SELECT h.*, i + o.o AS place FROM h, unnest(CASE WHEN i = 0 AND n = 1 THEN range(-half, half + 1) WHEN i = 0 THEN range(-half, 1) WHEN i = n - 1 THEN range(0, half + 1) ELSE [0] END) AS o(o)),
+m AS (SELECT *, v - quantile_cont(v, 0.5) OVER (PARTITION BY asset_id ORDER BY place RANGE BETWEEN half PRECEDING AND half FOLLOWING) AS dev FROM p),
+d AS (SELECT * FROM m WHERE place = i),
+k AS (SELECT asset_id, quantile_cont(abs(dev), 0.5) AS mad, stddev_pop(dev) AS sd FROM d GROUP BY asset_id),
+x AS (SELECT d.*, i - lag(i) OVER (PARTITION BY asset_id ORDER BY i) AS gap FROM d JOIN k USING (asset_id) WHERE CASE WHEN mad > 0 THEN mad ELSE sd END > 0 AND dev > 3 * CASE WHEN mad > 0 THEN mad ELSE sd END),
+g AS (SELECT *, count(*) FILTER (WHERE gap IS NULL OR gap > 2) OVER (PARTITION BY asset_id ORDER BY i) AS run FROM x)"""
+
+
+@_query("W24_spike_detection", f"WITH {_SPIKES} SELECT asset_id, min(f) AS first_idx, max(f) AS last_idx, max(dev) AS peak FROM g GROUP BY asset_id, run HAVING count(*) <= 2")
 def _(spark, d):
     series = table(spark, d, "events").select((F.col("user_id") % 20).alias("asset_id"), F.col("event_id").alias("frame_idx"), F.col("value"))
     return A.spike_detection(series)
@@ -593,7 +603,12 @@ def _(spark, d):
 # --- Arrays --------------------------------------------------------------------------------------------------------------------------
 
 
-@_query("W21_tone_spans")
+_TONES = """c AS (SELECT label AS asset_id, vec_id AS k, embedding::DOUBLE[] AS x, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS y FROM embeddings),
+l AS (SELECT asset_id, k, coalesce(list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * y[i])) >= 0.05, false) AS same FROM c),
+r AS (SELECT asset_id, k, count(*) FILTER (WHERE NOT same) OVER (PARTITION BY asset_id ORDER BY k) AS run FROM l)"""
+
+
+@_query("W21_tone_spans", f"WITH {_TONES} SELECT asset_id, min(k) * 250.0::DOUBLE AS start_ms, (max(k) + 1) * 250.0::DOUBLE AS end_ms FROM r GROUP BY asset_id, run HAVING max(k) > min(k) AND (max(k) + 1 - min(k)) * 250 >= 500")
 def _(spark, d):
     chunks = table(spark, d, "embeddings").select(F.col("label").alias("asset_id"), F.col("vec_id").alias("chunk_no"), F.col("embedding").alias("samples"))
     return A.tone_spans(chunks, tolerance=0.05, least_ms=500.0)
@@ -993,6 +1008,15 @@ def _(spark, d):
     return B.replace_low_value_periods(_periods(own).select("*", verdict.alias("verdict"), (F.col("asset_id") % 3 + 4.0 * F.col("period_no")).alias("active_pct")), candidates)
 
 
+@_query("T9_settle_periods")
+def _(spark, d):
+    own = frames(spark, d)
+    assets = own.groupBy("asset_id").agg((F.max("t") + 10).alias("duration_s"), F.lit(2.0).alias("first_s"))
+    candidates = own.select("asset_id").distinct().withColumn("rank", F.explode(F.sequence(F.lit(1), F.lit(4)))).select("asset_id", "rank", (35.0 + 8 * F.col("rank")).alias("start_s"), F.lit(4.0).alias("duration_s"))
+    judged = _periods(own).select("*", F.lit("minimal").alias("verdict"), (F.col("asset_id") % 3 + 4.0 * F.col("period_no")).alias("active_pct"))
+    return B.settle_periods(judged, candidates, V.black_segments(own, min_s=1.0), assets)
+
+
 _SIDES = {"left": "l_linenumber", "right": "l_quantity % 9", "top": "l_quantity % 4", "bottom": "l_orderkey % 5"}
 
 

@@ -82,6 +82,46 @@ def test_shifted_periods(spark):
     assert sorted(tuple(r) for r in got.collect()) == sorted(want) and dropped and moved
 
 
+def test_settled_periods(spark):
+    rng, periods, candidates, black, assets, want, moved, dropped = random.Random(11), [], [], [], [], [], 0, 0
+    for a in range(40):
+        whole = rng.randint(150, 400)
+        assets.append((a, float(whole), 12.0))
+        dark, at = [], 0
+        for _ in range(rng.randint(0, 9)):
+            start = at + rng.randint(0, 30)
+            at = start + rng.randint(3, 40)
+            dark.append((float(start), float(at)))
+        black += [(a, *x) for x in dark]
+        own = [(a, k, float(15 + 45 * k), 20.0, rng.choice(["content_violations", "border_violations", "minimal", "minimal"]), float(rng.randint(0, 8))) for k in range(3)]
+        mine = [(a, k, float(rng.randint(0, whole)), 20.0) for k in range(6)]
+        periods += own
+        candidates += mine
+        low = [p for p in own if {"content_violations": 100, "border_violations": 50}.get(p[4], 0) + p[5] < 5]
+        free = [c for c in mine if all(c[2] + c[3] < p[2] or c[2] > p[2] + p[3] for p in own)]
+        new = {p[1]: p[2] for p in own}
+        for p, c in zip(low, free, strict=False):
+            new[p[1]] = c[2]
+        if not low or not free:
+            want += [(a, k, s, 20.0) for k, s in new.items()]
+            continue
+        covered = lambda s: sum(max(0.0, min(s + 20, e) - max(s, b)) for b, e in dark)  # noqa: B023, E731
+        used = []
+        for k, start in sorted(new.items()):
+            if covered(start) / 20 > 0.25:
+                places = [start + sign * off for off in np.arange(5.0, whole * 0.5, 5.0) for sign in (1, -1)]
+                places = [p for p in places if p >= 12 and p + 20 <= whole - 10 and covered(p) / 20 <= 0.1 and all(abs(p - u) >= 20 for u in used)]
+                if not places:
+                    dropped += 1
+                    continue
+                start, moved = places[0], moved + 1
+            used.append(start)
+            want.append((a, k, start, 20.0))
+    frame = lambda rows, names: spark.createDataFrame(rows, names)
+    got = brng.settle_periods(frame(periods, "asset_id int, period_no int, start_s double, duration_s double, verdict string, active_pct double"), frame(candidates, "asset_id int, rank int, start_s double, duration_s double"), frame(black, "asset_id int, start_s double, end_s double"), frame(assets, "asset_id int, duration_s double, first_s double"))
+    assert sorted(tuple(r) for r in got.select("asset_id", "period_no", "start_s", "duration_s").collect()) == sorted(want) and moved > 5 and dropped
+
+
 def test_spaced_choices(spark):
     rng = random.Random(3)
     rows = [(a, k, float(rng.randint(0, 300)), float(rng.randint(0, 9)), rng.choice(["content", "border", "other"])) for a in range(6) for k in range(60)]
