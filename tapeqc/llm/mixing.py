@@ -2,7 +2,8 @@
 
 Each source's documents stand one after another as one stream of words, cut into blocks of `block_words`. The mix is a row of slots in
 `n_shards` output shards: each shard draws how many slots each source gets from a multinomial distribution, and what the draws of all
-shards leave over or lack is settled in the last ones, so that every source gets exactly the slots of its target. A source's slots
+shards leave over or lack is settled in the last ones, so that every source gets exactly the slots of its target. Sources are as many as there are: they are
+numbered by a range sort, and drawn in groups of GROUP, the groups first and then the sources within each, in a task of its own. A source's slots
 run through its blocks in a pseudorandom order, a new one after each pass, and are joined with the blocks by index.
 
 Defined results: a null text has no words and is never taken; a null source is a source of its own, the last in order; rows that
@@ -11,37 +12,35 @@ repeat are documents of their own; an empty table gives an empty mix; null ids a
 
 from __future__ import annotations
 
-from fractions import Fraction
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import with_offsets
-from .shared import written
+from .ranks import numbered, running, with_offsets
+from .shared import discard, written
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Sources that a mix may have: their sizes and weights are settled on the driver.
-MAX_SOURCES = 1_000_000
+#: Sources that are drawn together; the driver holds a row of shards for each such group.
+GROUP = 16_384
 _EXPLODED = 4096
 #: The column of a mix's tables that numbers its rows; a column of docs by that name means nothing.
 ROW = "_mix_row"
 
 
-def targets(sizes: list[int], weights: list[float], share: float = 1.5, most: float = 2.0) -> list[float]:
-    """Words to take of each source: `share` of all words by weight, at most `most` times a source's words, the excess reshared by weight.
+def fill_level(sizes: DataFrame, share: float, most: float) -> float | None:
+    """The words that a source gets for each unit of its weight, if it stays below `most` times its words; None if no source does.
 
-    >>> targets([10, 100], [3, 1])
-    [20.0, 145.0]
+    sizes: n, weight. In the order of their caps for each unit of weight, sources are full as long as what is left, shared by the weights that are left,
+    would be above their cap; the first one that is not sets the level of all after it.
     """
-    caps = [Fraction(most) * s for s in sizes]
-    whole, out = Fraction(share) * sum(sizes), [Fraction(0)] * len(sizes)
-    left, heavy = whole, sum((Fraction(w) for w in weights), Fraction(0))
-    for k in sorted(range(len(sizes)), key=lambda k: caps[k] / Fraction(weights[k])):
-        out[k] = min(caps[k], left * Fraction(weights[k]) / heavy)
-        left, heavy = left - out[k], heavy - Fraction(weights[k])
-    return [float(x) for x in out]
+    cap, ratio = (F.col("n") * F.lit(float(most))).alias("cap"), (F.col("n") * F.lit(float(most)) / F.col("weight")).alias("ratio")
+    equal = sizes.where("n > 0").select(cap, ratio, "weight").groupBy("ratio").agg(F.sum("cap").alias("cap"), F.sum("weight").alias("weight"))
+    whole = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("n") > 0, F.col("weight"))), F.lit(0)).alias("weight")).first()
+    placed = running(equal, ["ratio"], {"full": "cap", "gone": "weight"})
+    level = (F.lit(float(share) * float(whole.n)) - F.col("full")) / (F.lit(float(whole.weight)) - F.col("gone"))
+    first = placed.select("ratio", level.alias("level")).where("level < ratio").agg(F.min(F.struct("ratio", "level")).alias("x")).first().x
+    return None if first is None else first.level
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -93,15 +92,20 @@ def slots_needed(size: int, target: int, block_words: int, source: int, seed: in
     return passes * blocks + at + 1 + n, rest - before - tail - (n - 1) * block_words
 
 
-def shard_counts(slots: list[int], n_shards: int, seed: int) -> np.ndarray:
-    """Slots of each source (columns) in each shard (rows): multinomial draws, settled so that each column has the sum it should."""
-    wanted = np.array(slots, dtype=np.int64)
-    total = int(wanted.sum())
+def even_rooms(total: int, n_shards: int) -> np.ndarray:
+    """Slots of each shard: as equal as can be."""
     room = np.full(n_shards, total // n_shards, dtype=np.int64)
     room[: total % n_shards] += 1
+    return room
+
+
+def shard_counts(slots: np.ndarray, room: np.ndarray, seed: int | list[int]) -> np.ndarray:
+    """Slots of each source (columns) in each shard (rows): multinomial draws, settled so that each column and row has the sum it should."""
+    wanted, n_shards = np.array(slots, dtype=np.int64), len(room)
+    total = int(wanted.sum())
     if not total:
         return np.zeros((n_shards, len(slots)), dtype=np.int64)
-    rng = np.random.Generator(np.random.Philox(seed))
+    rng = np.random.Generator(np.random.Philox(np.random.SeedSequence(seed)))
     counts = rng.multinomial(room, wanted / total)
     left, out = wanted.copy(), np.zeros_like(counts)
     for k in range(n_shards):
@@ -131,42 +135,66 @@ class Mix:
         row = F.col(numbers) if numbers else F.monotonically_increasing_id()
         three = [F.col("doc_id").cast("long"), F.col("source"), F.col("text")]
         size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-        own = docs.select(three[0].alias("doc_id"), "source", F.xxhash64(*three).alias("_k"), row.alias(ROW), size.alias("size"))
+        own = docs.select(three[0].alias("doc_id"), F.col("source").cast("string").alias("source"), F.xxhash64(*three).alias("_k"), row.alias(ROW), size.alias("size"))
         self.sizes = written(own, "mix-sizes")  # rows keep their numbers from here on
-        found = self.sizes.groupBy("source").agg(F.sum("size").alias("n")).limit(MAX_SOURCES + 1).collect()
-        if len(found) > MAX_SOURCES:
-            raise ValueError(f"a mix has at most {MAX_SOURCES} sources")
-        found = sorted(found, key=lambda r: (r.source is None, r.source or ""))
-        sizes, weights = [r.n for r in found], [weights[k % len(weights)] for k in range(len(found))]
-        aims = targets(sizes, weights, share, most)
-        needed = [slots_needed(n, round(t), block_words, k, seed) if n else (0, 0) for k, (n, t) in enumerate(zip(sizes, aims, strict=True))]
-        counts = shard_counts([n for n, _ in needed], n_shards, seed)
-        firsts = np.cumsum(counts, axis=0) - counts
-        self.table = [(r.source, k, n, float(t), -(-n // block_words), *need) for k, (r, n, t, need) in enumerate(zip(found, sizes, aims, needed, strict=True))]
-        self.runs = [(int(i), int(s), int(firsts[i, s]), int(counts[i, s])) for i, s in zip(*np.nonzero(counts), strict=True)]
+        found = numbered(self.sizes.groupBy("source").agg(F.sum("size").alias("n")), [F.col("source").isNull(), F.col("source")], "source_no")
+        found = found.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int")))
+        found = written(found, "mix-numbers")
+        level = fill_level(found, share, most)
+        cap = F.col("n") * F.lit(float(most))
+        aims = found.withColumn("target", cap if level is None else F.least(cap, F.lit(level) * F.col("weight"))).select("source", "source_no", "n", "target")
+        self.table = written(self._needed(aims), "mix-sources")
+        discard(found)
+        group = F.floor(F.col("source_no") / GROUP).alias("group")
+        groups = sorted((r.group, r.slots) for r in self.table.groupBy(group).agg(F.sum("slots").alias("slots")).collect())  # one number for GROUP sources
+        counts = shard_counts(np.array([n for _, n in groups], dtype=np.int64), even_rooms(sum(n for _, n in groups), n_shards), seed)
+        self.total = int(counts.sum())
+        rooms = self.spark.createDataFrame([(int(g), counts[:, k].tolist()) for k, (g, _) in enumerate(groups)], "group long, room array<long>")
+        self.runs = written(self._drawn(self.table.withColumn("group", group).join(rooms, "group")), "mix-runs")
+
+    def _needed(self, aims: DataFrame) -> DataFrame:
+        block_words, seed = self.block_words, self.seed
+
+        def run(batches):
+            for b in batches:
+                need = [slots_needed(int(n), round(t), block_words, int(k), seed) if n else (0, 0) for n, t, k in zip(b.n, b.target, b.source_no, strict=True)]
+                yield pd.DataFrame({"source": b.source, "source_no": b.source_no, "source_size": b.n, "target": b.target, "blocks": -(-b.n // block_words), "slots": [x for x, _ in need], "last_words": [x for _, x in need]})
+
+        return aims.mapInPandas(run, "source string, source_no long, source_size long, target double, blocks long, slots long, last_words long")
+
+    def _drawn(self, sources: DataFrame) -> DataFrame:
+        """A row for each shard and source that has slots in it, with the source's numbers: of each group in one task, the group's rooms given."""
+        seed = self.seed
+
+        def draw(rows: pd.DataFrame) -> pd.DataFrame:
+            rows = rows.sort_values("source_no", ignore_index=True)
+            counts = shard_counts(rows.slots.to_numpy(), np.asarray(rows.room[0], dtype=np.int64), [seed, int(rows.group[0]) + 1])
+            firsts, (shard, k) = np.cumsum(counts, axis=0) - counts, np.nonzero(counts)
+            own = rows.iloc[k]
+            return pd.DataFrame({"shard": shard.astype("int32"), "source_no": own.source_no.to_numpy(), "first": firsts[shard, k], "n": counts[shard, k], "blocks": own.blocks.to_numpy(), "slots": own.slots.to_numpy(), "last": own.last_words.to_numpy()})
+
+        return sources.select("group", "source_no", "blocks", "slots", "last_words", "room").groupBy("group").applyInPandas(draw, "shard int, source_no long, first long, n long, blocks long, slots long, last long")
 
     def sources(self) -> DataFrame:
         """source, source_no, source_size, target, blocks, slots, last_words: a row for each source."""
-        return self.spark.createDataFrame(self.table, "source string, source_no int, source_size long, target double, blocks long, slots long, last_words long")
+        return self.table
 
     def slots(self) -> DataFrame:
         """shard, source_no, slot (the source's how manieth), epoch (its how manieth pass), block, last_words: a row for each slot of the mix."""
-        runs = self.spark.createDataFrame(self.runs, "shard int, source_no int, first long, n long")
-        starts = runs.select("shard", "source_no", (F.col("first") + F.col("n") - 1).alias("end"), F.explode(F.expr(f"sequence(first, first + n - 1, {_EXPLODED})")).alias("start"))
-        n = max(1, sum(r[3] for r in self.runs) // 500_000)
-        slots = starts.repartition(n).select("shard", "source_no", F.explode(F.expr(f"sequence(start, least(start + {_EXPLODED - 1}, end))")).alias("slot"))
-        blocks, all_slots = np.array([t[4] for t in self.table] or [0]), np.array([t[5] for t in self.table] or [0])
-        last, seed, words = np.array([t[6] for t in self.table] or [0]), self.seed, self.block_words
+        numbers = ["shard", "source_no", "blocks", "slots", "last"]
+        starts = self.runs.select(*numbers, (F.col("first") + F.col("n") - 1).alias("end"), F.explode(F.expr(f"sequence(first, first + n - 1, {_EXPLODED})")).alias("start"))
+        slots = starts.repartition(max(1, self.total // 500_000)).select(*numbers, F.explode(F.expr(f"sequence(start, least(start + {_EXPLODED - 1}, end))")).alias("slot"))
+        seed, words = self.seed, self.block_words
 
         def place(batches):
             for b in batches:
-                s, q = b.source_no.to_numpy(), b.slot.to_numpy()
-                epoch = q // blocks[s]
+                s, q, blocks = b.source_no.to_numpy(), b.slot.to_numpy(), b.blocks.to_numpy()
+                epoch = q // blocks
                 with np.errstate(over="ignore"):
-                    block = permuted(q % blocks[s], blocks[s], _keys(s, epoch, seed))
-                yield pd.DataFrame({"shard": b.shard, "source_no": s, "slot": q, "epoch": epoch.astype("int32"), "block": block.astype("int64"), "last_words": np.where(q == all_slots[s] - 1, last[s], words)})
+                    block = permuted(q % blocks, blocks, _keys(s, epoch, seed))
+                yield pd.DataFrame({"shard": b.shard, "source_no": s, "slot": q, "epoch": epoch.astype("int32"), "block": block.astype("int64"), "last_words": np.where(q == b.slots.to_numpy() - 1, b["last"].to_numpy(), words)})
 
-        return slots.mapInPandas(place, "shard int, source_no int, slot long, epoch int, block long, last_words long")
+        return slots.mapInPandas(place, "shard int, source_no long, slot long, epoch int, block long, last_words long")
 
     def pieces(self) -> DataFrame:
         """source_no, block, doc_id, ROW, size, start: for each document a row for each block that it has words in; none: a null block.

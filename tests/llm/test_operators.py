@@ -53,9 +53,9 @@ def test_components(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_targets_reshare():
-    for sizes, weights in (([10, 100, 7, 0], [3, 1, 2, 3]), ([5], [3]), ([1, 1, 1], [3, 1, 2]), ([1000, 3, 3, 3, 50], [3, 1, 2, 3, 1])):
-        whole, fixed, want = 1.5 * sum(sizes), set(), {}
+def test_targets_reshare(spark):
+    for sizes, weights in (([10, 100, 7, 0], [3, 1, 2, 3]), ([5], [3]), ([1, 1, 1], [3, 1, 2]), ([1000, 3, 3, 3, 50], [3, 1, 2, 3, 1]), ([0, 0], [3, 1]), ([6, 6, 2], [3, 3, 1])):
+        whole, fixed, want = 1.5 * sum(sizes), {k for k, n in enumerate(sizes) if not n}, {}
         while True:  # give, cap, reshare
             heavy = sum(w for k, w in enumerate(weights) if k not in fixed)
             left = whole - sum(2.0 * sizes[k] for k in fixed)
@@ -64,7 +64,23 @@ def test_targets_reshare():
             if not over:
                 break
             fixed |= over
-        assert mixing.targets(sizes, weights) == pytest.approx([want[k] for k in range(len(sizes))])
+        level = mixing.fill_level(spark.createDataFrame([(n, float(w)) for n, w in zip(sizes, weights, strict=True)], "n long, weight double"), 1.5, 2.0)
+        assert [2.0 * n if level is None else min(2.0 * n, level * w) for n, w in zip(sizes, weights, strict=True)] == pytest.approx([want[k] for k in range(len(sizes))])
+
+
+@pytest.mark.parametrize("group", [mixing.GROUP, 64])
+def test_a_mix_of_very_many_sources(spark, monkeypatch, group):
+    monkeypatch.setattr(mixing, "GROUP", group)
+    df = spark.range(12_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("s"), (F.col("id") % 4000).cast("string")).alias("source"), F.repeat(F.lit("word "), (F.col("id") % 7 * 3).cast("int")).alias("text"))
+    runs = [mixing.Mix(df, block_words=4, n_shards=16) for _ in range(2)]
+    found = runs[0].documents().toPandas()
+    by = found.groupby(found.doc_id % 4000).agg({"target": "first", "taken": "sum", "size": "sum"})
+    assert len(found) == 12_000 and (abs(by.taken - by.target) <= 1).all() and (found.taken <= 2 * found["size"]).all() and by.target.sum() == pytest.approx(1.5 * by["size"].sum())
+    assert sorted(map(str, runs[1].documents().collect())) == sorted(map(str, runs[0].documents().collect()))
+    shards = runs[0].slots().groupBy("shard").count().toPandas()
+    assert len(shards) == 16 and shards["count"].max() - shards["count"].min() <= 1
+    order = {r.source: r.source_no for r in runs[0].sources().collect()}
+    assert [order[s] for s in sorted(order)] == list(range(4000))
 
 
 def test_permutation():
