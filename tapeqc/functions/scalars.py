@@ -181,14 +181,15 @@ def humanize_label(s: Column | str) -> Column:
     return F.initcap(F.regexp_replace(_c(s), "[_-]+", " "))
 
 
-def border_regions(x: Column | str, y: Column | str, w: Column | str, h: Column | str, width: int, height: int) -> Column:
-    """array of struct(side, x, y, w, h): what the active area leaves of the frame on each side, corners on both of theirs, empty sides left out."""
+def border_regions(x: Column | str, y: Column | str, w: Column | str, h: Column | str, width: int, height: int, least: int = 0) -> Column:
+    """array of struct(side, x, y, w, h): what the active area leaves of the frame on each side, corners on both of theirs; sides of at most `least` pixels are left out."""
     x, y, w, h = map(_c, (x, y, w, h))
     side = lambda name, a, b, c, d: F.struct(F.lit(name).alias("side"), a.cast("int").alias("x"), b.cast("int").alias("y"), c.cast("int").alias("w"), d.cast("int").alias("h"))
     zero = F.lit(0)
     whole = F.lit(width)
     sides = F.array(side("left", zero, zero, x, F.lit(height)), side("right", x + w, zero, width - x - w, F.lit(height)), side("top", zero, zero, whole, y), side("bottom", zero, y + h, whole, height - y - h))
-    return F.filter(sides, lambda s: (s["w"] > 0) & (s["h"] > 0))
+    across = lambda s: F.when(s["side"].isin("left", "right"), s["w"]).otherwise(s["h"])
+    return F.filter(sides, lambda s: (s["w"] > 0) & (s["h"] > 0) & (across(s) > least))
 
 
 def simple_area(width: Column | str, height: Column | str, border: int = 25) -> Column:

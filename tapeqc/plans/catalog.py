@@ -843,6 +843,11 @@ def _(spark, d):
     return _area(spark, d).select("asset_id", F.explode(P.border_regions("x", "y", "w", "h", 720, 486)).alias("r")).select("asset_id", "r.*")
 
 
+@_query("P20_wide_border_regions", f"WITH {_AREA} SELECT asset_id, 'left' AS side, 0 AS x, 0 AS y, x AS w, 486 AS h FROM area WHERE x > 10 UNION ALL SELECT asset_id, 'right', x + w, 0, 720 - x - w, 486 FROM area WHERE 720 - x - w > 10 UNION ALL SELECT asset_id, 'top', 0, 0, 720, y FROM area WHERE y > 10 UNION ALL SELECT asset_id, 'bottom', 0, y + h, 720, 486 - y - h FROM area WHERE 486 - y - h > 10")
+def _(spark, d):
+    return _area(spark, d).select("asset_id", F.explode(P.border_regions("x", "y", "w", "h", 720, 486, least=10)).alias("r")).select("asset_id", "r.*")
+
+
 @_query("P20_simple_area", "SELECT p_partkey AS asset_id, CASE WHEN p_size > 16 THEN 8 ELSE 0 END AS x, CASE WHEN p_size > 16 THEN 8 ELSE 0 END AS y, CASE WHEN p_size > 16 THEN p_size - 16 ELSE p_size END AS w, CASE WHEN p_size > 16 THEN p_size + 84 ELSE p_size + 100 END AS h FROM part")
 def _(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("asset_id"), P.simple_area(F.col("p_size"), F.col("p_size") + 100, 8).alias("a")).select("asset_id", "a.*")
