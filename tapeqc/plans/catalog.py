@@ -262,18 +262,34 @@ def _(spark, d):
     return B.violation_histogram(B.brng_violations(frames(spark, d)))
 
 
-@_query("T5_suggest_periods")
+def _greedy(k: str, near: str) -> str:
+    """The first k of the list rows that stand apart from all chosen before."""
+    return f"list_reduce(list_transform(rows, lambda x: [x]), lambda acc, e: CASE WHEN len(acc) < {k} AND len(list_filter(acc, lambda c: {near})) = 0 THEN list_concat(acc, e) ELSE acc END)"
+
+
+_BINS = f"v AS ({_BRNG}), f AS (SELECT asset_id, min(t) AS first FROM v GROUP BY asset_id), b AS (SELECT asset_id, first + floor((t - first) / 10) * 10 AS start_s, count(*) AS n FROM v JOIN f USING (asset_id) GROUP BY ALL), l AS (SELECT asset_id, list({{'start_s': start_s, 'n': n}} ORDER BY n DESC, start_s) AS rows FROM b GROUP BY asset_id)"
+
+
+@_query("T5_suggest_periods", f"WITH {FRAMES}, {_BINS}, g AS (SELECT asset_id, {_greedy('3', 'abs(c.start_s - e[1].start_s) <= 20')} AS c FROM l) SELECT asset_id, i.i AS rank, c[i.i].start_s AS start_s, c[i.i].n AS n FROM g, unnest(range(1, len(c) + 1)) AS i(i)")
 def _(spark, d):
     return B.suggest_periods(B.brng_violations(frames(spark, d)), length_s=20.0)
 
 
-@_query("T3_diverse_top_k")
+_KINDED = f"v AS (SELECT *, ['content', 'border', 'other'][frame_idx % 3 + 1] AS kind, [0, 2, 1][frame_idx % 3 + 1] AS priority FROM ({_BRNG})), l AS (SELECT asset_id, list({{'frame_idx': frame_idx, 't': t, 'score': score, 'pct': pct, 'kind': kind, 'priority': priority}} ORDER BY priority, score DESC, frame_idx) AS rows FROM v GROUP BY asset_id)"
+_ROWS = "asset_id, i.i AS rank, " + ", ".join(f"all_of[i.i].{c} AS {c}" for c in ("frame_idx", "t", "score", "pct", "kind", "priority"))
+
+
+@_query("T3_diverse_top_k", f"WITH {FRAMES}, {_KINDED}, g AS (SELECT asset_id, rows, {_greedy('5', 'abs(c.t - e[1].t) < 10')} AS c FROM l), h AS (SELECT asset_id, list_concat(c, list_filter(rows, lambda x: NOT list_contains(c, x))[1:5 - len(c)]) AS all_of FROM g) SELECT {_ROWS} FROM h, unnest(range(1, len(all_of) + 1)) AS i(i)")
 def _(spark, d):
     kind = F.element_at(F.array(F.lit("content"), F.lit("border"), F.lit("other")), (F.col("frame_idx") % 3 + 1).cast("int"))
     return B.diverse_top_k(B.brng_violations(frames(spark, d)).withColumn("kind", kind))
 
 
-@_query("T4_failure_highlights")
+_FAILED = f"v AS ({_VIOLATIONS}), l AS (SELECT asset_id, tag, list({{'frame_idx': frame_idx, 't': t, 'value': value, 'threshold': threshold, 'off': abs(value - threshold)}} ORDER BY abs(value - threshold) DESC, frame_idx) AS rows FROM v GROUP BY asset_id, tag)"
+_PICKED = "asset_id, tag, i.i AS rank, " + ", ".join(f"c[i.i].{c} AS {c}" for c in ("frame_idx", "t", "value", "threshold", "off"))
+
+
+@_query("T4_failure_highlights", f"WITH {FRAMES}, {_FAILED}, g AS (SELECT asset_id, tag, {_greedy('5', 'abs(c.t - e[1].t) < 4')} AS c, count(*) OVER (PARTITION BY asset_id) AS tags FROM l) SELECT {_PICKED} FROM g, unnest(range(1, CASE WHEN tags <= 2 THEN len(c) ELSE least(3, len(c)) END + 1)) AS i(i)")
 def _(spark, d):
     return B.failure_highlights(V.threshold_violations(frames(spark, d), THRESHOLDS))
 
@@ -619,12 +635,19 @@ def _ssim(spark: SparkSession, d: str) -> DataFrame:
     return S.ssim_to_reference(own, [float(k) / 64 for k in range(64)], 8, 8, 1.0)
 
 
-@_query("W22_ssim_to_reference")
+_BOX = "flatten(list_transform(range(0, 7), lambda a: list_transform(range(0, 7), lambda b: (o.i + a) * 8 + o.j + b)))"
+_SSIM = f"""o AS (SELECT i.i AS i, j.j AS j FROM unnest([0, 1]) AS i(i), unnest([0, 1]) AS j(j)),
+k AS (SELECT label AS asset_id, vec_id AS frame_idx, o.i, o.j, list_transform({_BOX}, lambda p: embedding[p + 1]::DOUBLE) AS x, list_transform({_BOX}, lambda p: p / 64.0::DOUBLE) AS y FROM embeddings, o),
+m AS (SELECT asset_id, frame_idx, list_avg(x) AS mx, list_avg(y) AS my, list_var_samp(x) AS vx, list_var_samp(y) AS vy, (list_sum(list_transform(range(1, 50), lambda p: x[p] * y[p])) - 49 * list_avg(x) * list_avg(y)) / 48 AS c FROM k),
+scores AS (SELECT asset_id, frame_idx, avg(((2 * mx * my + 0.0001) * (2 * c + 0.0009)) / ((mx * mx + my * my + 0.0001) * (vx + vy + 0.0009))) AS score FROM m GROUP BY asset_id, frame_idx)"""
+
+
+@_query("W22_ssim_to_reference", f"WITH {_SSIM} SELECT asset_id, frame_idx, round(score, 6) AS score FROM scores")
 def _(spark, d):
     return _ssim(spark, d).withColumn("score", F.round("score", 6))
 
 
-@_query("W23_ssim_runs")
+@_query("W23_ssim_runs", f"WITH {_SSIM}, s AS (SELECT asset_id, frame_idx, score > 0 AS ok, lead(frame_idx) OVER w AS next, row_number() OVER w - row_number() OVER (PARTITION BY asset_id, score > 0 ORDER BY frame_idx) AS run FROM scores WINDOW w AS (PARTITION BY asset_id ORDER BY frame_idx)) SELECT asset_id, min(frame_idx) AS first_idx, max_by(next, frame_idx) AS end_idx FROM s WHERE ok GROUP BY asset_id, run HAVING max(next) IS NOT NULL AND arg_max_null(next, frame_idx) > min(frame_idx)")
 def _(spark, d):
     return S.ssim_runs(_ssim(spark, d), 0.0, all_runs=True)
 

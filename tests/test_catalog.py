@@ -6,9 +6,6 @@ from tapeqc.plans import catalog
 SF = "/root/testdata/sf0.001"
 #: Queries without SQL, and the tests that hold their operators against plain Python.
 PLAIN = {
-    "T3_diverse_top_k": "test_rules.py::test_spaced_choices",
-    "T4_failure_highlights": "test_rules.py::test_highlights",
-    "T5_suggest_periods": "test_rules.py::test_spaced_choices",
     "T9_settle_periods": "test_rules.py::test_settled_periods",
     "T8_shift_periods": "test_rules.py::test_shifted_periods",
     "T10_sample_targeted": "test_rules.py::test_targeted_samples",
@@ -16,8 +13,6 @@ PLAIN = {
     "W16_tc_subregions": "test_rules.py::test_subregions",
     "W17_refine_gaps": "test_refine.py::test_refined_gaps",
     "W18_timecode_consensus": "test_rules.py::test_consensus",
-    "W22_ssim_to_reference": "test_rules.py::test_ssim_of_known_pictures",
-    "W23_ssim_runs": "test_rules.py::test_ssim_runs",
 }
 
 
