@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import IMBALANCE, characterize_imbalance, dropped_sample_score
-from .intervals import ASSET, gap_islands, islands, merge_spans, suppress_in_bars
+from .intervals import ASSET, gap_islands, islands, merge_spans, near_regions, suppress_in_bars
 from .medians import running_median
-from .runs import runs
+from .runs import near_rows, runs
 
 CHANNEL = ["asset_id", "ch"]
 
@@ -76,8 +76,8 @@ def dropout_events(candidates: DataFrame, bars: DataFrame | None = None, gap: fl
     """
     if bars is not None:
         candidates = suppress_in_bars(candidates, bars)
-    runs = gap_islands(candidates, CHANNEL, "t", gap)
-    events = runs.groupBy(*CHANNEL, "island").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"), F.min("rms_level").alias("worst_rms"), F.max("median_rms").alias("median_rms"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("corroborating")))).alias("corroborating")).drop("island")
+    grouped = gap_islands(candidates, CHANNEL, "t", gap)
+    events = grouped.groupBy(*CHANNEL, "island").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"), F.min("rms_level").alias("worst_rms"), F.max("median_rms").alias("median_rms"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("corroborating")))).alias("corroborating")).drop("island")
     n = F.size("corroborating")
     events = events.withColumn("confidence", F.when(n >= 2, "high").when(n == 1, "medium").otherwise("low"))
     events = events.where((F.col("end_s") - F.col("start_s") <= long_s) | (n >= 2))
@@ -181,8 +181,8 @@ def filter_consecutive(detections: DataFrame, n: int = R128_WINDOWS, gap: float
     """Detections of runs of at least n, per asset and criterion: one more belongs to a run that starts at most `gap` after the end of the one before."""
     keys = ["asset_id", "criterion"]
     before = F.lag("end_s").over(Window.partitionBy(*keys).orderBy("start_s", "win"))
-    runs = islands(detections.withColumn("_before", before), keys, ["start_s", "win"], F.col("start_s") - F.col("_before") > gap)
-    return runs.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "island"))).where(F.col("_n") >= n).drop("_n", "_before", "island")
+    grouped = islands(detections.withColumn("_before", before), keys, ["start_s", "win"], F.col("start_s") - F.col("_before") > gap)
+    return grouped.withColumn("_n", F.count("*").over(Window.partitionBy(*keys, "island"))).where(F.col("_n") >= n).drop("_n", "_before", "island")
 
 
 def merge_detections(detections: DataFrame, gap: float = WINDOW_S) -> DataFrame:
@@ -204,8 +204,8 @@ def union_detections(detections: dict[str, DataFrame]) -> DataFrame:
 
 def majority_smooth(frames: DataFrame, flag: str, k: int = 3, keys: list[str] = CHANNEL, out: str = "smooth") -> DataFrame:
     """df with `out`: more than half of the rows within k, itself included, have the flag."""
-    near = Window.partitionBy(*keys).orderBy("frame_idx").rowsBetween(-k, k)
-    return frames.withColumn(out, F.avg(F.col(flag).cast("double")).over(near) > 0.5)
+    share = lambda w: F.avg(F.col(flag).cast("double")).over(w.rowsBetween(-k, k)) > 0.5
+    return near_rows(frames, keys, "frame_idx", {out: share}, k)
 
 
 def tc_subregions(frames: DataFrame, flag: str, hole_s: float = 2.0, join_s: float = 1.0, least_s: float = 2.0) -> DataFrame:
@@ -215,17 +215,18 @@ def tc_subregions(frames: DataFrame, flag: str, hole_s: float = 2.0, join_s: flo
     belong to the stretches beside it.
     """
     own = majority_smooth(frames, flag)
-    w = Window.partitionBy(*CHANNEL).orderBy("frame_idx")
-    marked = own.withColumn("_on", F.coalesce(F.lag("smooth").over(w), F.lit(True))).where("not smooth")
-    off = islands(marked.withColumn("_last", F.lag("t").over(w)), CHANNEL, ["frame_idx"], F.col("_on") & F.coalesce(F.col("t") - F.col("_last") >= join_s, F.lit(True)))
-    off = off.groupBy(*CHANNEL, "island").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"))
-    holes = off.where(F.col("end_s") - F.col("start_s") >= hole_s).select(F.col("asset_id").alias("a"), F.col("ch").alias("c"), "start_s", "end_s")
-    kept = own.where(F.col(flag)).join(holes, (F.col("asset_id") == F.col("a")) & (F.col("ch") == F.col("c")) & (F.col("t") > F.col("start_s")) & (F.col("t") < F.col("end_s")), "left_anti")
-    cuts = holes.select(F.col("a").alias("asset_id"), F.col("c").alias("ch"), F.col("end_s").alias("t"), F.lit(1).alias("cut"))
-    marks = kept.select(*CHANNEL, "t", F.lit(0).alias("cut")).unionByName(cuts)
-    marks = marks.withColumn("part", F.sum("cut").over(Window.partitionBy(*CHANNEL).orderBy("t", F.desc("cut")).rowsBetween(Window.unboundedPreceding, 0))).where("cut = 0")
-    out = marks.groupBy(*CHANNEL, "part").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"))
-    return out.where(F.col("end_s") - F.col("start_s") >= least_s).drop("part")
+    bounds = {"start_s": (F.min("t"), F.min), "end_s": (F.max("t"), F.max)}
+    off = runs(own, CHANNEL, "frame_idx", F.col("smooth"), bounds | {"on": (F.bool_or("smooth"), F.bool_or)}).where("not on")
+    merged = {"start_s": (F.min("start_s"), F.min), "end_s": (F.max("end_s"), F.max), "_last": (F.max("last"), F.max)}
+    holes = runs(off.select(*CHANNEL, "first", "last", "start_s", "end_s"), CHANNEL, "first", F.struct("start_s", "end_s"), merged, lambda before, now: now["head"]["start_s"] - before["tail"]["end_s"] < join_s)
+    holes = holes.where(F.col("end_s") - F.col("start_s") >= hole_s).select(*CHANNEL, "start_s", "end_s", "_last")
+    inside = lambda held: F.coalesce(F.exists(held, lambda h: (F.col("t") > h["start_s"]) & (F.col("t") < h["end_s"])), F.lit(False))
+    kept = near_regions(own.where(F.col(flag)).select(*CHANNEL, "frame_idx", "t"), holes, "_inside", inside, keys=CHANNEL).where("not _inside")
+    # A stretch begins anew before the last frame of each hole.
+    cuts = holes.select(*CHANNEL, (F.col("_last") - 0.5).alias("place"), F.lit(None).cast("double").alias("t"))
+    marks = kept.select(*CHANNEL, F.col("frame_idx").cast("double").alias("place"), F.col("t").cast("double").alias("t")).unionByName(cuts)
+    out = runs(marks, CHANNEL, "place", F.col("t").isNull(), bounds, lambda before, now: ~now["head"])
+    return out.where(F.col("end_s") - F.col("start_s") >= least_s).select(*CHANNEL, "start_s", "end_s")
 
 
 def refine_start(regions: DataFrame, frames: DataFrame, level: str = "r128_m", band: tuple[float, float] = REFINE_BAND, smooth_s: float = REFINE_SMOOTH_S) -> DataFrame:
@@ -291,12 +292,11 @@ def single_audio_stream(frames: DataFrame, streams: DataFrame) -> DataFrame:
 
 def tone_spans(chunks: DataFrame, tolerance: float = 1.0, least_ms: float = 2000.0, chunk_ms: float = 250.0) -> DataFrame:
     """asset_id, start_ms, end_ms: runs of chunks (chunk_no, samples) whose dot product with the chunk before reaches `tolerance`."""
-    w = Window.partitionBy("asset_id").orderBy("chunk_no")
     dot = F.aggregate(F.zip_with("samples", "_prev", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    own = chunks.withColumn("_prev", F.lag("samples").over(w)).withColumn("like", F.coalesce((F.size("samples") == F.size("_prev")) & (dot >= tolerance), F.lit(False)))
-    own = own.withColumn("run", F.sum((~F.col("like")).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = own.groupBy("asset_id", "run").agg(F.min("chunk_no").alias("a"), F.max("chunk_no").alias("b")).where("b > a")
-    out = out.select("asset_id", (F.col("a") * chunk_ms).alias("start_ms"), ((F.col("b") + 1) * chunk_ms).alias("end_ms"))
+    own = near_rows(chunks.select("asset_id", "chunk_no", "samples"), ASSET, "chunk_no", {"_prev": lambda w: F.lag("samples").over(w)}, 1)
+    like = F.coalesce((F.size("samples") == F.size("_prev")) & (dot >= tolerance), F.lit(False))
+    out = runs(own.select("asset_id", "chunk_no", like.alias("like")), ASSET, "chunk_no", F.col("like"), {}, lambda before, now: now["head"]).where("last > first")
+    out = out.select("asset_id", (F.col("first") * chunk_ms).alias("start_ms"), ((F.col("last") + 1) * chunk_ms).alias("end_ms"))
     return out.where(F.col("end_ms") - F.col("start_ms") >= least_ms)
 
 

@@ -67,15 +67,15 @@ def with_regions(points: DataFrame, regions: DataFrame, end: Column | None = Non
     return joined.select("p.*", "r._region").drop("_bin") if how == "inner" else joined.drop("_bin")
 
 
-def near_regions(points: DataFrame, regions: DataFrame, out: str, found: Callable[[Column], Column], end: Column | None = None, open_end: bool = False) -> DataFrame:
-    """points (asset_id, t, ...), each once, with `out`: `found` of the array of the regions that hold it (null where there is none near).
+def near_regions(points: DataFrame, regions: DataFrame, out: str, found: Callable[[Column], Column], end: Column | None = None, open_end: bool = False, keys: list[str] = ASSET) -> DataFrame:
+    """points (keys, t, ...), each once, with `out`: `found` of the array of the regions that hold it (null where there is none near).
 
     The regions of a bin come to its points as one array.
     """
-    width, binned = _binned(regions, ASSET, F.col("end_s") if end is None else end)
-    lists = binned.groupBy("asset_id", "_bin").agg(F.collect_list(F.struct("_from", "_to", "_region")).alias("_near"))
+    width, binned = _binned(regions, keys, F.col("end_s") if end is None else end)
+    lists = binned.groupBy(*keys, "_bin").agg(F.collect_list(F.struct("_from", "_to", "_region")).alias("_near"))
     holds = lambda r: (F.col("t") >= r["_from"]) & ((F.col("t") < r["_to"]) if open_end else (F.col("t") <= r["_to"]))
-    joined = points.withColumn("_bin", F.floor(F.col("t") / width)).join(lists, ["asset_id", "_bin"], "left")
+    joined = points.withColumn("_bin", F.floor(F.col("t") / width)).join(lists, [*keys, "_bin"], "left")
     return joined.select(*points.columns, found(F.transform(F.filter("_near", holds), lambda r: r["_region"])).alias(out))
 
 

@@ -11,6 +11,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 #: The part of the order (frames) that a block covers.
 WIDTH = 8192
@@ -42,3 +43,18 @@ def runs(rows: DataFrame, keys: list[str], order: str, state: Column, totals: di
     parts = parts.withColumn("_run", F.sum((~F.coalesce(joined, F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = parts.groupBy(*keys, "_closed", "_run").agg(F.min("_part.first").alias("first"), F.max("_part.last").alias("last"), *[merge(F.col(k)).alias(k) for k, (_, merge) in totals.items()])
     return out.drop("_closed", "_run")
+
+
+def near_rows(rows: DataFrame, keys: list[str], order: str, columns: dict[str, Callable[[WindowSpec], Column]], reach: int, width: int = WIDTH) -> DataFrame:
+    """rows with `columns`, each a function of a window ordered by `order` that looks at most `reach` rows back and ahead.
+
+    Blocks are sorted alone, which is right for all rows but those within `reach` of a block's ends; of each block, the rows within twice that of its ends
+    are sorted by key once more, and are right there for those. `order` is a number, distinct within the keys.
+    """
+    w = Window.partitionBy(*keys, "_block").orderBy(order)
+    own = rows.withColumn("_block", F.floor(F.col(order) / width))
+    own = own.withColumns({f"_in_{k}": f(w) for k, f in columns.items()} | {"_row": F.row_number().over(w), "_rows": F.count("*").over(Window.partitionBy(*keys, "_block"))})
+    within = lambda n: (F.col("_row") > n) & (F.col("_row") <= F.col("_rows") - n)
+    own = own.withColumn("_block", F.when(within(2 * reach), F.col("_block")))
+    w = Window.partitionBy(*keys, "_block").orderBy(order)
+    return own.select(*rows.columns, *[F.when(within(reach), F.col(f"_in_{k}")).otherwise(f(w)).alias(k) for k, f in columns.items()])

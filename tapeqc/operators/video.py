@@ -7,17 +7,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.window import WindowSpec
 
 from ..functions.scalars import LUMA_ZONES, luma_zone
-from .intervals import ASSET, islands, merge_spans, near_regions, with_regions
+from .intervals import ASSET, merge_spans, near_regions, with_regions
 from .runs import runs
 
 
-def _by_time() -> WindowSpec:
-    return Window.partitionBy("asset_id").orderBy("frame_idx")
-
-
 #: Extreme values of SMPTE bars in 10 bits.
 SMPTE = {"YMAX": 940.0, "YMIN": 28.0, "UMIN": 148.0, "UMAX": 876.0, "VMIN": 124.0, "VMAX": 867.0, "SATMIN": 0.0, "SATMAX": 405.0}
 
@@ -122,15 +117,15 @@ def detect_bars(frames: DataFrame, min_run: int | None = None, max_misses: int |
     """
     min_run, max_misses = min_run or (10 if relaxed else 30), max_misses or (30 if relaxed else 15)
     own = frames.where(F.col("t").between(start_s, end_s)).select("asset_id", "frame_idx", "t", bars_frame(bit_depth, relaxed).alias("ok"))
-    own = islands(own.withColumn("_before", F.lag("ok").over(_by_time())), ASSET, ["frame_idx"], F.col("ok") != F.col("_before"), "run")
-    runs = own.groupBy("asset_id", "run", "ok").agg(F.count("*").alias("n"), F.min("t").alias("first"), F.max("t").alias("last"))
+    totals = {"ok": (F.bool_or("ok"), F.bool_or), "n": (F.count("*"), F.sum), "first_s": (F.min("t"), F.min), "last_s": (F.max("t"), F.max)}
+    found = runs(own, ASSET, "frame_idx", F.col("ok"), totals)
     # All from the runs, which stay where their asset's frames are: no frame is read twice.
     whole = Window.partitionBy("asset_id")
-    runs = runs.withColumn("start_s", F.min(F.when(F.col("ok") & (F.col("n") >= min_run), F.col("first"))).over(whole))
-    ended = ~F.col("ok") & (F.col("n") >= max_misses) & (F.col("first") - F.col("start_s") > min_s)
-    runs = runs.withColumn("closed_s", F.min(F.when(ended, F.col("first"))).over(whole))
-    inside = F.col("ok") & (F.col("first") >= F.col("start_s")) & (F.col("closed_s").isNull() | (F.col("first") < F.col("closed_s")))
-    return runs.where(inside).groupBy("asset_id", "start_s", "closed_s").agg(F.max("last").alias("end_s")).select("asset_id", "start_s", "end_s", "closed_s")
+    found = found.withColumn("start_s", F.min(F.when(F.col("ok") & (F.col("n") >= min_run), F.col("first_s"))).over(whole))
+    ended = ~F.col("ok") & (F.col("n") >= max_misses) & (F.col("first_s") - F.col("start_s") > min_s)
+    found = found.withColumn("closed_s", F.min(F.when(ended, F.col("first_s"))).over(whole))
+    inside = F.col("ok") & (F.col("first_s") >= F.col("start_s")) & (F.col("closed_s").isNull() | (F.col("first_s") < F.col("closed_s")))
+    return found.where(inside).groupBy("asset_id", "start_s", "closed_s").agg(F.max("last_s").alias("end_s")).select("asset_id", "start_s", "end_s", "closed_s")
 
 
 def bars_extremes(frames: DataFrame, regions: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tapeqc.operators import intervals, medians, similarity, video
-from tapeqc.operators.runs import runs
+from tapeqc.operators.runs import near_rows, runs
 
 
 @pytest.mark.parametrize("width", [1, 3, 7, 8192])
@@ -33,6 +33,19 @@ def test_runs(spark, width):
     assert sorted(map(tuple, near.collect())) == sorted(groups)
 
 
+@pytest.mark.parametrize("width", [1, 4, 9, 8192])
+def test_near_rows(spark, width):
+    rng = np.random.default_rng(width)
+    rows = [(a, int(k), int(x)) for a, n in ((0, 500), (1, 7), (2, 1)) for k, x in zip(np.cumsum(rng.integers(1, 3, n)), rng.integers(0, 9, n), strict=True)]
+    df = spark.createDataFrame(rows, "asset_id int, k long, x int").repartition(4)
+    got = near_rows(df, ["asset_id"], "k", {"sum": lambda w: F.sum("x").over(w.rowsBetween(-3, 2)), "prev": lambda w: F.lag("x", 3).over(w)}, 3, width=width)
+    want = []
+    for a in range(3):
+        own = [r for r in rows if r[0] == a]
+        want += [(*r, sum(x for _, _, x in own[max(0, i - 3) : i + 3]), own[i - 3][2] if i >= 3 else None) for i, r in enumerate(own)]
+    assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
 def test_black_segments_over_blocks(spark, monkeypatch):
     rng = np.random.default_rng(1)
     dark, n = np.repeat(rng.integers(0, 2, 500), rng.integers(1, 60, 500)), 12_000
