@@ -204,33 +204,22 @@ class WaveletFile(WaveletMatrix):
         return int.from_bytes(self._read(self.start + 8 * self.documents + 4 * (len(self.symbols) + level * self.runs + run), 4), "little")
 
 
-def encoded(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """doc_id, h (a hash of the text), wide, ids: each text's ids and `end_id` as little-endian numbers of two bytes, or four where `wide`: where the vocabulary needs them."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer, remembered=400_000)
-        end = int(end_id).to_bytes(2 if encode.kind == "H" else 4, "little")
-        for b in (whole.slice(k, 500) for whole in batches for k in range(0, whole.num_rows, 500)):
-            out = [encode.packed(text.as_py()) + end for text in b["text"]]
-            yield pa.RecordBatch.from_arrays([b["doc_id"], b["h"], pa.array([encode.kind == "I"] * len(out)), pa.array(out, pa.binary())], names=["doc_id", "h", "wide", "ids"])
-
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
-    return own.select("doc_id", "h", "text").mapInArrow(run, "doc_id long, h long, wide boolean, ids binary")
-
-
 def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """Writes the ids of docs' texts (doc_id, text), each with `end_id` after it, in ascending doc_id order; returns the manifest.
 
-    A row for each file: part, file_no (both ascending with doc_id), path, n_ids, doc_ids. Texts are encoded where they are read, and
-    their ids range-partitioned by doc_id; each task writes its part in files of about SHARD_IDS ids.
+    A row for each file: part, file_no (both ascending with doc_id), path, n_ids, doc_ids. Texts are range-partitioned by doc_id, in one exchange
+    whose ranges a scan without Python samples; each task encodes its part's texts and writes them in files of about SHARD_IDS ids.
     """
     folder = shared_dir(docs.sparkSession, "tokens")
-    own = written(encoded(docs, tokenizer, end_id), "token-ids")  # ranges are sampled: a table, else texts were encoded once more
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("h", F.xxhash64("text"))
     dealt = own.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").withColumn("part", F.spark_partition_id()).drop("h")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
+        encode = encoder(tokenizer, remembered=400_000)
+        kind = "<u4" if encode.kind == "I" else "<u2"
+        end = np.array([end_id], dtype=kind)
         ids, names, part, file_no, n = [], [], 0, 0, 0
 
         def close() -> pa.RecordBatch:
@@ -241,8 +230,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
 
         for b in batches:
             part = b["part"][0].as_py() if b.num_rows else part
-            for doc_id, wide, packed in zip(b["doc_id"].to_pylist(), b["wide"].to_pylist(), b["ids"], strict=True):
-                x = np.frombuffer(packed.as_buffer(), dtype="<u4" if wide else "<u2")
+            for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"], strict=True):
+                x = np.append(np.frombuffer(encode.packed(text.as_py()), dtype=kind), end)
                 if ids and n + len(x) > SHARD_IDS:
                     yield close()
                     ids, names, file_no, n = [], [], file_no + 1, 0
