@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import IMBALANCE, characterize_imbalance, dropped_sample_score
+from ..tables import written
 from .intervals import ASSET, gap_islands, islands, merge_spans, near_regions, suppress_in_bars
 from .medians import running_median
 from .runs import near_rows, runs
@@ -220,6 +221,7 @@ def tc_subregions(frames: DataFrame, flag: str, hole_s: float = 2.0, join_s: flo
     merged = {"start_s": (F.min("start_s"), F.min), "end_s": (F.max("end_s"), F.max), "_last": (F.max("last"), F.max)}
     holes = runs(off.select(*CHANNEL, "first", "last", "start_s", "end_s"), CHANNEL, "first", F.struct("start_s", "end_s"), merged, lambda before, now: now["head"]["start_s"] - before["tail"]["end_s"] < join_s)
     holes = holes.where(F.col("end_s") - F.col("start_s") >= hole_s).select(*CHANNEL, "start_s", "end_s", "_last")
+    holes = written(holes, "holes")  # few, and asked for three times
     inside = lambda held: F.coalesce(F.exists(held, lambda h: (F.col("t") > h["start_s"]) & (F.col("t") < h["end_s"])), F.lit(False))
     kept = near_regions(own.where(F.col(flag)).select(*CHANNEL, "frame_idx", "t"), holes, "_inside", inside, keys=CHANNEL).where("not _inside")
     # A stretch begins anew before the last frame of each hole.

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
 from .intervals import descending, greedy_spaced, with_regions
 from .video import is_black
 
@@ -275,10 +276,11 @@ def shift_periods(periods: DataFrame, black: DataFrame, assets: DataFrame, step_
 
 def settle_periods(periods: DataFrame, candidates: DataFrame, black: DataFrame, assets: DataFrame, least: float = 5.0, **shifts: float) -> DataFrame:
     """replace_low_value_periods, and the periods of assets in which one was replaced judged anew against black segments and moved, or left out, by shift_periods; others stay as they are."""
-    new = replace_low_value_periods(periods, candidates, least)
+    periods = written(periods, "periods")  # few, and asked for several times, as is what comes of them
+    new = written(replace_low_value_periods(periods, candidates, least), "periods")
     was = periods.select("asset_id", "period_no", F.col("start_s").alias("_s"), F.col("duration_s").alias("_d"))
     moved = new.join(was, ["asset_id", "period_no"]).where((F.col("start_s") != F.col("_s")) | (F.col("duration_s") != F.col("_d"))).select("asset_id").distinct()
-    again = shift_periods(new.join(moved, "asset_id", "left_semi"), black, assets, **shifts)
+    again = shift_periods(new.join(moved, "asset_id", "left_semi"), written(black, "black-segments"), assets, **shifts)
     return again.unionByName(new.join(moved, "asset_id", "left_anti").select(again.columns))
 
 
