@@ -39,8 +39,8 @@ ASKING = 1024
 
 _STRINGS = pa.schema({"d": pa.int32(), "tree": pa.int32(), "string": pa.int64(), "node": pa.int64(), "asks": pa.bool_(), "q8": pa.binary(), "scale": pa.float32(), "off": pa.float32()})
 _NEAR = pa.list_(pa.struct({"node": pa.int64(), "low": pa.float32(), "high": pa.float32()}))
-_BLOCKS = pa.schema({"part": pa.int32(), "no": pa.int32(), "d": pa.int32(), "tree": pa.int32(), "lo": pa.int64(), "hi": pa.int64(), "nodes": pa.binary(), "q8s": pa.binary(), "scales": pa.binary(), "offs": pa.binary(), "query": pa.int64(), "depth": pa.int32(), "q8": pa.binary(), "scale": pa.float32(), "off": pa.float32(), "near": _NEAR})
-_BLOCKS_DDL = "part int, no int, d int, tree int, lo long, hi long, nodes binary, q8s binary, scales binary, offs binary, query long, depth int, q8 binary, scale float, off float, near array<struct<node: long, low: float, high: float>>"
+_BLOCKS = pa.schema({"part": pa.int32(), "no": pa.int32(), "d": pa.int32(), "tree": pa.int32(), "lo": pa.int64(), "hi": pa.int64(), "nodes": pa.binary(), "q8s": pa.binary(), "scales": pa.binary(), "offs": pa.binary(), "query": pa.int64(), "string": pa.int64(), "depth": pa.int32(), "q8": pa.binary(), "scale": pa.float32(), "off": pa.float32(), "near": _NEAR})
+_BLOCKS_DDL = "part int, no int, d int, tree int, lo long, hi long, nodes binary, q8s binary, scales binary, offs binary, query long, string long, depth int, q8 binary, scale float, off float, near array<struct<node: long, low: float, high: float>>"
 
 
 @lru_cache(maxsize=8)
@@ -127,7 +127,7 @@ def _block(rows: pa.Table, no: int, k: int) -> Iterator[pa.RecordBatch]:
     for some in (at[x : x + ASKING] for x in range(0, len(at), ASKING)):
         i, j, low, high = best_open((q8[some], scale[some], off[some]), nodes[some], (q8, scale, off), nodes, k, np.full(len(some), -np.inf, dtype=np.float32))
         depth = np.maximum(_bits_shared(strings[some], lo), _bits_shared(strings[some], hi)) + 1
-        cols = {"query": pa.array(nodes[some]), "depth": pa.array(depth.astype(np.int32)), "q8": rows["q8"].combine_chunks().take(pa.array(some)), "scale": pa.array(scale[some]), "off": pa.array(off[some]), "near": _near(i, len(some), nodes[j], low, high)}
+        cols = {"query": pa.array(nodes[some]), "string": pa.array(strings[some]), "depth": pa.array(depth.astype(np.int32)), "q8": rows["q8"].combine_chunks().take(pa.array(some)), "scale": pa.array(scale[some]), "off": pa.array(off[some]), "near": _near(i, len(some), nodes[j], low, high)}
         cols |= {c: pa.array([x] * len(some), _BLOCKS.field(c).type) for c, x in fields.items()}
         yield pa.RecordBatch.from_arrays([cols.get(f.name, pa.nulls(len(some), f.type)) for f in _BLOCKS], schema=_BLOCKS)
 
@@ -208,9 +208,8 @@ def neighbours(nodes: DataFrame, k: int, trees: int, miss: float, seed: int, blo
     p = 1 - F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), F.col("kth").cast("double")))) / F.lit(float(np.pi))
     level = F.floor(F.log(F.lit(1 - miss ** (1 / trees))) / F.log(p))
     level = F.when((F.coalesce(F.col("found"), F.lit(0)) < k) | (p <= 0), 0).when(p >= 1, BITS).otherwise(F.least(F.lit(BITS), level)).cast("int")
-    asking = found.select("query", "d", "tree", "lo", "depth", "q8", "scale", "off").join(_kth(own, k), "query", "left")
-    strings = _strings(nodes.where("asks"), trees, seed).select(F.col("node").alias("query"), "tree", "string")
-    asking = asking.withColumn("x", level).where((F.col("x") < F.col("depth")) & ((F.col("x") > 0) | (F.col("tree") == 0))).join(strings, ["query", "tree"])
+    asking = found.select("query", "d", "tree", "string", "depth", "q8", "scale", "off").join(_kth(own, k), "query", "left")
+    asking = asking.withColumn("x", level).where((F.col("x") < F.col("depth")) & ((F.col("x") > 0) | (F.col("tree") == 0)))
     asking = asking.withColumn("kth", F.when(F.col("found") >= k, F.col("kth")).otherwise(F.lit(float("-inf"))).cast("float"))
     asking = written(asking.select("query", "d", "tree", "string", "x", "q8", "scale", "off", "kth"), "ann-asking")
     more = _ascended(held, asking, k)
