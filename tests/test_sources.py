@@ -1,9 +1,11 @@
 import gzip
 import json
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from tapeqc.functions import scalars as P
+from tapeqc.operators import metadata as M
 from tapeqc.sources import readers as R
 
 
@@ -81,3 +83,30 @@ def test_scalars(spark):
     assert (one.d.score, one.d.status) == (0.266, "warning")
     assert [(b.side, b.w) for b in one.b] == [("left", 10), ("right", 10)]
     assert (one.latin, one.utf) == ("café", "café")
+
+
+def test_xml_that_is_none_gives_nothing(spark, tmp_path):
+    put = lambda name, text: ((tmp_path / name).write_text(text), str(tmp_path / name))[1]
+    paths = [put("bad.tags.xml", "<Tags><Tag>"), put("empty.tags.xml", ""), put("ok.tags.xml", "<Tags><Tag><Simple><Name>A</Name><String>1</String><Simple><Name>B</Name></Simple></Simple></Tag></Tags>")]
+    assert sorted((r.asset_id, r.name, r.value) for r in R.read_matroska_tags(spark, paths).collect()) == [("ok", "A", "1"), ("ok", "B", "")]
+    policy = put("odd.xml", '<other><policy type="or"/></other>')
+    assert R.read_policy_tree(spark, policy).count() == 0
+
+
+def test_findings_replace_those_of_their_assets(spark, tmp_path):
+    path = str(tmp_path / "findings")
+    rows = lambda assets, run: spark.createDataFrame([(a, f"f{k}", run) for a in assets for k in range(3)], "asset_id int, finding string, run int")
+    read = lambda: Counter((r.asset_id, r.run) for r in spark.read.parquet(path).collect())
+    R.write_findings(rows(range(40), 1), path, buckets=8)
+    before = {p: p.stat().st_mtime_ns for p in (tmp_path / "findings").rglob("*.parquet")}
+    for _ in range(2):
+        R.write_findings(rows([3, 5, 100], 2), path, buckets=8)
+        assert read() == Counter({(a, 2 if a in (3, 5) else 1): 3 for a in range(40)} | {(100, 2): 3})
+    kept = [p for p in before if p.exists()]
+    assert kept and all(p.stat().st_mtime_ns == before[p] for p in kept)  # folders without these assets are left alone
+
+
+def test_settings_move_by_their_longest_name(spark):
+    settings = spark.createDataFrame([(1, "a.b.c", "yes"), (1, "a.bc", "yes"), (1, "x", "old"), (1, "y", "new"), (2, "a.b", "No"), (2, "z", None)], "asset_id int, path string, value string")
+    renames = spark.createDataFrame([("a", "q"), ("a.b", "r"), ("x", "y")], "old string, new string")
+    assert sorted(map(tuple, M.migrate_settings(settings, renames).collect())) == [(1, "q.bc", "true"), (1, "r.c", "true"), (1, "y", "new"), (2, "r", "false"), (2, "z", None)]
