@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .blocks import blocked
 from .graph import components
-from .shared import written
+from .shared import spread_join, written
 
 #: Vectors of one cell that a block holds.
 BLOCK = 512
@@ -115,9 +115,10 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, tables: int = 8,
     groups = components(found.where("b is not null").select("a", "b"))
     ids = members.where("node is not null").groupBy("node").agg(F.min("vec_id").alias("low"), F.count("*").alias("copies"))
     nodes = ids.join(counts, "node", "left").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    lows = nodes.groupBy("component").agg(F.min("low").alias("component_low"))
-    nodes = nodes.join(lows, "component").select("node", "component_low", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"))
-    out = members.join(nodes, "node", "left")
+    nodes = written(nodes, "vector-nodes-linked")
+    lows = written(nodes.groupBy("component").agg(F.min("low").alias("component_low"), F.count("*").alias("n")), "vector-components")
+    nodes = spread_join(nodes, lows, "component", "n").select("node", "component_low", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("links"), F.col("copies").alias("n"))
+    out = spread_join(members, written(nodes, "vector-nodes-told"), "node", "n")
     component = F.coalesce("component_low", "vec_id")
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), component.eqNullSafe(F.col("vec_id")).alias("kept"))
 

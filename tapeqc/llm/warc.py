@@ -26,7 +26,7 @@ import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_dir, written
+from .shared import shared_dir, spread_join, written
 
 #: Lines in a block of the index.
 BLOCK_LINES = 2000
@@ -65,13 +65,13 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01
     """Writes pages (page_id, url, html) to archives; returns the committed index lines: key, page_id, line.
 
     Payloads are compared by SHA-1. Groups are found by an aggregation over digests alone and joined back; each page's html is
-    moved once, and a payload that very many pages share is an ordinary skewed join.
+    moved once, and payloads that very many pages share are joined where the pages are.
     """
     folder = shared_dir(pages.sparkSession, "warc")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     own = own.select("*", F.sha1("payload").alias("sha"), url_key().alias("key")).withColumn("line_key", _line_key(F.col("key"), F.col("page_id")))
-    groups = own.where(F.length("payload") >= min_bytes).groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("response"), F.max_by("url", "page_id").alias("response_url")).where("n > 1").drop("n")
-    roles = own.join(groups, "sha", "left").select("page_id", "url", "payload", "line_key", F.when(F.length("payload") >= min_bytes, F.col("response")).alias("response"), "response_url")
+    groups = own.where(F.length("payload") >= min_bytes).groupBy("sha").agg(F.count("*").alias("n"), F.max("page_id").alias("response"), F.max_by("url", "page_id").alias("response_url")).where("n > 1")
+    roles = spread_join(own, written(groups, "warc-groups"), "sha", "n").select("page_id", "url", "payload", "line_key", F.when(F.length("payload") >= min_bytes, F.col("response")).alias("response"), "response_url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)

@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tapeqc.llm import ann, graph, jaccard, langid, lattice, license_scan, mixing, packing, pii, ranks, warc, wavelet, words
+from tapeqc.llm import ann, graph, jaccard, langid, lattice, license_scan, mixing, packing, pii, ranks, shared, warc, wavelet, words
 from tapeqc.llm.queries import TOKENIZER
 
 SF = "/root/testdata/sf0.001"
@@ -46,6 +46,15 @@ def test_offsets(spark):
     assert at == {g: sum(k % 7 for k in range(3000) if k % 3 == g) for g in range(3)}
 
 
+def test_spread_join(spark):
+    rows_ = [(7, k) for k in range(500)] + [(k, k) for k in range(100)] + [(None, k) for k in range(50)] + [(7, 3), (7, 3)]
+    rows_ = spark.createDataFrame(rows_, "key int, x int")
+    small = shared.written(rows_.where("key % 2 = 1 or key = 4").groupBy("key").agg(F.count("*").alias("n"), F.max("x").alias("most"), F.lit("s").alias("s")), "small")
+    want = sorted(map(str, rows_.join(small.drop("n"), "key", "left").collect()))
+    for least in (0, 100, 1000):
+        assert sorted(map(str, shared.spread_join(rows_, small, "key", "n", least).collect())) == want
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (9, 8), (3, 1), (8, 7), (5, 5), (None, 4), (6, 3)]
     got = {r.node: r.component for r in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
