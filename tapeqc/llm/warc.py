@@ -106,15 +106,15 @@ def write_archives(pages: DataFrame, min_bytes: int = 0, date: str = "1970-01-01
 
 
 def write_index(lines: DataFrame) -> DataFrame:
-    """Writes the capture index of `write_archives`' lines; returns a row for each index file: first_key, path, folder (the archives')."""
+    """Writes the capture index of `write_archives`' lines; returns a row for each index file: part (files stand in its order), first_key, path, folder (the archives')."""
     folder = shared_dir(lines.sparkSession, "cdx")
-    dealt = lines.repartitionByRange("key", "line").sortWithinPartitions("key", "line")
-    schema = pa.schema({"first_key": pa.string(), "path": pa.string(), "folder": pa.string()})
+    dealt = lines.repartitionByRange("key", "line").sortWithinPartitions("key", "line").withColumn("part", F.spark_partition_id())
+    schema = pa.schema({"part": pa.int32(), "first_key": pa.string(), "path": pa.string(), "folder": pa.string()})
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pyarrow.fs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        path, out, at, block, directory, archives = f"{root}/{uuid.uuid4().hex}.cdx", None, 0, [], [], None
+        path, out, at, block, directory, archives, part = f"{root}/{uuid.uuid4().hex}.cdx", None, 0, [], [], None, 0
 
         def flush() -> None:
             nonlocal at
@@ -125,6 +125,7 @@ def write_index(lines: DataFrame) -> DataFrame:
             block.clear()
 
         for b in batches:
+            part = b["part"][0].as_py() if b.num_rows else part
             for key, line, where in zip(b["key"].to_pylist(), b["line"].to_pylist(), b["folder"].to_pylist(), strict=True):
                 if out is None:
                     out, archives = fs.open_output_stream(path, compression=None), where
@@ -137,9 +138,9 @@ def write_index(lines: DataFrame) -> DataFrame:
             foot = zlib.compress(json.dumps(directory).encode())
             out.write(foot + len(foot).to_bytes(8, "little"))
             out.close()
-            yield pa.RecordBatch.from_pydict({"first_key": [directory[0][0]], "path": [path], "folder": [archives]}, schema)
+            yield pa.RecordBatch.from_pydict({"part": [part], "first_key": [directory[0][0]], "path": [path], "folder": [archives]}, schema)
 
-    return written(dealt.mapInArrow(write, "first_key string, path string, folder string"), "cdx-files")
+    return written(dealt.mapInArrow(write, "part int, first_key string, path string, folder string"), "cdx-files")
 
 
 class CaptureIndex:
@@ -197,7 +198,8 @@ def lookup(files: DataFrame, wanted: DataFrame) -> DataFrame:
 
     The index files' first keys, one for each file, go to every task; each search goes to its file's task.
     """
-    table = sorted((r.first_key, r.path, r.folder) for r in files.collect())
+    # In the order of the parts: a key whose lines fill several files begins more than one of them, and only the last goes on beyond it.
+    table = [(r.first_key, r.path, r.folder) for r in sorted(files.collect(), key=lambda r: r.part)]
     firsts = [t[0] for t in table]
     exact = "page_id" in wanted.columns
     key = url_key()
