@@ -216,7 +216,11 @@ def _pairs(ranks: DataFrame, limit: int) -> DataFrame:
 
 def _states(levels: list[DataFrame], length: int) -> DataFrame:
     """doc, at, rank (the first), state of each position that has a first rank: 1 if a longer repeat covers all its strings, 2 if that repeat's first position is in
-    its text and stands for the others, 3 if it is open."""
+    its text and stands for the others, 3 if it is open. And rows of state 0: in rank, the first and last start of a run of strings within longer repeats.
+
+    A string that lies in no longer repeat meets any equal one: that one's position is open or stands for its repeat, or lies in a repeat that an
+    earlier position stands for, and so on down to one that is open or stands. A string in a longer repeat is told by its run.
+    """
     rows = [df.select("doc", "at", F.lit(k).cast("long").alias("level"), "rank", "size", F.col("first").cast("long").alias("first")) for k, df in enumerate(levels)]
     every = rows[0]
     for df in rows[1:]:
@@ -232,7 +236,14 @@ def _states(levels: list[DataFrame], length: int) -> DataFrame:
         k = np.searchsorted(place, from_, side="right") - 1
         covered = (k >= 0) & (reach[np.maximum(k, 0)] >= to)
         state = np.where(covered, 1 + first[best[np.maximum(k, 0)]], 3)
-        return _batch(["doc", "at", "rank", "state"], [doc[low], at[low], rank[low], state])
+        # Runs of starts whose strings lie in longer repeats, those of open positions too.
+        chain = np.flatnonzero(size >= length)
+        begin, end = place[chain], np.maximum.accumulate((place + size)[chain] - length)
+        opens = np.append(True, begin[1:] > end[:-1] + 1)[: len(chain)]
+        heads, tails = np.flatnonzero(opens), np.flatnonzero(np.append(opens[1:], True)[: len(chain)])
+        own = chain[heads]
+        run = (begin[heads] - base[own]) << 32 | end[tails] - base[own]
+        return _batch(["doc", "at", "rank", "state"], [np.append(doc[low], doc[own]), np.append(at[low], at[own]), np.append(rank[low], run), np.append(state, np.zeros(len(own), dtype=np.int64))])
 
     return _by_text(every, ["doc", "at", "level", "rank", "size", "first"], work, "doc long, at long, rank long, state long", ["at", "level"])
 
@@ -335,9 +346,7 @@ def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:
     runs = _compared(contexts.where(F.col("n") <= GROUP), length)
     if not (large := contexts.where(F.col("n") > GROUP)).isEmpty():
         runs = runs.union(_sorted_strings(large, length))
-    at = F.col("at")
-    place = F.shiftright(at, 16).bitwiseAND(0xFFFFFFFF)
-    covered = states.where("state < 3").select("doc", "at", (place - F.shiftright(at, 8).bitwiseAND(0xFF)).alias("first"), (place - at.bitwiseAND(0xFF)).alias("last"))
+    covered = states.where("state = 0").select("doc", "at", F.shiftright("rank", 32).alias("first"), F.col("rank").bitwiseAND(0xFFFFFFFF).alias("last"))
     copied = contents.where((F.col("copies") > 1) & (F.col("n_bytes") >= length)).select("doc", F.shiftleft("salt", 48).alias("at"), F.lit(0).cast("long").alias("first"), (F.col("n_bytes") - length).alias("last"))
 
     def work(columns: list[np.ndarray], number: np.ndarray) -> pa.RecordBatch:
