@@ -244,12 +244,13 @@ def refine_start(regions: DataFrame, frames: DataFrame, level: str = "r128_m", b
     near = Window.partitionBy("asset_id").orderBy(F.col("_i") / (F.col("_ahead") - 0.5)).rangeBetween(0, 1)
     judged = own.withColumns({"mid": F.percentile("x", 0.5).over(near), "_next": F.lead("t").over(w)})
     failed = F.when(~F.coalesce(F.col("mid").between(*band), F.lit(False)), F.col("_next"))
-    reach = judged.select("asset_id", "t", F.coalesce(F.max(failed).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first("t").over(w)).alias("reach"))
+    reach = judged.select("asset_id", "t", "_i", F.coalesce(F.max(failed).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.first("t").over(w)).alias("reach"))
     row = F.struct(*regions.columns)
-    marks = reach.select("asset_id", "t", F.lit(1).alias("kind"), "reach").unionByName(regions.select("asset_id", F.col("start_s").alias("t"), F.lit(0).alias("kind"), row.alias("_row")), allowMissingColumns=True)
-    ahead = Window.partitionBy("asset_id").orderBy("t", "kind").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    marks = reach.select("asset_id", "t", "_i", F.lit(1).alias("kind"), "reach").unionByName(regions.select("asset_id", F.col("start_s").alias("t"), F.lit(0).alias("kind"), row.alias("_row")), allowMissingColumns=True)
+    # From the last frame back: a frame that grows with each row is kept up, one that shrinks would be read anew for each.
+    ahead = Window.partitionBy("asset_id").orderBy(F.desc("t"), F.desc("kind"), F.desc("_i")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     begin = F.min(F.when(F.col("kind") == 1, F.col("t"))).over(Window.partitionBy("asset_id"))
-    out = marks.select("_row", "kind", F.first("reach", ignorenulls=True).over(ahead).alias("reach"), begin.alias("begin")).where("kind = 0")
+    out = marks.select("_row", "kind", F.last("reach", ignorenulls=True).over(ahead).alias("reach"), begin.alias("begin")).where("kind = 0")
     return out.select(*[F.coalesce("reach", "begin", "_row.start_s").alias(c) if c == "start_s" else F.col("_row")[c].alias(c) for c in regions.columns])
 
 
