@@ -123,8 +123,26 @@ def hopping_windows(df: DataFrame, keys: list[str], seconds: float = WINDOW_S, n
     return own.where((high >= low) & (F.col("_n") >= F.col("_size"))).withColumn("win", F.explode(F.sequence(low, high))).drop("_i", "_n", "_dt", "_size", "_step")
 
 
-def _stdev(c: str) -> Column:
-    return F.coalesce(F.stddev_samp(c), F.lit(0.0))
+def _rows(*metrics: str) -> Column:
+    """An aggregate: a window's frames in their order, with these metrics."""
+    return F.array_sort(F.collect_list(F.struct("frame_idx", *metrics)))
+
+
+def _measured(rows: str, c: str) -> Column:
+    """The values of a metric that were measured, in the order of the frames."""
+    return F.filter(F.transform(rows, lambda z: z[c]), lambda x: x.isNotNull())
+
+
+def _spread(values: Column) -> Column:
+    """The sample's standard deviation of an array, 0 of fewer than two values.
+
+    Mean and squares run in the array's order, as stddev_samp's in the order of arrival: spreads that stand at a threshold fall on the same
+    side of it however the rows were shuffled.
+    """
+    mean = lambda a, x: a["mean"] + (x - a["mean"]) / (a["n"] + 1)
+    add = lambda a, x: F.struct((a["n"] + 1).alias("n"), mean(a, x).alias("mean"), (a["sq"] + (x - mean(a, x)) * (x - a["mean"])).alias("sq"))
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("sq"))
+    return F.aggregate(values, none, add, lambda a: F.when(a["n"] > 1, F.sqrt(a["sq"] / (a["n"] - 1))).otherwise(0.0))
 
 
 def astats_timecode(frames: DataFrame, seconds: float = WINDOW_S) -> DataFrame:
@@ -133,11 +151,13 @@ def astats_timecode(frames: DataFrame, seconds: float = WINDOW_S) -> DataFrame:
     frames: asset_id, ch, frame_idx, t and the metrics of ASTATS_BANDS, null where not measured. high: all four are steadier still.
     """
     wide = hopping_windows(frames, CHANNEL, seconds, nearest=True)
-    aggs = [x for c in ASTATS_BANDS for x in (F.avg(c).alias(f"{c}_m"), _stdev(c).alias(f"{c}_s"))]
-    out = wide.groupBy(*CHANNEL, "win").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"), *aggs)
-    high = F.lit(True)
+    out = wide.groupBy(*CHANNEL, "win").agg(F.min("t").alias("start_s"), F.max("t").alias("end_s"), *[F.avg(c).alias(f"{c}_m") for c in ASTATS_BANDS], _rows(*ASTATS_BANDS).alias("_rows"))
     for c, band in ASTATS_BANDS.items():
-        out = out.where(F.col(f"{c}_m").between(*band) & (F.col(f"{c}_s") < ASTATS_STDEV[c]))
+        out = out.where(F.col(f"{c}_m").between(*band))
+    out = out.withColumns({f"{c}_s": _spread(_measured("_rows", c)) for c in ASTATS_BANDS}).drop("_rows")
+    high = F.lit(True)
+    for c in ASTATS_BANDS:
+        out = out.where(F.col(f"{c}_s") < ASTATS_STDEV[c])
         high = high & (F.col(f"{c}_s") < ASTATS_STDEV_HIGH[c])
     criterion = F.concat(F.lit("astats (ch"), F.col("ch").cast("string"), F.lit(")"))
     return out.select(*CHANNEL, criterion.alias("criterion"), "win", "start_s", "end_s", F.when(high, "high").otherwise("medium").alias("confidence"))
@@ -160,12 +180,13 @@ def r128_timecode(frames: DataFrame, seconds: float = WINDOW_S) -> DataFrame:
     """
     i = frames.groupBy("asset_id").agg(F.max_by("r128_i", F.when(F.col("r128_i") < -1, F.col("frame_idx"))).alias("i"))
     wide = hopping_windows(frames, ["asset_id"], seconds)
-    in_order = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col(c).isNotNull(), F.struct("frame_idx", F.col(c).alias("x"))))), lambda z: z["x"])
-    pairs = F.filter(F.zip_with(in_order("r128_m"), in_order("r128_s"), lambda m, s: F.abs(m - s)), lambda x: x.isNotNull())
     one = wide.groupBy("asset_id", "win").agg(
-        F.min("t").alias("start_s"), F.max("t").alias("end_s"), F.avg("r128_m").alias("m_mean"), _stdev("r128_m").alias("m_std"), F.percentile("r128_m", 0.5).alias("m_med"), F.min("r128_m").alias("m_min"),
-        F.percentile("r128_lra", 0.5).alias("lra_med"), F.avg("r128_lra_high").alias("high_mean"), _stdev("r128_lra_high").alias("high_std"), F.array_sort(pairs).alias("gaps"),
-    ).join(i, "asset_id")
+        F.min("t").alias("start_s"), F.max("t").alias("end_s"), F.avg("r128_m").alias("m_mean"), F.percentile("r128_m", 0.5).alias("m_med"), F.min("r128_m").alias("m_min"),
+        F.percentile("r128_lra", 0.5).alias("lra_med"), F.avg("r128_lra_high").alias("high_mean"), _rows("r128_m", "r128_s", "r128_lra_high").alias("_rows"),
+    )
+    pairs = F.filter(F.zip_with(_measured("_rows", "r128_m"), _measured("_rows", "r128_s"), lambda m, s: F.abs(m - s)), lambda x: x.isNotNull())
+    spreads = {f"{k}_std": _spread(_measured("_rows", c)) for k, c in {"m": "r128_m", "high": "r128_lra_high"}.items()}
+    one = one.withColumns(spreads | {"gaps": F.array_sort(pairs)}).drop("_rows").join(i, "asset_id")
     n = F.size("gaps")
     gap = F.when(n > 0, (F.get("gaps", F.floor((n - 1) / 2).cast("int")) + F.get("gaps", F.floor(n / 2).cast("int"))) / 2)
     there = F.col("m_mean").isNotNull()
