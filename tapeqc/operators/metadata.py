@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import written
+
 FIELD = ["tool", "section", "field"]
 #: Order of the tools in a report of differences.
 TOOLS = ("exiftool", "mediainfo", "mediatrace", "ffprobe")
@@ -98,23 +100,28 @@ def check_policy_tree(metadata: DataFrame, assets: DataFrame, nodes: DataFrame)
     nodes: policy, node_id, parent_id (null: the whole policy), depth (0: the whole), op (and, or; null: a rule), tracktype, field, occurrence,
     operator, value. metadata: asset_id, section, field, value, and track_no (from 0) where there are several tracks of a section. A rule holds by
     its occurrence in any track (`*` or null), in all, or in the track of that number; a rule on a field that no track has is judged once. Groups are
-    folded from the lowest level up, a round a level; a group without members passes.
+    folded from the lowest level up, a round a level; a group without members passes. Rules and levels are written, as each is read by the level above
+    and by the result, and no side of a join is held whole.
     """
     track = F.col("track_no").cast("string") if "track_no" in metadata.columns else F.lit("0")
     have = metadata.select("asset_id", F.col("section").alias("tracktype"), "field", F.col("value").alias("have"), track.alias("_track"))
     rules = _for_each(assets, nodes.where("op IS NULL").select("policy", "node_id", "parent_id", "depth", "tracktype", "field", F.coalesce("occurrence", F.lit("*")).alias("occurrence"), "operator", "value"))
     met = F.col("_track").isNull() | F.col("occurrence").isin("*", "all") | (F.col("occurrence") == F.col("_track"))
-    wide = rules.join(have, ["asset_id", "tracktype", "field"], "left").withColumn("ok", F.when(met, _holds(F.col("operator"), F.col("have"), F.col("value"))))
+    wide = rules.join(have.hint("merge"), ["asset_id", "tracktype", "field"], "left").withColumn("ok", F.when(met, _holds(F.col("operator"), F.col("have"), F.col("value"))))
     ok = F.when(F.first("occurrence") == "all", F.bool_and("ok")).otherwise(F.bool_or("ok"))
     key = ["asset_id", "policy", "node_id", "parent_id", "depth"]
-    judged = wide.groupBy(*key).agg(F.coalesce(ok, F.first("operator") == "must not exist").alias("passed"))
-    groups = _for_each(assets, nodes.where("op IS NOT NULL").select("policy", "node_id", "parent_id", "depth", "op"))
-    deepest = nodes.where("op IS NOT NULL").agg(F.max("depth")).first()[0]
+    judged = written(wide.groupBy(*key).agg(F.coalesce(ok, F.first("operator") == "must not exist").alias("passed")), "policy-rules")
+    groups = nodes.where("op IS NOT NULL").select("policy", "node_id", "parent_id", "depth", "op")
+    levels = [judged]
+    deepest = groups.agg(F.max("depth")).first()[0]
     for depth in range(-1 if deepest is None else deepest, -1, -1):
-        below = judged.where(F.col("depth") == depth + 1).groupBy("asset_id", "policy", F.col("parent_id").alias("node_id")).agg(F.bool_and("passed").alias("every"), F.bool_or("passed").alias("any"))
-        level = groups.where(F.col("depth") == depth).join(below, ["asset_id", "policy", "node_id"], "left")
+        # A group's own row and its members meet by an aggregation.
+        below = [df.where(F.col("depth") == depth + 1).select("asset_id", "policy", F.col("parent_id").alias("node_id"), "passed") for df in ([judged, levels[-1]] if len(levels) > 1 else [judged])]
+        level = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), [_for_each(assets, groups.where(F.col("depth") == depth)), *below])
+        level = level.groupBy("asset_id", "policy", "node_id").agg(F.max("parent_id").alias("parent_id"), F.max("depth").alias("depth"), F.max("op").alias("op"), F.bool_and("passed").alias("every"), F.bool_or("passed").alias("any"))
         passed = F.coalesce(F.when(F.col("op") == "or", F.col("any")).otherwise(F.col("every")), F.lit(True))
-        judged = judged.unionByName(level.select(*key, passed.alias("passed")))
+        levels.append(written(level.where("op IS NOT NULL").select(*key, passed.alias("passed")), "policy-level"))
+    judged = reduce(DataFrame.unionByName, levels)
     return judged.select("asset_id", "policy", "node_id", "parent_id", "passed")
 
 
