@@ -45,7 +45,7 @@ def _reports(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("asset_id") % 3
     own = frames(spark, d).select("asset_id", "frame_idx", F.when(k != 1, F.col("t")).alias("pts"), F.when(k == 1, F.col("t")).when(k == 2, F.col("t") + 0.5).alias("dts"), *_METRICS)
     files = reports.write_frame_reports(own, _METRICS, F.col("asset_id") % 2 == 0)
-    return R.read_frame_reports(spark, [r.path for r in files.select("path").collect()], part_bytes=1 << 17)
+    return R.read_frame_reports(spark, files, part_bytes=1 << 17)
 
 
 @_query("S1_frame_reports", f"WITH {FRAMES} SELECT asset_id, frame_idx, t + CASE WHEN asset_id % 3 = 2 THEN 0.5 ELSE 0 END AS t, {', '.join(_METRICS)} FROM frames")

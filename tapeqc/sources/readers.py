@@ -22,9 +22,9 @@ def _asset() -> Column:
     return F.regexp_extract(F.input_file_name(), r"([^/]+?)\.[^/]*$", 1)
 
 
-def read_frame_reports(spark: SparkSession, paths: str | list[str], part_bytes: int = PART_BYTES) -> DataFrame:
-    """tags_long(asset_id, media_type, frame_idx, t, key, value) of frame reports in XML, gzipped or not; a large report is read by several tasks."""
-    raw = report_frames(spark, paths, part_bytes)
+def read_frame_reports(spark: SparkSession, paths: str | list[str] | DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """tags_long(asset_id, media_type, frame_idx, t, key, value) of frame reports in XML, gzipped or not; a large report is read by several tasks, each once. Paths may be a table (path)."""
+    raw = written(report_frames(spark, paths, part_bytes), "report-frames")  # its times are chosen by all frames of an asset
     own = select_timestamp(raw)
     w = Window.partitionBy("asset_id", "_media_type").orderBy("t", "_n")
     own = own.withColumn("frame_idx", F.row_number().over(w) - 1)

@@ -72,6 +72,16 @@ class ReportRange(InputPartition):
         self.path, self.start, self.end = path, start, end
 
 
+def report_ranges(path: str, size: int, part_bytes: int) -> list[ReportRange]:
+    """The ranges that a report of `size` bytes is cut into."""
+    whole = _text_size(path, size)
+    parts = max(1, -(-whole // part_bytes))
+    if path.endswith(".gz"):
+        parts = min(parts, GZIP_PARTS)
+    step = -(-whole // parts)
+    return [ReportRange(path, k * step, (k + 1) * step if k + 1 < parts else None) for k in range(parts)]
+
+
 def frame_blocks(path: str, start: int, end: int | None) -> Iterator[bytes]:
     """Whole frames' text, some at a time: of those whose first byte lies in the range."""
     fs, at = _open(path)
@@ -144,8 +154,10 @@ class FrameReports(DataSource):
     def name(cls) -> str:
         return "frame_report"
 
+    SCHEMA = "asset_id string, _media_type string, _pkt_pts_time double, _pkt_dts_time double, _n long, tag array<struct<_key: string, _value: string>>"
+
     def schema(self) -> str:
-        return "asset_id string, _media_type string, _pkt_pts_time double, _pkt_dts_time double, _n long, tag array<struct<_key: string, _value: string>>"
+        return self.SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
         return _Reader(json.loads(self.options.get("paths", "[]")) or [self.options["path"]], int(self.options.get("part_bytes", PART_BYTES)))
@@ -156,23 +168,42 @@ class _Reader(DataSourceReader):
         self.paths, self.part_bytes = paths, part_bytes
 
     def partitions(self) -> list[ReportRange]:
-        out = []
-        for path, size in report_files(self.paths):
-            whole = _text_size(path, size)
-            parts = max(1, -(-whole // self.part_bytes))
-            if path.endswith(".gz"):
-                parts = min(parts, GZIP_PARTS)
-            step = -(-whole // parts)
-            out += [ReportRange(path, k * step, (k + 1) * step if k + 1 < parts else None) for k in range(parts)]
-        return out or [ReportRange("", 0, 0)]
+        return [r for path, size in report_files(self.paths) for r in report_ranges(path, size, self.part_bytes)] or [ReportRange("", 0, 0)]
 
     def read(self, part: ReportRange) -> Iterator[pa.RecordBatch]:
         if part.path:
             yield from parsed_frames(frame_blocks(part.path, part.start, part.end), asset_of(part.path))
 
 
-def report_frames(spark: SparkSession, paths: str | list[str], part_bytes: int = PART_BYTES) -> DataFrame:
-    """asset_id, _media_type, _pkt_pts_time, _pkt_dts_time, _n, tag: a row for each frame of the reports, a large one by several tasks."""
+def _listed_frames(files: DataFrame, part_bytes: int) -> DataFrame:
+    """The frames of the reports that a table lists (path). Tasks cut reports into ranges, and each reads as many as make up PART_BYTES, however small."""
+    spark = files.sparkSession
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [r for path, size in report_files(b["path"].to_pylist()) for r in report_ranges(path, size, part_bytes)]
+            size = [min(part_bytes, r.end - r.start if r.end else _text_size(*report_files([r.path])[0]) - r.start) for r in found]
+            columns = {"path": [r.path for r in found], "begin": [r.start for r in found], "end": [r.end for r in found], "size": size}
+            yield pa.RecordBatch.from_pydict(columns, pa.schema({"path": pa.string(), "begin": pa.int64(), "end": pa.int64(), "size": pa.int64()}))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for r in b.to_pylist():
+                yield from parsed_frames(frame_blocks(r["path"], r["begin"], r["end"]), asset_of(r["path"]))
+
+    tasks = spark.sparkContext.defaultParallelism
+    ranges = written(files.select("path").repartition(tasks).mapInArrow(cut, "path string, begin long, end long, size long"), "report-ranges")
+    tasks = max(tasks, -(-(ranges.agg(F.sum("size")).first()[0] or 0) // PART_BYTES))
+    return ranges.repartition(tasks).mapInArrow(read, FrameReports.SCHEMA)
+
+
+def report_frames(spark: SparkSession, paths: str | list[str] | DataFrame, part_bytes: int = PART_BYTES) -> DataFrame:
+    """asset_id, _media_type, _pkt_pts_time, _pkt_dts_time, _n, tag: a row for each frame of the reports, a large one by several tasks.
+
+    Very many reports are listed by a table (path), which is read where it is; a list's paths and ranges pass through the driver.
+    """
+    if isinstance(paths, DataFrame):
+        return _listed_frames(paths, part_bytes)
     spark.dataSource.register(FrameReports)
     return spark.read.format("frame_report").option("paths", json.dumps([paths] if isinstance(paths, str) else paths)).option("part_bytes", part_bytes).load()
 
