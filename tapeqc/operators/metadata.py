@@ -23,6 +23,8 @@ def check_spec(metadata: DataFrame, spec: DataFrame, trim: bool = False) -> Data
 
 #: Rows that a table of expectations may have to be held as one literal array; beyond it is joined as a table.
 LITERAL_ROWS = 10_000
+#: Renames of settings that are held so.
+LITERAL_RENAMES = 100
 
 
 def _for_each(assets: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -195,13 +197,22 @@ def migrate_settings(settings: DataFrame, renames: DataFrame) -> DataFrame:
     a setting stands under the new name already, that one wins. yes and no of renamed settings become true and false; others stay as they are.
     """
     roots = F.transform(F.sequence(F.lit(1), F.size(F.split("path", r"\."))), lambda k: F.array_join(F.slice(F.split("path", r"\."), F.lit(1), k), "."))
-    tried = settings.select("asset_id", "path", "value", F.explode(roots).alias("old"))
-    found = tried.join(renames.select("old", "new"), "old", "left").groupBy("asset_id", "path", "value").agg(F.max(F.when(F.col("new").isNotNull(), F.struct(F.length("old").alias("n"), "old", "new"))).alias("x"))
+    rows = renames.select("old", "new").where("old IS NOT NULL AND new IS NOT NULL").limit(LITERAL_RENAMES + 1).collect()
+    if len(rows) > LITERAL_RENAMES:
+        tried = settings.select("asset_id", "path", "value", F.explode_outer(roots).alias("old"))
+        found = tried.join(renames.select("old", "new"), "old", "left").groupBy("asset_id", "path", "value").agg(F.max(F.when(F.col("new").isNotNull(), F.struct(F.length("old").alias("n"), "old", "new"))).alias("x"))
+    else:
+        # Held with each setting, which is neither copied nor gathered to find its own.
+        names = F.array(*[F.struct(F.lit(len(r.old)).alias("n"), F.lit(r.old).alias("old"), F.lit(r.new).alias("new")) for r in rows]).cast("array<struct<n: int, old: string, new: string>>")
+        found = settings.select("asset_id", "path", "value", F.array_max(F.filter(names, lambda x: (F.col("path") == x["old"]) | F.startswith(F.col("path"), F.concat(x["old"], F.lit("."))))).alias("x"))
     moved = F.col("x").isNotNull()
     path = F.when(moved, F.concat("x.new", F.substr("path", F.length("x.old") + 1))).otherwise(F.col("path"))
     truth = F.when(moved & (F.lower("value") == "yes"), "true").when(moved & (F.lower("value") == "no"), "false").otherwise(F.col("value"))
     own = found.select("asset_id", path.alias("path"), F.struct(moved.alias("moved"), F.col("path").alias("was"), truth.alias("value")).alias("x"))
-    return own.groupBy("asset_id", "path").agg(F.min("x").alias("x")).select("asset_id", "path", "x.value")
+    # Short settings pack so well that partitions sized by their written bytes would be a few large sorts.
+    spark = settings.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    return own.repartition(tasks, "asset_id").groupBy("asset_id", "path").agg(F.min("x").alias("x")).select("asset_id", "path", "x.value")
 
 
 def metadata_difference_report(parts: dict[str, DataFrame]) -> DataFrame:
