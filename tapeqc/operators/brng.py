@@ -129,7 +129,8 @@ def violation_assessment(violations: DataFrame, patterns: DataFrame) -> DataFram
     wide = one.join(patterns.select("asset_id", "edge_pct", "linear_pct"), "asset_id", "left").fillna(0.0, ["edge_pct", "linear_pct"])
     avg, edge, linear = F.col("avg_pct"), F.col("edge_pct"), F.col("linear_pct")
     whole = lambda x: F.bround(x, 0).cast("long")
-    level = F.when(avg >= 1.0, F.format_string("Average BRNG: %.2f%%", avg)).when(avg >= 0.1, F.format_string("Average BRNG: %.2f%% (low-level)", avg)).otherwise(F.format_string("Average BRNG: %.3f%% (minimal)", avg))
+    text = lambda x, pattern: F.call_function("format_number", x, F.lit(pattern))  # noqa: E731; rounds the number itself, half to even, not its shortest digits
+    level = F.when(avg >= 1.0, F.format_string("Average BRNG: %s%%", text(avg, "0.00"))).when(avg >= 0.1, F.format_string("Average BRNG: %s%% (low-level)", text(avg, "0.00"))).otherwise(F.format_string("Average BRNG: %s%% (minimal)", text(avg, "0.000")))
     place = F.when(edge > 70, F.format_string("%d%% of violations at frame edges", whole(edge))).when(edge > 40, F.format_string("%d%% edge violations, %d%% content area", whole(edge), whole(100 - edge))).when(edge > 0, F.format_string("Violations primarily in content area (%d%%)", whole(100 - edge)))
     lines = F.when(linear > 20, F.format_string("linear blanking patterns detected (%d%%)", whole(linear)))
     return wide.select("asset_id", "n", "avg_pct", "max_pct", "edge_pct", "linear_pct", F.concat_ws("; ", level, place, lines).alias("assessment"))
