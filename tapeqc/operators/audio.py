@@ -165,6 +165,7 @@ def astats_timecode(frames: DataFrame, seconds: float = WINDOW_S) -> DataFrame:
 
 def label_channels(detections: DataFrame) -> DataFrame:
     """Detections (asset_id, ch, start_s, end_s, ...) with channel: chN, or both (chN) where one of the other channel of 1 and 2 overlaps or touches."""
+    detections = written(detections, "channel-detections")  # asked for four times
     on = (F.col("l.asset_id") == F.col("r.asset_id")) & (F.col("l.ch") + F.col("r.ch") == 3) & (F.col("l.start_s") <= F.col("r.end_s")) & (F.col("r.start_s") <= F.col("l.end_s"))
     name = F.concat(F.lit("ch"), F.col("ch").cast("string"))
     both = detections.alias("l").join(detections.alias("r"), on, "left_semi").withColumn("channel", F.concat(F.lit("both ("), name, F.lit(")")))
@@ -291,9 +292,10 @@ def timecode_consensus(detections: DataFrame, assets: DataFrame) -> DataFrame:
     astats_available) says that the asset has channel statistics; of such that overlap, the first stands.
     """
     loud = F.lower(F.col("criterion")).startswith("r128")
+    detections = written(detections, "detections")  # merged ones are few, and asked for three times
     r128, astats = detections.where(loud), detections.where(~loud)
     extra = [F.collect_list("confidence").alias("confs"), F.array_sort(F.collect_set("criterion")).alias("names"), F.array_distinct(F.flatten(F.collect_list(F.regexp_extract_all(F.lower("channel"), F.lit("ch([0-9]+)"), F.lit(1))))).alias("chs"), F.coalesce(F.bool_or(F.lower("channel").contains("both")), F.lit(False)).alias("both")]
-    regions = merge_spans(astats.select("asset_id", "start_s", "end_s", "confidence", "criterion", "channel"), 0.0, ASSET, extra).drop("n_spans")
+    regions = written(merge_spans(astats.select("asset_id", "start_s", "end_s", "confidence", "criterion", "channel"), 0.0, ASSET, extra).drop("n_spans"), "consensus-regions")
     met = (F.col("l.asset_id") == F.col("r.asset_id")) & (F.col("l.start_s") <= F.col("r.end_s")) & (F.col("r.start_s") <= F.col("l.end_s"))
     measured = assets.where("astats_available").select("asset_id")
     free = r128.alias("l").join(regions.alias("r"), met, "left_anti").join(measured, "asset_id", "left_anti")
