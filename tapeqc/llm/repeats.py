@@ -9,7 +9,8 @@ fifty is a sample. Doubling works on these positions:
   between them. Each round ranks anew strings about twice as long; unique ones leave, and those past the threshold are done.
 - A string of `length` bytes within such a longer repeated string is repeated. What is left are the edges of repeats. There, strings of exactly
   `length` bytes meet those of the same first rank: once for each longer repeat (its first position stands for it), and once for each position that
-  is still open. Small groups are compared where they meet; groups of more than GROUP positions are sorted and ranked like the pairs before.
+  is still open. Small groups are compared where they meet; groups of more than GROUP positions are sorted and ranked like the pairs before, by
+  ranges of their strings' starts, which are cut only where a position's repeats end.
 
 Ranks come from a range sort, whose parts number their own groups; the parts' ends tell where to join them, so that a string with a third
 of all positions is dealt over as many tasks as it fills. Names are 128-bit hashes; a text is known by 79 bits of hashes. Equal texts are told
@@ -35,6 +36,8 @@ from .shared import discard, written
 ROUNDS = 5
 #: Positions of one first rank that are compared in one task; groups of more are sorted.
 GROUP = 4096
+#: Ranges that a range of offsets is cut into, in groups of more.
+PIECES = 4
 #: Texts that a task remembers, so that it samples copies once.
 _SEEN = 1_000_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -312,20 +315,55 @@ def _compared(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _sorted_strings(contexts: DataFrame, length: int) -> DataFrame:
-    """The same for groups of any size: every string is named, sorted and ranked."""
+    """The same for groups of any size, by ranges of offsets: how far before its position a string begins, equal for equal strings.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (whole.slice(k, 512) for whole in batches for k in range(0, whole.num_rows, 512)):
-            doc, at = _as_long(b, ["doc", "at"])
-            counts = _last(at) - _first(at) + 1
-            digests = b"".join(xxhash.xxh3_128_digest(p[k : k + length]) for p, n in zip(b["bytes"].to_pylist(), counts.tolist(), strict=True) for k in range(n))
-            row = np.repeat(np.arange(len(doc)), counts)
-            start = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts) + _first(at)[row]
-            yield _batch(["hi", "lo", "doc", "at"], [*np.frombuffer(digests, dtype=np.int64).reshape(-1, 2).T.copy(), doc[row], at[row] >> 48 << 48 | start << 16])
-
-    strings = contexts.select("doc", "at", "bytes").mapInArrow(run, "hi long, lo long, doc long, at long")
-    start = F.shiftright("at", 16).bitwiseAND(0xFFFFFFFF)
-    return rerank(strings).select("doc", "at", start.alias("first"), start.alias("last"))
+    Of a range, a position has the bytes that all its strings share, and those that they cover. If no other position has the shared bytes, none of its
+    strings is repeated; if one has the covered bytes, all are, and the first position of these stands for the others. What is left is cut in PIECES
+    and looked at again. So a position has rows for the ends of its repeats only, not one for each of its strings.
+    """
+    width, nodes, levels = length - length // 2 + 1, None, []
+    whole, contexts = width - 1, contexts.select("doc", "at", "bytes")
+    while width > 1 and (nodes is None or not nodes.isEmpty()):
+        width = -(-width // PIECES)
+
+        # A node is 16 bits each for its least and its greatest offset; its last bit in a name tells the shared bytes (1) from the covered ones.
+        def run(batches: Iterator[pa.RecordBatch], width: int = width) -> Iterator[pa.RecordBatch]:
+            digest = xxhash.xxh3_128_digest
+            for b in (x.slice(k, 4096) for x in batches for k in range(0, x.num_rows, 4096)):
+                digests, rows, names = [], [], []
+                doc, at = _as_long(b, ["doc", "at"])
+                for row, (piece, most, least, own) in enumerate(zip(b["bytes"].to_pylist(), (at >> 8 & 0xFF).tolist(), (at & 0xFF).tolist(), b["nodes"].to_pylist(), strict=True)):
+                    for low, end in ((low, n & 0xFFFF) for n in own for low in range(n >> 16, (n & 0xFFFF) + 1, width)):
+                        high = min(low + width - 1, end)
+                        if low > most or high < least:
+                            continue
+                        name = (low << 16 | high) << 1
+                        if low < high:
+                            digests.append(digest(piece[most - low : most - high + length], name | 1))
+                            rows.append(row)
+                            names.append(name | 1)
+                        if low >= least and high <= most:
+                            digests.append(digest(piece[most - high : most - low + length], name))
+                            rows.append(row)
+                            names.append(name)
+                if rows:
+                    yield _batch(["hi", "lo", "doc", "at", "name"], [*np.frombuffer(b"".join(digests), dtype=np.int64).reshape(-1, 2).T.copy(), doc[rows], at[rows], np.array(names, dtype=np.int64)])
+
+        if nodes is None:
+            asked = contexts.withColumn("nodes", F.array(F.lit(whole).cast("long")))
+        else:
+            asked = contexts.join(nodes.groupBy("doc", "at").agg(F.collect_list("node").alias("nodes")), ["doc", "at"])
+        named = asked.select("doc", "at", "bytes", "nodes").mapInArrow(run, "hi long, lo long, doc long, at long, name long")
+        covered = F.col("name").bitwiseAND(1) == 0
+        found = rerank(named, ["name"]).groupBy("doc", "at", F.shiftright("name", 1).alias("node"))
+        found = found.agg(F.bool_or(covered).alias("covered"), F.bool_or(~covered).alias("shared"), F.bool_or(covered & ~F.col("first")).alias("stood"))
+        levels.append(written(found, "offsets"))
+        nodes = levels[-1].where("shared AND NOT stood").select("doc", "at", "node")
+    every = levels[0]
+    for df in levels[1:]:
+        every = every.union(df)
+    place = F.shiftright("at", 16).bitwiseAND(0xFFFFFFFF)
+    return every.where("covered").select("doc", "at", (place - F.col("node").bitwiseAND(0xFFFF)).alias("first"), (place - F.shiftright("node", 16)).alias("last"))
 
 
 def repeated_spans(docs: DataFrame, length: int = 200) -> DataFrame:

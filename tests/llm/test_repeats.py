@@ -117,3 +117,22 @@ def test_ranks(spark, parts):
     names = {n: k for k, n in enumerate(sorted(who))}
     want = sorted((d, p, n[1], names[n], (d, p) == min(w)) for n, w in who.items() if len(w) > 1 for d, p in w)
     assert sorted(map(tuple, got)) == want
+
+
+def test_large_groups_are_not_listed(spark, monkeypatch):
+    """op11: in groups of more than GROUP positions each of a position's hundred strings was a row."""
+    rng = np.random.default_rng(11)
+    junk = lambda n: bytes(rng.integers(97, 123, n).astype(np.uint8))
+    length, n, passage, rows, where = 200, 300, junk(300), [], defaultdict(set)
+    for k in range(n):
+        left, right = (0, 0) if k % 3 == 2 else (int(rng.integers(0, 90)), int(rng.integers(0, 60)))
+        most, least = (100, 0) if k % 5 else (int(rng.integers(60, 101)), int(rng.integers(0, 40)))
+        text = (junk(left) + passage[left : 300 - right] + junk(right))[100 - most : 300 - least]
+        rows.append((k, 1000 << 16 | most << 8 | least, text))
+        for i in range(most - least + 1):
+            where[text[i : i + length]].add((k, 1000 - most + i))
+    named, real = [], repeats.rerank
+    monkeypatch.setattr(repeats, "rerank", lambda rows, more=[]: named.append(rows.count()) or real(rows, more))  # noqa: B006
+    found = repeats._sorted_strings(spark.createDataFrame(rows, "doc long, at long, bytes binary"), length).collect()
+    assert {(r.doc, i) for r in found for i in range(r["first"], r["last"] + 1)} == {x for at in where.values() if len(at) > 1 for x in at}
+    assert max(named) <= 10 * n, named
