@@ -45,10 +45,11 @@ def diverse_top_k(violations: DataFrame, k: int = 5, apart_s: float = 10.0) -> D
 
 def failure_highlights(failures: DataFrame, apart_s: float = 4.0) -> DataFrame:
     """asset_id, tag, rank and the failure: the farthest from their threshold, apart_s apart; five a tag for assets with up to two tags, else three."""
-    tags = failures.select("asset_id", "tag").distinct().groupBy("asset_id").agg(F.count("*").alias("tags"))
     own = failures.withColumn("off", F.abs(F.col("value") - F.col("threshold")))
     picked = greedy_spaced(own, ["asset_id", "tag"], [descending("off"), F.col("frame_idx")], "t", apart_s, 5)
-    return picked.join(tags, "asset_id").where((F.col("tags") <= 2) | (F.col("rank") <= 3)).drop("tags")
+    # Every tag that fails has one first row: the failures are not read again for the tags.
+    tags = F.count_if(F.col("rank") == 1).over(Window.partitionBy("asset_id"))
+    return picked.withColumn("tags", tags).where((F.col("tags") <= 2) | (F.col("rank") <= 3)).drop("tags")
 
 
 def brng_period_summary(frames: DataFrame, periods: DataFrame, least: float = 0.01) -> DataFrame:

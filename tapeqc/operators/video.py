@@ -28,9 +28,9 @@ def threshold_violations(frames: DataFrame, thresholds: dict[str, float], start_
         frames = frames.where(F.col("t") >= start_s)
     if end_s is not None:
         frames = frames.where(F.col("t") <= end_s)
-    items = F.array(*[F.struct(F.lit(k).alias("tag"), F.col(k).alias("value"), F.lit(float(v)).alias("threshold")) for k, v in thresholds.items()])
-    bad = F.filter(items, lambda x: F.coalesce(fails(x["tag"], x["value"], x["threshold"]), F.lit(False)))
-    return frames.select("asset_id", "frame_idx", "t", F.explode(bad).alias("x")).select("asset_id", "frame_idx", "t", "x.*")
+    # Plain conditions, which Spark compiles; a filter of arrays is interpreted for each row.
+    items = F.array(*[F.when(fails(F.lit(k), F.col(k), F.lit(float(v))), F.struct(F.lit(k).alias("tag"), F.col(k).alias("value"), F.lit(float(v)).alias("threshold"))) for k, v in thresholds.items()])
+    return frames.select("asset_id", "frame_idx", "t", F.explode(items).alias("x")).where("x IS NOT NULL").select("asset_id", "frame_idx", "t", "x.*")
 
 
 def thresholds_by_asset(assets: DataFrame, checks: DataFrame) -> DataFrame:
