@@ -43,9 +43,13 @@ LEAST_S = 1 / 64
 
 
 def _binned(regions: DataFrame, keys: list[str], end: Column) -> tuple[Column, DataFrame]:
-    """A bin's width, and keys, _bin, _from, _to, _region: a row for each region and each bin that it reaches, _region the struct of its columns."""
+    """A bin's width, and keys, _bin, _from, _to, _region: a row for each region and each bin that it reaches, _region the struct of its columns.
+
+    The regions are written, so that what makes them does not run again for the width.
+    """
     bounds = regions.select(*keys, F.col("start_s").cast("double").alias("_from"), end.cast("double").alias("_to"), F.struct(*regions.columns).alias("_region"))
     bounds = bounds.where((F.col("_from") <= F.col("_to")) & (F.abs("_from") < float("inf")) & (F.abs("_to") < float("inf")))
+    bounds = written(bounds, "regions")
     width = F.greatest(F.lit(LEAST_S), F.coalesce(bounds.select(F.avg(F.col("_to") - F.col("_from"))).scalar(), F.lit(1.0)))
     return width, bounds.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("_from") / width), F.floor(F.col("_to") / width))))
 
