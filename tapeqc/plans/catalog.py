@@ -15,6 +15,7 @@ from ..operators import metadata as M
 from ..operators import similarity as S
 from ..operators import video as V
 from ..sources import readers as R
+from ..tables import written
 from . import files
 from .frames import CHANNELS, FRAMES, LOUDNESS, TIMECODE, channels, frames, loudness, table, timecode
 
@@ -32,6 +33,11 @@ def _query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
+def _kept(own: DataFrame, metrics: set[str]) -> DataFrame:
+    """The frames with these metrics as a written table: what is asked for several times is numbered once."""
+    return written(own.select("asset_id", "frame_idx", "t", *sorted(metrics)), "frames")
+
+
 def _r(x: str) -> str:
     return f"round({x}, 6)"
 
@@ -118,13 +124,13 @@ def _(spark, d):
 
 @_query("A2_bars_extremes", f"WITH {FRAMES}, {_DETECT} SELECT d.asset_id, 'head' AS label, " + ", ".join(f"{'greatest(0, ' if k.endswith('MAX') else 'least(1023, '}CAST({'max' if k.endswith('MAX') else 'min'}(f.{k}) AS INT)) AS {k}" for k in V.SMPTE) + " FROM detected d JOIN frames f ON f.asset_id = d.asset_id AND f.t BETWEEN d.start_s AND d.end_s GROUP BY d.asset_id")
 def _(spark, d):
-    own = frames(spark, d)
+    own = _kept(frames(spark, d), {*V.SMPTE, "YDIF"})
     return V.bars_extremes(own, V.detect_bars(own).withColumn("label", F.lit("head")))
 
 
 @_query("A3_bars_vs_reference", f"WITH {FRAMES}, {_DETECT}, x AS (SELECT d.asset_id, " + ", ".join(f"{'greatest(0, ' if k.endswith('MAX') else 'least(1023, '}CAST({'max' if k.endswith('MAX') else 'min'}(f.{k}) AS INT)) AS {k}" for k in V.SMPTE) + " FROM detected d JOIN frames f ON f.asset_id = d.asset_id AND f.t BETWEEN d.start_s AND d.end_s GROUP BY d.asset_id), a AS (SELECT DISTINCT asset_id FROM frames) " + " UNION ALL ".join(f"SELECT a.asset_id, '{k}' AS tag, CAST({e} AS DOUBLE) AS expected, coalesce(CAST(x.{k} AS DOUBLE), {e}) AS detected FROM a LEFT JOIN x ON x.asset_id = a.asset_id" for k, e in {"YMAX": 940.0, "YMIN": 28.0, "UMIN": 148.0, "UMAX": 876.0, "VMIN": 124.0, "VMAX": 867.0, "SATMIN": 0.0, "SATMAX": 405.0}.items()))
 def _(spark, d):
-    own = frames(spark, d)
+    own = _kept(frames(spark, d), {*V.SMPTE, "YDIF"})
     return V.bars_vs_reference(own.select("asset_id").distinct(), V.bars_extremes(own, V.detect_bars(own).withColumn("label", F.lit("head"))))
 
 
@@ -207,7 +213,7 @@ def _(spark, d):
 
 @_query("J6_exclude_regions", f"WITH {FRAMES}, {_SEGMENTS} SELECT f.asset_id, f.frame_idx FROM frames f WHERE NOT EXISTS (SELECT 1 FROM segments s WHERE s.asset_id = f.asset_id AND f.t BETWEEN s.start_s AND s.end_s)")
 def _(spark, d):
-    own = frames(spark, d)
+    own = _kept(frames(spark, d), {"YMAX", "YHIGH", "YLOW", "YMIN"})
     return I.exclude_regions(own, V.black_segments(own)).select("asset_id", "frame_idx")
 
 
