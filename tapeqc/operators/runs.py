@@ -27,21 +27,24 @@ def runs(rows: DataFrame, keys: list[str], order: str, state: Column, totals: di
     goes_on = goes_on or (lambda before, now: before["tail"].eqNullSafe(now["head"]))
     part = lambda first, last, head, tail: F.struct(first.alias("first"), last.alias("last"), head.alias("head"), tail.alias("tail"))
     place = F.col(order)
-    w = Window.partitionBy(*keys, "_block").orderBy("_part.first")
-    own = rows.withColumns({"_block": F.floor(place / width), "_part": part(place, place, state, state)})
-    before = F.lag("_part").over(w)
-    own = own.withColumn("_new", ~F.coalesce(before.isNotNull() & goes_on(before, F.col("_part")), F.lit(False)))
+    w = Window.partitionBy(*keys, "_block").orderBy(order)
+    own = rows.withColumns({"_block": F.floor(place / width), "_state": state})
+    at, was, now = F.lag(order).over(w), F.lag("_state").over(w), F.col("_state")
+    same = (F.row_number().over(w) > 1) & goes_on(part(at, at, was, was), part(place, place, now, now))
+    own = own.withColumns({"_new": ~F.coalesce(same, F.lit(False)), "_end": F.lead(F.lit(True)).over(w).isNull()})
     own = own.withColumn("_run", F.sum(F.col("_new").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = part(F.min("_part.first"), F.max("_part.last"), F.min_by("_part.head", "_part.first"), F.max_by("_part.tail", "_part.last"))
-    parts = own.groupBy(*keys, "_block", "_run").agg(whole.alias("_part"), *[first.alias(k) for k, (first, _) in totals.items()])
-    parts = parts.withColumns({"_left": F.col("_run") == 1, "_right": F.col("_run") == F.max("_run").over(Window.partitionBy(*keys, "_block"))})
+    # Flat columns: rows stay narrow, and what one sort has ordered is not sorted again.
+    ends = {"_part_first": F.min(order), "_part_last": F.max(order), "_part_head": F.min_by("_state", order), "_part_tail": F.max_by("_state", order)}
+    parts = own.groupBy(*keys, "_block", "_run").agg(*[x.alias(k) for k, x in ends.items()], F.bool_or("_end").alias("_right"), *[first.alias(k) for k, (first, _) in totals.items()])
+    parts = parts.withColumn("_left", F.col("_run") == 1)
     # Runs that are closed stay with their block; open ones meet by key.
     parts = parts.withColumn("_closed", F.when(~F.col("_left") & ~F.col("_right"), F.col("_block")))
-    w = Window.partitionBy(*keys, "_closed").orderBy("_part.first")
-    before = F.lag(F.struct("_part", "_right")).over(w)
-    joined = before["_right"] & F.col("_left") & goes_on(before["_part"], F.col("_part"))
-    parts = parts.withColumn("_run", F.sum((~F.coalesce(joined, F.lit(False))).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = parts.groupBy(*keys, "_closed", "_run").agg(F.min("_part.first").alias("first"), F.max("_part.last").alias("last"), *[merge(F.col(k)).alias(k) for k, (_, merge) in totals.items()])
+    w = Window.partitionBy(*keys, "_closed").orderBy("_part_first")
+    before = part(*[F.lag(k).over(w) for k in ends])
+    joined = F.lag("_right").over(w) & F.col("_left") & goes_on(before, part(*map(F.col, ends)))
+    parts = parts.withColumn("_new", (~F.coalesce(joined, F.lit(False))).cast("int"))
+    parts = parts.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    out = parts.groupBy(*keys, "_closed", "_run").agg(F.min("_part_first").alias("first"), F.max("_part_last").alias("last"), *[merge(F.col(k)).alias(k) for k, (_, merge) in totals.items()])
     return out.drop("_closed", "_run")
 
 
